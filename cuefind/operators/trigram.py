@@ -1,0 +1,84 @@
+"""Trigram similarity search as an inverted-index join.
+
+Scoring every chunk against every query (the reference's full scan) is replaced by a
+join on exploded trigrams: only (chunk, query) pairs that share a trigram are formed, and
+they are counted inside the partition that holds the chunk, so the pairs never cross the
+network. Only k rows per query per partition are shuffled for the final top-k.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from cuefind.functions.text import normalize_text, trigrams
+from cuefind.operators.common import BROADCAST_MAX_ROWS, fits_broadcast, top_k_per_key
+
+TOP_K = 5  # fixed value: 5 trigram candidates per query
+
+
+def query_postings(queries: DataFrame, text_col: str = "query") -> DataFrame:
+    """(query_id, nq, t): the trigram set of the normalized query, one row per trigram."""
+    g = trigrams(normalize_text(F.col(text_col)))
+    return (queries.select("query_id", g.alias("g"))
+            .select("query_id", F.size("g").alias("nq"), F.explode("g").alias("t")))
+
+
+def chunk_postings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, nc, t) for chunks with a normalized text."""
+    g = trigrams(F.col("normalized_text"))
+    return (chunks.where(F.col("normalized_text").isNotNull())
+            .select("chunk_id", g.alias("g"))
+            .select("chunk_id", F.size("g").alias("nc"), F.explode("g").alias("t")))
+
+
+def _positive_scores(chunks: DataFrame, queries: DataFrame, text_col: str,
+                     partitions: int | None) -> DataFrame:
+    """(query_id, chunk_id, score) for every pair sharing at least one trigram."""
+    qp = query_postings(queries, text_col)
+    base = chunks.where(F.col("normalized_text").isNotNull()).select("chunk_id", "normalized_text")
+    if fits_broadcast(qp, BROADCAST_MAX_ROWS):
+        # Co-locate each chunk's postings by chunk_id once (a shuffle of the corpus rows,
+        # not of the much larger pair set); the broadcast join and the count then keep
+        # that partitioning and need no exchange.
+        base = base.repartition(partitions, "chunk_id") if partitions else base.repartition("chunk_id")
+        joined = chunk_postings(base).join(F.broadcast(qp), "t")
+    else:
+        # Query side too large to broadcast: shuffle join on the trigram. Hot trigrams are
+        # split by a salt on the chunk side with the query postings replicated per salt.
+        salts = 16
+        cp = chunk_postings(base).withColumn("salt", F.abs(F.xxhash64("chunk_id")) % salts)
+        qps = qp.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = cp.join(qps, ["t", "salt"])
+    inter = joined.groupBy("chunk_id", "query_id", "nc", "nq").agg(F.count(F.lit(1)).alias("inter"))
+    score = F.col("inter") / (F.col("nc") + F.col("nq") - F.col("inter"))
+    return inter.select("query_id", "chunk_id", score.cast("double").alias("score"))
+
+
+def trigram_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",
+                 partitions: int | None = None) -> DataFrame:
+    """Top k chunks per query by trigram similarity, desc, ties by chunk_id.
+
+    Zero scores are allowed (no threshold): a query with fewer than k sharing chunks is
+    filled with the smallest chunk ids, exactly as a full ordered scan would."""
+    pos = _positive_scores(chunks, queries, text_col, partitions)
+    pos_top = top_k_per_key(pos, "query_id", [F.desc("score"), F.asc("chunk_id")], 2 * k).drop("rank")
+    # k smallest chunk ids: the zero-score candidates every query falls back to.
+    # k ids (bounded by k, not by the data) travel as literals.
+    fill_ids = [r.chunk_id for r in chunks.where(F.col("normalized_text").isNotNull())
+                .select("chunk_id").orderBy("chunk_id").limit(k).collect()]
+    fill = queries.select("query_id", F.explode(F.array(*[F.lit(i) for i in fill_ids]) if fill_ids
+                                                 else F.array().cast("array<string>")).alias("chunk_id"),
+                          F.lit(0.0).alias("score"))
+    cand = pos_top.unionByName(fill)
+    best = cand.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k_per_key(best, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def attach_chunk_payload(topk: DataFrame, chunks: DataFrame, videos: DataFrame, small: bool = True) -> DataFrame:
+    """Join the (small) top-k rows to chunk text/time and the parent video (after top-k)."""
+    hint = F.broadcast if small else (lambda d: d)
+    c = chunks.select("chunk_id", "video_id", F.col("text").alias("chunk_text"), "start_ms")
+    out = c.join(hint(topk), "chunk_id")
+    v = videos.select("video_id", "title", "video_url")
+    return v.join(hint(out), "video_id")
