@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.plans import chunk_queries, search_queries, source_queries  # noqa: F401
+from cuefind.plans import chunk_queries, ingest_queries, search_queries, source_queries  # noqa: F401
 from cuefind.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_best"
