@@ -119,12 +119,17 @@ def _doc_search_inputs(spark: SparkSession, sf: str):
     return chunks, queries
 
 
-_DOC_CORPUS_SQL = f"""
+BENCH_Q_SQL = """SELECT b.item_id AS query_id, b.text AS query, e.embedding
+      FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id"""
+
+
+def doc_hybrid_ctes(q_sql: str = BENCH_Q_SQL) -> str:
+    """CTEs c (corpus), q (queries), tri (trigram top 5), vec (vector top 5) for DuckDB."""
+    return f"""
 c AS (SELECT {D.chunk_id('d.doc_id')} AS chunk_id, {D.doc_video_id('d.doc_id')} AS video_id, d.text,
              {D.norm('d.text')} AS normalized_text, e.embedding, d.source || ' ' || CAST(d.doc_id AS VARCHAR) AS title
       FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-q AS (SELECT b.item_id AS query_id, b.text AS query, e.embedding
-      FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id),
+q AS ({q_sql}),
 cg AS (SELECT chunk_id, {D.grams('normalized_text')} AS g FROM c WHERE normalized_text IS NOT NULL),
 qg AS (SELECT query_id, {D.grams(D.norm('query'))} AS g FROM q),
 ts AS (SELECT qg.query_id, cg.chunk_id, {D.jaccard('qg.g', 'cg.g')} AS score FROM qg CROSS JOIN cg),
@@ -135,7 +140,14 @@ vs AS (SELECT q.query_id, c.chunk_id, {D.cos_distance('c.embedding', 'q.embeddin
        FROM q CROSS JOIN c WHERE q.embedding IS NOT NULL AND c.embedding IS NOT NULL),
 vec AS (SELECT query_id, chunk_id, 1.0 - distance AS vector_score,
                row_number() OVER (PARTITION BY query_id ORDER BY distance ASC NULLS LAST, chunk_id) AS vector_rank
-        FROM vs QUALIFY vector_rank <= 5)"""
+        FROM vs QUALIFY vector_rank <= 5),
+best AS (SELECT tri.query_id, tri.chunk_id, tri.trigram_score, vec.chunk_id IS NOT NULL AS is_common,
+                row_number() OVER (PARTITION BY tri.query_id
+                                   ORDER BY (vec.chunk_id IS NOT NULL) DESC, tri.trigram_rank) AS r
+         FROM tri LEFT JOIN vec USING (query_id, chunk_id) QUALIFY r = 1)"""
+
+
+_DOC_CORPUS_SQL = doc_hybrid_ctes()
 
 
 @register("trigram_topk", f"""
@@ -180,11 +192,7 @@ def q_hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
     return HY.hybrid_scores(tri, vec).select("query_id", "chunk_id", F.round("avg_score", 6).alias("avg_score"))
 
 
-_HYBRID_BEST_SQL = "WITH " + _DOC_CORPUS_SQL + f""",
-best AS (SELECT tri.query_id, tri.chunk_id, tri.trigram_score, vec.chunk_id IS NOT NULL AS is_common,
-                row_number() OVER (PARTITION BY tri.query_id
-                                   ORDER BY (vec.chunk_id IS NOT NULL) DESC, tri.trigram_rank) AS r
-         FROM tri LEFT JOIN vec USING (query_id, chunk_id) QUALIFY r = 1)
+_HYBRID_BEST_SQL = "WITH " + _DOC_CORPUS_SQL + f"""
 SELECT best.query_id, c.video_id, c.title, {D.WATCH} || c.video_id AS video_url,
        best.chunk_id, 0 AS timestamp, round(best.trigram_score, 6) AS similarity_score, best.is_common,
        {D.WATCH} || c.video_id || '&t=0' AS link,
