@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.plans import (cache_queries, chunk_queries, ingest_queries, search_queries,  # noqa: F401
-                           source_queries)
+from cuefind.plans import (cache_queries, chunk_queries, ingest_queries, pipeline_queries,  # noqa: F401
+                           search_queries, source_queries)
 from cuefind.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "hybrid_best"
