@@ -1,0 +1,90 @@
+"""Embedding job, streaming ingest replay, table store."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cuefind.operators import embed as EM
+from cuefind.session import scratch_path
+from cuefind.sources import store as ST
+
+
+def test_call_with_retry_orders_and_retries():
+    calls, waits = [], []
+
+    def flaky(texts):
+        calls.append(list(texts))
+        if len(calls) < 3:
+            raise IOError("temporary")
+        return [{"index": i, "embedding": [float(len(t))]} for i, t in reversed(list(enumerate(texts)))]
+
+    out = EM.call_with_retry(flaky, ["a", "bbb"], sleep=waits.append)
+    assert out == [[1.0], [3.0]] and waits == [1.0, 2.0] and len(calls) == 3
+    with pytest.raises(IOError):
+        EM.call_with_retry(lambda t: (_ for _ in ()).throw(IOError("down")), ["x"], sleep=lambda s: None)
+
+
+def test_embed_batches_of_ten(spark):
+    sizes = []
+
+    def provider(texts):
+        sizes.append(len(texts))
+        return [{"index": i, "embedding": [float(i), 1.0]} for i in range(len(texts))]
+
+    df = spark.createDataFrame([(f"c{i:02d}", f"t{i}") for i in range(25)], "chunk_id string, text string")
+    rows = EM.embed_texts(df.coalesce(1), provider).collect()
+    assert len(rows) == 25 and all(len(r.embedding) == 2 for r in rows)
+
+
+def test_hashed_provider_unit_norm():
+    v = EM.hashed_trigram_provider(16)(["hello world", ""])
+    by_index = {d["index"]: np.array(d["embedding"]) for d in v}
+    assert abs(np.linalg.norm(by_index[0]) - 1) < 1e-12 and not by_index[1].any()
+
+
+def test_embed_pending_resumes(spark):
+    chunks = spark.createDataFrame([("a", "x y", None), ("b", "z", [1.0]), ("c", "w", None)],
+                                   "chunk_id string, text string, embedding array<float>")
+    done = spark.createDataFrame([("a",)], "chunk_id string")
+    got = [r.chunk_id for r in EM.embed_pending(chunks, EM.hashed_trigram_provider(4), done).collect()]
+    assert got == ["c"]
+    vec = EM.embed_pending(chunks, EM.hashed_trigram_provider(4))
+    merged = {r.chunk_id: r.embedding for r in EM.apply_embeddings(chunks, vec).collect()}
+    assert merged["b"] == [1.0] and all(merged[k] is not None for k in merged)
+
+
+def test_store_create_if_absent(spark):
+    root = scratch_path(spark, "store-test")
+    df = ST.read_table(spark, root, "query_cache")
+    assert df.count() == 0 and df.schema == ST.QUERY_CACHE
+
+
+def test_segments_json_codec(spark):
+    df = spark.createDataFrame([([("a", 0, 1500), ("b", 90061001, 90061002)],)],
+                               "s array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
+    js = df.select(ST.segments_to_json(F.col("s")).alias("j")).first().j
+    assert '"Start":"00:00:00"' in js and '"End":"00:00:01.5000000"' in js and '"Start":"1.01:01:01.0010000"' in js
+    back = df.select(ST.segments_from_json(ST.segments_to_json(F.col("s"))).alias("b")).first().b
+    assert [tuple(x) for x in back] == [("a", 0, 1500), ("b", 90061001, 90061002)]
+
+
+def test_stream_ingest_replay_is_harmless(spark):
+    from cuefind.operators import ingest as IN
+    from cuefind.streaming.ingest_stream import run_ingest_stream
+    listing = scratch_path(spark, "listing")
+    spark.createDataFrame([("v1\tOne",), ("v2\tTwo",), ("",)], "value string").coalesce(1).write.text(listing)
+    stt = spark.createDataFrame([("v1", 0, "hello", 0, 1), ("v1", 1, "world", 1, 2), ("v2", 0, "x", 0, 1)],
+                                "video_id string, pos int, text string, start_ms long, end_ms long")
+    none_f = spark.createDataFrame([], "video_id string")
+    none_s = spark.createDataFrame([], "video_id string, pos int, text string, start_ms long, end_ms long")
+    scripts = lambda w: IN.choose_scripts(w, none_f, none_s, stt)
+    tables = scratch_path(spark, "tables")
+    run_ingest_stream(spark, listing, tables, scratch_path(spark, "ck1"), scripts)
+    # a second run with a fresh checkpoint replays every file: nothing is written twice
+    run_ingest_stream(spark, listing, tables, scratch_path(spark, "ck2"), scripts)
+    videos = ST.read_table(spark, tables, "videos")
+    chunks = ST.read_table(spark, tables, "chunks")
+    assert sorted(r.video_id for r in videos.collect()) == ["v1", "v2"]
+    assert chunks.groupBy("chunk_id").count().where("count > 1").count() == 0
+    # v1: "hello world" (T=30, stops), then "world" (T=50 duplicate skips the stop); v2: "x"
+    assert chunks.count() == 3
