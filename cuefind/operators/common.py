@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,3 +36,28 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
+
+
+def block_topk(chunk_ids: np.ndarray, keys: np.ndarray, values: np.ndarray, qids: np.ndarray, k: int,
+               value_name: str) -> pd.DataFrame:
+    """Inside one task: for each query column, the k rows with the smallest key (NaN last),
+    ties by chunk id. keys/values are (rows x queries). Emits query_id, chunk_id, value."""
+    n = len(chunk_ids)
+    sort_key = np.where(np.isnan(keys), np.inf, keys)
+    out_q, out_c, out_v = [], [], []
+    for j in range(len(qids)):
+        col = sort_key[:, j]
+        if n > k:
+            kth = np.partition(col, k - 1)[k - 1]
+            cand = np.nonzero(col <= kth)[0]
+        else:
+            cand = np.arange(n)
+        sel = cand[np.lexsort((chunk_ids[cand], col[cand]))[:k]]
+        out_q.append(np.full(len(sel), qids[j], dtype=np.int64))
+        out_c.append(chunk_ids[sel])
+        out_v.append(values[sel, j])
+    if not out_q:
+        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "chunk_id": pd.Series([], dtype=object),
+                             value_name: pd.Series([], dtype="float64")})
+    return pd.DataFrame({"query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_c),
+                         value_name: np.concatenate(out_v)})

@@ -1,20 +1,30 @@
-"""Trigram similarity search as an inverted-index join.
+"""Trigram similarity top-k search.
 
-Scoring every chunk against every query (the reference's full scan) is replaced by a
-join on exploded trigrams: only (chunk, query) pairs that share a trigram are formed, and
-they are counted inside the partition that holds the chunk, so the pairs never cross the
-network. Only k rows per query per partition are shuffled for the final top-k.
+Two exact plans, chosen by a checked size of the query side:
+
+* query matrix (default): the queries' trigram sets become a (trigram x query) 0/1
+  matrix broadcast to every task; each task counts shared trigrams for its block of
+  chunks with one vectorised gather + segment sum, scores every chunk (zero scores
+  included), keeps k per query, and only those rows are shuffled;
+* inverted-index join (query side beyond the budget): chunk postings joined to query
+  postings on the trigram, counted inside the partition that holds the chunk, partial
+  top-k before the shuffle, zero-score fill from the k smallest chunk ids.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefind.functions.text import normalize_text, trigrams
-from cuefind.operators.common import BROADCAST_MAX_ROWS, fits_broadcast, top_k_per_key
+from cuefind.operators.common import BROADCAST_MAX_ROWS, block_topk, bounded_count, fits_broadcast, top_k_per_key
 
 TOP_K = 5  # fixed value: 5 trigram candidates per query
+MATRIX_MAX_QUERIES = 50_000        # queries pulled for the broadcast matrix (checked count)
+MATRIX_MAX_CELLS = 64 << 20        # trigram x query cells (int16) in one broadcast matrix
+SUB_BLOCK_ROWS = 2048              # chunks scored at once inside a task
 
 
 def query_postings(queries: DataFrame, text_col: str = "query") -> DataFrame:
@@ -55,12 +65,78 @@ def _positive_scores(chunks: DataFrame, queries: DataFrame, text_col: str,
     return inter.select("query_id", "chunk_id", score.cast("double").alias("score"))
 
 
+def _query_matrix(queries: DataFrame, text_col: str):
+    """(query ids, trigram vocabulary, 0/1 matrix trigram x query, |query trigrams|)."""
+    pdf = queries.select("query_id", trigrams(normalize_text(F.col(text_col))).alias("g")).toPandas()
+    qids = pdf["query_id"].to_numpy().astype(np.int64)
+    grams = [list(g) if g is not None else [] for g in pdf["g"]]
+    vocab = pd.Index(sorted({t for g in grams for t in g}), dtype=object)
+    mat = np.zeros((len(vocab), len(qids)), dtype=np.int16)
+    for j, g in enumerate(grams):
+        if g:
+            mat[vocab.get_indexer(g), j] = 1
+    nq = np.array([len(g) for g in grams], dtype=np.int64)
+    return qids, vocab, mat, nq
+
+
+def _score_block(chunk_ids, gram_lists, vocab, mat, nq, qids, k):
+    lens = np.fromiter((len(g) for g in gram_lists), dtype=np.int64, count=len(gram_lists))
+    n, q = len(gram_lists), len(qids)
+    inter = np.zeros((n, q), dtype=np.int64)
+    if lens.sum() and len(vocab):
+        ids = vocab.get_indexer(np.concatenate([np.asarray(g, dtype=object) for g in gram_lists]))
+        rows = np.repeat(np.arange(n), lens)
+        keep = ids >= 0
+        rows, ids = rows[keep], ids[keep]
+        if len(ids):
+            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
+            inter[rows[starts]] = np.add.reduceat(mat[ids].astype(np.int64), starts, axis=0)
+    union = lens[:, None] + nq[None, :] - inter
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = np.where(union == 0, 0.0, inter / np.where(union == 0, 1, union))
+    return block_topk(chunk_ids, -score, score, qids, k, "score")
+
+
+def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -> DataFrame:
+    qids, vocab, mat, nq = _query_matrix(queries, text_col)
+    bq = chunks.sparkSession.sparkContext.broadcast((qids, vocab, mat, nq))
+
+    def score(batches):
+        q_ids, voc, m, n_q = bq.value
+        for pdf in batches:
+            cid = pdf["chunk_id"].to_numpy().astype(object)
+            g = pdf["g"].to_numpy()
+            for s in range(0, len(pdf), SUB_BLOCK_ROWS):
+                yield _score_block(cid[s:s + SUB_BLOCK_ROWS], g[s:s + SUB_BLOCK_ROWS], voc, m, n_q, q_ids, k)
+
+    base = chunks.where(F.col("normalized_text").isNotNull()).select(
+        "chunk_id", trigrams(F.col("normalized_text")).alias("g"))
+    partial = base.mapInPandas(score, "query_id long, chunk_id string, score double")
+    return top_k_per_key(partial, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def _matrix_fits(queries: DataFrame, text_col: str) -> bool:
+    if bounded_count(queries, MATRIX_MAX_QUERIES) > MATRIX_MAX_QUERIES:
+        return False
+    stats = queries.select(F.size(trigrams(normalize_text(F.col(text_col)))).alias("n")).agg(
+        F.count(F.lit(1)).alias("q"), F.sum("n").alias("cells")).first()
+    # the vocabulary is at most the summed trigram count
+    return (stats["cells"] or 0) * (stats["q"] or 0) <= MATRIX_MAX_CELLS
+
+
 def trigram_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",
-                 partitions: int | None = None) -> DataFrame:
+                 partitions: int | None = None, method: str = "auto") -> DataFrame:
     """Top k chunks per query by trigram similarity, desc, ties by chunk_id.
 
-    Zero scores are allowed (no threshold): a query with fewer than k sharing chunks is
-    filled with the smallest chunk ids, exactly as a full ordered scan would."""
+    Zero scores are allowed (no threshold), exactly as a full ordered scan would give."""
+    if method == "matrix" or (method == "auto" and _matrix_fits(queries, text_col)):
+        return _matrix_topk(chunks, queries, k, text_col)
+    return join_topk(chunks, queries, k, text_col, partitions)
+
+
+def join_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",
+              partitions: int | None = None) -> DataFrame:
+    """Inverted-index join plan (for query sets too large to broadcast as a matrix)."""
     pos = _positive_scores(chunks, queries, text_col, partitions)
     pos_top = top_k_per_key(pos, "query_id", [F.desc("score"), F.asc("chunk_id")], 2 * k).drop("rank")
     # k smallest chunk ids: the zero-score candidates every query falls back to.

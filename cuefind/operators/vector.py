@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuefind.operators.common import top_k_per_key
+from cuefind.operators.common import block_topk, top_k_per_key
 
 TOP_K = 5                 # fixed value: 5 vector candidates per query
 ROUND_DIGITS = 6          # distances are rounded before ranking so ties are stable
@@ -44,25 +44,7 @@ def _block_topk(chunk_ids: np.ndarray, mat: np.ndarray, qids: np.ndarray, qmat:
         sim = (mat @ qmat.T) / np.outer(cn, qn)
     dist = np.round(1.0 - sim, ROUND_DIGITS)
     dist[~np.isfinite(dist)] = np.nan
-    out_q, out_c, out_d = [], [], []
-    sort_key = np.where(np.isnan(dist), np.inf, dist)
-    n = len(chunk_ids)
-    for j in range(len(qids)):
-        col = sort_key[:, j]
-        if n > k:
-            kth = np.partition(col, k - 1)[k - 1]
-            cand = np.nonzero(col <= kth)[0]
-        else:
-            cand = np.arange(n)
-        order = np.lexsort((chunk_ids[cand], col[cand]))[:k]
-        sel = cand[order]
-        out_q.append(np.full(len(sel), qids[j], dtype=np.int64))
-        out_c.append(chunk_ids[sel])
-        out_d.append(dist[sel, j])
-    if not out_q:
-        return pd.DataFrame({"query_id": [], "chunk_id": [], "distance": []})
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_c),
-                         "distance": np.concatenate(out_d)})
+    return block_topk(chunk_ids, dist, dist, qids, k, "distance")
 
 
 def _partial_topk(chunks: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int) -> DataFrame:

@@ -21,12 +21,16 @@ def _chunks(spark, rows):
                      F.lit(0).cast("long").alias("start_ms"), "embedding")
 
 
-def test_trigram_topk_matches_full_scan(spark):
+import pytest
+
+
+@pytest.mark.parametrize("method", ["matrix", "join"])
+def test_trigram_topk_matches_full_scan(spark, method):
     texts = ["the quick brown fox", "quick brown", "lazy dog", "", "fox", "brown fox jumps", "zzz"]
     chunks = _chunks(spark, [(f"c{i}", t, None) for i, t in enumerate(texts)])
     queries = spark.createDataFrame([(1, "Quick fox!"), (2, "qqq"), (3, "")], "query_id long, query string")
     got = {}
-    for r in TR.trigram_topk(chunks, queries, k=5).collect():
+    for r in TR.trigram_topk(chunks, queries, k=5, method=method).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, round(r.score, 9)))
     for qid, q in [(1, "Quick fox!"), (2, "qqq"), (3, "")]:
         scored = sorted(((-trigram_sim(normalize_model(t), normalize_model(q)), f"c{i}")
