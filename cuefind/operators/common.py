@@ -41,23 +41,23 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str
 def block_topk(chunk_ids: np.ndarray, keys: np.ndarray, values: np.ndarray, qids: np.ndarray, k: int,
                value_name: str) -> pd.DataFrame:
     """Inside one task: for each query column, the k rows with the smallest key (NaN last),
-    ties by chunk id. keys/values are (rows x queries). Emits query_id, chunk_id, value."""
-    n = len(chunk_ids)
-    sort_key = np.where(np.isnan(keys), np.inf, keys)
-    out_q, out_c, out_v = [], [], []
-    for j in range(len(qids)):
-        col = sort_key[:, j]
-        if n > k:
-            kth = np.partition(col, k - 1)[k - 1]
-            cand = np.nonzero(col <= kth)[0]
-        else:
-            cand = np.arange(n)
-        sel = cand[np.lexsort((chunk_ids[cand], col[cand]))[:k]]
-        out_q.append(np.full(len(sel), qids[j], dtype=np.int64))
-        out_c.append(chunk_ids[sel])
-        out_v.append(values[sel, j])
-    if not out_q:
+    ties by chunk id. keys/values are (rows x queries). Emits query_id, chunk_id, value.
+
+    Vectorised over all columns: the k-th smallest key per column bounds the candidates,
+    and only candidates are sorted (k per column unless keys tie)."""
+    n, q = keys.shape
+    kk = min(k, n)
+    if kk == 0 or q == 0:
         return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "chunk_id": pd.Series([], dtype=object),
                              value_name: pd.Series([], dtype="float64")})
-    return pd.DataFrame({"query_id": np.concatenate(out_q), "chunk_id": np.concatenate(out_c),
-                         value_name: np.concatenate(out_v)})
+    sort_key = np.where(np.isnan(keys), np.inf, keys)
+    kth = np.partition(sort_key, kk - 1, axis=0)[kk - 1]
+    r, c = np.nonzero(sort_key <= kth[None, :])
+    crank = np.empty(n, dtype=np.int64)
+    crank[np.argsort(chunk_ids, kind="stable")] = np.arange(n)
+    order = np.lexsort((crank[r], sort_key[r, c], c))
+    r, c = r[order], c[order]
+    first = np.searchsorted(c, np.arange(q))
+    keep = (np.arange(len(c)) - first[c]) < kk
+    r, c = r[keep], c[keep]
+    return pd.DataFrame({"query_id": qids[c], "chunk_id": chunk_ids[r], value_name: values[r, c]})

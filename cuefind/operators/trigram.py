@@ -24,7 +24,8 @@ from cuefind.operators.common import BROADCAST_MAX_ROWS, block_topk, bounded_cou
 TOP_K = 5  # fixed value: 5 trigram candidates per query
 MATRIX_MAX_QUERIES = 50_000        # queries pulled for the broadcast matrix (checked count)
 MATRIX_MAX_CELLS = 64 << 20        # trigram x query cells (int16) in one broadcast matrix
-SUB_BLOCK_ROWS = 2048              # chunks scored at once inside a task
+SUB_BLOCK_CELLS = 1 << 21         # chunk x query cells scored at once inside a task
+SUB_BLOCK_GATHER = 1 << 24        # posting x query cells gathered at once inside a task
 
 
 def query_postings(queries: DataFrame, text_col: str = "query") -> DataFrame:
@@ -90,7 +91,7 @@ def _score_block(chunk_ids, gram_lists, vocab, mat, nq, qids, k):
         rows, ids = rows[keep], ids[keep]
         if len(ids):
             starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            inter[rows[starts]] = np.add.reduceat(mat[ids].astype(np.int64), starts, axis=0)
+            inter[rows[starts]] = np.add.reduceat(mat[ids], starts, axis=0, dtype=np.int64)
     union = lens[:, None] + nq[None, :] - inter
     with np.errstate(divide="ignore", invalid="ignore"):
         score = np.where(union == 0, 0.0, inter / np.where(union == 0, 1, union))
@@ -103,11 +104,21 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -
 
     def score(batches):
         q_ids, voc, m, n_q = bq.value
+        nq_ = max(len(q_ids), 1)
+        max_rows = max(1, SUB_BLOCK_CELLS // nq_)
+        max_post = max(1, SUB_BLOCK_GATHER // nq_)
         for pdf in batches:
             cid = pdf["chunk_id"].to_numpy().astype(object)
             g = pdf["g"].to_numpy()
-            for s in range(0, len(pdf), SUB_BLOCK_ROWS):
-                yield _score_block(cid[s:s + SUB_BLOCK_ROWS], g[s:s + SUB_BLOCK_ROWS], voc, m, n_q, q_ids, k)
+            lens = np.fromiter((len(x) for x in g), dtype=np.int64, count=len(g))
+            s = 0
+            while s < len(g):
+                # as many rows as both budgets allow (at least one)
+                e = min(len(g), s + max_rows)
+                cum = np.cumsum(lens[s:e])
+                e = s + max(1, int(np.searchsorted(cum, max_post, side="right")))
+                yield _score_block(cid[s:e], g[s:e], voc, m, n_q, q_ids, k)
+                s = e
 
     base = chunks.where(F.col("normalized_text").isNotNull()).select(
         "chunk_id", trigrams(F.col("normalized_text")).alias("g"))
@@ -118,10 +129,10 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -
 def _matrix_fits(queries: DataFrame, text_col: str) -> bool:
     if bounded_count(queries, MATRIX_MAX_QUERIES) > MATRIX_MAX_QUERIES:
         return False
-    stats = queries.select(F.size(trigrams(normalize_text(F.col(text_col)))).alias("n")).agg(
-        F.count(F.lit(1)).alias("q"), F.sum("n").alias("cells")).first()
-    # the vocabulary is at most the summed trigram count
-    return (stats["cells"] or 0) * (stats["q"] or 0) <= MATRIX_MAX_CELLS
+    grams = queries.select(F.explode(trigrams(normalize_text(F.col(text_col)))).alias("t"))
+    n_q = queries.count()
+    vocab = grams.agg(F.count_distinct("t").alias("v")).first()["v"] or 0
+    return vocab * n_q <= MATRIX_MAX_CELLS
 
 
 def trigram_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",
