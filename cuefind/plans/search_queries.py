@@ -10,6 +10,7 @@ from cuefind.operators import hybrid as HY
 from cuefind.operators import trigram as TR
 from cuefind.operators import vector as VE
 from cuefind.operators.admission import admit, result_links
+from cuefind.operators.common import BROADCAST_MAX_ROWS, fits_broadcast
 from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.sources import testdata as TD
@@ -208,7 +209,8 @@ def q_hybrid_best(spark: SparkSession, sf: str) -> DataFrame:
     tri, vec = HY.search_sides(chunks, queries)
     best = HY.hybrid_best(tri, vec)
     videos = TD.document_videos(spark, sf)
-    shaped = TR.attach_chunk_payload(best, chunks, videos)
+    # one best row per query: broadcast into the payload joins only for a bounded query count
+    shaped = TR.attach_chunk_payload(best, chunks, videos, small=fits_broadcast(queries, BROADCAST_MAX_ROWS))
     shaped = result_links(shaped)
     return shaped.select(
         "query_id", "video_id", "title", "video_url",

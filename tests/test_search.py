@@ -94,3 +94,34 @@ def test_cache_roundtrip_and_dangling(spark):
     delta = CA.cache_rollup(log.where("event_id = 3"))
     up = {r.normalized_query: r.access_count for r in CA.cache_upsert(cache, delta).collect()}
     assert up == {"hi there": 2, "other": 2}
+
+
+def test_trigram_fallbacks_agree(spark, monkeypatch):
+    """Matrix plan, inverted join with broadcast postings, and the salted shuffle join
+    (forced by a zero broadcast budget) give the same top-k."""
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    texts = [" ".join(words[(i * 3 + j) % 8] for j in range(i % 5)) for i in range(40)]
+    chunks = _chunks(spark, [(f"c{i:02d}", t, None) for i, t in enumerate(texts)])
+    queries = spark.createDataFrame([(i, " ".join(words[i:i + 2])) for i in range(8)], "query_id long, query string")
+
+    def run(method):
+        return sorted(tuple(r) for r in TR.trigram_topk(chunks, queries, k=3, method=method)
+                      .select("query_id", "rank", "chunk_id", F.round("score", 9)).collect())
+
+    matrix, join = run("matrix"), run("join")
+    monkeypatch.setattr(TR, "BROADCAST_MAX_ROWS", 0)
+    salted = run("join")
+    assert matrix == join == salted
+
+
+def test_vector_query_groups(spark, monkeypatch):
+    """Query vectors shipped in several bounded groups give the same answer as one group."""
+    import random
+    rng = random.Random(3)
+    chunks = _chunks(spark, [(f"c{i:02d}", "x", [rng.uniform(-1, 1) for _ in range(4)]) for i in range(30)])
+    queries = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(7)],
+                                    "query_id long, embedding array<float>")
+    one = sorted(tuple(r) for r in VE.vector_topk(chunks, queries, k=4).collect())
+    monkeypatch.setattr(VE, "QUERY_GROUP_BYTES", 8 * 4 * 2)   # two queries per group
+    many = sorted(tuple(r) for r in VE.vector_topk(chunks, queries, k=4).collect())
+    assert one == many and len(one) == 28
