@@ -79,15 +79,16 @@ def trigram_words(c: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct trigram set: each word padded as '  w ' then every 3-character window."""
-    per_word = F.transform(
-        trigram_words(c),
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) + 1),
-            lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, 3),
-        ),
-    )
-    return F.array_distinct(F.flatten(per_word))
+    """Distinct trigram set: each word padded as '  w ' then every 3-character window.
+
+    One regex pass (codegen, no lambdas): word separators become a sentinel that can never
+    be part of a word, and a zero-width lookahead captures every 3-character window that
+    does not cross a sentinel."""
+    t = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "\u0001")
+    t = F.regexp_replace(t, "^\u0001+|\u0001+$", "")
+    padded = F.concat(F.lit("  "), F.regexp_replace(t, "\u0001", " \u0000  "), F.lit(" "))
+    grams = F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^\u0000]{3}))"), 1))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(grams)
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:

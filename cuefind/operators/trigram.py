@@ -26,6 +26,8 @@ MATRIX_MAX_QUERIES = 50_000        # queries pulled for the broadcast matrix (ch
 MATRIX_MAX_CELLS = 64 << 20        # trigram x query cells (int16) in one broadcast matrix
 SUB_BLOCK_CELLS = 1 << 21         # chunk x query cells scored at once inside a task
 SUB_BLOCK_GATHER = 1 << 24        # posting x query cells gathered at once inside a task
+DENSE_BLOCK_CELLS = 1 << 22       # chunk x trigram cells of one dense block (float32)
+DENSE_SPEEDUP = 16                # a BLAS cell costs about 1/16 of a gathered cell
 
 
 def query_postings(queries: DataFrame, text_col: str = "query") -> DataFrame:
@@ -80,21 +82,41 @@ def _query_matrix(queries: DataFrame, text_col: str):
     return qids, vocab, mat, nq
 
 
-def _score_block(chunk_ids, gram_lists, vocab, mat, nq, qids, k):
+def _gram_rows(gram_lists, vocab):
+    """(row index, vocabulary id) of every chunk trigram that occurs in some query."""
     lens = np.fromiter((len(g) for g in gram_lists), dtype=np.int64, count=len(gram_lists))
-    n, q = len(gram_lists), len(qids)
-    inter = np.zeros((n, q), dtype=np.int64)
-    if lens.sum() and len(vocab):
-        ids = vocab.get_indexer(np.concatenate([np.asarray(g, dtype=object) for g in gram_lists]))
-        rows = np.repeat(np.arange(n), lens)
-        keep = ids >= 0
-        rows, ids = rows[keep], ids[keep]
+    if not lens.sum() or not len(vocab):
+        return lens, np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    ids = vocab.get_indexer(np.concatenate([np.asarray(g, dtype=object) for g in gram_lists]))
+    rows = np.repeat(np.arange(len(gram_lists)), lens)
+    keep = ids >= 0
+    return lens, rows[keep], ids[keep]
+
+
+def _scores(lens, inter, nq):
+    union = lens[:, None] + nq[None, :] - inter
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(union == 0, 0.0, inter / np.where(union == 0, 1, union))
+
+
+def _score_block(chunk_ids, gram_lists, vocab, mat, nq, qids, k, dense_mat=None):
+    """Shared-trigram counts for a block of chunks against every query, then top k.
+
+    Sparse form: gather each posting's query row and sum per chunk (short chunks).
+    Dense form: 0/1 (chunk x trigram) block times the float32 query matrix (long texts);
+    float32 sums of 0/1 are exact below 2**24."""
+    lens, rows, ids = _gram_rows(gram_lists, vocab)
+    n = len(gram_lists)
+    if dense_mat is not None:
+        block = np.zeros((n, len(vocab)), dtype=np.float32)
+        block[rows, ids] = 1.0
+        inter = (block @ dense_mat).astype(np.int64)
+    else:
+        inter = np.zeros((n, len(qids)), dtype=np.int64)
         if len(ids):
             starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
             inter[rows[starts]] = np.add.reduceat(mat[ids], starts, axis=0, dtype=np.int64)
-    union = lens[:, None] + nq[None, :] - inter
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = np.where(union == 0, 0.0, inter / np.where(union == 0, 1, union))
+    score = _scores(lens, inter, nq)
     return block_topk(chunk_ids, -score, score, qids, k, "score")
 
 
@@ -104,20 +126,25 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -
 
     def score(batches):
         q_ids, voc, m, n_q = bq.value
-        nq_ = max(len(q_ids), 1)
-        max_rows = max(1, SUB_BLOCK_CELLS // nq_)
-        max_post = max(1, SUB_BLOCK_GATHER // nq_)
+        nq_, nv = max(len(q_ids), 1), max(len(voc), 1)
+        dense_m = None
         for pdf in batches:
             cid = pdf["chunk_id"].to_numpy().astype(object)
             g = pdf["g"].to_numpy()
             lens = np.fromiter((len(x) for x in g), dtype=np.int64, count=len(g))
+            # long texts: a dense block product beats gathering one query row per posting
+            dense = len(lens) > 0 and lens.mean() * DENSE_SPEEDUP > nv
+            if dense and dense_m is None:
+                dense_m = m.astype(np.float32)
+            max_rows = max(1, (DENSE_BLOCK_CELLS // nv) if dense else (SUB_BLOCK_CELLS // nq_))
+            max_post = max(1, SUB_BLOCK_GATHER // nq_)
             s = 0
             while s < len(g):
-                # as many rows as both budgets allow (at least one)
                 e = min(len(g), s + max_rows)
-                cum = np.cumsum(lens[s:e])
-                e = s + max(1, int(np.searchsorted(cum, max_post, side="right")))
-                yield _score_block(cid[s:e], g[s:e], voc, m, n_q, q_ids, k)
+                if not dense:
+                    cum = np.cumsum(lens[s:e])
+                    e = s + max(1, int(np.searchsorted(cum, max_post, side="right")))
+                yield _score_block(cid[s:e], g[s:e], voc, m, n_q, q_ids, k, dense_m if dense else None)
                 s = e
 
     base = chunks.where(F.col("normalized_text").isNotNull()).select(

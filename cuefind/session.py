@@ -17,6 +17,9 @@ _CKPT_KEY = "spark.checkpoint.dir"
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "cuefind") -> SparkSession:
     """A local[N] session for tests and the bench (UI off, UTC, AQE on)."""
+    # one BLAS thread per Python worker: Spark already runs one worker per core
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+    os.environ.setdefault("OMP_NUM_THREADS", "1")
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -32,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
+        .config("spark.executorEnv.OPENBLAS_NUM_THREADS", "1")
+        .config("spark.executorEnv.OMP_NUM_THREADS", "1")
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
