@@ -25,18 +25,27 @@ def parse_listing_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
 
 
 def read_listings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """All listing files in one read (the multi-playlist loop as one scan): columns
-    source (file), line_no, video_id, title, video_url."""
+    """All playlists in one plan (the sequential per-playlist loop as one scan): columns
+    playlist (position in ``paths``), source (file), line_no, video_id, title, video_url.
+
+    The number of playlists is small and fixed by the caller, so one read per playlist
+    path is unioned; each file is read whole so line numbers are exact."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.text(paths, wholetext=True).select(
-        F.input_file_name().alias("source"), F.col("value"))
-    lines = files.select("source", F.posexplode(F.split(F.col("value"), "\r\n|\r|\n")).alias("line_no", "value"))
+    files = None
+    for i, p in enumerate(paths):
+        f = spark.read.text(p, wholetext=True).select(
+            F.lit(i).alias("playlist"), F.input_file_name().alias("source"), F.col("value"))
+        files = f if files is None else files.unionByName(f)
+    lines = files.select("playlist", "source",
+                         F.posexplode(F.split(F.col("value"), "\r\n|\r|\n")).alias("line_no", "value"))
     return parse_listing_lines(lines)
 
 
 def first_listing_per_video(listing: DataFrame) -> DataFrame:
-    """One row per video id: the first occurrence by (source order, line order), as the
-    sequential per-playlist loop with only-missing ingest would keep it."""
+    """One row per video id: the first occurrence by (playlist, file, line), as the
+    sequential per-playlist loop with only-missing ingest keeps it. Partial aggregate, so a
+    video listed in every playlist is combined map-side."""
+    order = F.struct("playlist", "source", "line_no")
     return listing.groupBy("video_id").agg(
-        F.min_by(F.struct("title", "video_url", "source", "line_no"),
-                 F.struct("source", "line_no")).alias("r")).select("video_id", "r.*")
+        F.min_by(F.struct("title", "video_url", "playlist", "source", "line_no"), order).alias("r")
+    ).select("video_id", "r.*")

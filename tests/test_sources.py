@@ -47,3 +47,12 @@ def test_listing_parse(spark):
     got = [tuple(r) for r in LI.parse_listing_lines(df).collect()]
     assert got == [("abc", "Title one", "https://www.youtube.com/watch?v=abc"),
                    ("def", "Two\tparts", "https://www.youtube.com/watch?v=def")]
+
+
+def test_multi_playlist_first_wins(spark):
+    from cuefind.session import scratch_path
+    a, b = scratch_path(spark, "pl-a"), scratch_path(spark, "pl-b")
+    spark.createDataFrame([("v2\tB two",), ("v3\tB three",)], "value string").coalesce(1).write.text(b)
+    spark.createDataFrame([("v1\tA one",), ("v2\tA two",)], "value string").coalesce(1).write.text(a)
+    got = {r.video_id: (r.title, r.playlist) for r in LI.first_listing_per_video(LI.read_listings(spark, [b, a])).collect()}
+    assert got == {"v2": ("B two", 0), "v3": ("B three", 0), "v1": ("A one", 1)}
