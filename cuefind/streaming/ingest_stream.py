@@ -24,8 +24,11 @@ ScriptSource = Callable[[DataFrame], DataFrame]
 
 
 def _process_batch(spark: SparkSession, batch: DataFrame, tables: str, scripts_for: ScriptSource) -> None:
-    lines = batch.select(F.col("value"))
-    listing = LI.parse_listing_lines(lines).dropDuplicates(["video_id"])
+    lines = batch.select(F.input_file_name().alias("source"), F.col("value"))
+    # one row per video, chosen deterministically so a recomputed batch picks the same row
+    listing = LI.parse_listing_lines(lines).groupBy("video_id").agg(
+        F.min_by(F.struct("title", "video_url"), F.struct("source", "title", "video_url")).alias("r")
+    ).select("video_id", "r.title", "r.video_url")
     videos_path = ST.ensure_table(spark, tables, "videos")
     chunks_path = ST.ensure_table(spark, tables, "chunks")
     stored = spark.read.schema(ST.VIDEOS).parquet(videos_path)
