@@ -25,9 +25,10 @@ TOP_K = 5  # fixed value: 5 trigram candidates per query
 MATRIX_MAX_QUERIES = 50_000        # queries pulled for the broadcast matrix (checked count)
 MATRIX_MAX_CELLS = 64 << 20        # trigram x query cells (int16) in one broadcast matrix
 SUB_BLOCK_CELLS = 1 << 21         # chunk x query cells scored at once inside a task
-SUB_BLOCK_GATHER = 1 << 24        # posting x query cells gathered at once inside a task
+SUB_BLOCK_PAIRS = 1 << 23         # expanded (chunk, query) pairs counted at once inside a task
 DENSE_BLOCK_CELLS = 1 << 22       # chunk x trigram cells of one dense block (float32)
-DENSE_SPEEDUP = 16                # a BLAS cell costs about 1/16 of a gathered cell
+PAIR_TO_FMA = 200                 # one expanded pair costs about 200 BLAS multiply-adds (measured)
+SAMPLE_ROWS = 256                 # rows of each batch sampled to choose the kernel
 
 
 def query_postings(queries: DataFrame, text_col: str = "query") -> DataFrame:
@@ -99,23 +100,32 @@ def _scores(lens, inter, nq):
         return np.where(union == 0, 0.0, inter / np.where(union == 0, 1, union))
 
 
-def _score_block(chunk_ids, gram_lists, vocab, mat, nq, qids, k, dense_mat=None):
+def _query_csr(mat: np.ndarray):
+    """For each trigram, the queries containing it: (indptr, query column) CSR arrays."""
+    nz_v, nz_q = np.nonzero(mat)
+    return np.searchsorted(nz_v, np.arange(mat.shape[0] + 1)), nz_q
+
+
+def _score_block(chunk_ids, gram_lists, vocab, csr, nq, qids, k, dense_mat=None):
     """Shared-trigram counts for a block of chunks against every query, then top k.
 
-    Sparse form: gather each posting's query row and sum per chunk (short chunks).
-    Dense form: 0/1 (chunk x trigram) block times the float32 query matrix (long texts);
-    float32 sums of 0/1 are exact below 2**24."""
+    Sparse form (short chunks): each posting expands to the queries that contain its
+    trigram, and (chunk, query) pairs are counted with one bincount. Dense form (long
+    texts): 0/1 (chunk x trigram) block times the float32 query matrix; float32 sums of
+    0/1 are exact below 2**24."""
     lens, rows, ids = _gram_rows(gram_lists, vocab)
-    n = len(gram_lists)
+    n, q = len(gram_lists), len(qids)
     if dense_mat is not None:
         block = np.zeros((n, len(vocab)), dtype=np.float32)
         block[rows, ids] = 1.0
         inter = (block @ dense_mat).astype(np.int64)
     else:
-        inter = np.zeros((n, len(qids)), dtype=np.int64)
-        if len(ids):
-            starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            inter[rows[starts]] = np.add.reduceat(mat[ids], starts, axis=0, dtype=np.int64)
+        indptr, qcol = csr
+        cnt = indptr[ids + 1] - indptr[ids]
+        total = int(cnt.sum())
+        rep = np.repeat(rows, cnt)
+        offs = np.repeat(indptr[ids] - (np.cumsum(cnt) - cnt), cnt) + np.arange(total)
+        inter = np.bincount(rep * q + qcol[offs], minlength=n * q).reshape(n, q)
     score = _scores(lens, inter, nq)
     return block_topk(chunk_ids, -score, score, qids, k, "score")
 
@@ -127,25 +137,27 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -
     def score(batches):
         q_ids, voc, m, n_q = bq.value
         nq_, nv = max(len(q_ids), 1), max(len(voc), 1)
+        csr = _query_csr(m)
+        fan = np.diff(csr[0])   # queries containing each trigram
         dense_m = None
         for pdf in batches:
             cid = pdf["chunk_id"].to_numpy().astype(object)
             g = pdf["g"].to_numpy()
-            lens = np.fromiter((len(x) for x in g), dtype=np.int64, count=len(g))
-            # long texts: a dense block product beats gathering one query row per posting
-            dense = len(lens) > 0 and lens.mean() * DENSE_SPEEDUP > nv
+            if not len(g):
+                continue
+            # expected (chunk, query) pairs per chunk, from a sample of this batch
+            sl, _, si = _gram_rows(g[:SAMPLE_ROWS], voc)
+            pairs_per_row = fan[si].sum() / max(len(sl), 1)
+            dense = pairs_per_row * PAIR_TO_FMA > nv * nq_
             if dense and dense_m is None:
                 dense_m = m.astype(np.float32)
-            max_rows = max(1, (DENSE_BLOCK_CELLS // nv) if dense else (SUB_BLOCK_CELLS // nq_))
-            max_post = max(1, SUB_BLOCK_GATHER // nq_)
-            s = 0
-            while s < len(g):
-                e = min(len(g), s + max_rows)
-                if not dense:
-                    cum = np.cumsum(lens[s:e])
-                    e = s + max(1, int(np.searchsorted(cum, max_post, side="right")))
-                yield _score_block(cid[s:e], g[s:e], voc, m, n_q, q_ids, k, dense_m if dense else None)
-                s = e
+            rows = SUB_BLOCK_CELLS // nq_
+            rows = min(rows, DENSE_BLOCK_CELLS // nv) if dense else min(
+                rows, int(SUB_BLOCK_PAIRS // max(pairs_per_row, 1.0)))
+            rows = max(1, rows)
+            for s in range(0, len(g), rows):
+                yield _score_block(cid[s:s + rows], g[s:s + rows], voc, csr, n_q, q_ids, k,
+                                   dense_m if dense else None)
 
     base = chunks.where(F.col("normalized_text").isNotNull()).select(
         "chunk_id", trigrams(F.col("normalized_text")).alias("g"))

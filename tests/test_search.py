@@ -24,9 +24,9 @@ def _chunks(spark, rows):
 import pytest
 
 
-@pytest.mark.parametrize("method,dense", [("matrix", 16), ("matrix", 0), ("join", 16)])
-def test_trigram_topk_matches_full_scan(spark, monkeypatch, method, dense):
-    monkeypatch.setattr(TR, "DENSE_SPEEDUP", dense)   # 0 forces the sparse gather kernel
+@pytest.mark.parametrize("method,ratio", [("matrix", 10 ** 9), ("matrix", 0), ("join", 200)])
+def test_trigram_topk_matches_full_scan(spark, monkeypatch, method, ratio):
+    monkeypatch.setattr(TR, "PAIR_TO_FMA", ratio)   # huge: dense kernel; 0: sparse pair kernel
     texts = ["the quick brown fox", "quick brown", "lazy dog", "", "fox", "brown fox jumps", "zzz"]
     chunks = _chunks(spark, [(f"c{i}", t, None) for i, t in enumerate(texts)])
     queries = spark.createDataFrame([(1, "Quick fox!"), (2, "qqq"), (3, "")], "query_id long, query string")
