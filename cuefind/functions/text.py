@@ -7,6 +7,7 @@ Null and '' pass through unchanged.
 from __future__ import annotations
 
 import functools
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -91,6 +92,19 @@ def trigrams(c: Column) -> Column:
     return F.when(t == "", F.array().cast("array<string>")).otherwise(grams)
 
 
+_WORD = re.compile(r"[^\W_]+")
+
+
+def trigram_set(text: str | None) -> list[str]:
+    """The same trigram set as ``trigrams`` for one string, for use inside a task that
+    already runs Python (the search kernels): C-level regex, no per-character JVM calls."""
+    out: set[str] = set()
+    for w in _WORD.findall((text or "").lower()):
+        p = "  " + w + " "
+        out.update(p[i:i + 3] for i in range(len(p) - 2))
+    return list(out)
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """|A∩B| / (|A|+|B|-|A∩B|) over trigram sets; 0 when either set is empty."""
     ga, gb = trigrams(a), trigrams(b)

@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 BROADCAST_MAX_ROWS = 2_000_000
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that has fewer partitions than the session can run at once
+    (e.g. one unsplittable file), so per-row work is not done by a single task. A wide
+    input is returned untouched: no shuffle at scale."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def bounded_count(df: DataFrame, limit: int) -> int:
     """Number of rows, but never counts past ``limit + 1``."""
     return df.limit(limit + 1).count()

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefind.functions.text import normalize_text, trigrams
+from cuefind.functions.text import normalize_text, trigram_set, trigrams
 from cuefind.operators.common import BROADCAST_MAX_ROWS, block_topk, bounded_count, fits_broadcast, top_k_per_key
 
 TOP_K = 5  # fixed value: 5 trigram candidates per query
@@ -71,9 +71,9 @@ def _positive_scores(chunks: DataFrame, queries: DataFrame, text_col: str,
 
 def _query_matrix(queries: DataFrame, text_col: str):
     """(query ids, trigram vocabulary, 0/1 matrix trigram x query, |query trigrams|)."""
-    pdf = queries.select("query_id", trigrams(normalize_text(F.col(text_col))).alias("g")).toPandas()
+    pdf = queries.select("query_id", normalize_text(F.col(text_col)).alias("t")).toPandas()
     qids = pdf["query_id"].to_numpy().astype(np.int64)
-    grams = [list(g) if g is not None else [] for g in pdf["g"]]
+    grams = [trigram_set(t) for t in pdf["t"]]
     vocab = pd.Index(sorted({t for g in grams for t in g}), dtype=object)
     mat = np.zeros((len(vocab), len(qids)), dtype=np.int16)
     for j, g in enumerate(grams):
@@ -142,9 +142,11 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -
         dense_m = None
         for pdf in batches:
             cid = pdf["chunk_id"].to_numpy().astype(object)
-            g = pdf["g"].to_numpy()
-            if not len(g):
+            if not len(cid):
                 continue
+            g = np.empty(len(cid), dtype=object)
+            for i, t in enumerate(pdf["normalized_text"]):
+                g[i] = trigram_set(t)
             # expected (chunk, query) pairs per chunk, from a sample of this batch
             sl, _, si = _gram_rows(g[:SAMPLE_ROWS], voc)
             pairs_per_row = fan[si].sum() / max(len(sl), 1)
@@ -159,8 +161,7 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -
                 yield _score_block(cid[s:s + rows], g[s:s + rows], voc, csr, n_q, q_ids, k,
                                    dense_m if dense else None)
 
-    base = chunks.where(F.col("normalized_text").isNotNull()).select(
-        "chunk_id", trigrams(F.col("normalized_text")).alias("g"))
+    base = chunks.where(F.col("normalized_text").isNotNull()).select("chunk_id", "normalized_text")
     partial = base.mapInPandas(score, "query_id long, chunk_id string, score double")
     return top_k_per_key(partial, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 

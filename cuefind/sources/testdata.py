@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.functions.text import normalize_text, watch_url
+from cuefind.operators.common import spread
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings "
           "pages benchmark labels conversations").split()
@@ -22,8 +23,13 @@ POS_PER_TURN = 1000          # pos = turn * 1000 + word index
 # -----------------------------------------------------------------------------------------
 
 
+# tables whose rows carry per-row CPU work (text normalization, trigram and vector kernels)
+_SPREAD = {"documents", "conversations", "events", "embeddings", "pages"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if name in _SPREAD else df
 
 
 def video_id_of(conv_id) -> F.Column:

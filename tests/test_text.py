@@ -66,3 +66,11 @@ def test_extract_video_id(spark):
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     got = [r.v for r in df.select(TX.extract_video_id(F.col("u")).alias("v")).collect()]
     assert got == ["abcDEF123-_", "abcDEF123-_", "abcDEF123-_", "", ""]
+
+
+def test_python_trigram_set_matches_jvm(spark):
+    strs = _randoms(800, seed=9) + ["", "a", "ab cd", "x_y", "Łódź ²3", "İstanbul", "ǅemal"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(strs)], "i int, s string")
+    got = {r.i: sorted(r.g) for r in df.select("i", TX.trigrams(F.col("s")).alias("g")).collect()}
+    for i, s in enumerate(strs):
+        assert sorted(TX.trigram_set(s)) == got[i], s
