@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.plans import (cache_queries, chunk_queries, ingest_queries, pipeline_queries,  # noqa: F401
+from cuefind.plans import (backfill_queries, cache_queries, chunk_queries, ingest_queries,  # noqa: F401
                            search_queries, source_queries)
 from cuefind.plans.registry import ORACLE, QUERIES
 

@@ -88,3 +88,27 @@ def test_stream_ingest_replay_is_harmless(spark):
     assert chunks.groupBy("chunk_id").count().where("count > 1").count() == 0
     # v1: "hello world" (T=30, stops), then "world" (T=50 duplicate skips the stop); v2: "x"
     assert chunks.count() == 3
+
+
+def test_fetch_job_stage_flags(spark):
+    from cuefind.operators import ingest as IN
+    from cuefind.plans import fetch_job as FJ
+    listing = scratch_path(spark, "listing")
+    spark.createDataFrame([("v1\tOne",), ("v2\tTwo",), ("v3\tThree",)], "value string").coalesce(1).write.text(listing)
+    stt = spark.createDataFrame([("v1", 0, "hello", 0, 1), ("v1", 1, "world", 1, 2), ("v2", 0, "x", 0, 1)],
+                                "video_id string, pos int, text string, start_ms long, end_ms long")
+    none_f = spark.createDataFrame([], "video_id string")
+    none_s = spark.createDataFrame([], "video_id string, pos int, text string, start_ms long, end_ms long")
+    scripts = lambda w: IN.choose_scripts(w, none_f, none_s, stt)
+    tables = scratch_path(spark, "tables")
+    stats = FJ.run_fetch_job(spark, [listing], tables, scripts)   # defaults: extract only
+    assert stats == {"listed": 3, "stored_before": 0, "to_process": 3, "processed": 2, "missing_after": 1}
+    assert ST.read_table(spark, tables, "chunks").count() == 0
+    FJ.run_fetch_job(spark, [listing], tables, scripts, extract=False, chunk=True, embed=True)
+    FJ.run_fetch_job(spark, [listing], tables, scripts, chunk=True, embed=True)   # rerun: nothing new
+    chunks = FJ.chunks_with_vectors(spark, tables)
+    assert chunks.count() == 3 and chunks.where("embedding IS NULL").count() == 0
+    assert ST.read_table(spark, tables, "videos").count() == 2
+    # only-missing off: every listed video is re-extracted and upserted in place
+    stats = FJ.run_fetch_job(spark, [listing], tables, scripts, only_missing=False)
+    assert ST.read_table(spark, tables, "videos").count() == 2 and stats["missing_after"] == 1
