@@ -7,6 +7,7 @@ never wins. The mean of both scores on common chunks is exposed but decides noth
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +18,12 @@ from cuefind.operators.common import top_k_per_key
 
 def search_sides(chunks: DataFrame, queries: DataFrame, k: int = 5,
                  partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(trigram top-k, vector top-k), both keyed by (query_id, chunk_id)."""
+    """(trigram top-k, vector top-k), both keyed by (query_id, chunk_id).
+
+    When both query sides fit their broadcast budgets, one pass over the chunks scores
+    both (``fused_sides``); otherwise each side runs its own plan."""
+    if TR._matrix_fits(queries, "query") and VE.fits_one_group(queries):
+        return fused_sides(chunks, queries, k)
     tri = (TR.trigram_topk(chunks, queries, k, partitions=partitions)
            .select("query_id", "chunk_id", F.col("score").alias("trigram_score"),
                    F.col("rank").alias("trigram_rank")))
@@ -27,6 +33,49 @@ def search_sides(chunks: DataFrame, queries: DataFrame, k: int = 5,
     return tri, vec
 
 
+_SIDES_SCHEMA = "query_id long, chunk_id string, side int, value double"
+
+
+def fused_sides(chunks: DataFrame, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """One scan of the chunks: each task scores its block for trigram similarity and for
+    cosine distance, keeps k per query per side, and one shuffle keyed by (query, side)
+    finishes both top-k lists."""
+    spark = chunks.sparkSession
+    tri_state = TR._query_matrix(queries, "query")
+    groups = list(VE.query_groups(queries))
+    vec_state = groups[0] if groups else None
+    bq = spark.sparkContext.broadcast((tri_state, vec_state))
+
+    def score(batches):
+        tri, vec = bq.value
+        kern = TR._Kernel(*tri)
+        for pdf in batches:
+            has_text = pdf["normalized_text"].notna().to_numpy()
+            t = pdf[has_text]
+            for frame in kern.blocks(t["chunk_id"].to_numpy().astype(object), t["normalized_text"], k):
+                yield frame.rename(columns={"score": "value"}).assign(side=0)
+            if vec is None:
+                continue
+            qids, qmat, dim = vec
+            emb = pdf["embedding"]
+            ok = emb.map(lambda e: e is not None and len(e) == dim).to_numpy(dtype=bool)
+            if ok.any():
+                mat = np.stack(emb[ok].to_numpy()).astype(np.float64)
+                frame = VE._block_topk(pdf["chunk_id"][ok].to_numpy().astype(object), mat, qids, qmat, k)
+                yield frame.rename(columns={"distance": "value"}).assign(side=1)
+
+    partial = chunks.select("chunk_id", "normalized_text", "embedding").mapInPandas(score, _SIDES_SCHEMA)
+    key = F.when(F.col("side") == 0, -F.col("value")).otherwise(F.col("value"))
+    ranked = top_k_per_key(partial.withColumn("key", key), ["query_id", "side"],
+                           [F.asc_nulls_last("key"), F.asc("chunk_id")], k)
+    tri = ranked.where(F.col("side") == 0).select(
+        "query_id", "chunk_id", F.col("value").alias("trigram_score"), F.col("rank").alias("trigram_rank"))
+    vec = ranked.where(F.col("side") == 1).select(
+        "query_id", "chunk_id", (F.lit(1.0) - F.col("value")).alias("vector_score"),
+        F.col("rank").alias("vector_rank"))
+    return tri, vec
+
+
 def hybrid_common(tri: DataFrame, vec: DataFrame) -> DataFrame:
     """Chunks present in both top-k lists (an intersect on the pair key)."""
     return tri.join(vec, ["query_id", "chunk_id"], "inner")

@@ -130,36 +130,45 @@ def _score_block(chunk_ids, gram_lists, vocab, csr, nq, qids, k, dense_mat=None)
     return block_topk(chunk_ids, -score, score, qids, k, "score")
 
 
+class _Kernel:
+    """Per-task state of the trigram scorer (built from the broadcast query matrix)."""
+
+    def __init__(self, qids, vocab, mat, nq):
+        self.qids, self.vocab, self.mat, self.nq = qids, vocab, mat, nq
+        self.csr = _query_csr(mat)
+        self.fan = np.diff(self.csr[0])   # queries containing each trigram
+        self.dense_m = None
+
+    def blocks(self, cid: np.ndarray, texts, k: int):
+        """Partial top-k frames (query_id, chunk_id, score) for one batch of chunks."""
+        if not len(cid):
+            return
+        g = np.empty(len(cid), dtype=object)
+        for i, t in enumerate(texts):
+            g[i] = trigram_set(t)
+        nq_, nv = max(len(self.qids), 1), max(len(self.vocab), 1)
+        # expected (chunk, query) pairs per chunk, from a sample of this batch
+        sl, _, si = _gram_rows(g[:SAMPLE_ROWS], self.vocab)
+        pairs_per_row = self.fan[si].sum() / max(len(sl), 1)
+        dense = pairs_per_row * PAIR_TO_FMA > nv * nq_
+        if dense and self.dense_m is None:
+            self.dense_m = self.mat.astype(np.float32)
+        rows = SUB_BLOCK_CELLS // nq_
+        rows = min(rows, DENSE_BLOCK_CELLS // nv) if dense else min(
+            rows, int(SUB_BLOCK_PAIRS // max(pairs_per_row, 1.0)))
+        rows = max(1, rows)
+        for s in range(0, len(g), rows):
+            yield _score_block(cid[s:s + rows], g[s:s + rows], self.vocab, self.csr, self.nq, self.qids, k,
+                               self.dense_m if dense else None)
+
+
 def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -> DataFrame:
-    qids, vocab, mat, nq = _query_matrix(queries, text_col)
-    bq = chunks.sparkSession.sparkContext.broadcast((qids, vocab, mat, nq))
+    bq = chunks.sparkSession.sparkContext.broadcast(_query_matrix(queries, text_col))
 
     def score(batches):
-        q_ids, voc, m, n_q = bq.value
-        nq_, nv = max(len(q_ids), 1), max(len(voc), 1)
-        csr = _query_csr(m)
-        fan = np.diff(csr[0])   # queries containing each trigram
-        dense_m = None
+        kern = _Kernel(*bq.value)
         for pdf in batches:
-            cid = pdf["chunk_id"].to_numpy().astype(object)
-            if not len(cid):
-                continue
-            g = np.empty(len(cid), dtype=object)
-            for i, t in enumerate(pdf["normalized_text"]):
-                g[i] = trigram_set(t)
-            # expected (chunk, query) pairs per chunk, from a sample of this batch
-            sl, _, si = _gram_rows(g[:SAMPLE_ROWS], voc)
-            pairs_per_row = fan[si].sum() / max(len(sl), 1)
-            dense = pairs_per_row * PAIR_TO_FMA > nv * nq_
-            if dense and dense_m is None:
-                dense_m = m.astype(np.float32)
-            rows = SUB_BLOCK_CELLS // nq_
-            rows = min(rows, DENSE_BLOCK_CELLS // nv) if dense else min(
-                rows, int(SUB_BLOCK_PAIRS // max(pairs_per_row, 1.0)))
-            rows = max(1, rows)
-            for s in range(0, len(g), rows):
-                yield _score_block(cid[s:s + rows], g[s:s + rows], voc, csr, n_q, q_ids, k,
-                                   dense_m if dense else None)
+            yield from kern.blocks(pdf["chunk_id"].to_numpy().astype(object), pdf["normalized_text"], k)
 
     base = chunks.where(F.col("normalized_text").isNotNull()).select("chunk_id", "normalized_text")
     partial = base.mapInPandas(score, "query_id long, chunk_id string, score double")

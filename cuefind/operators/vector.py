@@ -62,27 +62,37 @@ def _partial_topk(chunks: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int)
     return chunks.mapInPandas(score, _PARTIAL_SCHEMA)
 
 
+def query_groups(queries: DataFrame):
+    """Yields (query ids, float64 matrix, dimension) in groups of at most QUERY_GROUP_BYTES."""
+    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    n_q, dim = stats["n"], max(stats["d"] or 1, 1)
+    group_rows = max(1, QUERY_GROUP_BYTES // (8 * dim))
+    q_sorted = q.orderBy("query_id")
+    for start in range(0, n_q, group_rows):
+        grp = q_sorted.offset(start).limit(group_rows).toPandas()
+        yield (grp["query_id"].to_numpy().astype(np.int64),
+               np.stack(grp["embedding"].to_numpy()).astype(np.float64), dim)
+
+
+def fits_one_group(queries: DataFrame) -> bool:
+    q = queries.where(F.col("embedding").isNotNull())
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    return (stats["n"] or 0) * 8 * max(stats["d"] or 1, 1) <= QUERY_GROUP_BYTES
+
+
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
     """Top k chunks per query by cosine distance asc (nulls last), ties by chunk_id.
 
     chunks: chunk_id, embedding (nulls skipped); queries: query_id, embedding."""
     c = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", "embedding")
-    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
     # Query vectors go to every task, so they are pulled in bounded groups: the group size
     # is fixed, so the broadcast never grows with the data.
     parts = []
-    q_sorted = q.orderBy("query_id")
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    n_q, dim = stats["n"], max(stats["d"] or 1, 1)
-    # The vector column has one fixed dimension (a typed column in the reference); rows of
-    # another length cannot be compared and are not candidates.
-    c = c.where(F.size("embedding") == dim)
-    group_rows = max(1, QUERY_GROUP_BYTES // (8 * dim))
-    for start in range(0, n_q, group_rows):
-        grp = q_sorted.offset(start).limit(group_rows).toPandas()
-        qids = grp["query_id"].to_numpy().astype(np.int64)
-        qmat = np.stack(grp["embedding"].to_numpy()).astype(np.float64)
-        parts.append(_partial_topk(c, qids, qmat, k))
+    for qids, qmat, dim in query_groups(queries):
+        # The vector column has one fixed dimension (a typed column in the reference); rows
+        # of another length cannot be compared and are not candidates.
+        parts.append(_partial_topk(c.where(F.size("embedding") == dim), qids, qmat, k))
     if not parts:
         return chunks.sparkSession.createDataFrame([], _PARTIAL_SCHEMA + ", rank int")
     partial = parts[0]

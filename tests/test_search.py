@@ -126,3 +126,31 @@ def test_vector_query_groups(spark, monkeypatch):
     monkeypatch.setattr(VE, "QUERY_GROUP_BYTES", 8 * 4 * 2)   # two queries per group
     many = sorted(tuple(r) for r in VE.vector_topk(chunks, queries, k=4).collect())
     assert one == many and len(one) == 28
+
+
+def test_fused_sides_equal_separate_plans(spark):
+    import random
+    rng = random.Random(7)
+    words = ["quote", "bomba", "kapitan", "laser", "gniew", "dzida", "x1", "zz"]
+    rows = []
+    for i in range(60):
+        text = None if i % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+        vec = [rng.uniform(-1, 1) for _ in range(3)]
+        if i % 11 == 0:
+            vec = None
+        elif i % 13 == 0:
+            vec = [0.0, 0.0, 0.0]
+        elif i % 19 == 0:
+            vec = [1.0, 2.0]          # wrong dimension: not a vector candidate
+        rows.append((f"c{i:02d}", text, vec))
+    df = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>")
+    chunks = df.select("chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
+    queries = spark.createDataFrame(
+        [(1, "kapitan bomba", [0.5, 0.5, 0.1]), (2, "laser dzida", None), (3, "", [0.0, 1.0, 0.0])],
+        "query_id long, query string, embedding array<float>")
+    f_tri, f_vec = HY.fused_sides(chunks, queries, 5)
+    s_tri = TR.trigram_topk(chunks, queries, 5)
+    s_vec = VE.vector_topk(chunks, queries, 5)
+    norm = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())  # noqa
+    assert norm(f_tri) == norm(s_tri.select("query_id", "chunk_id", "score", "rank"))
+    assert norm(f_vec) == norm(s_vec.select("query_id", "chunk_id", (1 - F.col("distance")), "rank"))
