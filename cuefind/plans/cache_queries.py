@@ -124,7 +124,8 @@ def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
         "query_id", "normalized_query", F.col("cached_chunk_id").alias("chunk_id"),
         F.lit(CA.CACHED_SCORE).alias("similarity_score"), F.lit("cache").alias("source"))
     emb = TD.read(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
-    misses = res.where(~F.col("resolved")).join(emb, "user_id", "left")
+    # the miss batch is read by several sizing jobs and the search: materialise it once
+    misses = res.where(~F.col("resolved")).join(emb, "user_id", "left").checkpoint(eager=True)
     tri, vec = HY.search_sides(chunks, misses.select("query_id", "query", "embedding"))
     best = HY.hybrid_best(tri, vec).join(misses.select("query_id", "normalized_query"), "query_id")
     found = best.select("query_id", "normalized_query", "chunk_id",
