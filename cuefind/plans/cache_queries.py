@@ -15,6 +15,7 @@ from cuefind.operators import hybrid as HY
 from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.plans.search_queries import doc_hybrid_ctes
+from cuefind.session import reliable_checkpoint
 from cuefind.sources import testdata as TD
 
 _Q = "event_type || ' ' || CAST(user_id AS VARCHAR) || '!'"
@@ -52,11 +53,12 @@ resolved AS (SELECT l.*, k.chunk_id IS NOT NULL AS resolved
 
 def _log(spark: SparkSession, sf: str):
     log = CA.with_normalized_query(TD.query_log(spark, sf))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))  # ts is TIMESTAMP_NTZ; session zone is UTC
-    # one scalar (the split instant) comes back to the driver
-    lo_hi = log.agg(F.min(us).alias("lo"), F.max(us).alias("hi")).first()
+    # one scalar (the split instant) comes back to the driver. ts is a wall-clock
+    # TIMESTAMP_NTZ, so the split is computed and compared without any time zone.
+    lo_hi = log.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     mid = lo_hi["lo"] + (lo_hi["hi"] - lo_hi["lo"]) // 2
-    return log, log.where(us < F.lit(mid)), log.where(us >= F.lit(mid))
+    cut = F.lit(mid.isoformat(sep=" ")).cast("timestamp_ntz")
+    return log, log.where(F.col("ts") < cut), log.where(F.col("ts") >= cut)
 
 
 def _incoming(recent: DataFrame) -> DataFrame:
@@ -125,7 +127,7 @@ def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
         F.lit(CA.CACHED_SCORE).alias("similarity_score"), F.lit("cache").alias("source"))
     emb = TD.read(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
     # the miss batch is read by several sizing jobs and the search: materialise it once
-    misses = res.where(~F.col("resolved")).join(emb, "user_id", "left").checkpoint(eager=True)
+    misses = reliable_checkpoint(res.where(~F.col("resolved")).join(emb, "user_id", "left"))
     tri, vec = HY.search_sides(chunks, misses.select("query_id", "query", "embedding"))
     best = HY.hybrid_best(tri, vec).join(misses.select("query_id", "normalized_query"), "query_id")
     found = best.select("query_id", "normalized_query", "chunk_id",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from cuefind.operators import chunking as CH
 from cuefind.operators import embed as EM
 from cuefind.operators import ingest as IN
+from cuefind.session import reliable_checkpoint
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
 
@@ -41,12 +42,12 @@ def _replace_table(spark: SparkSession, tables: str, name: str, df: DataFrame) -
 
 def extract_stage(spark: SparkSession, listing_paths, tables: str, scripts_for, only_missing: bool = True):
     """Returns the one-row ingest counts of this run."""
-    listing = LI.first_listing_per_video(LI.read_listings(spark, listing_paths)).select(
-        "video_id", "title", "video_url").checkpoint(eager=True)
-    stored = ST.read_table(spark, tables, "videos").checkpoint(eager=True)
+    listing = reliable_checkpoint(LI.first_listing_per_video(LI.read_listings(spark, listing_paths)).select(
+        "video_id", "title", "video_url"))
+    stored = reliable_checkpoint(ST.read_table(spark, tables, "videos"))
     missing = IN.ingest_missing(listing, stored)
     wanted = missing if only_missing else listing
-    scripts = IN.scripts_from_segments(scripts_for(wanted.select("video_id"))).checkpoint(eager=True)
+    scripts = reliable_checkpoint(IN.scripts_from_segments(scripts_for(wanted.select("video_id"))))
     cols = [f.name for f in ST.VIDEOS.fields]
     if only_missing:
         new_rows = wanted.join(scripts, "video_id").select(*cols)
@@ -65,7 +66,7 @@ def chunk_stage(spark: SparkSession, tables: str) -> None:
     seg = todo.select("video_id", F.posexplode("segments").alias("pos", "s")).select(
         "video_id", F.col("pos").cast("int").alias("pos"), "s.text", "s.start_ms", "s.end_ms")
     fresh = CH.chunk_segments(seg).withColumn("embedding", F.lit(None).cast("array<float>"))
-    fresh = fresh.select(*[f.name for f in ST.CHUNKS.fields]).checkpoint(eager=True)
+    fresh = reliable_checkpoint(fresh.select(*[f.name for f in ST.CHUNKS.fields]))
     fresh.write.mode("append").parquet(ST.ensure_table(spark, tables, "chunks"))
 
 

@@ -61,3 +61,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint dir for a written intermediate table."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/cuefind/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint(eager=True)`` into the session's checkpoint folder (set on demand)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

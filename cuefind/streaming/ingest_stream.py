@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cuefind.operators import chunking as CH
 from cuefind.operators import ingest as IN
+from cuefind.session import reliable_checkpoint
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
 
@@ -36,7 +37,7 @@ def _process_batch(spark: SparkSession, batch: DataFrame, tables: str, scripts_f
     scripts = IN.scripts_from_segments(scripts_for(missing.select("video_id")))
     new_rows = missing.join(scripts, "video_id").select(*[f.name for f in ST.VIDEOS.fields])
     # materialise before appending: the anti join reads the table being appended to
-    new_rows = new_rows.checkpoint(eager=True)
+    new_rows = reliable_checkpoint(new_rows)
     new_rows.write.mode("append").parquet(videos_path)
 
     videos = spark.read.schema(ST.VIDEOS).parquet(videos_path)
@@ -45,7 +46,7 @@ def _process_batch(spark: SparkSession, batch: DataFrame, tables: str, scripts_f
     seg = todo.select("video_id", F.posexplode("segments").alias("pos", "s")).select(
         "video_id", F.col("pos").cast("int").alias("pos"), "s.text", "s.start_ms", "s.end_ms")
     fresh = CH.chunk_segments(seg).withColumn("embedding", F.lit(None).cast("array<float>"))
-    fresh = fresh.select(*[f.name for f in ST.CHUNKS.fields]).checkpoint(eager=True)
+    fresh = reliable_checkpoint(fresh.select(*[f.name for f in ST.CHUNKS.fields]))
     fresh.write.mode("append").parquet(chunks_path)
 
 
