@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 # Whitespace class of the reference's collapse step: \t \n \v \f \r, U+0085 and every
 # Unicode separator (Zs, Zl, Zp). Java's \s is ASCII-only, so it is spelled out.
 WS_CLASS = r"[\t\n\x0B\f\r\x{85}\p{Z}]"
-# Punctuation is tested per UTF-16 unit, so punctuation beyond the BMP is kept.
-PUNCT_BMP = r"[\p{P}&&[\x{0}-\x{FFFF}]]+"
 # Video id inside a watch / short / embed URL: 11 characters after "v=" or "/".
 VIDEO_ID_PATTERN = r"(?:v=|/)([0-9A-Za-z_-]{11}).*"
 WATCH_URL_PREFIX = "https://www.youtube.com/watch?v="
@@ -29,13 +27,50 @@ MAX_QUERY_LENGTH = 64
 # -----------------------------------------------------------------------------------------
 
 
+def _bmp_class(pred) -> str:
+    """A regex character class of every BMP code point satisfying ``pred``, written as
+    ranges. Built from Python's Unicode tables, so the classification does not depend on
+    the JVM's Unicode version; the reference tests UTF-16 units, hence BMP only."""
+    ranges, start, prev = [], None, None
+    for cp in range(0x10000):
+        ok = not (0xD800 <= cp <= 0xDFFF) and pred(chr(cp))
+        if ok and start is None:
+            start = cp
+        if not ok and start is not None:
+            ranges.append((start, prev))
+            start = None
+        prev = cp
+    if start is not None:
+        ranges.append((start, prev))
+    return "[" + "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges) + "]"
+
+
+def _category_class(java_prop: str, pred) -> str:
+    """BMP characters of a Unicode category: the JVM's own table for characters it knows,
+    and the rule-built class (Python's newer tables) only for code points the JVM treats
+    as unassigned (\\p{Cn}); the cheap property test short-circuits the long class."""
+    return f"[[{java_prop}&&[\\x{{0}}-\\x{{FFFF}}]][\\p{{Cn}}&&{_bmp_class(pred)}]]"
+
+
 @functools.lru_cache(maxsize=1)
-def diacritic_table() -> tuple[str, str]:
-    """(src, dst) for ``translate``: every BMP character whose accent-stripped form
-    (NFD, drop non-spacing marks, NFC) is a single, different character.
+def mark_class() -> str:
+    """Non-spacing marks (Mn) of the BMP."""
+    return _category_class("\\p{Mn}", lambda ch: unicodedata.category(ch) == "Mn")
 
-    Built from ``unicodedata`` by rule, once per process."""
-    src, dst = [], []
+
+@functools.lru_cache(maxsize=1)
+def punct_class() -> str:
+    """Punctuation (Pc Pd Ps Pe Pi Pf Po) of the BMP."""
+    return _category_class("\\p{P}", lambda ch: unicodedata.category(ch).startswith("P"))
+
+
+@functools.lru_cache(maxsize=1)
+def _diacritic_maps() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Accent-stripped form (NFD, drop non-spacing marks, NFC) of every BMP character that
+    changes: single-character results as a ``translate`` table, the rare multi-character
+    results as (char, text) pairs. Characters that vanish are non-spacing marks, removed
+    by the regexp. Built from ``unicodedata`` by rule, once per process."""
+    src, dst, multi = [], [], []
     for cp in range(0x10000):
         if 0xD800 <= cp <= 0xDFFF:
             continue
@@ -43,23 +78,35 @@ def diacritic_table() -> tuple[str, str]:
         decomposed = unicodedata.normalize("NFD", ch)
         kept = "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
         out = unicodedata.normalize("NFC", kept)
-        if len(out) == 1 and out != ch:
+        if out == ch or out == "":
+            continue
+        if len(out) == 1:
             src.append(ch)
             dst.append(out)
-    return "".join(src), "".join(dst)
+        else:
+            multi.append((ch, out))
+    return "".join(src), "".join(dst), tuple(multi)
+
+
+def diacritic_table() -> tuple[str, str]:
+    src, dst, _ = _diacritic_maps()
+    return src, dst
 
 
 def strip_diacritics(c: Column) -> Column:
-    """NFD -> drop Mn -> NFC, as translate + regexp (JVM side, codegen friendly)."""
-    src, dst = diacritic_table()
-    return F.regexp_replace(F.translate(c, src, dst), r"\p{Mn}+", "")
+    """NFD -> drop Mn -> NFC, as translate + replace + regexp (JVM side, codegen friendly)."""
+    src, dst, multi = _diacritic_maps()
+    s = F.translate(c, src, dst)
+    for ch, out in multi:
+        s = F.replace(s, F.lit(ch), F.lit(out))
+    return F.regexp_replace(s, mark_class() + "+", "")
 
 
 def normalize_text(c: Column) -> Column:
     """The reference normalizer as one expression; null and '' pass through."""
     lowered = F.lower(c)
     s = strip_diacritics(lowered)
-    s = F.regexp_replace(s, PUNCT_BMP, "")
+    s = F.regexp_replace(s, punct_class() + "+", "")
     s = F.trim(F.regexp_replace(s, WS_CLASS + "+", " "))
     return F.when(c.isNull() | (c == F.lit("")), c).otherwise(s)
 

@@ -52,7 +52,9 @@ def normalize_model(s):
         return s
     s = s.lower()
     d = unicodedata.normalize("NFD", s)
-    s = unicodedata.normalize("NFC", "".join(c for c in d if unicodedata.category(c) != "Mn"))
+    # categories are tested per UTF-16 unit: only BMP non-spacing marks are dropped
+    s = unicodedata.normalize("NFC", "".join(c for c in d if not (ord(c) <= 0xFFFF and
+                                                                  unicodedata.category(c) == "Mn")))
     s = "".join(c for c in s if not (ord(c) <= 0xFFFF and unicodedata.category(c).startswith("P")))
     out, prev_ws = [], False
     for c in s:
