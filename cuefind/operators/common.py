@@ -49,7 +49,8 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str
 def block_topk(chunk_ids: np.ndarray, keys: np.ndarray, values: np.ndarray, qids: np.ndarray, k: int,
                value_name: str) -> pd.DataFrame:
     """Inside one task: for each query column, the k rows with the smallest key (NaN last),
-    ties by chunk id. keys/values are (rows x queries). Emits query_id, chunk_id, value.
+    ties by chunk id. keys/values are (rows x queries). Emits query_id, chunk_id, value and
+    the block row (``_row``) so callers can attach row payload.
 
     Vectorised over all columns: the k-th smallest key per column bounds the candidates,
     and only candidates are sorted (k per column unless keys tie)."""
@@ -57,7 +58,7 @@ def block_topk(chunk_ids: np.ndarray, keys: np.ndarray, values: np.ndarray, qids
     kk = min(k, n)
     if kk == 0 or q == 0:
         return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "chunk_id": pd.Series([], dtype=object),
-                             value_name: pd.Series([], dtype="float64")})
+                             value_name: pd.Series([], dtype="float64"), "_row": pd.Series([], dtype="int64")})
     sort_key = np.where(np.isnan(keys), np.inf, keys)
     kth = np.partition(sort_key, kk - 1, axis=0)[kk - 1]
     r, c = np.nonzero(sort_key <= kth[None, :])
@@ -68,4 +69,4 @@ def block_topk(chunk_ids: np.ndarray, keys: np.ndarray, values: np.ndarray, qids
     first = np.searchsorted(c, np.arange(q))
     keep = (np.arange(len(c)) - first[c]) < kk
     r, c = r[keep], c[keep]
-    return pd.DataFrame({"query_id": qids[c], "chunk_id": chunk_ids[r], value_name: values[r, c]})
+    return pd.DataFrame({"query_id": qids[c], "chunk_id": chunk_ids[r], value_name: values[r, c], "_row": r})

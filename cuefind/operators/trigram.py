@@ -139,8 +139,8 @@ class _Kernel:
         self.fan = np.diff(self.csr[0])   # queries containing each trigram
         self.dense_m = None
 
-    def blocks(self, cid: np.ndarray, texts, k: int):
-        """Partial top-k frames (query_id, chunk_id, score) for one batch of chunks."""
+    def blocks(self, cid: np.ndarray, texts, k: int, payload: pd.DataFrame | None = None):
+        """Partial top-k frames (query_id, chunk_id, score[, payload...]) for one batch."""
         if not len(cid):
             return
         g = np.empty(len(cid), dtype=object)
@@ -158,20 +158,29 @@ class _Kernel:
             rows, int(SUB_BLOCK_PAIRS // max(pairs_per_row, 1.0)))
         rows = max(1, rows)
         for s in range(0, len(g), rows):
-            yield _score_block(cid[s:s + rows], g[s:s + rows], self.vocab, self.csr, self.nq, self.qids, k,
-                               self.dense_m if dense else None)
+            frame = _score_block(cid[s:s + rows], g[s:s + rows], self.vocab, self.csr, self.nq, self.qids, k,
+                                 self.dense_m if dense else None)
+            if payload is not None:
+                extra = payload.iloc[frame["_row"].to_numpy() + s].reset_index(drop=True)
+                frame = pd.concat([frame.reset_index(drop=True), extra], axis=1)
+            yield frame.drop(columns="_row")
 
 
-def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str) -> DataFrame:
+def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str,
+                 payload: list[str] | None = None) -> DataFrame:
     bq = chunks.sparkSession.sparkContext.broadcast(_query_matrix(queries, text_col))
+    payload = list(payload or [])
 
     def score(batches):
         kern = _Kernel(*bq.value)
         for pdf in batches:
-            yield from kern.blocks(pdf["chunk_id"].to_numpy().astype(object), pdf["normalized_text"], k)
+            extra = pdf[payload] if payload else None
+            yield from kern.blocks(pdf["chunk_id"].to_numpy().astype(object), pdf["normalized_text"], k, extra)
 
-    base = chunks.where(F.col("normalized_text").isNotNull()).select("chunk_id", "normalized_text")
-    partial = base.mapInPandas(score, "query_id long, chunk_id string, score double")
+    base = chunks.where(F.col("normalized_text").isNotNull()).select("chunk_id", "normalized_text", *payload)
+    types = dict(base.dtypes)
+    schema = ", ".join(["query_id long", "chunk_id string", "score double"] + [f"{c} {types[c]}" for c in payload])
+    partial = base.mapInPandas(score, schema)
     return top_k_per_key(partial, "query_id", [F.desc("score"), F.asc("chunk_id")], k)
 
 
@@ -185,13 +194,18 @@ def _matrix_fits(queries: DataFrame, text_col: str) -> bool:
 
 
 def trigram_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",
-                 partitions: int | None = None, method: str = "auto") -> DataFrame:
+                 partitions: int | None = None, method: str = "auto",
+                 payload: list[str] | None = None) -> DataFrame:
     """Top k chunks per query by trigram similarity, desc, ties by chunk_id.
 
-    Zero scores are allowed (no threshold), exactly as a full ordered scan would give."""
+    Zero scores are allowed (no threshold), exactly as a full ordered scan would give.
+    ``payload`` chunk columns ride along with the winners (no second pass over chunks)."""
     if method == "matrix" or (method == "auto" and _matrix_fits(queries, text_col)):
-        return _matrix_topk(chunks, queries, k, text_col)
-    return join_topk(chunks, queries, k, text_col, partitions)
+        return _matrix_topk(chunks, queries, k, text_col, payload)
+    top = join_topk(chunks, queries, k, text_col, partitions)
+    if payload:
+        top = top.join(chunks.select("chunk_id", *payload), "chunk_id")
+    return top
 
 
 def join_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",

@@ -44,7 +44,7 @@ def _block_topk(chunk_ids: np.ndarray, mat: np.ndarray, qids: np.ndarray, qmat:
         sim = (mat @ qmat.T) / np.outer(cn, qn)
     dist = np.round(1.0 - sim, ROUND_DIGITS)
     dist[~np.isfinite(dist)] = np.nan
-    return block_topk(chunk_ids, dist, dist, qids, k, "distance")
+    return block_topk(chunk_ids, dist, dist, qids, k, "distance").drop(columns="_row")
 
 
 def _partial_topk(chunks: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int) -> DataFrame:

@@ -113,27 +113,8 @@ SELECT top.query_id, top.chunk_id, round(top.score, 6) AS score, top.rank, c.vid
 FROM top JOIN chunks c USING (chunk_id)""")
 def q_chunk_trigram_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Top 5 conversation chunks per benchmark passage (trigram), with chunk payload."""
-    chunks = conversation_chunks(spark, sf)
+    chunks = conversation_chunks(spark, sf).withColumnRenamed("text", "chunk_text")
     queries = TD.benchmark_queries(spark, sf, with_vectors=False)
-    top = TR.trigram_topk(chunks, queries)
-    payload = chunks.select("chunk_id", "video_id", "start_ms", F.col("text").alias("chunk_text"))
-    # top-k holds k rows per query: broadcast it only when the query count is bounded
-    small = fits_broadcast(queries, BROADCAST_MAX_ROWS // TR.TOP_K)
-    return payload.join(F.broadcast(top) if small else top, "chunk_id").select(
-        "query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "video_id", "start_ms", "chunk_text")
-
-
-@register("result_links", "WITH " + CHUNKS_SQL + """
-SELECT chunk_id, video_id, CAST(floor(start_ms / 1000) AS INTEGER) AS timestamp,
-       'https://www.youtube.com/watch?v=' || video_id || '&t=' || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR)
-         AS link,
-       'https://www.youtube.com/embed/' || video_id || '?start='
-         || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR) AS embed_url,
-       'https://img.youtube.com/vi/' || video_id || '/hqdefault.jpg' AS thumbnail_url
-FROM chunks""")
-def q_result_links(spark: SparkSession, sf: str) -> DataFrame:
-    """Response links (watch &t=, embed ?start=, thumbnail) for every chunk."""
-    chunks = conversation_chunks(spark, sf).select("chunk_id", "video_id", "start_ms")
-    videos = TD.conversation_videos(spark, sf).select("video_id", "video_url")
-    shaped = result_links(chunks.join(videos, "video_id"))
-    return shaped.select("chunk_id", "video_id", "timestamp", "link", "embed_url", "thumbnail_url")
+    top = TR.trigram_topk(chunks, queries, payload=["video_id", "start_ms", "chunk_text"])
+    return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "video_id", "start_ms",
+                      "chunk_text")

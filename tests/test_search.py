@@ -154,3 +154,14 @@ def test_fused_sides_equal_separate_plans(spark):
     norm = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())  # noqa
     assert norm(f_tri) == norm(s_tri.select("query_id", "chunk_id", "score", "rank"))
     assert norm(f_vec) == norm(s_vec.select("query_id", "chunk_id", (1 - F.col("distance")), "rank"))
+
+
+def test_trigram_payload_both_plans(spark):
+    chunks = _chunks(spark, [(f"c{i}", t, None) for i, t in enumerate(["red fox", "blue fox", "red hen", ""])])
+    queries = spark.createDataFrame([(1, "red"), (2, "fox")], "query_id long, query string")
+    res = [sorted(tuple(r) for r in TR.trigram_topk(chunks, queries, k=2, method=m, payload=["text", "start_ms"])
+                  .select("query_id", "rank", "chunk_id", "text", "start_ms").collect())
+           for m in ("matrix", "join")]
+    assert res[0] == res[1]
+    # "fox" vs "red fox": 4 shared of 8 trigrams; vs "blue fox": 4 of 9
+    assert {(r[0], r[3]) for r in res[0] if r[1] == 1} == {(1, "red fox"), (2, "red fox")}
