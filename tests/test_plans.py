@@ -1,0 +1,47 @@
+"""Plan properties that matter at scale, checked on the physical plan text."""
+
+import re
+
+from pyspark.sql import functions as F
+
+from conftest import SF001
+from cuefind.functions.text import normalize_text
+from cuefind.operators import trigram as TR
+from cuefind.operators import vector as VE
+from cuefind.plans.catalog import QUERIES
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _chunks(spark):
+    df = spark.createDataFrame([(f"c{i}", f"word{i % 7} other{i % 3}", [float(i), 1.0]) for i in range(50)],
+                               "chunk_id string, text string, embedding array<float>")
+    return df.select("chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
+
+
+def test_topk_is_partial_before_the_shuffle(spark):
+    queries = spark.createDataFrame([(1, "word1", [1.0, 0.0])], "query_id long, query string, embedding array<float>")
+    for df in (TR.trigram_topk(_chunks(spark), queries, method="matrix"), VE.vector_topk(_chunks(spark), queries)):
+        plan = _plan(df)
+        assert "WindowGroupLimit" in plan and "Partial" in plan, plan
+        assert "MapInPandas" in plan
+
+
+def test_join_plan_counts_without_shuffling_pairs(spark):
+    queries = spark.createDataFrame([(1, "word1 other2")], "query_id long, query string")
+    plan = _plan(TR._positive_scores(_chunks(spark), queries, "query", None))
+    # the only exchanges: the corpus repartition by chunk_id and the broadcast of postings
+    exchanges = re.findall(r"(\w*Exchange) (\w+)", plan)
+    assert sorted(exchanges) == [("BroadcastExchange", "HashedRelationBroadcastMode"),
+                                 ("Exchange", "hashpartitioning")], exchanges
+    assert "BroadcastHashJoin" in plan
+
+
+def test_scans_read_only_needed_columns(spark):
+    plan = _plan(QUERIES["cache_rollup"](spark, SF001))
+    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
+    assert schemas and all("props" not in s for s in schemas)
+    plan = _plan(QUERIES["vector_topk"](spark, SF001))
+    assert all("label" not in s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
