@@ -42,23 +42,23 @@ def choose_scripts(wanted: DataFrame, subtitle_files: DataFrame, subtitle_segmen
 
 
 def scripts_from_segments(choice: DataFrame) -> DataFrame:
-    """(video_id, extraction_type, transcript, segments) from ``choose_scripts`` rows."""
+    """(video_id, extraction_type, transcript) from ``choose_scripts`` rows."""
     seg = choice.where(F.col("pos").isNotNull())
     kinds = choice.where(F.col("pos").isNull()).select("video_id", "extraction_type")
     tr = video_transcripts(seg)
-    arr = seg.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text", "start_ms", "end_ms"))).alias("s"))
-    arr = arr.select("video_id", F.transform("s", lambda x: F.struct(
-        x["text"].alias("text"), x["start_ms"].alias("start_ms"), x["end_ms"].alias("end_ms"))).alias("segments"))
-    empty = F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
-    return (kinds.join(tr, "video_id", "left").join(arr, "video_id", "left")
-            .select("video_id", "extraction_type", F.coalesce("transcript", F.lit("")).alias("transcript"),
-                    F.coalesce("segments", empty).alias("segments")))
+    return (kinds.join(tr, "video_id", "left")
+            .select("video_id", "extraction_type", F.coalesce("transcript", F.lit("")).alias("transcript")))
+
+
+def script_segments(choice: DataFrame) -> DataFrame:
+    """The segment rows of ``choose_scripts`` output (segments table layout)."""
+    return choice.where(F.col("pos").isNotNull()).select("video_id", "pos", "text", "start_ms", "end_ms")
 
 
 def video_upsert(stored: DataFrame, listing: DataFrame, scripts: DataFrame) -> DataFrame:
-    """Upsert on video_id: a stored video gets the new transcript and segments only (title
-    and url stay); a new video is inserted with the listing's title and url."""
+    """Upsert on video_id: a stored video gets the new transcript only (title and url stay;
+    its segments are replaced by ``segments_upsert``); a new video is inserted with the
+    listing's title and url."""
     s = stored.alias("s")
     new = listing.join(scripts, "video_id").alias("n")
     j = s.join(new, F.col("s.video_id") == F.col("n.video_id"), "full_outer")
@@ -70,10 +70,20 @@ def video_upsert(stored: DataFrame, listing: DataFrame, scripts: DataFrame) -> D
         pick("transcript").alias("transcript"),
         # the stored row keeps its default extraction type, as in the reference
         F.coalesce("s.extraction_type", "n.extraction_type").alias("extraction_type"),
-        pick("segments").alias("segments"),
     )
 
 
+def segments_upsert(stored_segments: DataFrame, new_segments: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Segments of every re-extracted video are replaced; others stay (anti join + union)."""
+    keep = stored_segments.join(replaced.select("video_id").distinct(), "video_id", "left_anti")
+    return keep.unionByName(new_segments.select(*keep.columns))
+
+
+def not_yet_stored(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows of videos that have no row in ``table`` yet: makes an append replay-safe."""
+    return rows.join(table.select("video_id").distinct(), "video_id", "left_anti")
+
+
 def missing_report(listing: DataFrame, videos: DataFrame) -> DataFrame:
     """Listed videos still absent from the table after ingest."""
     return listing.join(videos.select("video_id").distinct(), "video_id", "left_anti")

@@ -47,12 +47,21 @@ def extract_stage(spark: SparkSession, listing_paths, tables: str, scripts_for,
     stored = reliable_checkpoint(ST.read_table(spark, tables, "videos"))
     missing = IN.ingest_missing(listing, stored)
     wanted = missing if only_missing else listing
-    scripts = reliable_checkpoint(IN.scripts_from_segments(scripts_for(wanted.select("video_id"))))
+    choice = reliable_checkpoint(scripts_for(wanted.select("video_id")))
+    scripts = IN.scripts_from_segments(choice)
     cols = [f.name for f in ST.VIDEOS.fields]
     if only_missing:
-        new_rows = wanted.join(scripts, "video_id").select(*cols)
+        new_rows = reliable_checkpoint(wanted.join(scripts, "video_id").select(*cols))
+        segs = ST.read_table(spark, tables, "segments")
+        new_segs = IN.not_yet_stored(
+            IN.script_segments(choice).join(new_rows.select("video_id"), "video_id", "left_semi"), segs)
+        # segments first, then videos: a rerun after a failure in between writes no duplicate
+        reliable_checkpoint(new_segs).write.mode("append").parquet(ST.ensure_table(spark, tables, "segments"))
         new_rows.write.mode("append").parquet(ST.ensure_table(spark, tables, "videos"))
     else:
+        segs = ST.read_table(spark, tables, "segments")
+        _replace_table(spark, tables, "segments",
+                       IN.segments_upsert(segs, IN.script_segments(choice), scripts))
         _replace_table(spark, tables, "videos", IN.video_upsert(stored, listing, scripts).select(*cols))
     after = ST.read_table(spark, tables, "videos")
     return IN.ingest_stats(listing, stored, missing, missing.join(scripts, "video_id", "left_semi"),
@@ -62,9 +71,8 @@ def extract_stage(spark: SparkSession, listing_paths, tables: str, scripts_for,
 def chunk_stage(spark: SparkSession, tables: str) -> None:
     videos = ST.read_table(spark, tables, "videos")
     chunks = ST.read_table(spark, tables, "chunks")
-    todo = CH.videos_unchunked(videos.select("video_id", "segments"), chunks)
-    seg = todo.select("video_id", F.posexplode("segments").alias("pos", "s")).select(
-        "video_id", F.col("pos").cast("int").alias("pos"), "s.text", "s.start_ms", "s.end_ms")
+    todo = CH.videos_unchunked(videos.select("video_id"), chunks)
+    seg = ST.read_table(spark, tables, "segments").join(todo, "video_id", "left_semi")
     fresh = CH.chunk_segments(seg).withColumn("embedding", F.lit(None).cast("array<float>"))
     fresh = reliable_checkpoint(fresh.select(*[f.name for f in ST.CHUNKS.fields]))
     fresh.write.mode("append").parquet(ST.ensure_table(spark, tables, "chunks"))

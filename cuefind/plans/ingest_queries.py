@@ -37,11 +37,10 @@ def _scenario(spark: SparkSession, sf: str):
     listing = TD.conversation_videos(spark, sf)
     sys_ids = conv.where(F.col("role") == "system").select("conv_id").distinct()
     vid = TD.video_id_of("conv_id")
-    empty = F.array().cast("array<struct<text:string,start_ms:bigint,end_ms:bigint>>")
     stored = sys_ids.select(
         vid.alias("video_id"), F.concat(F.lit("old conv "), F.col("conv_id").cast("string")).alias("title"),
         F.concat(F.lit("https://www.youtube.com/watch?v="), vid).alias("video_url"), F.lit("").alias("transcript"),
-        F.lit("subtitles").alias("extraction_type"), empty.alias("segments"))
+        F.lit("subtitles").alias("extraction_type"))
     stt_ids = conv.groupBy("conv_id").count().where(F.col("count") >= 3).select(vid.alias("video_id"))
     stt = TD.conversation_segments(spark, sf).join(stt_ids, "video_id", "left_semi")
     no_files = spark.createDataFrame([], "video_id string")
@@ -79,12 +78,17 @@ SELECT COALESCE(s.video_id, n.video_id) AS video_id, COALESCE(s.title, n.title)
 FROM stored s FULL OUTER JOIN (SELECT l.video_id, l.title, l.video_url, sc.transcript, sc.n_segments
                                FROM listing l JOIN scripts sc USING (video_id)) n ON s.video_id = n.video_id""")
 def q_video_upsert(spark: SparkSession, sf: str) -> DataFrame:
-    """Re-extract every listed video (only-missing off) and upsert into the stored table."""
+    """Re-extract every listed video (only-missing off) and upsert into the stored tables."""
     listing, stored, stt, no_files, no_subs = _scenario(spark, sf)
-    scripts = IN.scripts_from_segments(IN.choose_scripts(listing, no_files, no_subs, stt))
+    choice = IN.choose_scripts(listing, no_files, no_subs, stt)
+    scripts = IN.scripts_from_segments(choice)
     table = IN.video_upsert(stored, listing, scripts)
-    return table.select("video_id", "title", "video_url", "transcript", "extraction_type",
-                        F.size("segments").cast("long").alias("n_segments"))
+    stored_segments = spark.createDataFrame([], ST.SEGMENTS)   # the earlier run stored none
+    segments = IN.segments_upsert(stored_segments, IN.script_segments(choice), scripts)
+    counts = segments.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    return table.join(counts, "video_id", "left").select(
+        "video_id", "title", "video_url", "transcript", "extraction_type",
+        F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"))
 
 
 @register("ingest_stats", "WITH " + SCENARIO_SQL + """

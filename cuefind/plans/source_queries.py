@@ -80,7 +80,8 @@ FROM tr"""
 
 
 def build_videos(spark: SparkSession, sf: str) -> DataFrame:
-    """The videos table: listing metadata + transcript + segment list per video."""
+    """Videos as exported documents: metadata + transcript + segment list per video (the
+    export format is one JSON document per video)."""
     seg = TD.conversation_segments(spark, sf)
     tr = CH.video_transcripts(seg)
     segs = seg.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "start_ms", "end_ms")))
@@ -91,7 +92,7 @@ def build_videos(spark: SparkSession, sf: str) -> DataFrame:
     meta = TD.conversation_videos(spark, sf)
     return (meta.join(tr, "video_id").join(segs, "video_id")
             .withColumn("extraction_type", F.lit("subtitles"))
-            .select(*[f.name for f in ST.VIDEOS.fields]))
+            .select(*[f.name for f in ST.VIDEO_EXPORT.fields]))
 
 
 @register("export_scripts_json", EXPORT_SQL)
@@ -99,6 +100,6 @@ def q_export_scripts_json(spark: SparkSession, sf: str) -> DataFrame:
     """Export all video scripts as JSON lines and read the export back."""
     path = scratch_path(spark, "export")
     build_videos(spark, sf).write.mode("overwrite").json(path)
-    back = spark.read.schema(ST.VIDEOS).json(path)
+    back = spark.read.schema(ST.VIDEO_EXPORT).json(path)
     return back.select("video_id", "title", "video_url", "transcript", "extraction_type",
                        F.size("segments").cast("long").alias("n_segments"))

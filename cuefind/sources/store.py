@@ -22,9 +22,20 @@ VIDEOS = T.StructType([
     T.StructField("video_url", T.StringType()),
     T.StructField("transcript", T.StringType()),
     T.StructField("extraction_type", T.StringType()),
-    T.StructField("segments", T.ArrayType(SEGMENT)),
 ])
 
+# Segments live in their own table keyed by (video_id, pos): a long video is many rows,
+# never one giant array built by one task. Arrays exist only in the per-video JSON export.
+SEGMENTS = T.StructType([
+    T.StructField("video_id", T.StringType()),
+    T.StructField("pos", T.IntegerType()),
+    T.StructField("text", T.StringType()),
+    T.StructField("start_ms", T.LongType()),
+    T.StructField("end_ms", T.LongType()),
+])
+
+VIDEO_EXPORT = T.StructType(VIDEOS.fields + [T.StructField("segments", T.ArrayType(SEGMENT))])
+
 CHUNKS = T.StructType([
     T.StructField("chunk_id", T.StringType()),
     T.StructField("video_id", T.StringType()),
@@ -46,7 +57,7 @@ QUERY_CACHE = T.StructType([
     T.StructField("access_count", T.LongType()),
 ])
 
-SCHEMAS = {"videos": VIDEOS, "chunks": CHUNKS, "query_cache": QUERY_CACHE}
+SCHEMAS = {"videos": VIDEOS, "segments": SEGMENTS, "chunks": CHUNKS, "query_cache": QUERY_CACHE}
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -31,20 +31,25 @@ def _process_batch(spark: SparkSession, batch: DataFrame, tables: str, scripts_f
         F.min_by(F.struct("title", "video_url"), F.struct("source", "title", "video_url")).alias("r")
     ).select("video_id", "r.title", "r.video_url")
     videos_path = ST.ensure_table(spark, tables, "videos")
+    segments_path = ST.ensure_table(spark, tables, "segments")
     chunks_path = ST.ensure_table(spark, tables, "chunks")
     stored = spark.read.schema(ST.VIDEOS).parquet(videos_path)
     missing = IN.ingest_missing(listing, stored)
-    scripts = IN.scripts_from_segments(scripts_for(missing.select("video_id")))
-    new_rows = missing.join(scripts, "video_id").select(*[f.name for f in ST.VIDEOS.fields])
-    # materialise before appending: the anti join reads the table being appended to
-    new_rows = reliable_checkpoint(new_rows)
+    choice = reliable_checkpoint(scripts_for(missing.select("video_id")))
+    scripts = IN.scripts_from_segments(choice)
+    new_rows = reliable_checkpoint(missing.join(scripts, "video_id").select(*[f.name for f in ST.VIDEOS.fields]))
+    # segments first, then the video row: a replay after a failure in between finds the
+    # video still missing and its segments already present (skipped by the anti join)
+    segs = spark.read.schema(ST.SEGMENTS).parquet(segments_path)
+    new_segs = IN.not_yet_stored(IN.script_segments(choice).join(new_rows.select("video_id"), "video_id", "left_semi"),
+                                 segs)
+    reliable_checkpoint(new_segs).write.mode("append").parquet(segments_path)
     new_rows.write.mode("append").parquet(videos_path)
 
     videos = spark.read.schema(ST.VIDEOS).parquet(videos_path)
     chunks = spark.read.schema(ST.CHUNKS).parquet(chunks_path)
-    todo = CH.videos_unchunked(videos.select("video_id", "segments"), chunks)
-    seg = todo.select("video_id", F.posexplode("segments").alias("pos", "s")).select(
-        "video_id", F.col("pos").cast("int").alias("pos"), "s.text", "s.start_ms", "s.end_ms")
+    todo = CH.videos_unchunked(videos.select("video_id"), chunks)
+    seg = spark.read.schema(ST.SEGMENTS).parquet(segments_path).join(todo, "video_id", "left_semi")
     fresh = CH.chunk_segments(seg).withColumn("embedding", F.lit(None).cast("array<float>"))
     fresh = reliable_checkpoint(fresh.select(*[f.name for f in ST.CHUNKS.fields]))
     fresh.write.mode("append").parquet(chunks_path)

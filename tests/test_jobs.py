@@ -112,3 +112,23 @@ def test_fetch_job_stage_flags(spark):
     # only-missing off: every listed video is re-extracted and upserted in place
     stats = FJ.run_fetch_job(spark, [listing], tables, scripts, only_missing=False)
     assert ST.read_table(spark, tables, "videos").count() == 2 and stats["missing_after"] == 1
+
+
+def test_stream_replay_after_partial_write(spark):
+    """A batch that failed after appending segments but before the video row: the replay
+    appends the video and no second copy of its segments."""
+    from cuefind.operators import ingest as IN
+    from cuefind.streaming.ingest_stream import run_ingest_stream
+    listing = scratch_path(spark, "listing")
+    spark.createDataFrame([("v1\tOne",)], "value string").coalesce(1).write.text(listing)
+    stt = spark.createDataFrame([("v1", 0, "hello", 0, 1), ("v1", 1, "world", 1, 2)],
+                                "video_id string, pos int, text string, start_ms long, end_ms long")
+    none_f = spark.createDataFrame([], "video_id string")
+    none_s = spark.createDataFrame([], "video_id string, pos int, text string, start_ms long, end_ms long")
+    scripts = lambda w: IN.choose_scripts(w, none_f, none_s, stt)
+    tables = scratch_path(spark, "tables")
+    stt.write.mode("append").parquet(ST.ensure_table(spark, tables, "segments"))   # the partial write
+    run_ingest_stream(spark, listing, tables, scratch_path(spark, "ck"), scripts)
+    assert ST.read_table(spark, tables, "segments").count() == 2
+    assert ST.read_table(spark, tables, "videos").count() == 1
+    assert ST.read_table(spark, tables, "chunks").count() == 2
