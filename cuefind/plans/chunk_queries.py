@@ -13,17 +13,6 @@ from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.sources import testdata as TD
 
-WS = "[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]"
-
-
-def _len16(x: str) -> str:
-    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
-
-
-def _trim_ws(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
-
-
 SEGMENTS_SQL = """
 seg AS (
   SELECT lpad(CAST(conv_id AS VARCHAR), 11, '0') AS video_id, CAST(turn * 1000 + idx AS INTEGER) AS pos, text,
@@ -40,14 +29,14 @@ f{t} AS (
               RANGE BETWEEN CURRENT ROW AND {t - 1} FOLLOWING)) AS m0
   FROM base),
 k{t} AS (
-  SELECT video_id, {t} AS threshold, pos, {_trim_ws("array_to_string(list_transform(m, lambda x: x.t), ' ')")} AS text,
+  SELECT video_id, {t} AS threshold, pos, {D.trim_ws("array_to_string(list_transform(m, lambda x: x.t), ' ')")} AS text,
          start_ms, m[-1].e AS end_ms, m[-1].pos AS end_pos, m[-1].pos = lastp AS reaches_end
   FROM (SELECT *, list_filter(m0, lambda x: x.pos >= pos) AS m FROM f{t}))"""
 
 
 CHUNKS_SQL = SEGMENTS_SQL + f""",
 base AS (
-  SELECT *, COALESCE(SUM({_len16('text')}) OVER (PARTITION BY video_id ORDER BY pos
+  SELECT *, COALESCE(SUM({D.len16('text')}) OVER (PARTITION BY video_id ORDER BY pos
                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb,
          MAX(pos) OVER (PARTITION BY video_id) AS lastp
   FROM seg),""" + _threshold_sql(30) + "," + _threshold_sql(50) + f""",
@@ -79,7 +68,7 @@ def q_chunk_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("video_transcript", "WITH " + SEGMENTS_SQL + f"""
-SELECT video_id, {_trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript FROM seg GROUP BY video_id""")
+SELECT video_id, {D.trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript FROM seg GROUP BY video_id""")
 def q_video_transcript(spark: SparkSession, sf: str) -> DataFrame:
     return CH.video_transcripts(TD.conversation_segments(spark, sf))
 
@@ -118,3 +107,19 @@ def q_chunk_trigram_topk(spark: SparkSession, sf: str) -> DataFrame:
     top = TR.trigram_topk(chunks, queries, payload=["video_id", "start_ms", "chunk_text"])
     return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "video_id", "start_ms",
                       "chunk_text")
+
+
+@register("result_links", "WITH " + CHUNKS_SQL + """
+SELECT chunk_id, video_id, CAST(floor(start_ms / 1000) AS INTEGER) AS timestamp,
+       'https://www.youtube.com/watch?v=' || video_id || '&t=' || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR)
+         AS link,
+       'https://www.youtube.com/embed/' || video_id || '?start='
+         || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR) AS embed_url,
+       'https://img.youtube.com/vi/' || video_id || '/hqdefault.jpg' AS thumbnail_url
+FROM chunks""")
+def q_result_links(spark: SparkSession, sf: str) -> DataFrame:
+    """Response links (watch &t=, embed ?start=, thumbnail) for every chunk."""
+    chunks = conversation_chunks(spark, sf).select("chunk_id", "video_id", "start_ms")
+    videos = TD.conversation_videos(spark, sf).select("video_id", "video_url")
+    shaped = result_links(chunks.join(videos, "video_id"))
+    return shaped.select("chunk_id", "video_id", "timestamp", "link", "embed_url", "thumbnail_url")

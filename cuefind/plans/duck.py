@@ -43,3 +43,16 @@ def jaccard(a: str, b: str) -> str:
 def cos_distance(a: str, b: str) -> str:
     """Cosine distance in double, rounded to 6 digits (null for a zero vector)."""
     return f"round(1.0 - list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 6)"
+
+
+WS = "[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]"
+
+
+def len16(x: str) -> str:
+    """Length in UTF-16 units."""
+    return f"(length({x}) + length(regexp_replace({x}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')))"
+
+
+def trim_ws(x: str) -> str:
+    """Trim every Unicode whitespace character from both ends."""
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"

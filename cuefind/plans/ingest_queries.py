@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.operators import ingest as IN
-from cuefind.plans.chunk_queries import SEGMENTS_SQL, _trim_ws
+from cuefind.plans import duck as D
+from cuefind.plans.chunk_queries import SEGMENTS_SQL
 from cuefind.plans.registry import register
 from cuefind.sources import store as ST
 from cuefind.sources import testdata as TD
@@ -25,7 +26,7 @@ stored AS (SELECT DISTINCT {_VID} AS video_id, 'old conv ' || CAST(conv_id AS VA
                   'subtitles' AS extraction_type, 0 AS n_segments
            FROM conversations WHERE role = 'system'),
 scripted AS (SELECT {_VID} AS video_id FROM conversations GROUP BY conv_id HAVING count(*) >= 3),
-scripts AS (SELECT video_id, {_trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript, count(*) AS n_segments
+scripts AS (SELECT video_id, {D.trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript, count(*) AS n_segments
             FROM seg WHERE video_id IN (SELECT video_id FROM scripted) GROUP BY video_id),
 missing AS (SELECT * FROM listing WHERE video_id NOT IN (SELECT video_id FROM stored)),
 processed AS (SELECT * FROM missing WHERE video_id IN (SELECT video_id FROM scripts)),

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuefind.operators import chunking as CH
-from cuefind.plans.chunk_queries import SEGMENTS_SQL, _trim_ws
+from cuefind.plans import duck as D
+from cuefind.plans.chunk_queries import SEGMENTS_SQL
 from cuefind.plans.registry import register
 from cuefind.session import scratch_path
 from cuefind.sources import fixture_files as FF
@@ -71,7 +72,7 @@ def q_segments_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EXPORT_SQL = "WITH " + SEGMENTS_SQL + f""",
-tr AS (SELECT video_id, {_trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript, count(*) AS n_segments
+tr AS (SELECT video_id, {D.trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript, count(*) AS n_segments
        FROM seg GROUP BY video_id)
 SELECT video_id, 'conv ' || CAST(CAST(video_id AS BIGINT) AS VARCHAR) AS title,
        'https://www.youtube.com/watch?v=' || video_id AS video_url, transcript, 'subtitles' AS extraction_type,

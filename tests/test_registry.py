@@ -28,6 +28,7 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_an_oracle():
     assert set(ENTRY.oracle_sql()) == set(ENTRY.queries())
+    assert len(ENTRY.queries()) == 32   # a dropped registration fails here
 
 
 @pytest.fixture(scope="module")
