@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.functions import text as TX
@@ -62,14 +62,16 @@ def q_extract_video_id(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register("trigram_similarity", f"""
-SELECT conv_id, turn, round({D.jaccard(D.grams('text'), D.grams('next_text'))}, 6) AS similarity
-FROM (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text
-      FROM conversations) WHERE next_text IS NOT NULL""")
+SELECT a.conv_id, a.turn, round({D.jaccard(D.grams('a.text'), D.grams('b.text'))}, 6) AS similarity
+FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1""")
 def q_trigram_similarity(spark: SparkSession, sf: str) -> DataFrame:
-    """Similarity of each conversation turn with the next turn (whole texts)."""
+    """Similarity of each conversation turn with the following turn (whole texts).
+
+    An equi-join on (conversation, turn + 1): no per-conversation window, so a very long
+    conversation is spread over many tasks."""
     conv = TD.read(spark, sf, "conversations").select("conv_id", "turn", "text")
-    nxt = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = conv.withColumn("next_text", nxt).where(F.col("next_text").isNotNull())
+    nxt = conv.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next_text"))
+    pairs = conv.join(nxt, ["conv_id", "turn"])
     return pairs.select("conv_id", "turn",
                         F.round(TX.trigram_similarity(F.col("text"), F.col("next_text")), 6).alias("similarity"))
 
