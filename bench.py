@@ -40,18 +40,25 @@ def main() -> None:
     if os.path.isdir(tiny) and os.path.abspath(tiny) != os.path.abspath(sf_dir):
         # code-path warm-up on the tiny tables (different data, not timed)
         QUERIES["hybrid_best"](spark, tiny).write.format("noop").mode("overwrite").save()
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t0 = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t0, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t0, 3)
+        except Exception as exc:  # keep measuring the rest; report the failure
+            errors[name] = repr(exc)[:300]
+            print(f"bench: {name} failed: {exc!r}", file=sys.stderr)
     sf = sf_dir.rsplit("sf", 1)[-1]
     try:
         sf = float(sf)
     except ValueError:
         pass
-    print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": sf}))
+    out = {"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": sf}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
