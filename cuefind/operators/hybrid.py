@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cuefind.operators import trigram as TR
 from cuefind.operators import vector as VE
 from cuefind.operators.common import top_k_per_key
+from cuefind.session import ship_package
 
 
 def search_sides(chunks: DataFrame, queries: DataFrame, k: int = 5,
@@ -41,6 +42,7 @@ def fused_sides(chunks: DataFrame, queries: DataFrame, k: int = 5) -> tuple[Data
     cosine distance, keeps k per query per side, and one shuffle keyed by (query, side)
     finishes both top-k lists."""
     spark = chunks.sparkSession
+    ship_package(spark)
     tri_state = TR._query_matrix(queries, "query")
     groups = list(VE.query_groups(queries))
     vec_state = groups[0] if groups else None

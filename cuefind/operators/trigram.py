@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefind.functions.text import normalize_text, trigram_set, trigrams
+from cuefind.session import ship_package
 from cuefind.operators.common import BROADCAST_MAX_ROWS, block_topk, bounded_count, fits_broadcast, top_k_per_key
 
 TOP_K = 5  # fixed value: 5 trigram candidates per query
@@ -168,6 +169,7 @@ class _Kernel:
 
 def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str,
                  payload: list[str] | None = None) -> DataFrame:
+    ship_package(chunks.sparkSession)
     bq = chunks.sparkSession.sparkContext.broadcast(_query_matrix(queries, text_col))
     payload = list(payload or [])
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cuefind.session import ship_package
 from cuefind.operators.common import block_topk, top_k_per_key
 
 TOP_K = 5                 # fixed value: 5 vector candidates per query
@@ -48,6 +49,7 @@ def _block_topk(chunk_ids: np.ndarray, mat: np.ndarray, qids: np.ndarray, qmat:
 
 
 def _partial_topk(chunks: DataFrame, qids: np.ndarray, qmat: np.ndarray, k: int) -> DataFrame:
+    ship_package(chunks.sparkSession)
     sc = chunks.sparkSession.sparkContext
     bq = sc.broadcast((qids, qmat))
 

@@ -67,3 +67,51 @@ def reliable_checkpoint(df):
     """``df.checkpoint(eager=True)`` into the session's checkpoint folder (set on demand)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def _package_zip() -> tuple[bytes, str]:
+    """The cuefind package as a deterministic zip (bytes, content hash)."""
+    import hashlib
+    import io
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for dirpath, dirnames, filenames in os.walk(pkg):
+            dirnames[:] = sorted(d for d in dirnames if d != "__pycache__")
+            for name in sorted(filenames):
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    info = zipfile.ZipInfo(os.path.relpath(full, root), date_time=(1980, 1, 1, 0, 0, 0))
+                    with open(full, "rb") as fh:
+                        zf.writestr(info, fh.read())
+    data = buf.getvalue()
+    return data, hashlib.sha256(data).hexdigest()[:16]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``cuefind`` importable in the Python workers (what ``--py-files`` does): the
+    package zip is written once into the shared checkpoint folder and added with
+    ``addPyFile``. Idempotent per SparkContext."""
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    data, digest = _package_zip()
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    target = f"{base}/cuefind-pkg/cuefind-{digest}.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        out = fs.create(path, True)
+        try:
+            out.write(bytearray(data))
+        finally:
+            out.close()
+    sc.addPyFile(str(fs.makeQualified(path).toString()))
+    _SHIPPED.add(key)
