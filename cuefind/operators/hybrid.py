@@ -23,8 +23,10 @@ def search_sides(chunks: DataFrame, queries: DataFrame, k: int = 5,
 
     When both query sides fit their broadcast budgets, one pass over the chunks scores
     both (``fused_sides``); otherwise each side runs its own plan."""
-    if TR._matrix_fits(queries, "query") and VE.fits_one_group(queries):
-        return fused_sides(chunks, queries, k)
+    tri_state = TR.query_matrix(queries, "query")
+    vec_state = VE.one_group(queries) if tri_state is not None else None
+    if tri_state is not None and vec_state is not None:
+        return fused_sides(chunks, queries, k, tri_state, vec_state)
     tri = (TR.trigram_topk(chunks, queries, k, partitions=partitions)
            .select("query_id", "chunk_id", F.col("score").alias("trigram_score"),
                    F.col("rank").alias("trigram_rank")))
@@ -37,15 +39,20 @@ def search_sides(chunks: DataFrame, queries: DataFrame, k: int = 5,
 _SIDES_SCHEMA = "query_id long, chunk_id string, side int, value double"
 
 
-def fused_sides(chunks: DataFrame, queries: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+def fused_sides(chunks: DataFrame, queries: DataFrame, k: int = 5, tri_state: tuple | None = None,
+                vec_state: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """One scan of the chunks: each task scores its block for trigram similarity and for
     cosine distance, keeps k per query per side, and one shuffle keyed by (query, side)
     finishes both top-k lists."""
     spark = chunks.sparkSession
     ship_package(spark)
-    tri_state = TR._query_matrix(queries, "query")
-    groups = list(VE.query_groups(queries))
-    vec_state = groups[0] if groups else None
+    if tri_state is None:
+        tri_state = TR._query_matrix(queries, "query")
+    if vec_state is None:
+        groups = list(VE.query_groups(queries))
+        vec_state = groups[0] if groups else None
+    if vec_state is not None and len(vec_state[0]) == 0:
+        vec_state = None
     bq = spark.sparkContext.broadcast((tri_state, vec_state))
 
     def score(batches):

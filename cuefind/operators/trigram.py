@@ -70,11 +70,9 @@ def _positive_scores(chunks: DataFrame, queries: DataFrame, text_col: str,
     return inter.select("query_id", "chunk_id", score.cast("double").alias("score"))
 
 
-def _query_matrix(queries: DataFrame, text_col: str):
+def _matrix_state(qids: np.ndarray, texts) -> tuple:
     """(query ids, trigram vocabulary, 0/1 matrix trigram x query, |query trigrams|)."""
-    pdf = queries.select("query_id", normalize_text(F.col(text_col)).alias("t")).toPandas()
-    qids = pdf["query_id"].to_numpy().astype(np.int64)
-    grams = [trigram_set(t) for t in pdf["t"]]
+    grams = [trigram_set(t) for t in texts]
     vocab = pd.Index(sorted({t for g in grams for t in g}), dtype=object)
     mat = np.zeros((len(vocab), len(qids)), dtype=np.int16)
     for j, g in enumerate(grams):
@@ -84,6 +82,23 @@ def _query_matrix(queries: DataFrame, text_col: str):
     return qids, vocab, mat, nq
 
 
+def query_matrix(queries: DataFrame, text_col: str = "query"):
+    """The broadcast state of the matrix plan, or None when the query side is beyond the
+    budget. One bounded pull of the normalized query texts decides and builds it."""
+    pdf = (queries.select("query_id", normalize_text(F.col(text_col)).alias("t"))
+           .limit(MATRIX_MAX_QUERIES + 1).toPandas())
+    if len(pdf) > MATRIX_MAX_QUERIES:
+        return None
+    state = _matrix_state(pdf["query_id"].to_numpy().astype(np.int64), pdf["t"])
+    return state if len(state[1]) * len(state[0]) <= MATRIX_MAX_CELLS else None
+
+
+def _query_matrix(queries: DataFrame, text_col: str):
+    """Matrix state without the budget check (callers that already decided)."""
+    pdf = queries.select("query_id", normalize_text(F.col(text_col)).alias("t")).toPandas()
+    return _matrix_state(pdf["query_id"].to_numpy().astype(np.int64), pdf["t"])
+
+
 def _gram_rows(gram_lists, vocab):
     """(row index, vocabulary id) of every chunk trigram that occurs in some query."""
     lens = np.fromiter((len(g) for g in gram_lists), dtype=np.int64, count=len(gram_lists))
@@ -168,9 +183,10 @@ class _Kernel:
 
 
 def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str,
-                 payload: list[str] | None = None) -> DataFrame:
+                 payload: list[str] | None = None, state: tuple | None = None) -> DataFrame:
     ship_package(chunks.sparkSession)
-    bq = chunks.sparkSession.sparkContext.broadcast(_query_matrix(queries, text_col))
+    bq = chunks.sparkSession.sparkContext.broadcast(state if state is not None
+                                                    else _query_matrix(queries, text_col))
     payload = list(payload or [])
 
     def score(batches):
@@ -187,12 +203,7 @@ def _matrix_topk(chunks: DataFrame, queries: DataFrame, k: int, text_col: str,
 
 
 def _matrix_fits(queries: DataFrame, text_col: str) -> bool:
-    if bounded_count(queries, MATRIX_MAX_QUERIES) > MATRIX_MAX_QUERIES:
-        return False
-    grams = queries.select(F.explode(trigrams(normalize_text(F.col(text_col)))).alias("t"))
-    n_q = queries.count()
-    vocab = grams.agg(F.count_distinct("t").alias("v")).first()["v"] or 0
-    return vocab * n_q <= MATRIX_MAX_CELLS
+    return query_matrix(queries, text_col) is not None
 
 
 def trigram_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col: str = "query",
@@ -202,8 +213,9 @@ def trigram_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, text_col
 
     Zero scores are allowed (no threshold), exactly as a full ordered scan would give.
     ``payload`` chunk columns ride along with the winners (no second pass over chunks)."""
-    if method == "matrix" or (method == "auto" and _matrix_fits(queries, text_col)):
-        return _matrix_topk(chunks, queries, k, text_col, payload)
+    state = query_matrix(queries, text_col) if method == "auto" else None
+    if method == "matrix" or state is not None:
+        return _matrix_topk(chunks, queries, k, text_col, payload, state)
     top = join_topk(chunks, queries, k, text_col, partitions)
     if payload:
         top = top.join(chunks.select("chunk_id", *payload), "chunk_id")

@@ -77,10 +77,24 @@ def query_groups(queries: DataFrame):
                np.stack(grp["embedding"].to_numpy()).astype(np.float64), dim)
 
 
+def one_group(queries: DataFrame):
+    """(query ids, matrix, dimension) when every query vector fits one broadcast group (one
+    bounded pull), else None."""
+    q = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
+    # rows of at most this many bytes each: 8 bytes per dimension of the widest vector
+    dim = q.agg(F.max(F.size("embedding")).alias("d")).first()["d"] or 0
+    if dim == 0:
+        return np.zeros(0, dtype=np.int64), np.zeros((0, 1)), 1
+    cap = QUERY_GROUP_BYTES // (8 * dim)
+    pdf = q.orderBy("query_id").limit(cap + 1).toPandas()
+    if len(pdf) > cap:
+        return None
+    return (pdf["query_id"].to_numpy().astype(np.int64), np.stack(pdf["embedding"].to_numpy()).astype(np.float64),
+            dim)
+
+
 def fits_one_group(queries: DataFrame) -> bool:
-    q = queries.where(F.col("embedding").isNotNull())
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
-    return (stats["n"] or 0) * 8 * max(stats["d"] or 1, 1) <= QUERY_GROUP_BYTES
+    return one_group(queries) is not None
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int = TOP_K) -> DataFrame:
