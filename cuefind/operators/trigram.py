@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cuefind.functions.text import normalize_text, trigram_set, trigrams
 from cuefind.session import ship_package
-from cuefind.operators.common import BROADCAST_MAX_ROWS, block_topk, bounded_count, fits_broadcast, top_k_per_key
+from cuefind.operators.common import BROADCAST_MAX_ROWS, block_topk, fits_broadcast, top_k_per_key
 
 TOP_K = 5  # fixed value: 5 trigram candidates per query
 MATRIX_MAX_QUERIES = 50_000        # queries pulled for the broadcast matrix (checked count)

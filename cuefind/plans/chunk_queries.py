@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from cuefind.operators import chunking as CH
 from cuefind.operators import trigram as TR
 from cuefind.operators.admission import result_links
-from cuefind.operators.common import BROADCAST_MAX_ROWS, fits_broadcast
 from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.sources import testdata as TD
