@@ -102,3 +102,14 @@ def hybrid_best(tri: DataFrame, vec: DataFrame) -> DataFrame:
     both = both.withColumn("is_common", F.coalesce(F.col("is_common"), F.lit(False)))
     best = top_k_per_key(both, "query_id", [F.desc("is_common"), F.asc("trigram_rank")], 1)
     return best.select("query_id", "chunk_id", F.col("trigram_score").alias("similarity_score"), "is_common")
+
+
+def search_by_text(chunks: DataFrame, queries: DataFrame, provider, k: int = 5) -> DataFrame:
+    """The reference's search flow for raw query text: each query is embedded with the same
+    provider as the chunks (batched on the executors), then trigram and vector top-k are
+    merged by ``hybrid_best``. queries: (query_id, query)."""
+    from cuefind.operators import embed as EM
+    vectors = EM.embed_texts(queries.select("query_id", "query"), provider, id_col="query_id", text_col="query")
+    with_vec = queries.select("query_id", "query").join(vectors, "query_id", "left")
+    tri, vec = search_sides(chunks, with_vec, k)
+    return hybrid_best(tri, vec)

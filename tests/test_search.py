@@ -165,3 +165,17 @@ def test_trigram_payload_both_plans(spark):
     assert res[0] == res[1]
     # "fox" vs "red fox": 4 shared of 8 trigrams; vs "blue fox": 4 of 9
     assert {(r[0], r[3]) for r in res[0] if r[1] == 1} == {(1, "red fox"), (2, "red fox")}
+
+
+def test_search_by_text_uses_the_provider_for_queries(spark):
+    from cuefind.operators import embed as EM
+    provider = EM.hashed_trigram_provider(16)
+    texts = ["kapitan bomba leci", "laserowy gniew dzidy", "galaktyczne lektury", "bomba bomba"]
+    raw = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    vecs = EM.embed_texts(raw, provider)
+    chunks = raw.join(vecs, "chunk_id").select(
+        "chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
+    queries = spark.createDataFrame([(1, "Laserowy gniew dzidy"), (2, "lektury")], "query_id long, query string")
+    best = {r.query_id: (r.chunk_id, r.is_common) for r in HY.search_by_text(chunks, queries, provider).collect()}
+    assert best[1] == ("c1", True)       # same text: trigram rank 1 and vector rank 1
+    assert best[2][0] == "c2"
