@@ -45,3 +45,27 @@ def test_scans_read_only_needed_columns(spark):
     assert schemas and all("props" not in s for s in schemas)
     plan = _plan(QUERIES["vector_topk"](spark, SF001))
     assert all("label" not in s for s in re.findall(r"ReadSchema: struct<([^>]*)>", plan))
+
+
+def test_spread_only_touches_narrow_scans(spark):
+    from cuefind.operators.common import spread
+    want = spark.sparkContext.defaultParallelism
+    wide = spark.range(1000, numPartitions=want * 2)
+    assert spread(wide) is wide
+    narrow = spark.range(1000, numPartitions=1)
+    assert spread(narrow).rdd.getNumPartitions() == want
+
+
+def test_hot_query_is_pre_aggregated(spark):
+    """One normalized query holds a third of the log: the roll-up is exact and its plan
+    combines map-side before the shuffle."""
+    from cuefind.operators import cache as CA
+    rows = [(i, f"2024-01-01 00:{i // 60 % 60:02d}:{i % 60:02d}", "HOT query!" if i % 3 == 0 else f"q{i}", f"c{i}")
+            for i in range(3000)]
+    log = spark.createDataFrame(rows, "event_id long, ts string, query string, chunk_id string")
+    log = CA.with_normalized_query(log.withColumn("ts", F.to_timestamp("ts")))
+    roll = CA.cache_rollup(log)
+    partial = set(re.findall(r"partial_\w+", _plan(roll)))
+    assert {"partial_min_by", "partial_min", "partial_max", "partial_count"} <= partial
+    hot = roll.where(F.col("normalized_query") == "hot query").first()
+    assert hot.access_count == 1000 and hot.chunk_id == "c0"
