@@ -113,14 +113,18 @@ _MISS_Q = """SELECT r.query_id, r.query, e.embedding FROM resolved r
       LEFT JOIN embeddings e ON e.vec_id = r.user_id WHERE NOT r.resolved"""
 
 
-@register("cached_search", "WITH " + CACHE_SQL + "," + doc_hybrid_ctes(_MISS_Q) + """
-SELECT query_id, normalized_query, cached_chunk_id AS chunk_id, 1.0 AS similarity_score, 'cache' AS source
-FROM resolved WHERE resolved
-UNION ALL
-SELECT best.query_id, r.normalized_query, best.chunk_id, round(best.trigram_score, 6), 'search'
-FROM best JOIN resolved r USING (query_id)""")
+@register("cached_search", "WITH " + CACHE_SQL + "," + doc_hybrid_ctes(_MISS_Q) + """,
+answers AS (
+  SELECT query_id, normalized_query, cached_chunk_id AS chunk_id, 1.0 AS similarity_score, 'cache' AS source
+  FROM resolved WHERE resolved
+  UNION ALL
+  SELECT best.query_id, r.normalized_query, best.chunk_id, round(best.trigram_score, 6), 'search'
+  FROM best JOIN resolved r USING (query_id))
+SELECT a.*, c.video_id, c.title, c.text AS chunk_text, 0 AS timestamp
+FROM answers a JOIN c USING (chunk_id)""")
 def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Incoming batch: cache hits answered from the table, the rest searched (hybrid)."""
+    """Incoming batch: cache hits answered from the table (score 1.0), the rest searched
+    (hybrid); both returned as full results (video, title, chunk text, timestamp)."""
     res, chunks = _resolved(spark, sf)
     hits = res.where("resolved").select(
         "query_id", "normalized_query", F.col("cached_chunk_id").alias("chunk_id"),
@@ -132,7 +136,13 @@ def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
     best = HY.hybrid_best(tri, vec).join(misses.select("query_id", "normalized_query"), "query_id")
     found = best.select("query_id", "normalized_query", "chunk_id",
                         F.round("similarity_score", 6).alias("similarity_score"), F.lit("search").alias("source"))
-    return hits.unionByName(found)
+    answers = hits.unionByName(found)
+    payload = chunks.select("chunk_id", "video_id", F.col("text").alias("chunk_text"),
+                            F.floor(F.col("start_ms") / 1000).cast("int").alias("timestamp"))
+    titles = TD.document_videos(spark, sf).select("video_id", "title")
+    return answers.join(payload, "chunk_id").join(titles, "video_id").select(
+        "query_id", "normalized_query", "chunk_id", "similarity_score", "source", "video_id", "title",
+        "chunk_text", "timestamp")
 
 
 @register("popular_queries", "WITH " + LOG_SQL + ", r AS (" + _rollup_sql("nlog") + """)
