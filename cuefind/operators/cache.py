@@ -52,11 +52,13 @@ def cache_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
     return out.withColumn("hit", F.col("cached_chunk_id").isNotNull())
 
 
-def cache_resolve(lookup: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Resolve cached chunk ids against the chunk table; a dangling id is a miss."""
-    c = chunks.select(F.col("chunk_id").alias("cached_chunk_id"), F.lit(True).alias("exists"))
+def cache_resolve(lookup: DataFrame, chunks: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+    """Resolve cached chunk ids against the chunk table; a dangling id is a miss. A resolved
+    row carries the chunk ``payload`` columns and the cached score 1.0."""
+    c = chunks.select(F.col("chunk_id").alias("cached_chunk_id"), *payload, F.lit(True).alias("exists"))
     out = lookup.join(c, "cached_chunk_id", "left")
-    return out.withColumn("resolved", F.coalesce(F.col("exists"), F.lit(False))).drop("exists")
+    out = out.withColumn("resolved", F.coalesce(F.col("exists"), F.lit(False))).drop("exists")
+    return out.withColumn("similarity_score", F.when(F.col("resolved"), F.lit(CACHED_SCORE)))
 
 
 def popular_queries(cache: DataFrame, k: int = 10) -> DataFrame:

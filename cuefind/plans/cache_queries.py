@@ -45,9 +45,11 @@ incoming AS (SELECT normalized_query, arg_min(event_id, event_id) AS query_id,
              FROM recent GROUP BY normalized_query),
 lookup AS (SELECT i.*, ca.chunk_id AS cached_chunk_id, ca.chunk_id IS NOT NULL AS hit
            FROM incoming i LEFT JOIN cache ca USING (normalized_query)),
-corpus_ids AS (SELECT {D.chunk_id('d.doc_id')} AS chunk_id
+corpus_ids AS (SELECT {D.chunk_id('d.doc_id')} AS chunk_id, {D.doc_video_id('d.doc_id')} AS video_id,
+                      d.text AS chunk_text
                FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
-resolved AS (SELECT l.*, k.chunk_id IS NOT NULL AS resolved
+resolved AS (SELECT l.*, k.chunk_id IS NOT NULL AS resolved, k.video_id, k.chunk_text,
+                    CASE WHEN k.chunk_id IS NOT NULL THEN 1.0 END AS similarity_score
              FROM lookup l LEFT JOIN corpus_ids k ON k.chunk_id = l.cached_chunk_id)"""
 
 
@@ -99,14 +101,17 @@ def _resolved(spark: SparkSession, sf: str):
     _, hist, recent = _log(spark, sf)
     chunks = TD.document_corpus(spark, sf, with_vectors=True)
     lk = CA.cache_lookup(_incoming(recent), CA.cache_rollup(hist))
-    return CA.cache_resolve(lk, chunks.select("chunk_id")), chunks
+    payload = chunks.select("chunk_id", "video_id", F.col("text").alias("chunk_text"))
+    return CA.cache_resolve(lk, payload, ("video_id", "chunk_text")), chunks
 
 
 @register("cache_resolve", "WITH " + CACHE_SQL +
-          " SELECT query_id, normalized_query, cached_chunk_id, resolved FROM resolved")
+          " SELECT query_id, normalized_query, cached_chunk_id, resolved, video_id, chunk_text, similarity_score"
+          " FROM resolved")
 def q_cache_resolve(spark: SparkSession, sf: str) -> DataFrame:
     res, _ = _resolved(spark, sf)
-    return res.select("query_id", "normalized_query", "cached_chunk_id", "resolved")
+    return res.select("query_id", "normalized_query", "cached_chunk_id", "resolved", "video_id", "chunk_text",
+                      "similarity_score")
 
 
 _MISS_Q = """SELECT r.query_id, r.query, e.embedding FROM resolved r
