@@ -197,7 +197,7 @@ def q_hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
 
 _HYBRID_BEST_SQL = "WITH " + _DOC_CORPUS_SQL + f"""
 SELECT best.query_id, c.video_id, c.title, {D.WATCH} || c.video_id AS video_url,
-       best.chunk_id, 0 AS timestamp, round(best.trigram_score, 6) AS similarity_score, best.is_common,
+       best.chunk_id, c.text AS chunk_text, 0 AS timestamp, round(best.trigram_score, 6) AS similarity_score, best.is_common,
        {D.WATCH} || c.video_id || '&t=0' AS link,
        'https://www.youtube.com/embed/' || c.video_id || '?start=0' AS embed_url,
        'https://img.youtube.com/vi/' || c.video_id || '/hqdefault.jpg' AS thumbnail_url
@@ -216,5 +216,5 @@ def q_hybrid_best(spark: SparkSession, sf: str) -> DataFrame:
     shaped = result_links(shaped)
     return shaped.select(
         "query_id", "video_id", "title", "video_url",
-        "chunk_id", "timestamp", F.round("similarity_score", 6).alias("similarity_score"), "is_common",
+        "chunk_id", "chunk_text", "timestamp", F.round("similarity_score", 6).alias("similarity_score"), "is_common",
         "link", "embed_url", "thumbnail_url")
