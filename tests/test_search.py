@@ -131,7 +131,7 @@ def test_vector_query_groups(spark, monkeypatch):
 def test_fused_sides_equal_separate_plans(spark):
     import random
     rng = random.Random(7)
-    words = ["quote", "bomba", "kapitan", "laser", "gniew", "dzida", "x1", "zz"]
+    words = ["quote", "rocket", "captain", "laser", "anger", "spear", "x1", "zz"]
     rows = []
     for i in range(60):
         text = None if i % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
@@ -146,7 +146,7 @@ def test_fused_sides_equal_separate_plans(spark):
     df = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>")
     chunks = df.select("chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
     queries = spark.createDataFrame(
-        [(1, "kapitan bomba", [0.5, 0.5, 0.1]), (2, "laser dzida", None), (3, "", [0.0, 1.0, 0.0])],
+        [(1, "captain rocket", [0.5, 0.5, 0.1]), (2, "laser spear", None), (3, "", [0.0, 1.0, 0.0])],
         "query_id long, query string, embedding array<float>")
     f_tri, f_vec = HY.fused_sides(chunks, queries, 5)
     s_tri = TR.trigram_topk(chunks, queries, 5)
@@ -170,12 +170,12 @@ def test_trigram_payload_both_plans(spark):
 def test_search_by_text_uses_the_provider_for_queries(spark):
     from cuefind.operators import embed as EM
     provider = EM.hashed_trigram_provider(16)
-    texts = ["kapitan bomba leci", "laserowy gniew dzidy", "galaktyczne lektury", "bomba bomba"]
+    texts = ["captain rocket flies", "laser anger spear", "galactic readings", "rocket rocket"]
     raw = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
     vecs = EM.embed_texts(raw, provider)
     chunks = raw.join(vecs, "chunk_id").select(
         "chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
-    queries = spark.createDataFrame([(1, "Laserowy gniew dzidy"), (2, "lektury")], "query_id long, query string")
+    queries = spark.createDataFrame([(1, "Laser anger spear"), (2, "readings")], "query_id long, query string")
     best = {r.query_id: (r.chunk_id, r.is_common) for r in HY.search_by_text(chunks, queries, provider).collect()}
     assert best[1] == ("c1", True)       # same text: trigram rank 1 and vector rank 1
     assert best[2][0] == "c2"
