@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import quality_rules, splitters, warc_store
+from cuefind.llm import bpe, packing, quality_rules, splitters, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -29,6 +29,21 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard_table(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@_query
+def op9_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "source", "text"), with_ids=False)
+
+
+@_query
+def op10_token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_spans.attribute(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_query
 def op8_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = scratch_path(spark, "warc")
