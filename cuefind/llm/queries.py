@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bpe, packing, quality_rules, splitters, token_spans, warc_store
+from cuefind.llm import bpe, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_query
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard_table(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -51,6 +56,30 @@ def op8_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archive_table(spark, archive)
 
 
+ORACLE["op3_block_anchors"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS s FROM p WHERE i + 19 <= len(w)
+), r AS (
+  SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1 AS again FROM g
+), c AS (
+  SELECT p.doc_id, p.i, p.w[p.i] AS word,
+         coalesce(max(CASE WHEN r.again THEN 1 ELSE 0 END)
+           OVER (PARTITION BY p.doc_id ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 0) = 1 AS gone
+  FROM p LEFT JOIN r USING (doc_id, i)
+), k AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM c GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 ORACLE["op8_warc_store"] = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
