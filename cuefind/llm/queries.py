@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bpe, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
+from cuefind.llm import bpe, lsh_forest, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -34,6 +34,11 @@ def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard_table(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 @_query
 def op7_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -80,6 +85,31 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+ORACLE["op6_lsh_forest"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ')
+         ELSE array_to_string(w[i:i + 4], ' ') END AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id
+), c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE common >= 0.8 * (a.size + b.size - common)
+), r AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents
+  UNION
+  SELECT r.x, l.y FROM r JOIN l ON l.x = r.y
+), k AS (
+  SELECT x AS doc_id, min(y) AS class_id FROM r GROUP BY x
+)
+SELECT k.doc_id, k.class_id, (SELECT count(*) FROM l WHERE l.x = k.doc_id) AS n_links FROM k
+"""
+
 ORACLE["op8_warc_store"] = """
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
