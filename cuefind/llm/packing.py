@@ -23,48 +23,114 @@ from __future__ import annotations
 
 import functools
 import itertools
+import os
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cuefind.llm.bpe import vocabulary_path
+from cuefind.llm.bpe import CACHE_CHARS, byte_chars, vocabulary_path
 from cuefind.llm.common import in_arrow, materialise, salted_join, text_slices
 
 SEQUENCE = 4096
 END_ID = 2
 WINDOW_SEQUENCES = 64
-_CACHE_WORDS = 1 << 17
+_CACHE_WORDS = 1 << 18
+_SLICE_BYTES = 8 << 20
+#: One mark after a word, and a word of Latin letters with at most one such mark.
+_MARKS = ".,;:!?"
+_PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, remembered per word: its splitting never joins what blanks
-    and line breaks part, so a text's ids are those of its parts in a row."""
+    """Ids by the tokenizers library, once per distinct word of a slice.
+
+    The vocabulary's splitting never joins what blanks and line breaks part, so a text's ids are
+    those of its parts in a row. A part of Latin letters and at most one mark after them is lower-cased
+    and merged by the library's model alone; every other part takes the library's whole way.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.words: dict[str, tuple[int, ...]] = {"": ()}
-        self.width = 2 if self.model.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")        # Spark runs one task per core
+        self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        self.model = self.full.model
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.known_others: dict[str, tuple[int, ...]] = {}
+        self.kind = np.uint16 if self.full.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32
+        shown = {b: c for c, b in byte_chars().items()}
+        self.latin = str.maketrans({chr(x): "".join(shown[b] for b in chr(x).encode()) for x in range(0xC0, 0x100)})
+        self.marks = {m: self.full.encode(m, add_special_tokens=False).ids for m in _MARKS}
+
+    def _stems(self, stems: list[str]) -> list[tuple[int, ...]]:
+        known, out = self.known, []
+        if len(known) > _CACHE_WORDS:
+            known.clear()
+        for w in stems:
+            ids = known.get(w)
+            if ids is None:
+                ids = known[w] = tuple([t.id for t in self.model.tokenize(w.translate(self.latin))])
+            out.append(ids)
+        return out
+
+    def _others(self, parts: list[str]) -> list[tuple[int, ...]]:
+        known = self.known_others
+        if len(known) > _CACHE_WORDS:
+            known.clear()
+        new = [w for w in parts if w not in known]
+        found = dict(zip(new, (tuple(e.ids) for e in self.full.encode_batch_fast(new, add_special_tokens=False))))
+        known.update((w, ids) for w, ids in found.items() if len(w) <= CACHE_CHARS)
+        return [found[w] if w in found else known[w] for w in parts]
+
+    def _parts(self, vocab: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all distinct parts, flat, and where each part's begin."""
+        plain = pc.match_substring_regex(vocab, _PLAIN).to_numpy(zero_copy_only=False)
+        size = np.zeros(len(vocab), np.int64)
+        rest = np.flatnonzero(~plain)
+        others = self._others(vocab.take(pa.array(rest)).to_pylist())
+        size[rest] = [len(x) for x in others]
+        words = vocab.take(pa.array(np.flatnonzero(plain)))
+        coded = pc.utf8_lower(pc.utf8_rtrim(words, characters=_MARKS)).dictionary_encode()
+        stem = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        ids = self._stems(coded.dictionary.to_pylist())
+        length = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), self.kind, int(length.sum()))
+        last = pc.utf8_slice_codeunits(words, start=-1)
+        mark = pc.index_in(last, value_set=pa.array(list(_MARKS))).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        mark_ids = np.array([self.marks[m][0] for m in _MARKS], self.kind)
+        size[plain] = length[stem] + (mark >= 0)
+        start = np.concatenate([[0], np.cumsum(size)])
+        out = np.zeros(int(start[-1]), self.kind)
+        at = start[:-1][plain]
+        out[_spread(at, length[stem])] = flat[_spread((np.cumsum(length) - length)[stem], length[stem])]
+        out[at[mark >= 0] + length[stem][mark >= 0]] = mark_ids[mark[mark >= 0]]
+        out[_spread(start[:-1][rest], size[rest])] = np.fromiter(itertools.chain.from_iterable(others), self.kind, int(size[rest].sum()))
+        return out, start
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text and the end id, as the narrowest integers."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.words) > _CACHE_WORDS:
-            self.words = {"": ()}
-        new = list(set(itertools.chain.from_iterable(parts)).difference(self.words))
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for word, e in zip(some, self.model.encode_batch(some, add_special_tokens=False)):
-                self.words[word] = tuple(e.ids)
-        kind = np.uint16 if self.width == 2 else np.uint32
-        get = self.words.__getitem__
-        return [np.fromiter(itertools.chain(itertools.chain.from_iterable(map(get, p)), (END_ID,)), kind) for p in parts]
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        docs = parts.offsets.to_numpy().astype(np.int64)
+        docs = docs - docs[0]
+        coded = parts.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, start = self._parts(coded.dictionary)
+        size = np.diff(start)[codes]
+        ids = flat[_spread(start[:-1][codes], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])[docs]
+        end = np.array([END_ID], self.kind)
+        return [np.concatenate([ids[a:b], end]) for a, b in zip(ends[:-1], ends[1:])]
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i], ..., start[i] + size[i] - 1 of all i in a row."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 @functools.lru_cache(maxsize=2)
@@ -79,11 +145,11 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str, text_col: str, sour
 
     def kernel(batches):
         t = _tokenizer(vocabulary_path(vocabulary))
-        for rb in text_slices(batches, "text"):
-            ids = t.encode(rb.column("text").to_pylist())
+        for rb in text_slices(batches, "text", _SLICE_BYTES):
+            ids = t.encode(rb.column("text"))
             yield pa.RecordBatch.from_arrays(
                 [rb.column("doc_id"), rb.column("source"), pa.array([len(x) for x in ids], pa.int64()),
-                 pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(np.full(len(ids), t.width, np.int32))],
+                 pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(np.full(len(ids), np.dtype(t.kind).itemsize, np.int32))],
                 ["doc_id", "source", "doc_tokens", "ids", "width"])
 
     kind = source.schema["doc_id"].dataType.simpleString()
