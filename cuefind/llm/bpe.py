@@ -25,11 +25,14 @@ import hashlib
 import itertools
 import json
 import re
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cuefind.llm.common import in_arrow, text_slices
+from cuefind.llm.common import in_arrow, segment_sum, text_slices
 
 #: Fixed value: how byte-level BPE splits text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -37,9 +40,14 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _WHITE = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: White space other than one blank between two words.
 GAP = re.compile(f"( ?[{_WHITE}][ {_WHITE}]*| {{2,}}[{_WHITE}]?[ {_WHITE}]*)")
+#: One mark after a word, and a word of Latin letters with at most one such mark.
+_MARKS = ".,;:!?"
+_PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"
 #: Words that a worker remembers, and the longest word worth remembering.
-CACHE_WORDS = 1 << 18
+CACHE_WORDS = 1 << 19
 CACHE_CHARS = 64
+#: Text bytes that are cut into words at a time: a word that repeats in them is looked up once.
+SLICE_BYTES = 8 << 20
 
 
 def byte_chars() -> dict[str, int]:
@@ -51,22 +59,67 @@ def byte_chars() -> dict[str, int]:
 
 
 class Memo:
-    """What a worker remembers per word, with and without a blank before it (bounded)."""
-
-    def __init__(self, make):
-        self.make = make                        # from the pattern's words to what is remembered
-        self.plain: dict[str, object] = {}
-        self.spaced: dict[str, object] = {}
-
-    def put(self, known: dict, key: str, words: list[str]):
-        value = self.make(words)
-        if len(key) <= CACHE_CHARS:
-            if len(known) >= CACHE_WORDS:
-                known.clear()
-            known[key] = value
+    """What a worker remembers per word, with the blank before it if there is one (bounded)."""
+
+    def __init__(self, codec: Codec, make):
+        self.codec, self.make = codec, make         # make: from a run of the pattern's words
+        self.known: dict[str, object] = {}
+
+    def __call__(self, chunk: str):
+        value = self.known.get(chunk)
+        if value is None:
+            value = self.make(self.codec.find(chunk))
+            if len(chunk) <= CACHE_CHARS:
+                if len(self.known) >= CACHE_WORDS:
+                    self.known.clear()
+                self.known[chunk] = value
         return value
 
 
+@dataclass
+class Chunks:
+    """Texts cut before each blank, and before a mark after Latin letters. Where a single blank parts
+    two words it always starts the next word of the pattern, so a text's tokens are those of its chunks: ``chunk[codes]``, text i at
+    ``start[i]:start[i+1]``. Texts with other blanks are ``odd``: they have no codes here."""
+
+    codes: np.ndarray
+    start: np.ndarray
+    chunk: list[str]
+    odd: np.ndarray
+
+
+def split_chunks(texts: pa.Array) -> Chunks:
+    parts = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    coded = parts.flatten().dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    vocab = coded.dictionary
+    bad = pc.match_substring_regex(vocab, f"^$|^[{_WHITE}]|[{_WHITE}]$").to_numpy(zero_copy_only=False)[codes]
+    odd = segment_sum(bad.astype(np.int64), offsets) > 0
+    size = np.diff(offsets)
+    first = np.zeros(len(codes), np.int64)
+    first[offsets[:-1]] = 1
+    key, codes = np.unique((codes * 2 + first)[np.repeat(~odd, size)], return_inverse=True)
+    blank = pa.array([" ", ""]).take(pa.array(key % 2))
+    chunk = pc.binary_join_element_wise(blank, vocab.take(pa.array(key // 2)), "")
+    # letters and a mark after them are two words of the pattern
+    plain = pc.match_substring_regex(chunk, _PLAIN)
+    stem = pc.if_else(plain, pc.utf8_rtrim(chunk, characters=_MARKS), chunk)
+    mark = pc.if_else(plain, pc.index_in(pc.utf8_slice_codeunits(chunk, start=-1), value_set=pa.array(list(_MARKS))), -1)
+    mark = pc.fill_null(mark, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = stem.dictionary_encode()
+    stem = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    pieces = coded.dictionary.to_pylist()
+    two = (mark >= 0)[codes]
+    at = np.cumsum(1 + two) - 1 - two
+    out = np.empty(len(codes) + int(two.sum()), np.int64)
+    out[at] = stem[codes]
+    out[at[two] + 1] = len(pieces) + mark[codes[two]]
+    start = np.concatenate([[0], np.cumsum(1 + two)])[np.concatenate([[0], np.cumsum(np.where(odd, 0, size))])]
+    return Chunks(out, start, pieces + list(_MARKS), odd)
+
+
 class Codec:
     """Encoder and decoder for one byte-level BPE vocabulary file."""
 
@@ -96,8 +149,7 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.special.items()}
         self._compatible: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.memo = Memo(lambda words: tuple(itertools.chain.from_iterable(map(self.word_ids, words))))
+        self.memo = Memo(self, self.ids_of)
         self.find = regex.compile(PATTERN).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") \
             if self.special else None
@@ -133,7 +185,7 @@ class Codec:
     def compatible(self, a: int, b: int) -> bool:
         """Do the merges of the two tokens' bytes lead to just these two tokens? They do unless
         a merge across the seam comes up before both of its sides have merged inwards."""
-        if len(self._compatible) > 8 * CACHE_WORDS:
+        if len(self._compatible) > 2 * CACHE_WORDS:
             self._compatible.clear()
         right, left, i, j, found = self._edge(a, 1), self._edge(b, 0), 0, 0, True
         while True:
@@ -175,15 +227,11 @@ class Codec:
         out.reverse()
         return tuple(out)
 
-    def word_ids(self, word: str) -> tuple[int, ...]:
-        ids = self.known.get(word)
-        if ids is None:
-            ids = self.encode_word(word)
-            if len(word) <= CACHE_CHARS:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = ids
-        return ids
+    def ids_of(self, words: list[str]) -> tuple[int, ...]:
+        """Ids of a run of the pattern's words."""
+        if len(words) == 1:
+            return self.encode_word(words[0])
+        return tuple(itertools.chain.from_iterable(map(self.encode_word, words)))
 
     def pieces(self, text: str):
         """The text cut at special tokens: (part, its id or None)."""
@@ -191,34 +239,30 @@ class Codec:
             if part:
                 yield part, self.special.get(part)
 
+    def value(self, chunk: str, memo: Memo, special) -> list:
+        """What ``memo`` has for one chunk (more than one value only where special tokens are in it)."""
+        if self.cut is None or not any(s in chunk for s in self.special):
+            return [memo(chunk)]
+        return [special(part, token) if token is not None else memo(part) for part, token in self.pieces(chunk)]
+
     def walk(self, text: str, memo: Memo, special) -> list:
-        """What ``memo`` has for the words of a text, in order. A single blank between two words
-        always starts the next word of the pattern, so a text falls into independent parts there;
-        only other gaps need the pattern's look-ahead."""
+        """What ``memo`` has for the words of any text, in order: gaps other than one blank between two
+        words take the pattern's look-ahead."""
         values: list = []
-        plain, spaced = memo.plain, memo.spaced
-        get = spaced.get
         for part, token in self.pieces(text):
             if token is not None:
                 values.append(special(part, token))
                 continue
-            bits, blank = GAP.split(part), False
+            bits, blank = GAP.split(part), ""
             for k in range(0, len(bits), 2):
                 if bits[k]:
-                    words = bits[k].split(" ")
-                    head = words.pop(0)
-                    if blank:
-                        words.insert(0, head)
-                    elif head:
-                        value = plain.get(head)
-                        values.append(value if value is not None else memo.put(plain, head, self.find(head)))
-                    for word in words:
-                        value = get(word)
-                        values.append(value if value is not None else memo.put(spaced, word, self.find(" " + word)))
+                    head, *words = bits[k].split(" ")
+                    values += [memo(blank + head)] if blank + head else []
+                    values += [memo(" " + w) for w in words]
                 if k + 1 < len(bits):
                     ending = k + 3 == len(bits) and not bits[k + 2]
                     found = self.find(bits[k + 1] + ("" if ending else "x"))
-                    blank = not ending and found[-1] != "x"
+                    blank = "" if ending or found[-1] == "x" else " "
                     values.append(memo.make(found if ending else found[:-1]))
         return values
 
@@ -269,24 +313,42 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", *, id_col:
     return in_arrow(source, kernel, f"doc_id {source.schema[id_col].dataType.simpleString()}, text string")
 
 
+def _digest_memo(c: Codec) -> Memo:
+    """Per word: number of tokens, their ids in decimal, and the bytes that the ids decode to."""
+    def make(words):
+        ids = c.ids_of(words)
+        return len(ids), ",".join([c.decimal[i] for i in ids]), b"".join([c.bytes_of[i] for i in ids])
+    return Memo(c, make)
+
+
+def _digests(c: Codec, memo: Memo, texts: pa.Array) -> tuple[np.ndarray, list[str], list[str]]:
+    special = lambda _, i: (1, c.decimal[i], c.bytes_of[i])
+    merged = lambda v: v[0] if len(v) == 1 else (sum(x[0] for x in v), ",".join(x[1] for x in v if x[0]), b"".join(x[2] for x in v))
+    ch = split_chunks(texts)
+    values = [merged(c.value(x, memo, special)) for x in ch.chunk] or [(0, "", b"")]
+    count, decimal, data = zip(*values)
+    n = segment_sum(np.array(count, np.int64)[ch.codes], ch.start)
+    offsets, pick = pa.array(ch.start, pa.int32()), pa.array(ch.codes)
+    ids = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(decimal).take(pick)), ",").to_pylist()
+    back = pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(data, pa.binary()).take(pick)), b"").to_pylist()
+    for i in np.flatnonzero(ch.odd):
+        n[i], ids[i], back[i] = merged(c.walk(texts[i].as_py() or "", memo, special) or [(0, "", b"")])
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    return n, [sha(x.encode()) for x in ids], [sha(x.decode("utf-8", errors="replace").encode()) for x in back]
+
+
 def digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", *, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """The digest rows of ``op7``: both ways in one pass, so that no id list leaves the task."""
     source = docs.select(id_col, text_col)
-    sha = lambda data: hashlib.sha256(data).hexdigest()
 
     def kernel(batches):
         c = codec(vocabulary_path(vocabulary))
-        for rb in text_slices(batches, text_col):
-            n, ids_sha, text_sha = [], [], []
-            for text in rb.column(text_col).to_pylist():
-                ids = c.encode(text or "")
-                n.append(len(ids))
-                ids_sha.append(sha(",".join(map(c.decimal.__getitem__, ids)).encode()))
-                text_sha.append(sha(c.decode(ids).encode()))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(id_col), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        memo = _digest_memo(c)
+        for rb in text_slices(batches, text_col, SLICE_BYTES):
+            n, ids, back = _digests(c, memo, rb.column(text_col))
+            yield pa.RecordBatch.from_arrays([rb.column(id_col), pa.array(n), pa.array(ids), pa.array(back)],
+                                             ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return in_arrow(source, kernel, f"doc_id {source.schema[id_col].dataType.simpleString()}, n_tokens long, "
                                     "ids_sha256 string, decoded_sha256 string")

@@ -93,6 +93,11 @@ def segment_sum(values: np.ndarray, start: np.ndarray) -> np.ndarray:
     return total[start[1:]] - total[start[:-1]]
 
 
+def spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start[i], ..., start[i] + size[i] - 1 of all i in a row."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
 def split_words(texts: pa.Array) -> Words:
     """Words of each text (a null text has none)."""
     parts = pc.split_pattern_regex(pc.fill_null(texts.cast(pa.string()), ""), pattern=WORD_GAP)

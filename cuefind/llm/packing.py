@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cuefind.llm.bpe import CACHE_CHARS, byte_chars, vocabulary_path
-from cuefind.llm.common import in_arrow, materialise, salted_join, text_slices
+from cuefind.llm.common import in_arrow, materialise, salted_join, spread, text_slices
 
 SEQUENCE = 4096
 END_ID = 2
@@ -108,9 +108,9 @@ class WordTokenizer:
         start = np.concatenate([[0], np.cumsum(size)])
         out = np.zeros(int(start[-1]), self.kind)
         at = start[:-1][plain]
-        out[_spread(at, length[stem])] = flat[_spread((np.cumsum(length) - length)[stem], length[stem])]
+        out[spread(at, length[stem])] = flat[spread((np.cumsum(length) - length)[stem], length[stem])]
         out[at[mark >= 0] + length[stem][mark >= 0]] = mark_ids[mark[mark >= 0]]
-        out[_spread(start[:-1][rest], size[rest])] = np.fromiter(itertools.chain.from_iterable(others), self.kind, int(size[rest].sum()))
+        out[spread(start[:-1][rest], size[rest])] = np.fromiter(itertools.chain.from_iterable(others), self.kind, int(size[rest].sum()))
         return out, start
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
@@ -122,17 +122,12 @@ class WordTokenizer:
         codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         flat, start = self._parts(coded.dictionary)
         size = np.diff(start)[codes]
-        ids = flat[_spread(start[:-1][codes], size)]
+        ids = flat[spread(start[:-1][codes], size)]
         ends = np.concatenate([[0], np.cumsum(size)])[docs]
         end = np.array([END_ID], self.kind)
         return [np.concatenate([ids[a:b], end]) for a, b in zip(ends[:-1], ends[1:])]
 
 
-def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The places start[i], ..., start[i] + size[i] - 1 of all i in a row."""
-    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-
-
 @functools.lru_cache(maxsize=2)
 def _tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)

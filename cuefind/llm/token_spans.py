@@ -22,44 +22,76 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from cuefind.llm.bpe import Codec, Memo, codec, vocabulary_path
-from cuefind.llm.common import in_arrow, text_slices
+from cuefind.llm.bpe import SLICE_BYTES, Codec, Memo, codec, split_chunks, vocabulary_path
+from cuefind.llm.common import in_arrow, spread, text_slices
 
 
 def _spans(c: Codec, words: list[str]) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     """Characters of some words of the pattern in a row; first and end character of each token."""
     text = "".join(words)
-    size = np.array([c.size[i] for w in words for i in c.word_ids(w)], np.int64)
-    end = np.cumsum(size)
-    char = np.repeat(np.arange(len(text)), [len(ch.encode()) for ch in text]) if not text.isascii() else np.arange(len(text))
-    return len(text), tuple(char[end - size].tolist()), tuple((char[end - 1] + 1).tolist())
+    stops = list(itertools.accumulate([c.size[i] for i in c.ids_of(words)], initial=0))
+    if text.isascii():
+        return len(text), tuple(stops[:-1]), tuple(stops[1:])
+    char = [k for k, ch in enumerate(text) for _ in ch.encode()]          # of each byte
+    return len(text), tuple([char[b] for b in stops[:-1]]), tuple([char[b - 1] + 1 for b in stops[1:]])
 
 
 def span_memo(c: Codec) -> Memo:
-    return Memo(lambda words: _spans(c, words))
-
-
-def token_spans(c: Codec, text: str, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
-    """Character spans of all tokens of a text, in order."""
-    values = c.walk(text, memo, lambda part, _: (len(part), (0,), (len(part),)))
-    if not values:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    chars, first, end = zip(*values)
-    tokens = np.fromiter(map(len, first), np.int64, len(first))
-    chars = np.array(chars, np.int64)
-    offset = np.repeat(np.cumsum(chars) - chars, tokens)
-    flat = itertools.chain.from_iterable
-    return offset + np.fromiter(flat(first), np.int64, len(offset)), offset + np.fromiter(flat(end), np.int64, len(offset))
-
-
-def line_sections(text: str) -> list[tuple[int, int]]:
-    """Spans of the lines, each with its line break."""
-    ends = [i + 1 for i, ch in enumerate(text) if ch == "\n"] if "\n" in text else []
-    if text and (not ends or ends[-1] < len(text)):
-        ends.append(len(text))
-    return list(zip([0, *ends], ends))
+    return Memo(c, lambda words: _spans(c, words))
+
+
+def _special(part: str, _: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    return len(part), (0,), (len(part),)
+
+
+def _joined(values: list) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """Spans of several runs of words in a row."""
+    if len(values) == 1:
+        return values[0]
+    at, first, end = 0, [], []
+    for chars, f, e in values:
+        first += [at + x for x in f]
+        end += [at + x for x in e]
+        at += chars
+    return at, tuple(first), tuple(end)
+
+
+def token_spans(c: Codec, memo: Memo, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Character spans of the tokens of all texts, in order, and where each text's tokens begin."""
+    ch = split_chunks(texts)
+    values = [_joined(c.value(x, memo, _special)) for x in ch.chunk]
+    odd = {int(i): _joined(c.walk(texts[int(i)].as_py() or "", memo, _special)) for i in np.flatnonzero(ch.odd)}
+    values += odd.values()                              # an odd text is one chunk of its own
+    codes, at = np.insert(ch.codes, ch.start[list(odd)], len(ch.chunk) + np.arange(len(odd))), np.where(ch.odd, 1, np.diff(ch.start))
+    start = np.concatenate([[0], np.cumsum(at)])
+    chars, first, end = zip(*values) if values else ((), (), ())
+    chars, size = np.array(chars, np.int64)[codes], np.fromiter(map(len, first), np.int64, len(first))
+    flat = lambda x: np.fromiter(itertools.chain.from_iterable(x), np.int64, int(size.sum()))
+    base = np.cumsum(chars) - chars
+    base -= np.repeat(base[np.minimum(start[:-1], max(len(base) - 1, 0))], at) if len(base) else base
+    pick = spread((np.cumsum(size) - size)[codes], size[codes])
+    base = np.repeat(base, size[codes])
+    tokens = np.concatenate([[0], np.cumsum(size[codes])])[start]
+    return base + flat(first)[pick], base + flat(end)[pick], tokens
+
+
+def line_sections(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of the lines of all texts, each with its line break, and where each text's lines begin."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    offsets = parts.offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    size = pc.utf8_length(parts.flatten()).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    last = np.zeros(len(size), bool)
+    last[offsets[1:] - 1] = True
+    size -= last                                        # no break after the last line
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    end = np.cumsum(size)
+    end -= np.concatenate([[0], end])[offsets[:-1]][owner]
+    real = size > 0                                     # nothing after a final break is no line
+    return np.column_stack([end - size, end])[real], np.concatenate([[0], np.cumsum(real)])[offsets]
 
 
 def allot(first: np.ndarray, end: np.ndarray, sections: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +102,8 @@ def allot(first: np.ndarray, end: np.ndarray, sections: np.ndarray) -> tuple[np.
     a = np.searchsorted(high, first, side="right")            # first section that reaches the token
     b = np.searchsorted(low, end, side="left") - 1            # last one that begins before its end
     section = np.where(a <= b, a, -1)
-    inside = (a == b) & (low[np.minimum(a, len(low) - 1)] <= first) & (end <= high[np.minimum(a, len(low) - 1)])
-    crossing = (a <= b) & ~inside
+    own = np.minimum(a, len(low) - 1)
+    crossing = (a <= b) & ~((a == b) & (low[own] <= first) & (end <= high[own]))
     for t in np.flatnonzero(a < b):                           # a token's few sections
         near = np.arange(a[t], b[t] + 1)
         shared = np.minimum(high[near], end[t]) - np.maximum(low[near], first[t])
@@ -79,6 +111,32 @@ def allot(first: np.ndarray, end: np.ndarray, sections: np.ndarray) -> tuple[np.
     return section, crossing
 
 
+def counts(c: Codec, memo: Memo, texts: pa.Array, given: pa.Array | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (section, start, stop, tokens, crossing ones) of all texts, and the text of each row.
+    All texts lie on one line, one after another, so that one search joins all spans."""
+    first, end, tokens = token_spans(c, memo, texts)
+    if given is None:
+        spans, sections = line_sections(texts)
+    else:
+        each = [[(s["start"], s["stop"]) for s in x or ()] for x in given.to_pylist()]
+        sections = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        spans = np.array(list(itertools.chain.from_iterable(each)), np.int64).reshape(-1, 2)
+    n = len(texts)
+    length = pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    base = np.cumsum(length + 1) - length - 1
+    of_token, of_section = np.repeat(np.arange(n), np.diff(tokens)), np.repeat(np.arange(n), np.diff(sections))
+    where, crossing = allot(first + base[of_token], end + base[of_token], spans + base[of_section][:, None])
+    slot = np.where(where >= 0, n + where, of_token)          # a text's rest, then all sections
+    total = np.bincount(slot, minlength=n + len(spans))
+    crossed = np.bincount(slot[crossing], minlength=n + len(spans))
+    owner = np.concatenate([np.arange(n), of_section])
+    number = np.concatenate([np.full(n, -1), np.arange(len(spans)) - sections[of_section]])
+    place = np.concatenate([np.full((n, 2), -1), spans])
+    keep = np.r_[total[:n] > 0, np.ones(len(spans), bool)]
+    order = np.flatnonzero(keep)[np.lexsort((number[keep], owner[keep]))]
+    return np.column_stack([number, place, total, crossed])[order], owner[order]
+
+
 def attribute(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", *, id_col: str = "doc_id",
               text_col: str = "text", sections_col: str | None = None) -> DataFrame:
     """``doc_id, section, start, stop, n_tokens, n_crossing`` per section of every document.
@@ -91,25 +149,10 @@ def attribute(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", *, id_col:
     def kernel(batches):
         c = codec(vocabulary_path(vocabulary))
         memo = span_memo(c)
-        for rb in text_slices(batches, text_col):
-            texts = rb.column(text_col).to_pylist()
-            given = rb.column(sections_col).to_pylist() if sections_col else [None] * len(texts)
-            rows, out = [], []
-            for row, (text, spans) in enumerate(zip(texts, given)):
-                text = text or ""
-                spans = [(s["start"], s["stop"]) for s in spans or ()] if sections_col else line_sections(text)
-                spans = np.array(spans, np.int64).reshape(-1, 2)
-                first, end = token_spans(c, text, memo)
-                section, crossing = allot(first, end, spans)
-                n = np.bincount(section + 1, minlength=len(spans) + 1)
-                x = np.bincount(section[crossing] + 1, minlength=len(spans) + 1)
-                table = np.column_stack([np.arange(-1, len(spans)), np.r_[[[-1, -1]], spans], n, x])
-                table = table if n[0] else table[1:]
-                rows.append(np.full(len(table), row))
-                out.append(table)
-            table = np.concatenate(out)
+        for rb in text_slices(batches, text_col, SLICE_BYTES):
+            rows, owner = counts(c, memo, rb.column(text_col), rb.column(sections_col) if sections_col else None)
             yield pa.RecordBatch.from_arrays(
-                [rb.column(id_col).take(pa.array(np.concatenate(rows))), *(pa.array(table[:, k]) for k in range(5))],
+                [rb.column(id_col).take(pa.array(owner)), *(pa.array(rows[:, k]) for k in range(5))],
                 ["doc_id", "section", "start", "stop", "n_tokens", "n_crossing"])
 
     kind = source.schema[id_col].dataType.simpleString()
