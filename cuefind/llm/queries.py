@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bpe, lsh_forest, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
+from cuefind.llm import bpe, hilbert_ann, lsh_forest, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -24,6 +24,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op2_hilbert_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_ann.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), lambda i: i % 20 == 0, 20)
+
+
 @_query
 def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
