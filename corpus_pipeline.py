@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import quality_rules
+from cuefind.llm import lsh_forest, mil_classifier, packing, quality_rules, substring_dedup
+from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
 
@@ -17,8 +18,35 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return quality_rules.judge(docs)
 
 
+def classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier predicts to be good. It learns from the labelled documents of the
+    whole table: after the rules, hardly a bad example is left to learn from."""
+    model = mil_classifier.fit(table(spark, sf_dir, "documents", "doc_id", "text"),
+                               table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return mil_classifier.accept(docs, model)
+
+
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: the one with the smallest id."""
+    return lsh_forest.first_of_class(docs)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without word sequences that start earlier in the corpus (``n_chars`` follows)."""
+    return substring_dedup.clean(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4096 tokens."""
+    return packing.pack(docs, with_ids=False)
+
+
 STAGES = [
     ("quality rules", quality_rules_stage),
+    ("quality classifier", classifier_stage),
+    ("n-gram Jaccard join", near_duplicates_stage),
+    ("substring dedup", substring_stage),
+    ("packing", packing_stage),
 ]
 
 #: Posteriors, a trained model, MinHash and BPE are beyond SQL: the stages are tested against

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bpe, hilbert_ann, lsh_forest, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
+from cuefind.llm import bpe, hilbert_ann, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -34,6 +34,13 @@ def op3_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op4_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = mil_classifier.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+    return mil_classifier.rows(docs, model)
+
+
 @_query
 def op5_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitters.shard_table(table(spark, sf_dir, "documents", "doc_id", "text"))
