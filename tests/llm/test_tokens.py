@@ -1,0 +1,206 @@
+"""BPE, token spans and packing against the tokenizers library."""
+import hashlib
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from tokenizers import Tokenizer
+
+from cuefind.llm import bpe, packing, token_spans
+
+BYTE, WORDS = (bpe.vocabulary_path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rng = random.Random(0)
+    letters = "abcde theing\n\t  \r\x1c\x85\xa0 'sdréÀß漢字😀İß0123$%*&﷽́‍.,;:!?<|endoftext|>"
+    out = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    out += ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(1500)]
+    out += ["  a  b \n c", " a ", "a  ", "\n\nword\n \n  x ", "a b", "a 　 b", " 's", "  's", "x <|endoftext|> y",
+            "\n<|endoftext|>\n", "", "a" * 5000, " " * 3000, "$" * 777, "don't they'll", "abc" * 3000, "Word. word, Été! été?"]
+    out += ["".join(f"a{chr(c)}b {chr(c)}1 " for c in range(s, s + 64) if not 0xD800 <= c < 0xE000) for s in range(1, 0x3000, 64)]
+    return out
+
+
+def test_ids_are_exact(texts):
+    codec, library = bpe.codec(BYTE), Tokenizer.from_file(BYTE)
+    want = library.encode_batch(texts, add_special_tokens=False)
+    assert [codec.encode(t) for t in texts] == [w.ids for w in want]
+    assert [codec.decode(w.ids) for w in want] == [library.decode(w.ids, skip_special_tokens=False) for w in want]
+    assert codec.decode([codec.single[0xE9]]) == "�"
+
+
+def test_pairs_fit_as_the_merges_say():
+    codec = bpe.codec(BYTE)
+    for word in ("unbelievably", "  mississippi", "aaaaaaaaaaaa", "0000000", "tokenization"):
+        codec.encode_word(word)
+    for key, fits in list(codec._compatible.items())[:5000]:
+        a, b = key >> 32, key & 0xFFFFFFFF
+        assert fits == (codec._merged(codec.bytes_of[a] + codec.bytes_of[b]) == [a, b])
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 10)
+    codec = bpe.Codec(BYTE)
+    codec.encode(" ".join(f"w{k}" for k in range(100)) + " " + "z" * 1000)
+    assert len(codec.memo.known) <= 10 and max(map(len, codec.memo.known)) <= bpe.CACHE_CHARS
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        bpe.Codec(WORDS)
+
+
+def test_digest_rows(make_docs, texts, awkward):
+    library = Tokenizer.from_file(BYTE)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    pairs = awkward + list(enumerate(texts[:300], 100))
+    got = Counter(map(tuple, bpe.digests(make_docs(pairs)).collect()))
+    want = Counter()
+    for i, t in pairs:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want[i, len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))] += 1
+    assert got == want and bpe.digests(make_docs([])).count() == 0
+
+
+def test_columns_both_ways(make_docs, awkward):
+    docs = make_docs(awkward)
+    back = bpe.decode(bpe.encode(docs))
+    assert Counter(map(tuple, back.collect())) == Counter((i, t or "") for i, t in awkward)
+
+
+def test_spans_are_the_library_s(texts):
+    codec, library = bpe.codec(BYTE), Tokenizer.from_file(BYTE)
+    first, end, start = token_spans.token_spans(codec, token_spans.span_memo(codec), pa.array(texts))
+    for i, want in enumerate(library.encode_batch(texts, add_special_tokens=False)):
+        own = slice(start[i], start[i + 1])
+        assert list(zip(first[own].tolist(), end[own].tolist())) == want.offsets
+
+
+def span_model(text, sections):
+    """Each token to the section with most of its characters, the earlier one of equals."""
+    n, crossing = Counter(), Counter()
+    for a, b in Tokenizer.from_file(BYTE).encode(text, add_special_tokens=False).offsets:
+        shared = [min(b, e) - max(a, s) for s, e in sections]
+        best = max(range(len(sections)), key=lambda k: (shared[k], -k), default=-1)
+        best = best if best >= 0 and shared[best] > 0 else -1
+        n[best] += 1
+        crossing[best] += best >= 0 and shared[best] < b - a
+    return n, crossing
+
+
+def test_tokens_per_line(make_docs, awkward):
+    pairs = [(i, t) for i, t in awkward if i not in (10,)] + [(50, "ends with\n\n\n"), (51, "\n"), (52, "a\n\n  b \n c")]
+    got = {}
+    for r in token_spans.attribute(make_docs(pairs)).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    for i, t in pairs:
+        lines = (t or "").splitlines(keepends=True) if t and not set(t) & set("\r\x0b\x0c\x1c\x85 ") else None
+        if lines is None:
+            assert not t and i not in got
+            continue
+        ends = np.cumsum([len(x) for x in lines]).tolist()
+        sections = list(zip([0, *ends], ends))
+        n, crossing = span_model(t, sections)
+        rows = sorted(got.get(i, []), key=lambda r: r["section"])
+        assert [(r["start"], r["stop"]) for r in rows] == sections
+        assert [(r["n_tokens"], r["n_crossing"]) for r in rows] == [(n[k], crossing[k]) for k in range(len(sections))]
+
+
+def test_tokens_of_given_sections(spark):
+    text = "Title of it  and a body, then 漢字 rest"
+    spans = [(0, 5), (6, 14), (20, 31)]
+    rows = [(1, text, [{"start": a, "stop": b} for a, b in spans]), (2, None, None), (3, "none given", [])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, parts array<struct<start:int,stop:int>>")
+    got = token_spans.attribute(docs, sections_col="parts").collect()
+    n, crossing = span_model(text, spans)
+    assert {r["section"]: (r["n_tokens"], r["n_crossing"]) for r in got if r["doc_id"] == 1} == \
+        {k: (n[k], crossing[k] if k >= 0 else 0) for k in (-1, 0, 1, 2)}
+    assert [(r["section"], r["n_tokens"]) for r in got if r["doc_id"] == 3] == [(-1, 2)]
+    assert not [r for r in got if r["doc_id"] == 2]
+
+
+def test_word_ids_are_exact(texts):
+    own = packing.WordTokenizer(WORDS).encode(pa.array([*texts, None]))
+    want = Tokenizer.from_file(WORDS).encode_batch([*texts, ""], add_special_tokens=False)
+    assert [x.tolist() for x in own] == [[*w.ids, packing.END_ID] for w in want]
+
+
+def check_pieces(rows, pairs):
+    library = Tokenizer.from_file(WORDS)
+    ids = {}
+    for i, t in pairs:
+        ids.setdefault(i, []).append([*library.encode(t or "", add_special_tokens=False).ids, 2])
+    own = {}
+    for r in rows:
+        own.setdefault(r["doc_id"], []).append(r)
+    assert set(own) == set(ids)
+    for i, pieces in own.items():
+        full = ids[i][0]
+        copies = len(ids[i])
+        covered = Counter()
+        for r in pieces:
+            part = full[r["start"]:r["start"] + r["length"]]
+            assert len(part) == r["length"] > 0 and r["doc_tokens"] == len(full)
+            assert r["ids_crc32"] == zlib.crc32(np.array(part, "<u4").tobytes())
+            covered.update(range(r["start"], r["start"] + r["length"]))
+        assert covered == Counter({k: copies for k in range(len(full))})
+    by_seq = {}
+    for r in rows:
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for s, parts in by_seq.items():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == packing.SEQUENCE or s == max(by_seq)
+    assert sorted(by_seq) == list(range(len(by_seq)))
+
+
+def test_packing(make_docs, awkward, texts):
+    check_pieces(packing.pack(make_docs(awkward)).collect(), awkward)
+    pairs = list(enumerate(t for t in texts[:200]))
+    check_pieces(packing.pack(make_docs(pairs), with_ids=False).collect(), pairs)
+    assert packing.pack(make_docs([])).count() == 0
+
+
+def test_windows_keep_the_mixture(make_docs):
+    rng = random.Random(1)
+    pairs = [(i, "word " * rng.randrange(100, 900)) for i in range(3000)]
+    docs = make_docs(pairs).withColumn("source", __import__("pyspark.sql.functions", fromlist=["x"]).expr(
+        "case when doc_id % 10 < 6 then 'big' when doc_id % 10 < 9 then 'mid' else 'small' end"))
+    rows = packing.pack(docs, with_ids=False).collect()
+    share, window = Counter(), {}
+    for r in rows:
+        share[r["source"]] += r["length"]
+        window.setdefault(r["round"], Counter())[r["source"]] += r["length"]
+    total = sum(share.values())
+    for w, own in window.items():
+        if w < max(window):
+            for s in share:                                # within a document of the target
+                assert abs(own[s] - share[s] / total * 64 * 4096) <= 901
+
+
+def test_given_weights_come_first(make_docs):
+    import pyspark.sql.functions as F
+    docs = make_docs([(i, "word " * 500) for i in range(2000)]).withColumn("source", F.expr("if(doc_id % 2 = 0, 'a', 'b')"))
+    rows = packing.pack(docs, weights={"a": 3.0, "b": 1.0}, with_ids=False).collect()
+    first = Counter()
+    for r in rows:
+        if r["round"] == 1:
+            first[r["source"]] += r["length"]
+    assert first["a"] == pytest.approx(3 * first["b"], rel=0.05)
+    check_pieces(rows, [(i, "word " * 500) for i in range(2000)])
+
+
+def test_sequences_join_pieces(make_docs):
+    docs = make_docs([(i, "some words here " * 400) for i in range(20)])
+    pieces = packing.pack(docs)
+    got = {r["sequence_id"]: np.frombuffer(bytes(r["ids"]), "<u4") for r in packing.sequences(pieces).collect()}
+    for r in pieces.collect():
+        part = got[r["sequence_id"]][r["offset"]:r["offset"] + r["length"]]
+        assert part.tobytes() == bytes(r["ids"])
