@@ -7,7 +7,6 @@ Null and '' pass through unchanged.
 from __future__ import annotations
 
 import functools
-import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -27,12 +26,12 @@ MAX_QUERY_LENGTH = 64
 # -----------------------------------------------------------------------------------------
 
 
-def _bmp_class(pred) -> str:
-    """A regex character class of every BMP code point satisfying ``pred``, written as
+def _char_class(pred, end: int = 0x10000) -> str:
+    """A regex character class of every code point below ``end`` satisfying ``pred``, written as
     ranges. Built from Python's Unicode tables, so the classification does not depend on
-    the JVM's Unicode version; the reference tests UTF-16 units, hence BMP only."""
+    the JVM's Unicode version; the reference tests UTF-16 units, hence the BMP by default."""
     ranges, start, prev = [], None, None
-    for cp in range(0x10000):
+    for cp in range(end):
         ok = not (0xD800 <= cp <= 0xDFFF) and pred(chr(cp))
         if ok and start is None:
             start = cp
@@ -49,7 +48,7 @@ def _category_class(java_prop: str, pred) -> str:
     """BMP characters of a Unicode category: the JVM's own table for characters it knows,
     and the rule-built class (Python's newer tables) only for code points the JVM treats
     as unassigned (\\p{Cn}); the cheap property test short-circuits the long class."""
-    return f"[[{java_prop}&&[\\x{{0}}-\\x{{FFFF}}]][\\p{{Cn}}&&{_bmp_class(pred)}]]"
+    return f"[[{java_prop}&&[\\x{{0}}-\\x{{FFFF}}]][\\p{{Cn}}&&{_char_class(pred)}]]"
 
 
 @functools.lru_cache(maxsize=1)
@@ -88,11 +87,6 @@ def _diacritic_maps() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(src), "".join(dst), tuple(multi)
 
 
-def diacritic_table() -> tuple[str, str]:
-    src, dst, _ = _diacritic_maps()
-    return src, dst
-
-
 def strip_diacritics(c: Column) -> Column:
     """NFD -> drop Mn -> NFC, as translate + replace + regexp (JVM side, codegen friendly)."""
     src, dst, multi = _diacritic_maps()
@@ -121,37 +115,26 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | (F.regexp_replace(c, WS_CLASS + "+", "") == F.lit(""))
 
 
-def trigram_words(c: Column) -> Column:
-    """Maximal runs of letters/digits of the lower-cased text."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != F.lit(""))
+@functools.lru_cache(maxsize=1)
+def word_class() -> str:
+    """Letters and digits of all planes: the JVM's table for characters it knows, Python's for
+    code points the JVM treats as unassigned. The one table of every trigram set."""
+    return f"[\\p{{L}}\\p{{N}}[\\p{{Cn}}&&{_char_class(lambda ch: unicodedata.category(ch)[0] in 'LN', 0x110000)}]]"
 
 
 def trigrams(c: Column) -> Column:
-    """Distinct trigram set: each word padded as '  w ' then every 3-character window.
+    """Distinct trigram set: each word padded as '  w ', then every window of 3 code points.
 
     One regex pass (codegen, no lambdas): word separators become a sentinel that can never
-    be part of a word, and a zero-width lookahead captures every 3-character window that
-    does not cross a sentinel."""
-    t = F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", "\u0001")
+    be part of a word; a lookahead captures every window that does not cross a sentinel, and the
+    match itself takes one code point, so it never starts inside a surrogate pair."""
+    t = F.regexp_replace(F.lower(c), f"[^{word_class()}]+", "\u0001")
     t = F.regexp_replace(t, "^\u0001+|\u0001+$", "")
     padded = F.concat(F.lit("  "), F.regexp_replace(t, "\u0001", " \u0000  "), F.lit(" "))
-    grams = F.array_distinct(F.regexp_extract_all(padded, F.lit("(?=([^\u0000]{3}))"), 1))
+    grams = F.array_distinct(F.regexp_extract_all(padded, F.lit("(?s)(?=([^\u0000]{3}))."), 1))
     return F.when(t == "", F.array().cast("array<string>")).otherwise(grams)
 
 
-_WORD = re.compile(r"[^\W_]+")
-
-
-def trigram_set(text: str | None) -> list[str]:
-    """The same trigram set as ``trigrams`` for one string, for use inside a task that
-    already runs Python (the search kernels): C-level regex, no per-character JVM calls."""
-    out: set[str] = set()
-    for w in _WORD.findall((text or "").lower()):
-        p = "  " + w + " "
-        out.update(p[i:i + 3] for i in range(len(p) - 2))
-    return list(out)
-
-
 def trigram_similarity(a: Column, b: Column) -> Column:
     """|A∩B| / (|A|+|B|-|A∩B|) over trigram sets; 0 when either set is empty."""
     ga, gb = trigrams(a), trigrams(b)

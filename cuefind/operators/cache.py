@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefind.functions.text import normalize_text
+from cuefind.operators.admission import admit, result_links, with_titles
+from cuefind.operators.common import rows_with_keys
+from cuefind.operators.hybrid import hybrid_best, sides
+from cuefind.operators.search import TOP_K
+from cuefind.session import reliable_checkpoint
+from cuefind.sources.store import read_table, replace_table
 
 CACHED_SCORE = 1.0  # fixed value: a cached answer is reported with similarity 1.0
 
@@ -46,21 +52,65 @@ def cache_upsert(cache: DataFrame, delta: DataFrame) -> DataFrame:
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame) -> DataFrame:
-    """queries(query_id, normalized_query, ...) + cached chunk_id (null on a miss) + hit."""
-    entries = cache.select("normalized_query", F.col("chunk_id").alias("cached_chunk_id"))
+    """queries(query_id, normalized_query, ...) + cached chunk_id (null on a miss) + hit. The cache is cut
+    down to the batch's keys before the join, so it does not move for a bounded batch."""
+    entries = rows_with_keys(cache.select("normalized_query", F.col("chunk_id").alias("cached_chunk_id")),
+                             queries, "normalized_query")
     out = queries.join(entries, "normalized_query", "left")
     return out.withColumn("hit", F.col("cached_chunk_id").isNotNull())
 
 
 def cache_resolve(lookup: DataFrame, chunks: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
     """Resolve cached chunk ids against the chunk table; a dangling id is a miss. A resolved
-    row carries the chunk ``payload`` columns and the cached score 1.0."""
-    c = chunks.select(F.col("chunk_id").alias("cached_chunk_id"), *payload, F.lit(True).alias("exists"))
-    out = lookup.join(c, "cached_chunk_id", "left")
+    row carries the chunk ``payload`` columns and the cached score 1.0. The chunks are cut down to the
+    cached ids before the join."""
+    c = rows_with_keys(chunks.select(F.col("chunk_id").alias("cached_chunk_id"), *payload), lookup, "cached_chunk_id")
+    out = lookup.join(c.withColumn("exists", F.lit(True)), "cached_chunk_id", "left")
     out = out.withColumn("resolved", F.coalesce(F.col("exists"), F.lit(False))).drop("exists")
     return out.withColumn("similarity_score", F.when(F.col("resolved"), F.lit(CACHED_SCORE)))
 
 
+_PAYLOAD = ("video_id", "text", "start_ms")
+
+
+def answer_batch(requests: DataFrame, cache: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+    """One row per normalized query of ``requests`` (normalized_query, query, embedding, ts, event_id, ...):
+    ``chunk_id, similarity_score, source`` ('cache', 'search', or null if nothing is found) and the
+    chunk's video_id, text, start_ms. A cached id that still exists answers; all others are searched."""
+    first = F.min_by(F.struct("event_id", "query", "embedding"), F.struct("ts", "event_id"))
+    asked = requests.groupBy("normalized_query").agg(first.alias("f")).select(
+        "normalized_query", F.col("f.event_id").alias("query_id"), F.col("f.query").alias("query"),
+        F.col("f.embedding").alias("embedding"))
+    known = reliable_checkpoint(cache_resolve(cache_lookup(asked, cache), chunks, _PAYLOAD))
+    hits = known.where("resolved").select("query_id", "normalized_query", F.col("cached_chunk_id").alias("chunk_id"),
+                                          "similarity_score", F.lit("cache").alias("source"), *_PAYLOAD)
+    missed = known.where("not resolved")
+    best = hybrid_best(sides(chunks, missed.select("query_id", "query", "embedding"), k, payload=_PAYLOAD))
+    found = missed.select("query_id", "normalized_query").join(best, "query_id", "left").select(
+        "query_id", "normalized_query", "chunk_id", "similarity_score",
+        F.when(F.col("chunk_id").isNotNull(), F.lit("search")).alias("source"), *_PAYLOAD)
+    return hits.unionByName(found)
+
+
+def cached_search(spark, root: str, requests: DataFrame, chunks: DataFrame, videos: DataFrame, k: int = TOP_K) -> DataFrame:
+    """The whole request flow on a batch: admit, lower-case, look up, search what is missing, write back, shape.
+
+    requests: event_id, ts (timestamp_ntz), query, embedding. Per request: ``event_id, status`` and, if it
+    was admitted and answered, the answer with title, links and ``source``. The ``query_cache`` table under
+    ``root`` gets its next version: each admitted request counts once; hits keep their chunk, misses and
+    dangling entries get the chunk found. A batch that fails leaves the table as it was."""
+    admitted = reliable_checkpoint(with_normalized_query(admit(requests)))
+    ok = admitted.where("status = 'ok'")
+    cache = read_table(spark, root, "query_cache")
+    answers = reliable_checkpoint(answer_batch(ok, cache, chunks, k))
+    delta = cache_rollup(ok.join(answers.select("normalized_query", "chunk_id"), "normalized_query")
+                         .where(F.col("chunk_id").isNotNull()))
+    replace_table(cache_upsert(cache, delta), root, "query_cache")
+    shaped = result_links(with_titles(answers.where(F.col("chunk_id").isNotNull()).drop("query_id")
+                                      .withColumnRenamed("text", "chunk_text"), videos))
+    return admitted.select("event_id", "status", "normalized_query").join(shaped, "normalized_query", "left")
+
+
 def popular_queries(cache: DataFrame, k: int = 10) -> DataFrame:
     """Top-k entries by access count (desc), ties by key: the report is the feature."""
     return cache.orderBy(F.desc("access_count"), F.asc("normalized_query")).limit(k)

@@ -1,15 +1,14 @@
-"""Shared plan helpers: checked broadcasts and per-key top-k."""
+"""Shared plan helpers: byte-checked semi-joins and per-key top-k."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Upper bound (rows) for any side we broadcast explicitly. The count is taken with a
-# limit, so checking a large side stops after BROADCAST_MAX_ROWS + 1 rows.
-BROADCAST_MAX_ROWS = 2_000_000
+from cuefind.session import reliable_checkpoint
+
+#: Largest key set (bytes of the keys) that is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -20,22 +19,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
-def bounded_count(df: DataFrame, limit: int) -> int:
-    """Number of rows, but never counts past ``limit + 1``."""
-    return df.limit(limit + 1).count()
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> bool:
-    return bounded_count(df, max_rows) <= max_rows
-
-
-def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", small_ok: bool | None = None,
-                 max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join, broadcasting ``small`` only when its size has been checked; otherwise a
-    shuffle join (AQE may still convert it, and splits skewed partitions)."""
-    if small_ok is None:
-        small_ok = fits_broadcast(small, max_rows)
-    return big.join(F.broadcast(small) if small_ok else small, on, how)
+def rows_with_keys(big: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows of ``big`` whose ``key`` is in ``keys``: the distinct keys are written once, their
+    bytes summed, and up to ``BROADCAST_BYTES`` they are broadcast, so that ``big`` does not move;
+    beyond that it is a shuffle semi-join. The rows are the same."""
+    few = reliable_checkpoint(keys.where(F.col(key).isNotNull()).select(key).distinct())
+    size = few.agg(F.sum(F.octet_length(F.col(key).cast("string")) + 16)).first()[0] or 0
+    return big.join(F.broadcast(few) if size <= BROADCAST_BYTES else few, key, "left_semi")
 
 
 def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str = "rank") -> DataFrame:
@@ -44,29 +34,3 @@ def top_k_per_key(df: DataFrame, key, order: list[Column], k: int, rank_col: str
     keys = [key] if isinstance(key, str) else list(key)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= k)
-
-
-def block_topk(chunk_ids: np.ndarray, keys: np.ndarray, values: np.ndarray, qids: np.ndarray, k: int,
-               value_name: str) -> pd.DataFrame:
-    """Inside one task: for each query column, the k rows with the smallest key (NaN last),
-    ties by chunk id. keys/values are (rows x queries). Emits query_id, chunk_id, value and
-    the block row (``_row``) so callers can attach row payload.
-
-    Vectorised over all columns: the k-th smallest key per column bounds the candidates,
-    and only candidates are sorted (k per column unless keys tie)."""
-    n, q = keys.shape
-    kk = min(k, n)
-    if kk == 0 or q == 0:
-        return pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "chunk_id": pd.Series([], dtype=object),
-                             value_name: pd.Series([], dtype="float64"), "_row": pd.Series([], dtype="int64")})
-    sort_key = np.where(np.isnan(keys), np.inf, keys)
-    kth = np.partition(sort_key, kk - 1, axis=0)[kk - 1]
-    r, c = np.nonzero(sort_key <= kth[None, :])
-    crank = np.empty(n, dtype=np.int64)
-    crank[np.argsort(chunk_ids, kind="stable")] = np.arange(n)
-    order = np.lexsort((crank[r], sort_key[r, c], c))
-    r, c = r[order], c[order]
-    first = np.searchsorted(c, np.arange(q))
-    keep = (np.arange(len(c)) - first[c]) < kk
-    r, c = r[keep], c[keep]
-    return pd.DataFrame({"query_id": qids[c], "chunk_id": chunk_ids[r], value_name: values[r, c], "_row": r})

@@ -3,113 +3,52 @@
 Semantics: the winner is the best trigram-ranked chunk that is also in the vector top-k;
 if there is none, trigram rank 1. The score is the trigram score; a vector-only chunk
 never wins. The mean of both scores on common chunks is exposed but decides nothing.
+
+Both sides come from one scan (``search``); ``sides`` brings them together with one aggregate
+per (query, chunk), so the scoring plan appears once.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefind.operators import trigram as TR
-from cuefind.operators import vector as VE
 from cuefind.operators.common import top_k_per_key
-from cuefind.session import ship_package
-
-
-def search_sides(chunks: DataFrame, queries: DataFrame, k: int = 5,
-                 partitions: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(trigram top-k, vector top-k), both keyed by (query_id, chunk_id).
-
-    When both query sides fit their broadcast budgets, one pass over the chunks scores
-    both (``fused_sides``); otherwise each side runs its own plan."""
-    tri_state = TR.query_matrix(queries, "query")
-    vec_state = VE.one_group(queries) if tri_state is not None else None
-    if tri_state is not None and vec_state is not None:
-        return fused_sides(chunks, queries, k, tri_state, vec_state)
-    tri = (TR.trigram_topk(chunks, queries, k, partitions=partitions)
-           .select("query_id", "chunk_id", F.col("score").alias("trigram_score"),
-                   F.col("rank").alias("trigram_rank")))
-    vec = (VE.vector_topk(chunks, queries, k)
-           .select("query_id", "chunk_id", (F.lit(1.0) - F.col("distance")).alias("vector_score"),
-                   F.col("rank").alias("vector_rank")))
-    return tri, vec
-
-
-_SIDES_SCHEMA = "query_id long, chunk_id string, side int, value double"
-
-
-def fused_sides(chunks: DataFrame, queries: DataFrame, k: int = 5, tri_state: tuple | None = None,
-                vec_state: tuple | None = None) -> tuple[DataFrame, DataFrame]:
-    """One scan of the chunks: each task scores its block for trigram similarity and for
-    cosine distance, keeps k per query per side, and one shuffle keyed by (query, side)
-    finishes both top-k lists."""
-    spark = chunks.sparkSession
-    ship_package(spark)
-    if tri_state is None:
-        tri_state = TR._query_matrix(queries, "query")
-    if vec_state is None:
-        groups = list(VE.query_groups(queries))
-        vec_state = groups[0] if groups else None
-    if vec_state is not None and len(vec_state[0]) == 0:
-        vec_state = None
-    bq = spark.sparkContext.broadcast((tri_state, vec_state))
+from cuefind.operators.embed import PAUSE_S, embed_texts
+from cuefind.operators.search import TOP_K, TRIGRAM, VECTOR, search
 
-    def score(batches):
-        tri, vec = bq.value
-        kern = TR._Kernel(*tri)
-        for pdf in batches:
-            has_text = pdf["normalized_text"].notna().to_numpy()
-            t = pdf[has_text]
-            for frame in kern.blocks(t["chunk_id"].to_numpy().astype(object), t["normalized_text"], k):
-                yield frame.rename(columns={"score": "value"}).assign(side=0)
-            if vec is None:
-                continue
-            qids, qmat, dim = vec
-            emb = pdf["embedding"]
-            ok = emb.map(lambda e: e is not None and len(e) == dim).to_numpy(dtype=bool)
-            if ok.any():
-                mat = np.stack(emb[ok].to_numpy()).astype(np.float64)
-                frame = VE._block_topk(pdf["chunk_id"][ok].to_numpy().astype(object), mat, qids, qmat, k)
-                yield frame.rename(columns={"distance": "value"}).assign(side=1)
 
-    partial = chunks.select("chunk_id", "normalized_text", "embedding").mapInPandas(score, _SIDES_SCHEMA)
-    key = F.when(F.col("side") == 0, -F.col("value")).otherwise(F.col("value"))
-    ranked = top_k_per_key(partial.withColumn("key", key), ["query_id", "side"],
-                           [F.asc_nulls_last("key"), F.asc("chunk_id")], k)
-    tri = ranked.where(F.col("side") == 0).select(
-        "query_id", "chunk_id", F.col("value").alias("trigram_score"), F.col("rank").alias("trigram_rank"))
-    vec = ranked.where(F.col("side") == 1).select(
-        "query_id", "chunk_id", (F.lit(1.0) - F.col("value")).alias("vector_score"),
-        F.col("rank").alias("vector_rank"))
-    return tri, vec
+def sides(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, payload: tuple[str, ...] = ()) -> DataFrame:
+    """One row per (query, chunk) of either top-k list: ``trigram_score, trigram_rank, vector_score,
+    vector_rank`` (null where the chunk is not in that list) and the payload."""
+    found = search(chunks, queries, k, payload=tuple(payload))
+    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    merged = found.groupBy("query_id", "chunk_id").agg(
+        of(TRIGRAM, "value").alias("trigram_score"), of(TRIGRAM, "rank").alias("trigram_rank"),
+        (F.lit(1.0) - of(VECTOR, "value")).alias("vector_score"), of(VECTOR, "rank").alias("vector_rank"),
+        *(F.first(c).alias(c) for c in payload))
+    return merged
 
 
-def hybrid_common(tri: DataFrame, vec: DataFrame) -> DataFrame:
+def hybrid_common(merged: DataFrame) -> DataFrame:
     """Chunks present in both top-k lists (an intersect on the pair key)."""
-    return tri.join(vec, ["query_id", "chunk_id"], "inner")
+    return merged.where(F.col("trigram_rank").isNotNull() & F.col("vector_rank").isNotNull())
 
 
-def hybrid_scores(tri: DataFrame, vec: DataFrame) -> DataFrame:
-    common = hybrid_common(tri, vec)
-    return common.withColumn("avg_score", (F.col("trigram_score") + F.col("vector_score")) / 2)
+def hybrid_scores(merged: DataFrame) -> DataFrame:
+    return hybrid_common(merged).withColumn("avg_score", (F.col("trigram_score") + F.col("vector_score")) / 2)
 
 
-def hybrid_best(tri: DataFrame, vec: DataFrame) -> DataFrame:
-    """One row per query: (query_id, chunk_id, similarity_score, is_common)."""
-    both = tri.join(vec.select("query_id", "chunk_id", F.lit(True).alias("is_common")),
-                    ["query_id", "chunk_id"], "left")
-    both = both.withColumn("is_common", F.coalesce(F.col("is_common"), F.lit(False)))
+def hybrid_best(merged: DataFrame) -> DataFrame:
+    """One row per query: ``similarity_score, is_common`` beside the columns of ``sides``."""
+    both = merged.where(F.col("trigram_rank").isNotNull()).withColumn("is_common", F.col("vector_rank").isNotNull())
     best = top_k_per_key(both, "query_id", [F.desc("is_common"), F.asc("trigram_rank")], 1)
-    return best.select("query_id", "chunk_id", F.col("trigram_score").alias("similarity_score"), "is_common")
+    return best.drop("rank").withColumn("similarity_score", F.col("trigram_score"))
 
 
-def search_by_text(chunks: DataFrame, queries: DataFrame, provider, k: int = 5) -> DataFrame:
-    """The reference's search flow for raw query text: each query is embedded with the same
-    provider as the chunks (batched on the executors), then trigram and vector top-k are
-    merged by ``hybrid_best``. queries: (query_id, query)."""
-    from cuefind.operators import embed as EM
-    vectors = EM.embed_texts(queries.select("query_id", "query"), provider, id_col="query_id", text_col="query")
+def search_by_text(chunks: DataFrame, queries: DataFrame, provider, k: int = TOP_K, pause_s: float = PAUSE_S) -> DataFrame:
+    """The search flow for raw query text: each query is embedded with the same provider as the
+    chunks (batched on the executors), then both top-k lists are merged by ``hybrid_best``."""
+    vectors = embed_texts(queries.select("query_id", "query"), provider, id_col="query_id", text_col="query", pause_s=pause_s)
     with_vec = queries.select("query_id", "query").join(vectors, "query_id", "left")
-    tri, vec = search_sides(chunks, with_vec, k)
-    return hybrid_best(tri, vec)
+    return hybrid_best(sides(chunks, with_vec, k))

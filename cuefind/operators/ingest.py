@@ -35,7 +35,7 @@ def choose_scripts(wanted: DataFrame, subtitle_files: DataFrame, subtitle_segmen
         "extraction_type", F.lit("stt"))
     markers = (has_sub.withColumn("extraction_type", F.lit("subtitles"))
                .unionByName(has_stt.withColumn("extraction_type", F.lit("stt")))
-               .select("video_id", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("string").alias("text"),
+               .select("video_id", F.lit(None).cast("long").alias("pos"), F.lit(None).cast("string").alias("text"),
                        F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"),
                        "extraction_type"))
     return sub.unionByName(stt).unionByName(markers)
@@ -84,18 +84,21 @@ def not_yet_stored(rows: DataFrame, table: DataFrame) -> DataFrame:
     return rows.join(table.select("video_id").distinct(), "video_id", "left_anti")
 
 
-def missing_report(listing: DataFrame, videos: DataFrame) -> DataFrame:
-    """Listed videos still absent from the table after ingest."""
-    return listing.join(videos.select("video_id").distinct(), "video_id", "left_anti")
+def missing_report(listing: DataFrame, stored: DataFrame, scripted: DataFrame) -> DataFrame:
+    """Listed videos absent from the table after an only-missing run: not stored before, no script now."""
+    there = stored.select("video_id").unionByName(scripted.select("video_id")).distinct()
+    return listing.join(there, "video_id", "left_anti")
 
 
-def ingest_stats(listing: DataFrame, stored: DataFrame, missing: DataFrame, processed: DataFrame,
-                 missing_after: DataFrame) -> DataFrame:
-    """One row of counts from a single aggregate over tagged ids (no driver round trips)."""
-    parts = [("listed", listing), ("stored_before", stored), ("to_process", missing), ("processed", processed),
-             ("missing_after", missing_after)]
+def ingest_stats(listing: DataFrame, stored: DataFrame, scripted: DataFrame) -> DataFrame:
+    """One row of counts. Ids are tagged and brought together by one aggregate, so each input is read once."""
+    tags = ("listed", "stored", "scripted")
     tagged = None
-    for name, df in parts:
-        t = df.select(F.lit(name).alias("tag"))
+    for name, df in zip(tags, (listing, stored, scripted)):
+        t = df.select("video_id", *(F.lit(name == x).alias(x) for x in tags))
         tagged = t if tagged is None else tagged.unionByName(t)
-    return tagged.agg(*[F.count(F.when(F.col("tag") == name, 1)).alias(name) for name, _ in parts])
+    ids = tagged.groupBy("video_id").agg(*(F.max(x).alias(x) for x in tags))
+    new = F.col("listed") & ~F.col("stored")
+    return ids.agg(F.count_if("listed").alias("listed"), F.count_if("stored").alias("stored_before"),
+                   F.count_if(new).alias("to_process"), F.count_if(new & F.col("scripted")).alias("processed"),
+                   F.count_if(new & ~F.col("scripted")).alias("missing_after"))

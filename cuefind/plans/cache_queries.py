@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.operators import cache as CA
-from cuefind.operators import hybrid as HY
 from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.plans.search_queries import doc_hybrid_ctes
-from cuefind.session import reliable_checkpoint
+from cuefind.session import scratch_path
+from cuefind.sources import store as ST
 from cuefind.sources import testdata as TD
 
 _Q = "event_type || ' ' || CAST(user_id AS VARCHAR) || '!'"
@@ -47,7 +47,7 @@ lookup AS (SELECT i.*, ca.chunk_id AS cached_chunk_id, ca.chunk_id IS NOT NULL A
            FROM incoming i LEFT JOIN cache ca USING (normalized_query)),
 corpus_ids AS (SELECT {D.chunk_id('d.doc_id')} AS chunk_id, {D.doc_video_id('d.doc_id')} AS video_id,
                       d.text AS chunk_text
-               FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+               FROM documents d),
 resolved AS (SELECT l.*, k.chunk_id IS NOT NULL AS resolved, k.video_id, k.chunk_text,
                     CASE WHEN k.chunk_id IS NOT NULL THEN 1.0 END AS similarity_score
              FROM lookup l LEFT JOIN corpus_ids k ON k.chunk_id = l.cached_chunk_id)"""
@@ -97,57 +97,69 @@ def q_cache_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return lk.select("query_id", "normalized_query", "hit", "cached_chunk_id")
 
 
-def _resolved(spark: SparkSession, sf: str):
+def _resolved(spark: SparkSession, sf: str) -> DataFrame:
     _, hist, recent = _log(spark, sf)
-    chunks = TD.document_corpus(spark, sf, with_vectors=True)
+    chunks = TD.document_corpus(spark, sf, with_vectors=False)
     lk = CA.cache_lookup(_incoming(recent), CA.cache_rollup(hist))
-    payload = chunks.select("chunk_id", "video_id", F.col("text").alias("chunk_text"))
-    return CA.cache_resolve(lk, payload, ("video_id", "chunk_text")), chunks
+    return CA.cache_resolve(lk, chunks.withColumnRenamed("text", "chunk_text"), ("video_id", "chunk_text"))
 
 
 @register("cache_resolve", "WITH " + CACHE_SQL +
           " SELECT query_id, normalized_query, cached_chunk_id, resolved, video_id, chunk_text, similarity_score"
           " FROM resolved")
 def q_cache_resolve(spark: SparkSession, sf: str) -> DataFrame:
-    res, _ = _resolved(spark, sf)
-    return res.select("query_id", "normalized_query", "cached_chunk_id", "resolved", "video_id", "chunk_text",
+    return _resolved(spark, sf).select("query_id", "normalized_query", "cached_chunk_id", "resolved", "video_id", "chunk_text",
                       "similarity_score")
 
 
 _MISS_Q = """SELECT r.query_id, r.query, e.embedding FROM resolved r
       LEFT JOIN embeddings e ON e.vec_id = r.user_id WHERE NOT r.resolved"""
 
-
-@register("cached_search", "WITH " + CACHE_SQL + "," + doc_hybrid_ctes(_MISS_Q) + """,
+_ANSWERS = doc_hybrid_ctes(_MISS_Q) + """,
 answers AS (
-  SELECT query_id, normalized_query, cached_chunk_id AS chunk_id, 1.0 AS similarity_score, 'cache' AS source
+  SELECT normalized_query, cached_chunk_id AS chunk_id, 1.0 AS similarity_score, 'cache' AS source
   FROM resolved WHERE resolved
   UNION ALL
-  SELECT best.query_id, r.normalized_query, best.chunk_id, round(best.trigram_score, 6), 'search'
-  FROM best JOIN resolved r USING (query_id))
-SELECT a.*, c.video_id, c.title, c.text AS chunk_text, 0 AS timestamp
-FROM answers a JOIN c USING (chunk_id)""")
-def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Incoming batch: cache hits answered from the table (score 1.0), the rest searched
-    (hybrid); both returned as full results (video, title, chunk text, timestamp)."""
-    res, chunks = _resolved(spark, sf)
-    hits = res.where("resolved").select(
-        "query_id", "normalized_query", F.col("cached_chunk_id").alias("chunk_id"),
-        F.lit(CA.CACHED_SCORE).alias("similarity_score"), F.lit("cache").alias("source"))
+  SELECT r.normalized_query, best.chunk_id, round(best.trigram_score, 6), 'search'
+  FROM best JOIN resolved r USING (query_id))"""
+
+
+def _requests(spark: SparkSession, sf: str):
+    """(root of a store whose cache the earlier half of the log filled, the later half as requests)."""
+    _, hist, recent = _log(spark, sf)
+    root = scratch_path(spark, "search-store")
+    ST.replace_table(CA.cache_rollup(hist), root, "query_cache")
     emb = TD.read(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
-    # the miss batch is read by several sizing jobs and the search: materialise it once
-    misses = reliable_checkpoint(res.where(~F.col("resolved")).join(emb, "user_id", "left"))
-    tri, vec = HY.search_sides(chunks, misses.select("query_id", "query", "embedding"))
-    best = HY.hybrid_best(tri, vec).join(misses.select("query_id", "normalized_query"), "query_id")
-    found = best.select("query_id", "normalized_query", "chunk_id",
-                        F.round("similarity_score", 6).alias("similarity_score"), F.lit("search").alias("source"))
-    answers = hits.unionByName(found)
-    payload = chunks.select("chunk_id", "video_id", F.col("text").alias("chunk_text"),
-                            F.floor(F.col("start_ms") / 1000).cast("int").alias("timestamp"))
-    titles = TD.document_videos(spark, sf).select("video_id", "title")
-    return answers.join(payload, "chunk_id").join(titles, "video_id").select(
-        "query_id", "normalized_query", "chunk_id", "similarity_score", "source", "video_id", "title",
-        "chunk_text", "timestamp")
+    requests = recent.select("event_id", "ts", "user_id", "query").join(emb, "user_id", "left").drop("user_id")
+    return root, requests
+
+
+@register("cached_search", "WITH " + CACHE_SQL + "," + _ANSWERS + f"""
+SELECT n.event_id, 'ok' AS status, a.normalized_query, c.chunk_id, a.similarity_score, a.source, c.video_id, c.title,
+       c.text AS chunk_text, 0 AS timestamp, {D.WATCH} || c.video_id || '&t=0' AS link
+FROM recent n JOIN answers a ON a.normalized_query = n.normalized_query JOIN c ON c.chunk_id = a.chunk_id""")
+def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The later half of the request log through the whole flow, one row per request."""
+    root, requests = _requests(spark, sf)
+    chunks = TD.document_corpus(spark, sf, with_vectors=True)
+    out = CA.cached_search(spark, root, requests, chunks, TD.document_videos(spark, sf))
+    return out.select("event_id", "status", "normalized_query", "chunk_id",
+                      F.round("similarity_score", 6).alias("similarity_score"), "source", "video_id", "title",
+                      "chunk_text", "timestamp", "link")
+
+
+@register("cached_search_cache", "WITH " + CACHE_SQL + "," + _ANSWERS + """
+SELECT COALESCE(k.normalized_query, d.normalized_query) AS normalized_query,
+       COALESCE(a.chunk_id, k.chunk_id) AS chunk_id, COALESCE(k.created_at, d.created_at) AS created_at,
+       COALESCE(d.last_accessed_at, k.last_accessed_at) AS last_accessed_at,
+       COALESCE(k.access_count, 0) + COALESCE(d.access_count, 0) AS access_count
+FROM cache k FULL OUTER JOIN delta d ON k.normalized_query = d.normalized_query
+LEFT JOIN answers a ON a.normalized_query = d.normalized_query""")
+def q_cached_search_cache(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache table after that batch: hits counted, misses inserted, dangling entries replaced."""
+    root, requests = _requests(spark, sf)
+    CA.cached_search(spark, root, requests, TD.document_corpus(spark, sf, with_vectors=True), TD.document_videos(spark, sf))
+    return ST.read_table(spark, root, "query_cache")
 
 
 @register("popular_queries", "WITH " + LOG_SQL + ", r AS (" + _rollup_sql("nlog") + """)

@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.operators import chunking as CH
-from cuefind.operators import trigram as TR
+from cuefind.operators import search as SE
 from cuefind.operators.admission import result_links
 from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.sources import testdata as TD
 
-SEGMENTS_SQL = """
+SEGMENTS_SQL = f"""
 seg AS (
-  SELECT lpad(CAST(conv_id AS VARCHAR), 11, '0') AS video_id, CAST(turn * 1000 + idx AS INTEGER) AS pos, text,
-         CAST((turn * 1000 + idx) * 400 AS BIGINT) AS start_ms, CAST((turn * 1000 + idx) * 400 + 400 AS BIGINT) AS end_ms
-  FROM (SELECT conv_id, turn, unnest(l) AS text, unnest(range(len(l))) AS idx
-        FROM (SELECT conv_id, turn, string_split_regex(text, '[ \\n]+') AS l FROM conversations)))"""
+  SELECT {D.video_id('conv_id')} AS video_id, p AS pos, text, p * 400 AS start_ms, p * 400 + 400 AS end_ms
+  FROM (SELECT conv_id, CAST(first + unnest(range(len(l))) AS BIGINT) AS p, unnest(l) AS text
+        FROM (SELECT conv_id, l, coalesce(sum(len(l)) OVER (PARTITION BY conv_id ORDER BY turn
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+              FROM (SELECT conv_id, turn, string_split_regex(text, '[ \\n]+') AS l FROM conversations))))"""
 
 
 def _threshold_sql(t: int) -> str:
@@ -51,7 +52,7 @@ e50 AS (SELECT * FROM (SELECT *, MIN(CASE WHEN reaches_end AND NOT dup THEN pos
                                    OVER (PARTITION BY video_id) AS stop FROM d50)
         WHERE NOT dup AND (stop IS NULL OR pos <= stop)),
 chunks AS (
-  SELECT video_id || '-' || CAST(threshold AS VARCHAR) || '-' || lpad(CAST(pos AS VARCHAR), 10, '0') AS chunk_id,
+  SELECT video_id || '-' || CAST(threshold AS VARCHAR) || '-' || {D.padded('pos', 10)} AS chunk_id,
          video_id, threshold, pos, text, {D.norm('text')} AS normalized_text, start_ms, end_ms, end_pos
   FROM (SELECT video_id, threshold, pos, text, start_ms, end_ms, end_pos FROM e30
         UNION ALL SELECT video_id, threshold, pos, text, start_ms, end_ms, end_pos FROM e50))"""
@@ -78,8 +79,8 @@ _EARLIER_SQL = "SELECT DISTINCT conv_id FROM conversations WHERE role = 'system'
 
 @register("videos_unchunked", "WITH " + CHUNKS_SQL + f""",
 earlier AS (SELECT * FROM chunks WHERE CAST(video_id AS BIGINT) IN ({_EARLIER_SQL}))
-SELECT DISTINCT lpad(CAST(conv_id AS VARCHAR), 11, '0') AS video_id, 'conv ' || CAST(conv_id AS VARCHAR) AS title
-FROM conversations WHERE lpad(CAST(conv_id AS VARCHAR), 11, '0') NOT IN (SELECT video_id FROM earlier)""")
+SELECT DISTINCT {D.video_id('conv_id')} AS video_id, 'conv ' || CAST(conv_id AS VARCHAR) AS title
+FROM conversations WHERE {D.video_id('conv_id')} NOT IN (SELECT video_id FROM earlier)""")
 def q_videos_unchunked(spark: SparkSession, sf: str) -> DataFrame:
     conv = TD.read(spark, sf, "conversations")
     earlier_ids = conv.where(F.col("role") == "system").select(TD.video_id_of("conv_id").alias("video_id")).distinct()
@@ -103,18 +104,18 @@ def q_chunk_trigram_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Top 5 conversation chunks per benchmark passage (trigram), with chunk payload."""
     chunks = conversation_chunks(spark, sf).withColumnRenamed("text", "chunk_text")
     queries = TD.benchmark_queries(spark, sf, with_vectors=False)
-    top = TR.trigram_topk(chunks, queries, payload=["video_id", "start_ms", "chunk_text"])
+    top = SE.trigram_topk(chunks, queries, payload=("video_id", "start_ms", "chunk_text"))
     return top.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank", "video_id", "start_ms",
                       "chunk_text")
 
 
-@register("result_links", "WITH " + CHUNKS_SQL + """
+@register("result_links", "WITH " + CHUNKS_SQL + f"""
 SELECT chunk_id, video_id, CAST(floor(start_ms / 1000) AS INTEGER) AS timestamp,
-       'https://www.youtube.com/watch?v=' || video_id || '&t=' || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR)
+       {D.WATCH} || video_id || '&t=' || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR)
          AS link,
-       'https://www.youtube.com/embed/' || video_id || '?start='
+       {D.EMBED} || video_id || '?start='
          || CAST(CAST(floor(start_ms / 1000) AS INTEGER) AS VARCHAR) AS embed_url,
-       'https://img.youtube.com/vi/' || video_id || '/hqdefault.jpg' AS thumbnail_url
+       {D.THUMB} || video_id || {D.THUMB_END} AS thumbnail_url
 FROM chunks""")
 def q_result_links(spark: SparkSession, sf: str) -> DataFrame:
     """Response links (watch &t=, embed ?start=, thumbnail) for every chunk."""

@@ -10,91 +10,72 @@ failure repeats nothing that was already written.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.operators import chunking as CH
 from cuefind.operators import embed as EM
 from cuefind.operators import ingest as IN
+from cuefind.operators.common import rows_with_keys
 from cuefind.session import reliable_checkpoint
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
-
-def _fs_rename(spark: SparkSession, src: str, dst: str) -> None:
-    jvm = spark.sparkContext._jvm
-    s, d = jvm.org.apache.hadoop.fs.Path(src), jvm.org.apache.hadoop.fs.Path(dst)
-    fs = s.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.rename(s, d):
-        raise IOError(f"rename failed: {src} -> {dst}")
-
-
-def _replace_table(spark: SparkSession, tables: str, name: str, df: DataFrame) -> None:
-    """Write the new table next to the old one, then swap folders (never overwrite a path
-    that the new table is computed from)."""
-    path = ST.ensure_table(spark, tables, name)
-    tmp = f"{path}.next-{uuid.uuid4().hex[:8]}"
-    df.write.mode("overwrite").parquet(tmp)
-    _fs_rename(spark, path, f"{path}.old-{uuid.uuid4().hex[:8]}")
-    _fs_rename(spark, tmp, path)
-
+from cuefind.streaming.ingest_stream import chunk_videos
 
 def extract_stage(spark: SparkSession, listing_paths, tables: str, scripts_for, only_missing: bool = True):
     """Returns the one-row ingest counts of this run."""
     listing = reliable_checkpoint(LI.first_listing_per_video(LI.read_listings(spark, listing_paths)).select(
         "video_id", "title", "video_url"))
-    stored = reliable_checkpoint(ST.read_table(spark, tables, "videos"))
+    stored = ST.read_table(spark, tables, "videos")         # a version: later writes do not change it
     missing = IN.ingest_missing(listing, stored)
     wanted = missing if only_missing else listing
     choice = reliable_checkpoint(scripts_for(wanted.select("video_id")))
     scripts = IN.scripts_from_segments(choice)
-    cols = [f.name for f in ST.VIDEOS.fields]
     if only_missing:
-        new_rows = reliable_checkpoint(wanted.join(scripts, "video_id").select(*cols))
+        new_rows = reliable_checkpoint(wanted.join(scripts, "video_id"))
         segs = ST.read_table(spark, tables, "segments")
         new_segs = IN.not_yet_stored(
             IN.script_segments(choice).join(new_rows.select("video_id"), "video_id", "left_semi"), segs)
         # segments first, then videos: a rerun after a failure in between writes no duplicate
-        reliable_checkpoint(new_segs).write.mode("append").parquet(ST.ensure_table(spark, tables, "segments"))
-        new_rows.write.mode("append").parquet(ST.ensure_table(spark, tables, "videos"))
+        ST.append_table(new_segs, tables, "segments")
+        ST.append_table(new_rows, tables, "videos")
     else:
         segs = ST.read_table(spark, tables, "segments")
-        _replace_table(spark, tables, "segments",
-                       IN.segments_upsert(segs, IN.script_segments(choice), scripts))
-        _replace_table(spark, tables, "videos", IN.video_upsert(stored, listing, scripts).select(*cols))
-    after = ST.read_table(spark, tables, "videos")
-    return IN.ingest_stats(listing, stored, missing, missing.join(scripts, "video_id", "left_semi"),
-                           IN.missing_report(listing, after)).collect()[0].asDict()
+        ST.replace_table(IN.segments_upsert(segs, IN.script_segments(choice), scripts), tables, "segments")
+        ST.replace_table(IN.video_upsert(stored, listing, scripts), tables, "videos")
+    return IN.ingest_stats(listing, stored, choice).collect()[0].asDict()
 
 
 def chunk_stage(spark: SparkSession, tables: str) -> None:
-    videos = ST.read_table(spark, tables, "videos")
-    chunks = ST.read_table(spark, tables, "chunks")
-    todo = CH.videos_unchunked(videos.select("video_id"), chunks)
-    seg = ST.read_table(spark, tables, "segments").join(todo, "video_id", "left_semi")
-    fresh = CH.chunk_segments(seg).withColumn("embedding", F.lit(None).cast("array<float>"))
-    fresh = reliable_checkpoint(fresh.select(*[f.name for f in ST.CHUNKS.fields]))
-    fresh.write.mode("append").parquet(ST.ensure_table(spark, tables, "chunks"))
+    """Chunk every stored video without chunks."""
+    chunk_videos(spark, tables, ST.read_table(spark, tables, "videos"))
+
+
+def rechunk(spark: SparkSession, tables: str, videos: DataFrame) -> None:
+    """Chunk ``videos`` (video_id) anew: their chunks are replaced, all others stay."""
+    segments = rows_with_keys(ST.read_table(spark, tables, "segments"), videos, "video_id")
+    fresh = CH.chunk_segments(segments).withColumn("embedding", F.lit(None).cast("array<float>"))
+    ST.replace_table(CH.replace_chunks(ST.read_table(spark, tables, "chunks"), fresh.select(
+        *(f.name for f in ST.CHUNKS.fields))), tables, "chunks")
 
 
-VECTORS = "chunk_vectors"
+#: Pending chunks of one commit of the embedding stage.
+EMBED_COMMIT_ROWS = 100_000
 
 
-def embed_stage(spark: SparkSession, tables: str, provider: EM.Provider) -> None:
-    path = f"{tables.rstrip('/')}/{VECTORS}"
-    chunks = ST.read_table(spark, tables, "chunks")
-    try:
-        done = spark.read.parquet(path)
-    except Exception:  # first run: nothing written yet
-        done = spark.createDataFrame([], "chunk_id string, embedding array<float>")
-    EM.embed_pending(chunks, provider, done).write.mode("append").parquet(path)
+def embed_stage(spark: SparkSession, tables: str, provider: EM.Provider, commit_rows: int = EMBED_COMMIT_ROWS,
+                pause_s: float = EM.PAUSE_S) -> None:
+    """Vectors for pending chunks, committed bucket by bucket: a run that fails keeps the buckets before."""
+    done = ST.read_table(spark, tables, "chunk_vectors")
+    pending = reliable_checkpoint(EM.pending(ST.read_table(spark, tables, "chunks"), done))
+    buckets = pending.count() // commit_rows + 1
+    for b in range(buckets):
+        part = pending.where(F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)) == b)
+        ST.append_table(EM.embed_texts(part, provider, pause_s=pause_s), tables, "chunk_vectors")
 
 
 def chunks_with_vectors(spark: SparkSession, tables: str) -> DataFrame:
-    chunks = ST.read_table(spark, tables, "chunks")
-    vec = spark.read.parquet(f"{tables.rstrip('/')}/{VECTORS}")
-    return EM.apply_embeddings(chunks, vec)
+    return EM.apply_embeddings(ST.read_table(spark, tables, "chunks"), ST.read_table(spark, tables, "chunk_vectors"))
 
 
 def run_fetch_job(spark: SparkSession, listing_paths, tables: str, scripts_for, *, extract: bool = True,

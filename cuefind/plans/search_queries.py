@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from cuefind.functions import text as TX
 from cuefind.operators import hybrid as HY
-from cuefind.operators import trigram as TR
-from cuefind.operators import vector as VE
-from cuefind.operators.admission import admit, result_links
-from cuefind.operators.common import BROADCAST_MAX_ROWS, fits_broadcast
+from cuefind.operators import search as SE
+from cuefind.operators.cosine import cosine_similarity
+from cuefind.operators.admission import admit, result_links, with_titles
 from cuefind.plans import duck as D
 from cuefind.plans.registry import register
 from cuefind.sources import testdata as TD
@@ -35,13 +34,13 @@ u AS (
   SELECT 'page' AS kind, page_id AS key, url FROM pages
   UNION ALL SELECT 'watch', conv_id, {D.WATCH} || {D.video_id('conv_id')} FROM c
   UNION ALL SELECT 'short', conv_id, 'https://youtu.be/' || {D.video_id('conv_id')} || '?si=x' FROM c
-  UNION ALL SELECT 'embed', conv_id, 'https://www.youtube.com/embed/' || {D.video_id('conv_id * 7')} FROM c
-  UNION ALL SELECT 'bad', conv_id, 'https://www.youtube.com/watch?v=' || CAST(conv_id AS VARCHAR) FROM c
+  UNION ALL SELECT 'embed', conv_id, {D.EMBED} || {D.video_id('conv_id * 7')} FROM c
+  UNION ALL SELECT 'bad', conv_id, {D.WATCH} || CAST(conv_id AS VARCHAR) FROM c
 )"""
 
 
 @register("extract_video_id",
-          _URL_FORMS_SQL + " SELECT kind, key, url, regexp_extract(url, '(?:v=|/)([0-9A-Za-z_-]{11}).*', 1) "
+          _URL_FORMS_SQL + " SELECT kind, key, url, regexp_extract(url, '" + TX.VIDEO_ID_PATTERN + "', 1) "
                            "AS video_id FROM u")
 def q_extract_video_id(spark: SparkSession, sf: str) -> DataFrame:
     pages = TD.read(spark, sf, "pages").select(F.lit("page").alias("kind"), F.col("page_id").alias("key"), "url")
@@ -85,14 +84,14 @@ def q_vector_cosine(spark: SparkSession, sf: str) -> DataFrame:
     e = TD.read(spark, sf, "embeddings").select("vec_id", "embedding")
     nb = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
     return e.join(nb, "vec_id").select(
-        "vec_id", F.round(VE.cosine_similarity(F.col("embedding"), F.col("next_embedding")), 6)
+        "vec_id", F.round(cosine_similarity(F.col("embedding"), F.col("next_embedding")), 6)
         .alias("cosine_similarity"))
 
 
 @register("query_admission", """
 WITH q AS (
   SELECT 'benchmark' AS source, item_id AS key, text AS query FROM benchmark
-  UNION ALL SELECT 'turn', conv_id * 1000 + turn, text FROM conversations
+  UNION ALL SELECT 'turn', conv_id * 4294967296 + turn, text FROM conversations
   UNION ALL SELECT 'event', event_id, event_type || ' ' || CAST(user_id AS VARCHAR) || '!' FROM events
 ),
 m AS (SELECT *, length(query) + length(regexp_replace(query, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS n16,
@@ -105,7 +104,7 @@ FROM m""")
 def q_query_admission(spark: SparkSession, sf: str) -> DataFrame:
     b = TD.read(spark, sf, "benchmark").select(F.lit("benchmark").alias("source"), F.col("item_id").alias("key"),
                                               F.col("text").alias("query"))
-    t = TD.read(spark, sf, "conversations").select(F.lit("turn"), F.col("conv_id") * 1000 + F.col("turn"),
+    t = TD.read(spark, sf, "conversations").select(F.lit("turn"), F.col("conv_id") * (1 << 32) + F.col("turn"),
                                                    F.col("text"))
     e = TD.read(spark, sf, "events").select(
         F.lit("event"), F.col("event_id"),
@@ -131,7 +130,7 @@ def doc_hybrid_ctes(q_sql: str = BENCH_Q_SQL) -> str:
     return f"""
 c AS (SELECT {D.chunk_id('d.doc_id')} AS chunk_id, {D.doc_video_id('d.doc_id')} AS video_id, d.text,
              {D.norm('d.text')} AS normalized_text, e.embedding, d.source || ' ' || CAST(d.doc_id AS VARCHAR) AS title
-      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id),
+      FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id),
 q AS ({q_sql}),
 cg AS (SELECT chunk_id, {D.grams('normalized_text')} AS g FROM c WHERE normalized_text IS NOT NULL),
 qg AS (SELECT query_id, {D.grams(D.norm('query'))} AS g FROM q),
@@ -165,7 +164,7 @@ def q_trigram_topk(spark: SparkSession, sf: str) -> DataFrame:
     """Top 5 whole documents per benchmark passage by trigram similarity (all documents)."""
     chunks = TD.document_corpus(spark, sf, with_vectors=False)
     queries = TD.benchmark_queries(spark, sf, with_vectors=False)
-    res = TR.trigram_topk(chunks, queries)
+    res = SE.trigram_topk(chunks, queries)
     return res.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -173,7 +172,7 @@ def q_trigram_topk(spark: SparkSession, sf: str) -> DataFrame:
           " SELECT query_id, chunk_id, round(1.0 - vector_score, 6) AS distance, vector_rank AS rank FROM vec")
 def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     chunks, queries = _doc_search_inputs(spark, sf)
-    res = VE.vector_topk(chunks, queries)
+    res = SE.vector_topk(chunks, queries)
     return res.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
@@ -181,8 +180,7 @@ def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
           " SELECT tri.query_id, tri.chunk_id, round(trigram_score, 6) AS trigram_score, trigram_rank,"
           " round(vector_score, 6) AS vector_score, vector_rank FROM tri JOIN vec USING (query_id, chunk_id)")
 def q_hybrid_common(spark: SparkSession, sf: str) -> DataFrame:
-    tri, vec = HY.search_sides(*_doc_search_inputs(spark, sf))
-    return HY.hybrid_common(tri, vec).select(
+    return HY.hybrid_common(HY.sides(*_doc_search_inputs(spark, sf))).select(
         "query_id", "chunk_id", F.round("trigram_score", 6).alias("trigram_score"), "trigram_rank",
         F.round("vector_score", 6).alias("vector_score"), "vector_rank")
 
@@ -191,16 +189,15 @@ def q_hybrid_common(spark: SparkSession, sf: str) -> DataFrame:
           " SELECT tri.query_id, tri.chunk_id, round((trigram_score + vector_score) / 2, 6) AS avg_score"
           " FROM tri JOIN vec USING (query_id, chunk_id)")
 def q_hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    tri, vec = HY.search_sides(*_doc_search_inputs(spark, sf))
-    return HY.hybrid_scores(tri, vec).select("query_id", "chunk_id", F.round("avg_score", 6).alias("avg_score"))
+    return HY.hybrid_scores(HY.sides(*_doc_search_inputs(spark, sf))).select("query_id", "chunk_id", F.round("avg_score", 6).alias("avg_score"))
 
 
 _HYBRID_BEST_SQL = "WITH " + _DOC_CORPUS_SQL + f"""
 SELECT best.query_id, c.video_id, c.title, {D.WATCH} || c.video_id AS video_url,
        best.chunk_id, c.text AS chunk_text, 0 AS timestamp, round(best.trigram_score, 6) AS similarity_score, best.is_common,
        {D.WATCH} || c.video_id || '&t=0' AS link,
-       'https://www.youtube.com/embed/' || c.video_id || '?start=0' AS embed_url,
-       'https://img.youtube.com/vi/' || c.video_id || '/hqdefault.jpg' AS thumbnail_url
+       {D.EMBED} || c.video_id || '?start=0' AS embed_url,
+       {D.THUMB} || c.video_id || {D.THUMB_END} AS thumbnail_url
 FROM best JOIN c USING (chunk_id)"""
 
 
@@ -208,12 +205,9 @@ FROM best JOIN c USING (chunk_id)"""
 def q_hybrid_best(spark: SparkSession, sf: str) -> DataFrame:
     """Flagship: best hybrid chunk per benchmark query, shaped as a search response."""
     chunks, queries = _doc_search_inputs(spark, sf)
-    tri, vec = HY.search_sides(chunks, queries)
-    best = HY.hybrid_best(tri, vec)
-    videos = TD.document_videos(spark, sf)
-    # one best row per query: broadcast into the payload joins only for a bounded query count
-    shaped = TR.attach_chunk_payload(best, chunks, videos, small=fits_broadcast(queries, BROADCAST_MAX_ROWS))
-    shaped = result_links(shaped)
+    best = HY.hybrid_best(HY.sides(chunks, queries, payload=("video_id", "text", "start_ms")))
+    # the winners carry their chunk; only their titles are joined
+    shaped = result_links(with_titles(best.withColumnRenamed("text", "chunk_text"), TD.document_videos(spark, sf)))
     return shaped.select(
         "query_id", "video_id", "title", "video_url",
         "chunk_id", "chunk_text", "timestamp", F.round("similarity_score", 6).alias("similarity_score"), "is_common",

@@ -16,11 +16,11 @@ from cuefind.sources import store as ST
 from cuefind.sources import subtitles as SU
 from cuefind.sources import testdata as TD
 
-WS = "[\\t\\n\\x0B\\f\\r\\x{85}\\p{Z}]"
+WS = D.WS
 
-LISTING_SQL = """
-SELECT DISTINCT lpad(CAST(conv_id AS VARCHAR), 11, '0') AS video_id, 'conv ' || CAST(conv_id AS VARCHAR) AS title,
-       'https://www.youtube.com/watch?v=' || lpad(CAST(conv_id AS VARCHAR), 11, '0') AS video_url
+LISTING_SQL = f"""
+SELECT DISTINCT {D.video_id('conv_id')} AS video_id, 'conv ' || CAST(conv_id AS VARCHAR) AS title,
+       {D.WATCH} || {D.video_id('conv_id')} AS video_url
 FROM conversations"""
 
 
@@ -31,9 +31,21 @@ def q_playlist_scan(spark: SparkSession, sf: str) -> DataFrame:
     return LI.first_listing_per_video(listing).select("video_id", "title", "video_url")
 
 
+@register("playlist_dedupe", f"""
+SELECT {D.video_id('conv_id')} AS video_id, 0 AS playlist, 'conv ' || CAST(conv_id AS VARCHAR) AS title
+FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 = 0
+UNION ALL
+SELECT {D.video_id('conv_id')}, 1, 'second conv ' || CAST(conv_id AS VARCHAR)
+FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 2 <> 0""")
+def q_playlist_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    """Two playlists: the first lists every second video, the second all of them under another title."""
+    paths = [FF.write_listing(spark, sf, "conv ", F.col("conv_id") % 2 == 0), FF.write_listing(spark, sf, "second conv ")]
+    return LI.first_listing_per_video(LI.read_listings(spark, paths)).select("video_id", "playlist", "title")
+
+
 SUBTITLE_SQL = f"""
 WITH t AS (
-  SELECT lpad(CAST(conv_id AS VARCHAR), 11, '0') AS video_id, turn,
+  SELECT {D.video_id('conv_id')} AS video_id, turn,
          array_to_string(list_filter(string_split(text, chr(10)), lambda l: regexp_replace(l, '{WS}+', '', 'g') <> ''),
                          ' ') AS text,
          CAST(turn * 400000 AS BIGINT) AS start_ms, CAST(turn * 400000 + 399000 AS BIGINT) AS end_ms
@@ -72,35 +84,33 @@ def q_segments_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 EXPORT_SQL = "WITH " + SEGMENTS_SQL + f""",
-tr AS (SELECT video_id, {D.trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript, count(*) AS n_segments
+tr AS (SELECT video_id, {D.trim_ws("string_agg(text, '' ORDER BY pos)")} AS transcript,
+              string_agg(text || '|' || {D.timespan('start_ms')} || '|' || {D.timespan('end_ms')}, ';' ORDER BY pos)
+                AS segments
        FROM seg GROUP BY video_id)
 SELECT video_id, 'conv ' || CAST(CAST(video_id AS BIGINT) AS VARCHAR) AS title,
-       'https://www.youtube.com/watch?v=' || video_id AS video_url, transcript, 'subtitles' AS extraction_type,
-       n_segments
+       {D.WATCH} || video_id AS video_url, transcript, 0 AS extraction_type,
+       segments
 FROM tr"""
 
 
 def build_videos(spark: SparkSession, sf: str) -> DataFrame:
-    """Videos as exported documents: metadata + transcript + segment list per video (the
-    export format is one JSON document per video)."""
+    """Videos with transcript and segment list (the export format is one JSON document per video)."""
     seg = TD.conversation_segments(spark, sf)
-    tr = CH.video_transcripts(seg)
     segs = seg.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text", "start_ms", "end_ms")))
-                                       .alias("s"))
-    segs = segs.select("video_id", F.transform("s", lambda x: F.struct(x["text"].alias("text"),
-                                                                       x["start_ms"].alias("start_ms"),
-                                                                       x["end_ms"].alias("end_ms"))).alias("segments"))
-    meta = TD.conversation_videos(spark, sf)
-    return (meta.join(tr, "video_id").join(segs, "video_id")
-            .withColumn("extraction_type", F.lit("subtitles"))
-            .select(*[f.name for f in ST.VIDEO_EXPORT.fields]))
+                                       .alias("segments"))
+    return (TD.conversation_videos(spark, sf).join(CH.video_transcripts(seg), "video_id").join(segs, "video_id")
+            .withColumn("extraction_type", F.lit("subtitles")))
 
 
 @register("export_scripts_json", EXPORT_SQL)
 def q_export_scripts_json(spark: SparkSession, sf: str) -> DataFrame:
-    """Export all video scripts as JSON lines and read the export back."""
+    """Export all video scripts as JSON lines under the entity's names and read the export back."""
     path = scratch_path(spark, "export")
-    build_videos(spark, sf).write.mode("overwrite").json(path)
+    ST.export_videos(build_videos(spark, sf), path)
     back = spark.read.schema(ST.VIDEO_EXPORT).json(path)
-    return back.select("video_id", "title", "video_url", "transcript", "extraction_type",
-                       F.size("segments").cast("long").alias("n_segments"))
+    line = lambda s: F.concat_ws("|", s["Text"], s["Start"], s["End"])
+    return back.select(F.col("VideoId").alias("video_id"), F.col("Title").alias("title"),
+                       F.col("VideoUrl").alias("video_url"), F.col("Transcript").alias("transcript"),
+                       F.col("ExtractionType").alias("extraction_type"),
+                       F.array_join(F.transform("Segments", line), ";").alias("segments"))

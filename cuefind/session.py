@@ -45,11 +45,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a local one only when none is configured."""
+    """Return the session's checkpoint folder; a local one is set where none is configured and the
+    session runs on one machine. On a cluster that is an error: its files would lie on single machines."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
     if not current:
-        # Only reached in local runs (tests, bench): a cluster names a shared folder.
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that all executors share")
+        # tests and bench on one machine
         current = tempfile.mkdtemp(prefix="cuefind-ckpt-", dir=os.environ.get("CUEFIND_SCRATCH", "/tmp"))
         spark.conf.set(_CKPT_KEY, current)
     if not sc.getCheckpointDir():

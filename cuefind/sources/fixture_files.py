@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cuefind.functions.text import is_blank
 from cuefind.session import scratch_path
 from cuefind.sources import testdata as TD
-from cuefind.sources.subtitles import format_timespan
+from cuefind.sources.store import timespan_text
 
 # ---- fixed values of the file fixtures ----------------------------------------------------
 CUE_SPAN_MS = 400_000       # turn k's cue covers [k * 400 s, (k + 1) * 400 s - 1 s]
@@ -22,13 +22,14 @@ SETTINGS_SUFFIX = " align:start"
 # -------------------------------------------------------------------------------------------
 
 
-def write_listing(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """Lines 'video_id<TAB>conv N' for every conversation, plus one empty line and one line
-    without a tab; written as plain text part files (each part is one playlist)."""
-    path = path or scratch_path(spark, "listing")
+def write_listing(spark: SparkSession, sf_dir: str, title: str = "conv ", which=None) -> str:
+    """Lines 'video_id<TAB>conv N' for every conversation (or those that ``which`` holds for), plus one
+    empty line and one line without a tab; written as plain text part files."""
+    path = scratch_path(spark, "listing")
     conv = TD.read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    conv = conv if which is None else conv.where(which)
     lines = conv.select(F.concat(TD.video_id_of("conv_id"), F.lit("\t"),
-                                 F.lit("conv "), F.col("conv_id").cast("string")).alias("value"))
+                                 F.lit(title), F.col("conv_id").cast("string")).alias("value"))
     extra = spark.range(1).select(F.explode(F.array(F.lit(""), F.lit("no tab on this line"))).alias("value"))
     lines.unionByName(extra).write.mode("overwrite").text(path)
     return path
@@ -41,7 +42,7 @@ def subtitle_file_rows(spark: SparkSession, sf_dir: str):
     conv = TD.read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     start = F.col("turn") * CUE_SPAN_MS
     end = start + CUE_SPAN_MS - CUE_GAP_MS
-    timing = F.concat(format_timespan(start), F.lit(" --> "), format_timespan(end))
+    timing = F.concat(timespan_text(start), F.lit(" --> "), timespan_text(end))
     body = F.filter(F.split(F.col("text"), "\n"), lambda ln: ~is_blank(ln))
     cue = F.array_join(F.concat(F.array(timing), body, F.array(F.lit(""))), "\n")
     cues = conv.select(TD.video_id_of("conv_id").alias("video_id"), "turn", timing.alias("timing"),

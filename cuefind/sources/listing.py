@@ -36,8 +36,13 @@ def read_listings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
         f = spark.read.text(p, wholetext=True).select(
             F.lit(i).alias("playlist"), F.input_file_name().alias("source"), F.col("value"))
         files = f if files is None else files.unionByName(f)
-    lines = files.select("playlist", "source",
-                         F.posexplode(F.split(F.col("value"), "\r\n|\r|\n")).alias("line_no", "value"))
+    return listing_lines(files)
+
+
+def listing_lines(files: DataFrame) -> DataFrame:
+    """Whole files (playlist, source, value) -> parsed lines in file order; only ``\\n`` ends a line (a
+    ``\\r`` before it is trimmed with the title)."""
+    lines = files.select("playlist", "source", F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "value"))
     return parse_listing_lines(lines)
 
 

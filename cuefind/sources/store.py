@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,12 +10,6 @@ from pyspark.sql import types as T
 
 from cuefind.functions.text import parse_timespan_ms
 
-SEGMENT = T.StructType([
-    T.StructField("text", T.StringType()),
-    T.StructField("start_ms", T.LongType()),
-    T.StructField("end_ms", T.LongType()),
-])
-
 VIDEOS = T.StructType([
     T.StructField("video_id", T.StringType()),
     T.StructField("title", T.StringType()),
@@ -28,59 +22,141 @@ VIDEOS = T.StructType([
 # never one giant array built by one task. Arrays exist only in the per-video JSON export.
 SEGMENTS = T.StructType([
     T.StructField("video_id", T.StringType()),
-    T.StructField("pos", T.IntegerType()),
+    T.StructField("pos", T.LongType()),
     T.StructField("text", T.StringType()),
     T.StructField("start_ms", T.LongType()),
     T.StructField("end_ms", T.LongType()),
 ])
 
-VIDEO_EXPORT = T.StructType(VIDEOS.fields + [T.StructField("segments", T.ArrayType(SEGMENT))])
+# ---- fixed values of the JSON export: the entity's field names and enum numbers
+VIDEO_EXPORT = T.StructType([
+    T.StructField("VideoUrl", T.StringType()),
+    T.StructField("VideoId", T.StringType()),
+    T.StructField("Title", T.StringType()),
+    T.StructField("Transcript", T.StringType()),
+    T.StructField("ExtractionType", T.IntegerType()),
+    T.StructField("Segments", T.ArrayType(T.StructType([
+        T.StructField("Text", T.StringType()), T.StructField("Start", T.StringType()), T.StructField("End", T.StringType())]))),
+])
+EXTRACTION_TYPES = {"subtitles": 0, "stt": 1}
 
 CHUNKS = T.StructType([
     T.StructField("chunk_id", T.StringType()),
     T.StructField("video_id", T.StringType()),
     T.StructField("threshold", T.IntegerType()),
-    T.StructField("pos", T.IntegerType()),
+    T.StructField("pos", T.LongType()),
     T.StructField("text", T.StringType()),
     T.StructField("normalized_text", T.StringType()),
     T.StructField("start_ms", T.LongType()),
     T.StructField("end_ms", T.LongType()),
-    T.StructField("end_pos", T.IntegerType()),
+    T.StructField("end_pos", T.LongType()),
     T.StructField("embedding", T.ArrayType(T.FloatType())),
 ])
 
 QUERY_CACHE = T.StructType([
     T.StructField("normalized_query", T.StringType()),
     T.StructField("chunk_id", T.StringType()),
-    T.StructField("created_at", T.TimestampType()),
-    T.StructField("last_accessed_at", T.TimestampType()),
+    T.StructField("created_at", T.TimestampNTZType()),
+    T.StructField("last_accessed_at", T.TimestampNTZType()),
     T.StructField("access_count", T.LongType()),
 ])
 
-SCHEMAS = {"videos": VIDEOS, "segments": SEGMENTS, "chunks": CHUNKS, "query_cache": QUERY_CACHE}
+CHUNK_VECTORS = T.StructType([
+    T.StructField("chunk_id", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+])
+
+SCHEMAS = {"videos": VIDEOS, "segments": SEGMENTS, "chunks": CHUNKS, "query_cache": QUERY_CACHE,
+           "chunk_vectors": CHUNK_VECTORS}
+
+
+# ---- tables: data folders plus numbered manifests ------------------------------------------
+#
+# <root>/<name>/part-<id>/            Parquet folders, never changed once a manifest names them
+# <root>/<name>/_manifest-<n>         the folders of version n, one per line, ended by "end"
+#
+# A writer writes its folder first and the next manifest last (created, never overwritten: of two
+# writers one fails). A job that stops in between leaves the last version as it is; a reader takes the
+# newest complete manifest and fails if a folder it names is gone.
+
+_END = "end"
+
 
+def _fs(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
 
+def _read_text(fs, path) -> str:
+    stream = fs.open(path)
+    try:
+        return bytes(stream.readAllBytes()).decode("utf-8")
+    finally:
+        stream.close()
 
-def ensure_table(spark: SparkSession, root: str, name: str) -> str:
-    """Create an empty table with the fixed schema if it is absent; returns its path."""
-    path = os.path.join(root, name)
-    if not _exists(spark, path):
-        spark.createDataFrame([], SCHEMAS[name]).write.mode("overwrite").parquet(path)
-    return path
+
+def table_version(spark: SparkSession, root: str, name: str) -> tuple[int, list[str]]:
+    """(version, folders) of a table; version 0 before it exists."""
+    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}")
+    if not fs.exists(path):
+        return 0, []
+    files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("_manifest-")),
+                   key=lambda p: p.getName(), reverse=True)
+    for file in files:
+        lines = _read_text(fs, file).split("\n")
+        if lines[-1] == _END:
+            return int(file.getName().rsplit("-", 1)[1]), lines[:-1]
+    return 0, []
+
+
+def _commit(spark: SparkSession, root: str, name: str, version: int, folders: list[str]) -> None:
+    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}/_manifest-{version:012d}")
+    stream = fs.create(path, False)
+    try:
+        stream.write(bytearray("\n".join([*folders, _END]).encode("utf-8")))
+    finally:
+        stream.close()
+
+
+def _write_part(df: DataFrame, root: str, name: str) -> str:
+    part = f"part-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root.rstrip('/')}/{name}/{part}")
+    return part
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(SCHEMAS[name]).parquet(ensure_table(spark, root, name))
+    """The table's newest version; an empty one before the first write (create if absent)."""
+    _, folders = table_version(spark, root, name)
+    if not folders:
+        return spark.createDataFrame([], SCHEMAS[name])
+    return spark.read.schema(SCHEMAS[name]).parquet(*(f"{root.rstrip('/')}/{name}/{f}" for f in folders))
+
+
+def append_table(df: DataFrame, root: str, name: str) -> None:
+    """Add rows: one more folder in the next version."""
+    spark = df.sparkSession
+    part = _write_part(df.select(*(f.name for f in SCHEMAS[name].fields)), root, name)
+    version, folders = table_version(spark, root, name)
+    _commit(spark, root, name, version + 1, [*folders, part])
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
-    df.write.mode(mode).parquet(path)
+def replace_table(df: DataFrame, root: str, name: str) -> None:
+    """The rows of ``df`` become the next version (``df`` may read the present one)."""
+    spark = df.sparkSession
+    version, _ = table_version(spark, root, name)
+    part = _write_part(df.select(*(f.name for f in SCHEMAS[name].fields)), root, name)
+    _commit(spark, root, name, version + 1, [part])
+
+
+def drop_old_versions(spark: SparkSession, root: str, name: str) -> None:
+    """Delete the folders and manifests that the present version does not need. For times without readers
+    of older versions and without running writers."""
+    version, folders = table_version(spark, root, name)
+    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}")
+    for file in fs.listStatus(path) if version else []:
+        own = file.getPath().getName()
+        if own not in folders and own != f"_manifest-{version:012d}":
+            fs.delete(file.getPath(), True)
 
 
 # ---- segment JSON codec: [{"Text": ..., "Start": "hh:mm:ss[.fffffff]", "End": ...}] --------
@@ -100,11 +176,22 @@ def timespan_text(ms) -> F.Column:
     return F.when(d > 0, F.concat(d.cast("string"), F.lit("."), with_frac)).otherwise(with_frac)
 
 
+def segment_entities(segments: F.Column) -> F.Column:
+    """array<struct<text,start_ms,end_ms>> under the stored field names."""
+    return F.transform(segments, lambda s: F.struct(
+        s["text"].alias("Text"), timespan_text(s["start_ms"]).alias("Start"), timespan_text(s["end_ms"]).alias("End")))
+
+
 def segments_to_json(segments: F.Column) -> F.Column:
-    """array<struct<text,start_ms,end_ms>> -> JSON text with the stored field names."""
-    return F.to_json(F.transform(segments, lambda s: F.struct(
-        s["text"].alias("Text"), timespan_text(s["start_ms"]).alias("Start"),
-        timespan_text(s["end_ms"]).alias("End"))))
+    return F.to_json(segment_entities(segments))
+
+
+def export_videos(videos: DataFrame, path: str) -> None:
+    """Videos (with ``segments`` arrays) as one JSON document a line."""
+    number = F.coalesce(*(F.when(F.col("extraction_type") == k, v) for k, v in EXTRACTION_TYPES.items()))
+    videos.select(F.col("video_url").alias("VideoUrl"), F.col("video_id").alias("VideoId"), F.col("title").alias("Title"),
+                  F.col("transcript").alias("Transcript"), number.alias("ExtractionType"),
+                  segment_entities(F.col("segments")).alias("Segments")).write.json(path)
 
 
 def segments_from_json(js: F.Column) -> F.Column:

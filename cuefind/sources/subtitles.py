@@ -23,33 +23,24 @@ def read_subtitle_files(spark: SparkSession, path: str, id_col: str = "video_id"
 
 
 def parse_subtitles(files: DataFrame, id_col: str = "video_id", first_match: bool = True) -> DataFrame:
-    """files(id_col, value) -> segments(id_col, pos, text, start_ms, end_ms)."""
+    """files(id_col, value) -> segments(id_col, pos, text, start_ms, end_ms).
+
+    Lines are gathered once per block (up to the next blank line); a cue takes the rest of its block."""
     lines = files.select(id_col, F.posexplode(F.split(F.col("value"), "\r\n|\r|\n")).alias("pos", "line"))
     blank = is_blank(F.col("line")).cast("int")
-    w_file = Window.partitionBy(id_col).orderBy("pos")
-    lines = lines.withColumn("blk", F.sum(blank).over(w_file.rowsBetween(Window.unboundedPreceding, 0)))
-    w_blk = Window.partitionBy(id_col, "blk").orderBy("pos").rowsBetween(1, Window.unboundedFollowing)
-    lines = lines.withColumn("tail", F.array_join(F.collect_list("line").over(w_blk), " "))
-    if first_match:
-        w_same = Window.partitionBy(id_col, "line").orderBy("pos")
-        lines = lines.withColumn("txt", F.first("tail").over(w_same))
-    else:
-        lines = lines.withColumn("txt", F.col("tail"))
+    w_file = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("blk", F.sum(blank).over(w_file))
+    blocks = lines.groupBy(id_col, "blk").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("rows"))
+    blocks = blocks.select(id_col, "blk", F.col("rows")[0]["pos"].alias("head"), F.col("rows.line").alias("body"))
     parts = F.split(F.col("line"), CUE_SEPARATOR)
-    start = parse_timespan_ms(F.element_at(parts, 1))
-    end = parse_timespan_ms(F.element_at(parts, 2))
-    cues = (lines.where(F.col("line").contains(CUE_SEPARATOR))
-            .select(id_col, "pos", F.col("txt").alias("text"), start.alias("start_ms"), end.alias("end_ms"))
-            .where(F.col("start_ms").isNotNull() & F.col("end_ms").isNotNull()))
-    return cues.select(id_col, F.col("pos").cast("int").alias("pos"), "text", "start_ms", "end_ms")
-
-
-def format_timespan(ms) -> F.Column:
-    """ms -> 'hh:mm:ss.fff' (cue timing text)."""
-    ms = F.col(ms) if isinstance(ms, str) else ms
-    h = F.floor(ms / 3600000)
-    m = F.floor(ms / 60000) % 60
-    s = F.floor(ms / 1000) % 60
-    f = ms % 1000
-    return F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), F.lpad(m.cast("string"), 2, "0"), F.lit(":"),
-                    F.lpad(s.cast("string"), 2, "0"), F.lit("."), F.lpad(f.cast("string"), 3, "0"))
+    cues = lines.where(F.col("line").contains(CUE_SEPARATOR)).select(
+        id_col, "pos", "blk", "line", parse_timespan_ms(F.element_at(parts, 1)).alias("start_ms"),
+        parse_timespan_ms(F.element_at(parts, 2)).alias("end_ms")).where("start_ms is not null and end_ms is not null")
+    place = F.struct(F.col("pos"), F.col("blk"))
+    if first_match:
+        place = F.min(place).over(Window.partitionBy(id_col, "line"))
+    cues = cues.withColumn("at", place).select(id_col, "pos", F.col("at.pos").alias("from"), F.col("at.blk").alias("blk"),
+                                               "start_ms", "end_ms")
+    rest = F.slice("body", F.col("from") - F.col("head") + 2, F.greatest(F.size("body"), F.lit(1)))
+    return cues.join(blocks, [id_col, "blk"]).select(
+        id_col, F.col("pos").cast("long").alias("pos"), F.array_join(rest, " ").alias("text"), "start_ms", "end_ms")

@@ -7,6 +7,7 @@ projection/join over the given tables, so its size grows with the data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cuefind.functions.text import normalize_text, watch_url
@@ -19,7 +20,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 VIDEO_ID_WIDTH = 11          # video ids are 11 characters
 CHUNK_ID_WIDTH = 12          # zero-padded numeric chunk ids sort like numbers
 MS_PER_WORD = 400            # each word segment lasts 400 ms
-POS_PER_TURN = 1000          # pos = turn * 1000 + word index
+TURNS_PER_BLOCK = 4096       # turns whose words are summed in one window group
 # -----------------------------------------------------------------------------------------
 
 
@@ -32,9 +33,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in _SPREAD else df
 
 
+def padded(number, width: int) -> F.Column:
+    """The number with leading zeros up to ``width`` digits; longer numbers stay whole."""
+    text = (F.col(number) if isinstance(number, str) else number).cast("string")
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
+
+
 def video_id_of(conv_id) -> F.Column:
-    return F.lpad(F.col(conv_id).cast("string") if isinstance(conv_id, str) else conv_id.cast("string"),
-                  VIDEO_ID_WIDTH, "0")
+    return padded(conv_id, VIDEO_ID_WIDTH)
 
 
 def conversation_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,16 +55,25 @@ def conversation_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Timed word segments: words of each turn split on [ \\n]+ (empty words kept)."""
-    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    seg = conv.select(
-        video_id_of("conv_id").alias("video_id"), "turn",
-        F.posexplode(F.split(F.col("text"), "[ \n]+")).alias("idx", "text"),
-    )
-    pos = F.col("turn") * POS_PER_TURN + F.col("idx")
+    """Timed word segments: words of each turn split on [ \\n]+ (empty words kept). ``pos`` counts the
+    words of the earlier turns and those before it in its own: sums per block of turns first, so
+    a long conversation is many window groups."""
+    conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split(F.col("text"), "[ \n]+").alias("words"))
+    turns = conv.select("conv_id", "turn", F.size("words").cast("long").alias("n"),
+                        F.floor(F.col("turn") / TURNS_PER_BLOCK).cast("long").alias("block"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (turns.groupBy("conv_id", "block").agg(F.sum("n").alias("n"))
+              .select("conv_id", "block", F.coalesce(F.sum("n").over(before.partitionBy("conv_id").orderBy("block")), F.lit(0))
+                      .alias("base")))
+    inside = F.coalesce(F.sum("n").over(before.partitionBy("conv_id", "block").orderBy("turn")), F.lit(0))
+    starts = (turns.withColumn("inside", inside).join(blocks, ["conv_id", "block"])
+              .select("conv_id", "turn", (F.col("base") + F.col("inside")).alias("start")))
+    seg = conv.join(starts, ["conv_id", "turn"]).select(
+        video_id_of("conv_id").alias("video_id"), "start", F.posexplode("words").alias("idx", "text"))
+    pos = F.col("start") + F.col("idx")
     return seg.select(
         "video_id",
-        pos.cast("int").alias("pos"),
+        pos.alias("pos"),
         "text",
         (pos * MS_PER_WORD).cast("long").alias("start_ms"),
         (pos * MS_PER_WORD + MS_PER_WORD).cast("long").alias("end_ms"),
@@ -66,20 +81,25 @@ def conversation_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_id_of(num) -> F.Column:
-    return F.lpad(num.cast("string"), CHUNK_ID_WIDTH, "0")
+    return padded(num, CHUNK_ID_WIDTH)
+
+
+def document_video_id() -> F.Column:
+    return F.concat(F.lit("doc"), padded("doc_id", VIDEO_ID_WIDTH - 3))
 
 
 def document_corpus(spark: SparkSession, sf_dir: str, with_vectors: bool = True) -> DataFrame:
-    """Documents as ready-made chunks (whole text), joined to their vectors on doc_id = vec_id.
+    """All documents as ready-made chunks (whole text), with their vectors on doc_id = vec_id, null
+    where there is none.
 
     Columns: chunk_id, video_id, text, normalized_text, start_ms, end_ms[, embedding]."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     if with_vectors:
         emb = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-        docs = docs.join(emb, "doc_id")
+        docs = docs.join(emb, "doc_id", "left")
     cols = [
         chunk_id_of(F.col("doc_id")).alias("chunk_id"),
-        F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), VIDEO_ID_WIDTH - 3, "0")).alias("video_id"),
+        document_video_id().alias("video_id"),
         F.col("text"),
         normalize_text(F.col("text")).alias("normalized_text"),
         F.lit(0).cast("long").alias("start_ms"),
@@ -92,7 +112,7 @@ def document_corpus(spark: SparkSession, sf_dir: str, with_vectors: bool = True)
 
 def document_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "source")
-    vid = F.concat(F.lit("doc"), F.lpad(F.col("doc_id").cast("string"), VIDEO_ID_WIDTH - 3, "0"))
+    vid = document_video_id()
     return docs.select(
         vid.alias("video_id"),
         F.concat(F.col("source"), F.lit(" "), F.col("doc_id").cast("string")).alias("title"),

@@ -2,7 +2,7 @@
 
 Each micro-batch (``foreachBatch``) parses the new listing lines, keeps only videos not
 stored yet (anti join against the videos table), builds their scripts, appends them, and
-then chunks every stored video that has no chunks yet. Both steps are anti joins against
+then chunks the batch's videos that have no chunks yet. Both steps are anti joins against
 the tables themselves, so a replayed batch after an executor or driver failure writes
 nothing twice; the checkpoint records which files were consumed.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from cuefind.operators import chunking as CH
 from cuefind.operators import ingest as IN
+from cuefind.operators.common import rows_with_keys
 from cuefind.session import reliable_checkpoint
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
@@ -25,42 +26,37 @@ ScriptSource = Callable[[DataFrame], DataFrame]
 
 
 def _process_batch(spark: SparkSession, batch: DataFrame, tables: str, scripts_for: ScriptSource) -> None:
-    lines = batch.select(F.input_file_name().alias("source"), F.col("value"))
-    # one row per video, chosen deterministically so a recomputed batch picks the same row
-    listing = LI.parse_listing_lines(lines).groupBy("video_id").agg(
-        F.min_by(F.struct("title", "video_url"), F.struct("source", "title", "video_url")).alias("r")
-    ).select("video_id", "r.title", "r.video_url")
-    videos_path = ST.ensure_table(spark, tables, "videos")
-    segments_path = ST.ensure_table(spark, tables, "segments")
-    chunks_path = ST.ensure_table(spark, tables, "chunks")
-    stored = spark.read.schema(ST.VIDEOS).parquet(videos_path)
-    missing = IN.ingest_missing(listing, stored)
+    listing = reliable_checkpoint(LI.first_listing_per_video(LI.listing_lines(batch))
+                                  .select("video_id", "title", "video_url"))
+    missing = IN.ingest_missing(listing, ST.read_table(spark, tables, "videos"))
     choice = reliable_checkpoint(scripts_for(missing.select("video_id")))
-    scripts = IN.scripts_from_segments(choice)
-    new_rows = reliable_checkpoint(missing.join(scripts, "video_id").select(*[f.name for f in ST.VIDEOS.fields]))
+    new_rows = reliable_checkpoint(missing.join(IN.scripts_from_segments(choice), "video_id"))
     # segments first, then the video row: a replay after a failure in between finds the
     # video still missing and its segments already present (skipped by the anti join)
-    segs = spark.read.schema(ST.SEGMENTS).parquet(segments_path)
     new_segs = IN.not_yet_stored(IN.script_segments(choice).join(new_rows.select("video_id"), "video_id", "left_semi"),
-                                 segs)
-    reliable_checkpoint(new_segs).write.mode("append").parquet(segments_path)
-    new_rows.write.mode("append").parquet(videos_path)
+                                 rows_with_keys(ST.read_table(spark, tables, "segments"), listing, "video_id"))
+    ST.append_table(new_segs, tables, "segments")
+    ST.append_table(new_rows, tables, "videos")
+    chunk_videos(spark, tables, listing)
 
-    videos = spark.read.schema(ST.VIDEOS).parquet(videos_path)
-    chunks = spark.read.schema(ST.CHUNKS).parquet(chunks_path)
-    todo = CH.videos_unchunked(videos.select("video_id"), chunks)
-    seg = spark.read.schema(ST.SEGMENTS).parquet(segments_path).join(todo, "video_id", "left_semi")
-    fresh = CH.chunk_segments(seg).withColumn("embedding", F.lit(None).cast("array<float>"))
-    fresh = reliable_checkpoint(fresh.select(*[f.name for f in ST.CHUNKS.fields]))
-    fresh.write.mode("append").parquet(chunks_path)
+
+def chunk_videos(spark: SparkSession, tables: str, videos: DataFrame) -> None:
+    """Chunk those of ``videos`` that are stored and have no chunks; the tables are cut down to them
+    first, so the work follows the batch. With the whole videos table: the recovery pass."""
+    stored = rows_with_keys(ST.read_table(spark, tables, "videos"), videos, "video_id").select("video_id")
+    todo = CH.videos_unchunked(stored, rows_with_keys(ST.read_table(spark, tables, "chunks"), videos, "video_id"))
+    segments = rows_with_keys(ST.read_table(spark, tables, "segments"), todo, "video_id")
+    fresh = CH.chunk_segments(segments).withColumn("embedding", F.lit(None).cast("array<float>"))
+    ST.append_table(fresh, tables, "chunks")
 
 
 def run_ingest_stream(spark: SparkSession, listing_dir: str, tables: str, checkpoint: str,
                       scripts_for: ScriptSource, files_per_batch: int = 1) -> None:
-    """Consume every listing file present now (availableNow) and stop."""
-    stream = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
-              .load(listing_dir))
-    q = (stream.writeStream
+    """Consume every listing file present now (availableNow) and stop. Files are read whole, so the
+    first line of a repeated video wins here as in the batch job."""
+    files = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("wholetext", True)
+             .load(listing_dir).select(F.lit(0).alias("playlist"), F.input_file_name().alias("source"), "value"))
+    q = (files.writeStream
          .foreachBatch(lambda df, epoch: _process_batch(spark, df, tables, scripts_for))
          .option("checkpointLocation", checkpoint)
          .trigger(availableNow=True)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 import unicodedata
 
@@ -26,24 +28,22 @@ def utf16_len(s: str) -> int:
 
 
 def chunk_model(segments, thresholds=(30, 50)):
-    """segments: list of (text, start, end) in order -> list of (threshold, i, text, start, end)."""
-    out, seen = [], set()
-    n = len(segments)
+    """Chunks of one video as sets and indexes: (threshold, first segment, text, start, end).
+
+    With the lengths' prefix sums, segment k is in the chunk of i if it starts less than the threshold
+    after i. Per threshold, a start is new if no earlier start, here or among the chunks of an earlier
+    threshold, has its (text, start, end); starts after the first new one that reaches the end don't count."""
+    texts = [s[0] for s in segments]
+    before = list(itertools.accumulate(map(utf16_len, texts), initial=0))[:-1]
+    out, known = [], set()
     for t in thresholds:
-        for i in range(n):
-            members = [segments[i]]
-            j = i
-            while j + 1 < n and sum(utf16_len(s[0]) for s in members) < t:
-                j += 1
-                members.append(segments[j])
-            text = clr_trim(" ".join(s[0] for s in members))
-            key = (text, members[0][1], members[-1][2])
-            if key in seen:
-                continue
-            seen.add(key)
-            out.append((t, i, text, members[0][1], members[-1][2]))
-            if j == n - 1:
-                break
+        last = [bisect.bisect_right(before, b + t - 1) - 1 for b in before]
+        keys = [(clr_trim(" ".join(texts[i:k + 1])), segments[i][1], segments[k][2]) for i, k in enumerate(last)]
+        new = [i for i, key in enumerate(keys) if key not in known and keys.index(key) == i]
+        stop = min((i for i in new if last[i] == len(segments) - 1), default=len(segments))
+        chosen = [i for i in new if i <= stop]
+        out += [(t, i, *keys[i]) for i in chosen]
+        known |= {keys[i] for i in chosen}
     return out
 
 

@@ -1,5 +1,7 @@
 """Embedding job, streaming ingest replay, table store."""
 
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -25,15 +27,23 @@ def test_call_with_retry_orders_and_retries():
 
 
 def test_embed_batches_of_ten(spark):
-    sizes = []
-
-    def provider(texts):
-        sizes.append(len(texts))
-        return [{"index": i, "embedding": [float(i), 1.0]} for i in range(len(texts))]
+    def provider(texts):                                    # tells each text its place and its batch's size
+        return [{"index": i, "embedding": [float(i), float(len(texts))]} for i in range(len(texts))]
 
     df = spark.createDataFrame([(f"c{i:02d}", f"t{i}") for i in range(25)], "chunk_id string, text string")
-    rows = EM.embed_texts(df.coalesce(1), provider).collect()
-    assert len(rows) == 25 and all(len(r.embedding) == 2 for r in rows)
+    rows = sorted(EM.embed_texts(df.coalesce(1), provider, pause_s=0.0).collect(), key=lambda r: r.chunk_id)
+    assert [r.embedding for r in rows] == [[float(i % 10), 10.0 if i < 20 else 5.0] for i in range(25)]
+
+
+def test_gap_between_calls(spark):
+    def provider(texts):                                    # every text gets the time of its call
+        now = time.time() % 1000
+        return [{"index": i, "embedding": [now]} for i in range(len(texts))]
+
+    df = spark.createDataFrame([(f"c{i:02d}", f"t{i}") for i in range(31)], "chunk_id string, text string").coalesce(1)
+    at = sorted({r.embedding[0] for r in EM.embed_texts(df, provider).collect()})
+    assert EM.PAUSE_S == 0.1 and len(at) == 4
+    assert all(b - a >= 0.09 for a, b in zip(at, at[1:])) or at[-1] - at[0] > 900     # (or the clock turned)
 
 
 def test_hashed_provider_unit_norm():
@@ -74,9 +84,9 @@ def test_stream_ingest_replay_is_harmless(spark):
     listing = scratch_path(spark, "listing")
     spark.createDataFrame([("v1\tOne",), ("v2\tTwo",), ("",)], "value string").coalesce(1).write.text(listing)
     stt = spark.createDataFrame([("v1", 0, "hello", 0, 1), ("v1", 1, "world", 1, 2), ("v2", 0, "x", 0, 1)],
-                                "video_id string, pos int, text string, start_ms long, end_ms long")
+                                "video_id string, pos long, text string, start_ms long, end_ms long")
     none_f = spark.createDataFrame([], "video_id string")
-    none_s = spark.createDataFrame([], "video_id string, pos int, text string, start_ms long, end_ms long")
+    none_s = spark.createDataFrame([], "video_id string, pos long, text string, start_ms long, end_ms long")
     scripts = lambda w: IN.choose_scripts(w, none_f, none_s, stt)
     tables = scratch_path(spark, "tables")
     run_ingest_stream(spark, listing, tables, scratch_path(spark, "ck1"), scripts)
@@ -96,9 +106,9 @@ def test_fetch_job_stage_flags(spark):
     listing = scratch_path(spark, "listing")
     spark.createDataFrame([("v1\tOne",), ("v2\tTwo",), ("v3\tThree",)], "value string").coalesce(1).write.text(listing)
     stt = spark.createDataFrame([("v1", 0, "hello", 0, 1), ("v1", 1, "world", 1, 2), ("v2", 0, "x", 0, 1)],
-                                "video_id string, pos int, text string, start_ms long, end_ms long")
+                                "video_id string, pos long, text string, start_ms long, end_ms long")
     none_f = spark.createDataFrame([], "video_id string")
-    none_s = spark.createDataFrame([], "video_id string, pos int, text string, start_ms long, end_ms long")
+    none_s = spark.createDataFrame([], "video_id string, pos long, text string, start_ms long, end_ms long")
     scripts = lambda w: IN.choose_scripts(w, none_f, none_s, stt)
     tables = scratch_path(spark, "tables")
     stats = FJ.run_fetch_job(spark, [listing], tables, scripts)   # defaults: extract only
@@ -122,13 +132,85 @@ def test_stream_replay_after_partial_write(spark):
     listing = scratch_path(spark, "listing")
     spark.createDataFrame([("v1\tOne",)], "value string").coalesce(1).write.text(listing)
     stt = spark.createDataFrame([("v1", 0, "hello", 0, 1), ("v1", 1, "world", 1, 2)],
-                                "video_id string, pos int, text string, start_ms long, end_ms long")
+                                "video_id string, pos long, text string, start_ms long, end_ms long")
     none_f = spark.createDataFrame([], "video_id string")
-    none_s = spark.createDataFrame([], "video_id string, pos int, text string, start_ms long, end_ms long")
+    none_s = spark.createDataFrame([], "video_id string, pos long, text string, start_ms long, end_ms long")
     scripts = lambda w: IN.choose_scripts(w, none_f, none_s, stt)
     tables = scratch_path(spark, "tables")
-    stt.write.mode("append").parquet(ST.ensure_table(spark, tables, "segments"))   # the partial write
+    ST.append_table(stt, tables, "segments")                                       # the partial write
     run_ingest_stream(spark, listing, tables, scratch_path(spark, "ck"), scripts)
     assert ST.read_table(spark, tables, "segments").count() == 2
     assert ST.read_table(spark, tables, "videos").count() == 1
     assert ST.read_table(spark, tables, "chunks").count() == 2
+
+
+def test_a_write_that_stops_half_way_changes_nothing(spark, monkeypatch):
+    root = scratch_path(spark, "store-crash")
+    row = lambda n: spark.createDataFrame([(f"c{n}", [float(n)])], ST.CHUNK_VECTORS)
+    ST.append_table(row(1), root, "chunk_vectors")
+    before = ST.read_table(spark, root, "chunk_vectors")
+
+    def stop(*a):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(ST, "_commit", stop)                      # data written, no manifest
+        for write in (ST.append_table, ST.replace_table):
+            with pytest.raises(KeyboardInterrupt):
+                write(row(2), root, "chunk_vectors")
+    assert [r.chunk_id for r in ST.read_table(spark, root, "chunk_vectors").collect()] == ["c1"]
+    # a manifest cut off in the middle is not a version
+    fs, path = ST._fs(spark, f"{root}/chunk_vectors/_manifest-{9:012d}")
+    out = fs.create(path, False)
+    out.write(bytearray(b"part-gone\n"))
+    out.close()
+    ST.replace_table(ST.read_table(spark, root, "chunk_vectors").unionByName(row(3)), root, "chunk_vectors")
+    assert sorted(r.chunk_id for r in ST.read_table(spark, root, "chunk_vectors").collect()) == ["c1", "c3"]
+    assert [r.chunk_id for r in before.collect()] == ["c1"]  # a reader keeps its version
+    ST.drop_old_versions(spark, root, "chunk_vectors")
+    assert sorted(r.chunk_id for r in ST.read_table(spark, root, "chunk_vectors").collect()) == ["c1", "c3"]
+
+
+def test_a_missing_folder_is_an_error(spark):
+    root = scratch_path(spark, "store-missing")
+    ST.append_table(spark.createDataFrame([("c", [1.0])], ST.CHUNK_VECTORS), root, "chunk_vectors")
+    _, (part,) = ST.table_version(spark, root, "chunk_vectors")
+    fs, path = ST._fs(spark, f"{root}/chunk_vectors/{part}")
+    fs.delete(path, True)
+    with pytest.raises(Exception, match="(?i)path"):
+        ST.read_table(spark, root, "chunk_vectors").count()
+
+
+def test_embedding_resumes_after_a_failed_bucket(spark):
+    from cuefind.plans import fetch_job as FJ
+    root = scratch_path(spark, "embed-resume")
+    chunks = spark.createDataFrame([(f"c{i:03d}", f"text {i}") for i in range(60)], "chunk_id string, text string")
+    full = chunks.select("chunk_id", *(F.lit(None).cast(f.dataType).alias(f.name) for f in ST.CHUNKS.fields[1:4]), "text",
+                         *(F.lit(None).cast(f.dataType).alias(f.name) for f in ST.CHUNKS.fields[5:]))
+    ST.append_table(full, root, "chunks")
+    good = EM.hashed_trigram_provider(4)
+    bad_text = chunks.where(F.pmod(F.xxhash64("chunk_id"), F.lit(3)) == 2).first().text
+
+    def failing(texts):
+        if bad_text in texts:
+            raise IOError("down")
+        return good(texts)
+
+    import unittest.mock as mock
+    with mock.patch.object(EM, "RETRY_WAIT_S", (0.0, 0.0)), pytest.raises(Exception):
+        FJ.embed_stage(spark, root, failing, commit_rows=25, pause_s=0.0)       # 60 rows: three buckets
+    kept = ST.read_table(spark, root, "chunk_vectors").count()
+    assert 0 < kept < 60
+    FJ.embed_stage(spark, root, good, commit_rows=25, pause_s=0.0)
+    vectors = ST.read_table(spark, root, "chunk_vectors")
+    assert vectors.count() == 60 and vectors.select("chunk_id").distinct().count() == 60
+    assert FJ.chunks_with_vectors(spark, root).where("embedding is null").count() == 0
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+    from cuefind import session
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, getConf=lambda: conf, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=conf))

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from conftest import SF001
 from cuefind.functions.text import normalize_text
-from cuefind.operators import trigram as TR
-from cuefind.operators import vector as VE
+from cuefind.operators import hybrid as HY
+from cuefind.operators import search as SE
 from cuefind.plans.catalog import QUERIES
 
 
@@ -23,20 +23,55 @@ def _chunks(spark):
 
 def test_topk_is_partial_before_the_shuffle(spark):
     queries = spark.createDataFrame([(1, "word1", [1.0, 0.0])], "query_id long, query string, embedding array<float>")
-    for df in (TR.trigram_topk(_chunks(spark), queries, method="matrix"), VE.vector_topk(_chunks(spark), queries)):
+    for df in (SE.trigram_topk(_chunks(spark), queries), SE.vector_topk(_chunks(spark), queries)):
         plan = _plan(df)
         assert "WindowGroupLimit" in plan and "Partial" in plan, plan
-        assert "MapInPandas" in plan
+        assert plan.count("MapInArrow") == 1
 
 
-def test_join_plan_counts_without_shuffling_pairs(spark):
-    queries = spark.createDataFrame([(1, "word1 other2")], "query_id long, query string")
-    plan = _plan(TR._positive_scores(_chunks(spark), queries, "query", None))
-    # the only exchanges: the corpus repartition by chunk_id and the broadcast of postings
-    exchanges = re.findall(r"(\w*Exchange) (\w+)", plan)
-    assert sorted(exchanges) == [("BroadcastExchange", "HashedRelationBroadcastMode"),
-                                 ("Exchange", "hashpartitioning")], exchanges
-    assert "BroadcastHashJoin" in plan
+def test_hybrid_scores_the_corpus_once(spark):
+    queries = spark.createDataFrame([(1, "word1", [1.0, 0.0])], "query_id long, query string, embedding array<float>")
+    merged = HY.sides(_chunks(spark), queries, payload=("text",))
+    for df in (HY.hybrid_common(merged), HY.hybrid_best(merged), QUERIES["hybrid_best"](spark, SF001)):
+        assert _plan(df).count("MapInArrow") == 1
+
+
+def test_a_task_emits_k_rows_per_query(spark):
+    """However many batches a partition has: k rows per query and side reach the shuffle."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        queries = spark.createDataFrame([(q, f"word{q}", [float(q), 1.0]) for q in range(4)],
+                                        "query_id long, query string, embedding array<float>")
+        found = SE.search(_chunks(spark).coalesce(1), queries, 3)
+        assert found.count() == 4 * 3 * 2
+        rows = found._jdf.queryExecution().executedPlan()
+        scored = [line for line in rows.toString().split("\n") if "MapInArrow" in line]
+        assert len(scored) == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_lookup_and_resolve_do_not_move_cache_and_corpus(spark):
+    from cuefind.operators import cache as CA
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cache = spark.range(1000).selectExpr("concat('q', id) AS normalized_query", "concat('c', id) AS chunk_id")
+        chunks = spark.range(1000).selectExpr("concat('c', id) AS chunk_id", "repeat('text ', 50) AS chunk_text")
+        asked = spark.createDataFrame([(1, "q5"), (2, "none")], "query_id long, normalized_query string")
+        lookup = CA.cache_lookup(asked, cache)
+        resolved = CA.cache_resolve(lookup, chunks, ("chunk_text",))
+        for df, table in ((lookup, "Range (0, 1000"), (resolved, "Range (0, 1000")):
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            assert "LeftSemi" in plan and "strategy=broadcast" in plan
+        got = {r.query_id: (r.resolved, r.chunk_text) for r in resolved.collect()}
+        assert got[1][0] and got[1][1].startswith("text") and got[2] == (False, None)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_reports_read_each_input_once(spark):
+    for name in ("ingest_stats", "missing_report"):
+        assert _plan(QUERIES[name](spark, SF001)).count("Exchange hashpartitioning") <= 12
 
 
 def test_scans_read_only_needed_columns(spark):

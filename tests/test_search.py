@@ -6,8 +6,7 @@ from cuefind.functions.text import normalize_text
 from cuefind.operators import admission as AD
 from cuefind.operators import cache as CA
 from cuefind.operators import hybrid as HY
-from cuefind.operators import trigram as TR
-from cuefind.operators import vector as VE
+from cuefind.operators import search as SE
 from models import normalize_model, trigram_sim
 
 CH_SCHEMA = "chunk_id string, video_id string, text string, normalized_text string, start_ms long, " \
@@ -24,16 +23,16 @@ def _chunks(spark, rows):
 import pytest
 
 
-@pytest.mark.parametrize("method,ratio", [("matrix", 10 ** 9), ("matrix", 0), ("join", 200)])
-def test_trigram_topk_matches_full_scan(spark, monkeypatch, method, ratio):
-    monkeypatch.setattr(TR, "PAIR_TO_FMA", ratio)   # huge: dense kernel; 0: sparse pair kernel
-    texts = ["the quick brown fox", "quick brown", "lazy dog", "", "fox", "brown fox jumps", "zzz"]
+@pytest.mark.parametrize("ratio", [10 ** 9, 0, 200])
+def test_trigram_topk_matches_full_scan(spark, monkeypatch, ratio):
+    monkeypatch.setattr(SE, "PAIR_TO_FMA", ratio)   # huge: 0/1 blocks; 0: pair by pair
+    texts = ["the quick brown fox", "quick brown", "lazy dog", "", "fox", "brown fox jumps", "zzz", "ab\U00020000cd"]
     chunks = _chunks(spark, [(f"c{i}", t, None) for i, t in enumerate(texts)])
-    queries = spark.createDataFrame([(1, "Quick fox!"), (2, "qqq"), (3, "")], "query_id long, query string")
+    asked = [(1, "Quick fox!"), (2, "qqq"), (3, ""), (4, "ab\U00020000")]
     got = {}
-    for r in TR.trigram_topk(chunks, queries, k=5, method=method).collect():
+    for r in SE.trigram_topk(chunks, spark.createDataFrame(asked, "query_id long, query string"), k=5).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.chunk_id, round(r.score, 9)))
-    for qid, q in [(1, "Quick fox!"), (2, "qqq"), (3, "")]:
+    for qid, q in asked:
         scored = sorted(((-trigram_sim(normalize_model(t), normalize_model(q)), f"c{i}")
                          for i, t in enumerate(texts)))[:5]
         exp = [(rank + 1, cid, round(-s, 9)) for rank, (s, cid) in enumerate(scored)]
@@ -44,20 +43,38 @@ def test_vector_topk_zero_vector_last(spark):
     chunks = _chunks(spark, [("a", "x", [1.0, 0.0]), ("b", "x", [0.0, 0.0]), ("c", "x", [0.7, 0.7]),
                              ("d", "x", None)])
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
-    got = [(r.rank, r.chunk_id) for r in VE.vector_topk(chunks, queries, k=5).orderBy("rank").collect()]
+    got = [(r.rank, r.chunk_id) for r in SE.vector_topk(chunks, queries, k=5).orderBy("rank").collect()]
     assert got == [(1, "a"), (2, "c"), (3, "b")]   # zero vector: null distance, ranked last; null skipped
 
 
+def test_vector_rank_is_not_rounded(spark):
+    """Distances that differ by less than 1e-6 keep their order; equal vectors tie by chunk id."""
+    base = [1.0, 1e-4, 0.0]
+    chunks = _chunks(spark, [("z", "x", base), ("y", "x", [1.0, 1.2e-4, 0.0]), ("a", "x", [1.0, 3e-4, 0.0]), ("b", "x", base)])
+    queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id long, embedding array<float>")
+    got = [r.chunk_id for r in SE.vector_topk(chunks, queries, k=4).orderBy("rank").collect()]
+    assert got == ["b", "z", "y", "a"]
+
+
+def test_other_dimensions_are_an_error(spark):
+    chunks = _chunks(spark, [("a", "x", [1.0, 0.0]), ("b", "x", [1.0, 0.0, 0.0])])
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    with pytest.raises(Exception, match="do not have 2 dimensions"):
+        SE.vector_topk(chunks, queries, k=5).collect()
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "query_id long, embedding array<float>")
+    with pytest.raises(ValueError, match="dimensions"):
+        SE.vector_topk(chunks, mixed, k=5)
+
+
 def test_hybrid_prefers_common_then_trigram_rank(spark):
-    tri = spark.createDataFrame([(1, "A", 0.9, 1), (1, "B", 0.8, 2), (2, "C", 0.5, 1), (2, "D", 0.4, 2)],
-                                "query_id long, chunk_id string, trigram_score double, trigram_rank int")
-    vec = spark.createDataFrame([(1, "B", 0.99, 1), (1, "Z", 0.5, 2), (2, "Y", 0.9, 1)],
-                                "query_id long, chunk_id string, vector_score double, vector_rank int")
-    best = {r.query_id: (r.chunk_id, r.similarity_score, r.is_common) for r in HY.hybrid_best(tri, vec).collect()}
+    merged = spark.createDataFrame(
+        [(1, "A", 0.9, 1, None, None), (1, "B", 0.8, 2, 0.99, 1), (1, "Z", None, None, 0.5, 2),
+         (2, "C", 0.5, 1, None, None), (2, "D", 0.4, 2, None, None), (2, "Y", None, None, 0.9, 1)],
+        "query_id long, chunk_id string, trigram_score double, trigram_rank int, vector_score double, vector_rank int")
+    best = {r.query_id: (r.chunk_id, r.similarity_score, r.is_common) for r in HY.hybrid_best(merged).collect()}
     assert best == {1: ("B", 0.8, True), 2: ("C", 0.5, False)}
-    common = [r.chunk_id for r in HY.hybrid_common(tri, vec).collect()]
-    assert common == ["B"]
-    avg = HY.hybrid_scores(tri, vec).first().avg_score
+    assert [r.chunk_id for r in HY.hybrid_common(merged).collect()] == ["B"]
+    avg = HY.hybrid_scores(merged).first().avg_score
     assert abs(avg - (0.8 + 0.99) / 2) < 1e-12
 
 
@@ -97,74 +114,103 @@ def test_cache_roundtrip_and_dangling(spark):
     assert up == {"hi there": 2, "other": 2}
 
 
-def test_trigram_fallbacks_agree(spark, monkeypatch):
-    """Matrix plan, inverted join with broadcast postings, and the salted shuffle join
-    (forced by a zero broadcast budget) give the same top-k."""
-    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
-    texts = [" ".join(words[(i * 3 + j) % 8] for j in range(i % 5)) for i in range(40)]
-    chunks = _chunks(spark, [(f"c{i:02d}", t, None) for i, t in enumerate(texts)])
-    queries = spark.createDataFrame([(i, " ".join(words[i:i + 2])) for i in range(8)], "query_id long, query string")
-
-    def run(method):
-        return sorted(tuple(r) for r in TR.trigram_topk(chunks, queries, k=3, method=method)
-                      .select("query_id", "rank", "chunk_id", F.round("score", 9)).collect())
-
-    matrix, join = run("matrix"), run("join")
-    monkeypatch.setattr(TR, "BROADCAST_MAX_ROWS", 0)
-    salted = run("join")
-    assert matrix == join == salted
-
-
-def test_vector_query_groups(spark, monkeypatch):
-    """Query vectors shipped in several bounded groups give the same answer as one group."""
-    import random
-    rng = random.Random(3)
-    chunks = _chunks(spark, [(f"c{i:02d}", "x", [rng.uniform(-1, 1) for _ in range(4)]) for i in range(30)])
-    queries = spark.createDataFrame([(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(7)],
-                                    "query_id long, embedding array<float>")
-    one = sorted(tuple(r) for r in VE.vector_topk(chunks, queries, k=4).collect())
-    monkeypatch.setattr(VE, "QUERY_GROUP_BYTES", 8 * 4 * 2)   # two queries per group
-    many = sorted(tuple(r) for r in VE.vector_topk(chunks, queries, k=4).collect())
-    assert one == many and len(one) == 28
-
-
-def test_fused_sides_equal_separate_plans(spark):
+def _random_case(spark, seed=7):
     import random
-    rng = random.Random(7)
+    rng = random.Random(seed)
     words = ["quote", "rocket", "captain", "laser", "anger", "spear", "x1", "zz"]
     rows = []
-    for i in range(60):
+    for i in range(80):
         text = None if i % 17 == 0 else " ".join(rng.choice(words) for _ in range(rng.randint(0, 5)))
-        vec = [rng.uniform(-1, 1) for _ in range(3)]
-        if i % 11 == 0:
-            vec = None
-        elif i % 13 == 0:
-            vec = [0.0, 0.0, 0.0]
-        elif i % 19 == 0:
-            vec = [1.0, 2.0]          # wrong dimension: not a vector candidate
+        vec = None if i % 11 == 0 else [0.0] * 3 if i % 13 == 0 else [rng.uniform(-1, 1) for _ in range(3)]
         rows.append((f"c{i:02d}", text, vec))
     df = spark.createDataFrame(rows, "chunk_id string, text string, embedding array<float>")
     chunks = df.select("chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
-    queries = spark.createDataFrame(
-        [(1, "captain rocket", [0.5, 0.5, 0.1]), (2, "laser spear", None), (3, "", [0.0, 1.0, 0.0])],
-        "query_id long, query string, embedding array<float>")
-    f_tri, f_vec = HY.fused_sides(chunks, queries, 5)
-    s_tri = TR.trigram_topk(chunks, queries, 5)
-    s_vec = VE.vector_topk(chunks, queries, 5)
-    norm = lambda d: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in d.collect())  # noqa
-    assert norm(f_tri) == norm(s_tri.select("query_id", "chunk_id", "score", "rank"))
-    assert norm(f_vec) == norm(s_vec.select("query_id", "chunk_id", (1 - F.col("distance")), "rank"))
-
-
-def test_trigram_payload_both_plans(spark):
+    asked = [(q, " ".join(rng.choice(words) for _ in range(q % 4)), None if q % 5 == 0 else [rng.uniform(-1, 1) for _ in range(3)])
+             for q in range(23)]
+    return chunks, spark.createDataFrame(asked, "query_id long, query string, embedding array<float>")
+
+
+def _rows(df):
+    return sorted((tuple(round(x, 12) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+
+
+def test_one_group_and_many_groups_and_tiles(spark, monkeypatch):
+    """The same rows however the queries are grouped, the work is tiled or the chunks are dealt."""
+    chunks, queries = _random_case(spark)
+    one = _rows(SE.search(chunks, queries, 4))
+    assert len(one) > 100
+    monkeypatch.setattr(SE, "GROUP_BYTES", 300)             # a few queries per group
+    assert len(SE.query_groups(queries, True, True)[0]) > 5
+    assert _rows(SE.search(chunks, queries, 4)) == one
+    monkeypatch.setattr(SE, "TILE_CELLS", 8)
+    monkeypatch.setattr(SE, "TILE_PAIRS", 20)
+    assert _rows(SE.search(chunks.repartition(5), queries, 4)) == one
+
+
+def test_both_sides_at_once_equal_each_alone(spark):
+    chunks, queries = _random_case(spark, 8)
+    both = SE.search(chunks, queries, 5)
+    assert _rows(both.where("side = 0").drop("side")) == _rows(SE.trigram_topk(chunks, queries, 5))
+    assert _rows(both.where("side = 1").drop("side")) == _rows(SE.vector_topk(chunks, queries, 5))
+
+
+def test_winners_carry_their_payload(spark):
     chunks = _chunks(spark, [(f"c{i}", t, None) for i, t in enumerate(["red fox", "blue fox", "red hen", ""])])
     queries = spark.createDataFrame([(1, "red"), (2, "fox")], "query_id long, query string")
-    res = [sorted(tuple(r) for r in TR.trigram_topk(chunks, queries, k=2, method=m, payload=["text", "start_ms"])
-                  .select("query_id", "rank", "chunk_id", "text", "start_ms").collect())
-           for m in ("matrix", "join")]
-    assert res[0] == res[1]
+    res = [tuple(r) for r in SE.trigram_topk(chunks, queries, k=2, payload=("text", "start_ms"))
+           .select("query_id", "rank", "chunk_id", "text", "start_ms").collect()]
     # "fox" vs "red fox": 4 shared of 8 trigrams; vs "blue fox": 4 of 9
-    assert {(r[0], r[3]) for r in res[0] if r[1] == 1} == {(1, "red fox"), (2, "red fox")}
+    assert {(r[0], r[3]) for r in res if r[1] == 1} == {(1, "red fox"), (2, "red fox")}
+
+
+def test_whole_corpus_and_long_ids(spark, tmp_path):
+    """Documents without a vector are searched too; ids of nine digits and more stay apart."""
+    from cuefind.sources import testdata as TD
+    d = str(tmp_path)
+    spark.createDataFrame([(123456789, "alpha beta", "s"), (123456780, "gamma delta", "s"), (5, "alpha", "s")],
+                          "doc_id long, text string, source string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(5, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+    corpus = TD.document_corpus(spark, d)
+    assert corpus.count() == 3 and corpus.where("embedding is null").count() == 2
+    assert corpus.select("video_id").distinct().count() == corpus.select("chunk_id").distinct().count() == 3
+    long_id = spark.createDataFrame([(10 ** 15 + 1,), (10 ** 15 + 2,)], "conv_id long")
+    assert {r[0] for r in long_id.select(TD.video_id_of("conv_id")).collect()} == {str(10 ** 15 + 1), str(10 ** 15 + 2)}
+
+
+def test_long_turns_do_not_overlap(spark, tmp_path):
+    from cuefind.sources import testdata as TD
+    d = str(tmp_path)
+    spark.createDataFrame([(1, 0, "w " * 1199 + "w"), (1, 1, "next turn"), (1, 5000, "far turn")],
+                          "conv_id long, turn int, text string").write.parquet(f"{d}/conversations.parquet")
+    pos = [r.pos for r in TD.conversation_segments(spark, d).orderBy("pos").collect()]
+    assert pos == list(range(1204))
+
+
+def test_cached_search_flow(spark):
+    """Hits count up, misses are inserted, dangling entries replaced; each request counts once."""
+    import datetime as dt
+    from cuefind.session import scratch_path
+    from cuefind.sources import store as ST
+    t = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    root = scratch_path(spark, "cached-search")
+    chunks = _chunks(spark, [("c1", "captain rocket flies", [1.0, 0.0]), ("c2", "laser spear", [0.0, 1.0])])
+    videos = spark.createDataFrame([("v", "Title", "https://www.youtube.com/watch?v=abcdefghijk")],
+                                   "video_id string, title string, video_url string")
+    ST.replace_table(spark.createDataFrame(
+        [("captain rocket", "c2", t(0), t(1), 4), ("old one", "gone", t(0), t(0), 1), ("untouched", "c1", t(0), t(0), 9)],
+        ST.QUERY_CACHE), root, "query_cache")
+    asked = [(1, t(10), "Captain, ROCKET!", None), (2, t(11), "captain rocket", [1.0, 0.0]), (3, t(12), "old one", None),
+             (4, t(13), "laser spear", [0.0, 1.0]), (5, t(14), "  ", None), (6, t(15), "x" * 65, None)]
+    requests = spark.createDataFrame(asked, "event_id long, ts timestamp_ntz, query string, embedding array<float>")
+    out = {r.event_id: r for r in CA.cached_search(spark, root, requests, chunks, videos).collect()}
+    assert out[1].source == out[2].source == "cache" and out[1].chunk_id == "c2" and out[1].similarity_score == 1.0
+    assert out[3].source == "search" and out[4].chunk_id == "c2" and out[4].link.endswith("&t=0")
+    assert (out[5].status, out[6].status) == ("required", "too_long") and out[5].chunk_id is None
+    table = {r.normalized_query: (r.chunk_id, r.created_at, r.last_accessed_at, r.access_count)
+             for r in ST.read_table(spark, root, "query_cache").collect()}
+    assert table["captain rocket"] == ("c2", t(0), t(11), 6) and table["untouched"] == ("c1", t(0), t(0), 9)
+    assert table["old one"] == (out[3].chunk_id, t(0), t(12), 2) and table["laser spear"] == ("c2", t(13), t(13), 1)
+    assert len(table) == 4
 
 
 def test_search_by_text_uses_the_provider_for_queries(spark):
@@ -172,10 +218,10 @@ def test_search_by_text_uses_the_provider_for_queries(spark):
     provider = EM.hashed_trigram_provider(16)
     texts = ["captain rocket flies", "laser anger spear", "galactic readings", "rocket rocket"]
     raw = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
-    vecs = EM.embed_texts(raw, provider)
+    vecs = EM.embed_texts(raw, provider, pause_s=0.0)
     chunks = raw.join(vecs, "chunk_id").select(
         "chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"), "embedding")
     queries = spark.createDataFrame([(1, "Laser anger spear"), (2, "readings")], "query_id long, query string")
-    best = {r.query_id: (r.chunk_id, r.is_common) for r in HY.search_by_text(chunks, queries, provider).collect()}
+    best = {r.query_id: (r.chunk_id, r.is_common) for r in HY.search_by_text(chunks, queries, provider, pause_s=0.0).collect()}
     assert best[1] == ("c1", True)       # same text: trigram rank 1 and vector rank 1
     assert best[2][0] == "c2"

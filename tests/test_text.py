@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -68,12 +69,29 @@ def test_extract_video_id(spark):
     assert got == ["abcDEF123-_", "abcDEF123-_", "abcDEF123-_", "", ""]
 
 
-def test_python_trigram_set_matches_jvm(spark):
-    strs = _randoms(800, seed=9) + ["", "a", "ab cd", "x_y", "Łódź ²3", "İstanbul", "ǅemal"]
-    df = spark.createDataFrame([(i, s) for i, s in enumerate(strs)], "i int, s string")
-    got = {r.i: sorted(r.g) for r in df.select("i", TX.trigrams(F.col("s")).alias("g")).collect()}
-    for i, s in enumerate(strs):
-        assert sorted(TX.trigram_set(s)) == got[i], s
+def test_trigrams_of_every_letter_and_digit(spark):
+    """All planes: every letter or digit is a word character, in one piece, and everything else is not."""
+    points = [cp for cp in range(0x110000) if not 0xD800 <= cp < 0xE000 and cp > 0]
+    rows = [(cp, f"a{chr(cp)}") for cp in points]
+    df = spark.createDataFrame(rows, "cp int, s string").select("cp", F.lower("s").alias("low"), TX.trigrams(F.col("s")).alias("g"))
+    wrong = []
+    for r in df.collect():
+        word = unicodedata.category(chr(r.cp))[0] in "LN"
+        w = r.low if word else "a"                          # the JVM's lower case, which both sides share
+        padded = f"  {w} "
+        if word and all(unicodedata.category(c)[0] in "LN" for c in w):
+            if sorted(set(r.g)) != sorted({padded[i:i + 3] for i in range(len(padded) - 2)}):
+                wrong.append(hex(r.cp))
+        elif not word and "  a" not in r.g:
+            wrong.append(hex(r.cp))
+    assert not wrong, wrong[:20]
+
+
+def test_trigrams_beyond_the_bmp(spark):
+    text = "ab\U00020000cd"
+    got = spark.createDataFrame([(text,)], "s string").select(TX.trigrams(F.col("s")).alias("g")).first().g
+    padded = f"  {text} "
+    assert sorted(got) == sorted(padded[i:i + 3] for i in range(len(padded) - 2)) and len(got) == 6
 
 
 def test_strip_diacritics_every_bmp_character(spark):
