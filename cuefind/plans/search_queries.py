@@ -125,6 +125,21 @@ BENCH_Q_SQL = """SELECT b.item_id AS query_id, b.text AS query, e.embedding
       FROM benchmark b LEFT JOIN embeddings e ON e.vec_id = b.item_id"""
 
 
+# the passages, and every twentieth document as a query for itself (its vector, if it has one)
+SELF_Q_SQL = BENCH_Q_SQL + """
+      UNION ALL
+      SELECT -1 - d.doc_id, d.text, e.embedding FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+      WHERE d.doc_id % 20 = 0"""
+
+
+def _self_search_inputs(spark: SparkSession, sf: str):
+    chunks, queries = _doc_search_inputs(spark, sf)
+    emb = TD.read(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    own = (TD.read(spark, sf, "documents").where(F.col("doc_id") % 20 == 0).join(emb, "doc_id", "left")
+           .select((-1 - F.col("doc_id")).alias("query_id"), F.col("text").alias("query"), "embedding"))
+    return chunks, queries.select("query_id", "query", "embedding").unionByName(own)
+
+
 def doc_hybrid_ctes(q_sql: str = BENCH_Q_SQL) -> str:
     """CTEs c (corpus), q (queries), tri (trigram top 5), vec (vector top 5) for DuckDB."""
     return f"""
@@ -150,6 +165,7 @@ best AS (SELECT tri.query_id, tri.chunk_id, tri.trigram_score, vec.chunk_id IS N
 
 
 _DOC_CORPUS_SQL = doc_hybrid_ctes()
+_SELF_CORPUS_SQL = doc_hybrid_ctes(SELF_Q_SQL)
 
 
 @register("trigram_topk", f"""
@@ -176,20 +192,20 @@ def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return res.select("query_id", "chunk_id", F.round("distance", 6).alias("distance"), "rank")
 
 
-@register("hybrid_common", "WITH " + _DOC_CORPUS_SQL +
+@register("hybrid_common", "WITH " + _SELF_CORPUS_SQL +
           " SELECT tri.query_id, tri.chunk_id, round(trigram_score, 6) AS trigram_score, trigram_rank,"
           " round(vector_score, 6) AS vector_score, vector_rank FROM tri JOIN vec USING (query_id, chunk_id)")
 def q_hybrid_common(spark: SparkSession, sf: str) -> DataFrame:
-    return HY.hybrid_common(HY.sides(*_doc_search_inputs(spark, sf))).select(
+    return HY.hybrid_common(HY.sides(*_self_search_inputs(spark, sf))).select(
         "query_id", "chunk_id", F.round("trigram_score", 6).alias("trigram_score"), "trigram_rank",
         F.round("vector_score", 6).alias("vector_score"), "vector_rank")
 
 
-@register("hybrid_scores", "WITH " + _DOC_CORPUS_SQL +
+@register("hybrid_scores", "WITH " + _SELF_CORPUS_SQL +
           " SELECT tri.query_id, tri.chunk_id, round((trigram_score + vector_score) / 2, 6) AS avg_score"
           " FROM tri JOIN vec USING (query_id, chunk_id)")
 def q_hybrid_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return HY.hybrid_scores(HY.sides(*_doc_search_inputs(spark, sf))).select("query_id", "chunk_id", F.round("avg_score", 6).alias("avg_score"))
+    return HY.hybrid_scores(HY.sides(*_self_search_inputs(spark, sf))).select("query_id", "chunk_id", F.round("avg_score", 6).alias("avg_score"))
 
 
 _HYBRID_BEST_SQL = "WITH " + _DOC_CORPUS_SQL + f"""
