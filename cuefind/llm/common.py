@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -32,10 +35,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Spark keeps Python workers for later tasks and stages, and
+    allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    trim = _malloc_trim()
+    if trim is not None:
+        trim(0)
+
+
+@functools.lru_cache(maxsize=1)
+def _malloc_trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):       # a C library without it
+        return None
+
+
 def in_arrow(df: DataFrame, kernel, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package on the workers."""
+    """``mapInArrow`` with this package on the workers, which give memory back after each partition."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(kernel, schema)
+
+    def run(batches):
+        yield from kernel(batches)
+        give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def per_group(kernel):
+    """The same for a function on whole groups (or on pairs of them)."""
+    def run(*groups: pa.Table) -> pa.Table:
+        out = kernel(*groups)
+        give_back()
+        return out
+
+    two = len(inspect.signature(kernel).parameters) == 2
+    return (lambda a, b: run(a, b)) if two else (lambda a: run(a))
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str, salts: int = 16) -> DataFrame:

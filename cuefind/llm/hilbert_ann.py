@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cuefind.llm.common import in_arrow, materialise, salted_join, spread
+from cuefind.llm.common import in_arrow, materialise, per_group, salted_join, spread
 from cuefind.session import ship_package
 
 ORDERINGS = 12
@@ -294,7 +294,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
                       _dealt(own_queries.drop("ids"), curves, blocks, width, dim), block_points)
         key = ["cell", "p", "q"]
         part = (p.groupBy(*key).cogroup(q.groupBy(*key))
-                .applyInArrow(_block_search(k), "point long, found binary, scores binary"))
+                .applyInArrow(per_group(_block_search(k)), "point long, found binary, scores binary"))
         found = part if found is None else found.unionByName(part)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")

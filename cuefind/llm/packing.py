@@ -40,7 +40,7 @@ SEQUENCE = 4096
 END_ID = 2
 WINDOW_SEQUENCES = 64
 _CACHE_WORDS = 1 << 18
-_SLICE_BYTES = 8 << 20
+_SLICE_BYTES = 4 << 20
 #: One mark after a word, and a word of Latin letters with at most one such mark.
 _MARKS = ".,;:!?"
 _PLAIN = "^[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$"
@@ -160,7 +160,7 @@ def _before(df: DataFrame, value: str, group: list[str], block: str) -> DataFram
 
 
 def positions(ids: DataFrame, weights: dict[str, float] | None = None, *, sequence: int = SEQUENCE,
-              window_sequences: int = WINDOW_SEQUENCES, block_rows: int = 100_000) -> DataFrame:
+              window_sequences: int = WINDOW_SEQUENCES, block_rows: int = 10_000) -> DataFrame:
     """``_row, at`` (ids before the document in the packed stream, long), ``round``."""
     base = ids.select("_row", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("_source"), "doc_tokens")
     rows = base.agg(F.count("*")).first()[0]

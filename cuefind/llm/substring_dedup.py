@@ -38,13 +38,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuefind.llm.common import WORD_GAP, split_words, text_slices
+from cuefind.llm.common import WORD_GAP, in_arrow, per_group, split_words, text_slices
 from cuefind.session import ship_package
 
 WINDOW = 20
 BLOCK = WINDOW // 2
 #: Words that a task compares alone before it sends hashes on; text bytes of a bucket or chunk.
-FLUSH_WORDS = 2 << 20
+FLUSH_WORDS = 1 << 20
 BUCKET_BYTES = 24 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).min
@@ -156,7 +156,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
         if parts:
             yield from _anchor_rows(parts, buckets)
 
-    return docs.select("_doc", "_text").mapInArrow(kernel, _ANCHORS)
+    return in_arrow(docs.select("_doc", "_text"), kernel, _ANCHORS)
 
 
 def _probe_bucket(chunks: int):
@@ -364,11 +364,11 @@ def _run(docs: DataFrame, id_col: str, text_col: str, last, schema, keep: list[s
     size = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = int(max(32, size // BUCKET_BYTES))
     texts = base.withColumn("_chunk", F.pmod("_doc", F.lit(parts)))
-    hits = _anchors(base, parts).groupBy("bucket").applyInArrow(_probe_bucket(parts), _HITS)
+    hits = _anchors(base, parts).groupBy("bucket").applyInArrow(per_group(_probe_bucket(parts)), _HITS)
     windows = (texts.groupBy("_chunk").cogroup(hits.groupBy("_chunk"))
-               .applyInArrow(_extend_chunk(parts), _WINDOWS))
-    gone = windows.groupBy("bucket").applyInArrow(_window_bucket(parts), "_chunk long, doc binary, pos binary")
-    return texts.groupBy("_chunk").cogroup(gone.groupBy("_chunk")).applyInArrow(last, schema)
+               .applyInArrow(per_group(_extend_chunk(parts)), _WINDOWS))
+    gone = windows.groupBy("bucket").applyInArrow(per_group(_window_bucket(parts)), "_chunk long, doc binary, pos binary")
+    return texts.groupBy("_chunk").cogroup(gone.groupBy("_chunk")).applyInArrow(per_group(last), schema)
 
 
 def rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
