@@ -70,11 +70,13 @@ def gram_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     place = np.arange(len(out)) - words.start[:-1][owner[:len(out)]]
     whole = place + GRAM <= n[owner[:len(out)]]
     grams, of = out[whole], owner[:len(out)][whole]
-    for i in np.flatnonzero((n > 0) & (n < GRAM)):       # the whole sequence is the one gram
-        short = np.uint64(n[i])
-        for x in h[words.start[i]:words.start[i + 1]]:
-            short = short * np.uint64(0xD6E8FEB86659FD93) + x
-        grams, of = np.append(grams, short), np.append(of, i)
+    few = np.flatnonzero((n > 0) & (n < GRAM))          # the whole sequence is the one gram
+    if len(few):
+        short = n[few].astype(np.uint64)
+        for k in range(GRAM - 1):
+            at = np.minimum(words.start[few] + k, len(h) - 1)
+            short = np.where(n[few] > k, short * np.uint64(0xD6E8FEB86659FD93) + h[at], short)
+        grams, of = np.concatenate([grams, short]), np.concatenate([of, few])
     grams ^= grams >> np.uint64(32)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     grams ^= grams >> np.uint64(29)
