@@ -152,23 +152,23 @@ def watch_url(video_id: Column) -> Column:
     return F.concat(F.lit(WATCH_URL_PREFIX), video_id)
 
 
-# TimeSpan text as written in subtitle cue lines: [d.]hh:mm[:ss[.fffffff]] with hour <= 23,
-# minute/second <= 59. A bare integer (days) is not accepted.
-_TIME_RE = r"^\s*(?:(\d{1,8})\.)?(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,7}))?)?\s*$"
+# TimeSpan text: [-]{ [d.]hh:mm[:ss[.fffffff]] | d:hh:mm:ss[.fffffff] } with hour <= 23, minute/second
+# <= 59 and up to 8 digits of days. A bare integer (days) is not accepted.
+_TIME_FORMS = [
+    (r"(?:(\d{1,8})\.)?(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,7}))?)?", ("d", "h", "m", "s", "f")),
+    (r"(\d{1,8}):(\d{1,2}):(\d{1,2}):(\d{1,2})(?:\.(\d{1,7}))?", ("d", "h", "m", "s", "f")),
+]
 
 
 def parse_timespan_ms(s: Column) -> Column:
-    """Parse TimeSpan text to whole milliseconds; null when it does not parse."""
-    ok = s.rlike(_TIME_RE)
-    days = F.regexp_extract(s, _TIME_RE, 1)
-    hh = F.regexp_extract(s, _TIME_RE, 2).cast("long")
-    mm = F.regexp_extract(s, _TIME_RE, 3).cast("long")
-    ss_txt = F.regexp_extract(s, _TIME_RE, 4)
-    frac = F.regexp_extract(s, _TIME_RE, 5)
-    ss = F.when(ss_txt == "", F.lit(0)).otherwise(ss_txt.cast("long"))
-    dd = F.when(days == "", F.lit(0)).otherwise(days.cast("long"))
-    # fraction -> 7-digit ticks -> ms (truncated)
-    ticks = F.when(frac == "", F.lit(0)).otherwise(F.rpad(frac, 7, "0").cast("long"))
-    in_range = (hh <= 23) & (mm <= 59) & (ss <= 59)
-    ms = (((dd * 24 + hh) * 60 + mm) * 60 + ss) * 1000 + F.floor(ticks / 10000).cast("long")
-    return F.when(ok & in_range, ms)
+    """Parse TimeSpan text to whole milliseconds (towards zero); null when it does not parse."""
+    found = []
+    for form, names in _TIME_FORMS:
+        pattern = rf"^\s*-?{form}\s*$"
+        at = {name: F.regexp_extract(s, pattern, i) for i, name in enumerate(names, 1)}
+        part = lambda name: F.when(at[name] == "", F.lit(0)).otherwise(at[name].cast("long"))  # noqa: B023,E731
+        ticks = F.when(at["f"] == "", F.lit(0)).otherwise(F.rpad(at["f"], 7, "0").cast("long"))
+        ms = (((part("d") * 24 + part("h")) * 60 + part("m")) * 60 + part("s")) * 1000 + F.floor(ticks / 10000).cast("long")
+        in_range = (part("h") <= 23) & (part("m") <= 59) & (part("s") <= 59)
+        found.append(F.when(s.rlike(pattern) & in_range, ms))
+    return F.coalesce(*found) * F.when(s.rlike(r"^\s*-"), F.lit(-1)).otherwise(F.lit(1))

@@ -86,15 +86,26 @@ def trigram_sim(a: str, b: str) -> float:
 
 
 def parse_timespan_ms(s: str):
-    m = re.fullmatch(r"\s*(?:(\d{1,8})\.)?(\d{1,2}):(\d{1,2})(?::(\d{1,2})(?:\.(\d{1,7}))?)?\s*", s)
-    if not m:
+    """[-]{ [d.]hh:mm[:ss[.fffffff]] | d:hh:mm:ss[.fffffff] } in whole milliseconds."""
+    t = s.strip()
+    sign, t = (-1, t[1:]) if t.startswith("-") else (1, t)
+    rest, days, frac = t, "0", ""
+    if t.count(":") == 3:
+        days, _, rest = t.partition(":")
+    elif re.match(r"\d+\.\d+:", t):
+        days, _, rest = t.partition(".")
+    if "." in rest:
+        rest, _, frac = rest.partition(".")
+        if rest.count(":") != 2 or not re.fullmatch(r"\d{1,7}", frac):
+            return None
+    parts = rest.split(":")
+    if not re.fullmatch(r"\d{1,8}", days) or not 2 <= len(parts) <= 3 or not all(re.fullmatch(r"\d{1,2}", p) for p in parts) \
+            or (t.count(":") == 3 and len(parts) != 3):
         return None
-    d, h, mi, sec, frac = m.groups()
-    h, mi, sec = int(h), int(mi), int(sec or 0)
-    if h > 23 or mi > 59 or sec > 59:
+    h, m, sec = [int(p) for p in parts] + [0] * (3 - len(parts))
+    if h > 23 or m > 59 or sec > 59:
         return None
-    ticks = int((frac or "").ljust(7, "0")) if frac else 0
-    return (((int(d or 0) * 24 + h) * 60 + mi) * 60 + sec) * 1000 + ticks // 10000
+    return sign * ((((int(days) * 24 + h) * 60 + m) * 60 + sec) * 1000 + int(frac.ljust(7, "0") if frac else 0) // 10000)
 
 
 def subtitles_model(text: str, first_match: bool = True):

@@ -54,7 +54,8 @@ def test_trigram_similarity_against_model(spark):
 
 def test_parse_timespan(spark):
     cases = ["00:00:01.500", "01:02:03", "00:01", "23:59:59.9999999", "24:00:00", "00:60:00", "5",
-             "00:00:01,500", "1.02:03:04.5", "00:00:02.000 align:start", " 00:00:03.25 ", "abc"]
+             "00:00:01,500", "1.02:03:04.5", "00:00:02.000 align:start", " 00:00:03.25 ", "abc",
+             "-00:00:01.5", "2:03:04:05", "-1.00:00", "2:03:04:05.25", "1:2:3:4:5", "1.02:03:04:05", "- 00:01"]
     df = spark.createDataFrame([(c,) for c in cases], "s string")
     got = [r.ms for r in df.select(TX.parse_timespan_ms(F.col("s")).alias("ms")).collect()]
     assert got == [parse_timespan_ms(c) for c in cases]
