@@ -76,10 +76,11 @@ def per_group(kernel):
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, how: str, salts: int = 16) -> DataFrame:
     """Equi-join of ``many`` with ``one`` (unique in ``key``) that deals the rows of each key
-    over ``salts`` tasks by a hash of column ``spread``; the small side is repeated."""
+    over ``salts`` tasks by a hash of column ``spread``; the small side is repeated. It is always a
+    sort-merge join: the repeated side's size isn't known to the planner, so it must not be broadcast."""
     many = many.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     one = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(one, [key, "_salt"], how).drop("_salt")
+    return many.join(one.hint("merge"), [key, "_salt"], how).drop("_salt")
 
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
