@@ -30,7 +30,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1:] or HEADLINE
     from cuefind.plans.catalog import QUERIES
-    from cuefind.session import local_session
+    from cuefind.session import drop_scratch, local_session
     spark = local_session(cores=cpus, shuffle_partitions=int(cpus) * 2)
     # warm-up (not timed): JVM code paths and the Python workers, as a long-running
     # service would have them; touches no bench table
@@ -59,6 +59,7 @@ def main() -> None:
     if errors:
         out["errors"] = errors
     print(json.dumps(out))
+    drop_scratch(spark)
     spark.stop()
 
 

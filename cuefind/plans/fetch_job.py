@@ -80,12 +80,12 @@ def chunks_with_vectors(spark: SparkSession, tables: str) -> DataFrame:
 
 def run_fetch_job(spark: SparkSession, listing_paths, tables: str, scripts_for, *, extract: bool = True,
                   chunk: bool = False, embed: bool = False, only_missing: bool = True,
-                  provider: EM.Provider | None = None) -> dict | None:
+                  provider: EM.Provider | None = None, pause_s: float = EM.PAUSE_S) -> dict | None:
     stats = None
     if extract:
         stats = extract_stage(spark, listing_paths, tables, scripts_for, only_missing)
     if chunk:
         chunk_stage(spark, tables)
     if embed:
-        embed_stage(spark, tables, provider or EM.hashed_trigram_provider())
+        embed_stage(spark, tables, provider or EM.hashed_trigram_provider(), pause_s=pause_s)
     return stats

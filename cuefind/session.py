@@ -61,9 +61,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint dir for a written intermediate table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/cuefind/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint dir for a written intermediate table. All of an
+    application's lie in one folder, see ``drop_scratch``."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/cuefind/{spark.sparkContext.applicationId}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote with ``scratch_path``: for its end, when no result is read any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def reliable_checkpoint(df):

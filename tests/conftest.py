@@ -11,7 +11,8 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from cuefind.session import local_session
+    from cuefind.session import drop_scratch, local_session
     s = local_session(cores="*", shuffle_partitions=8)
     yield s
+    drop_scratch(s)
     s.stop()
