@@ -38,6 +38,8 @@ TRAIN_PASSAGES = 64
 HASHED = 24
 HIDDEN, GATE = 16, 8
 EPOCHS = 250
+#: Text bytes whose words get their features at a time (a word has 34 numbers).
+SLICE_BYTES = 1 << 19
 _RATE, _DECAY, _SEED = 0.02, 1e-4, 11
 
 
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             .join(F.broadcast(chosen), "_id"))                          # at most ``documents`` ids
 
     def kernel(batches):
-        for rb in text_slices(batches, "_text"):
+        for rb in text_slices(batches, "_text", SLICE_BYTES):
             x, start = passages(rb.column("_text"))
             size = np.minimum(np.diff(start), most)
             nth = spread(np.zeros(len(size), np.int64), size)
@@ -186,7 +188,7 @@ def rows(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def kernel(batches):
-        for rb in text_slices(batches, "text"):
+        for rb in text_slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(model.scores(*passages(rb.column("text"))))],
                                              ["doc_id", "score"])
 
@@ -199,7 +201,7 @@ def rows(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str
 def accept(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The documents that the model predicts to be good, with all their columns."""
     def kernel(batches):
-        for rb in text_slices(batches, text_col):
+        for rb in text_slices(batches, text_col, SLICE_BYTES):
             yield rb.filter(pa.array(model.scores(*passages(rb.column(text_col))) >= 0.5))
 
     return in_arrow(docs, kernel, docs.schema)

@@ -45,7 +45,7 @@ WINDOW = 20
 BLOCK = WINDOW // 2
 #: Words that a task compares alone before it sends hashes on; text bytes of a bucket or chunk.
 FLUSH_WORDS = 1 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).min
 

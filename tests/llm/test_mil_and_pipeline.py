@@ -135,3 +135,19 @@ def test_registered():
     names = entry.queries()
     assert sum(n.startswith("op") and n[2:].split("_")[0].isdigit() for n in names) == 10 and "pipeline" in names
     assert set(queries.ORACLE) <= set(names)
+
+
+def test_stages_on_awkward_and_empty_documents(spark, make_docs, awkward, tmp_path):
+    """Nulls, empty and long texts, repeated rows, extra columns; and no documents at all."""
+    for n, pairs in enumerate((awkward, [])):
+        docs = make_docs(pairs)
+        columns = docs.columns
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            alone = stage(spark, make_docs(pairs), D)           # each stage on the raw rows too
+            assert alone.count() >= 0
+            if name in ("substring dedup", "n-gram Jaccard join") and pairs:
+                assert None in {r["doc_id"] for r in alone.collect()}
+            stage(spark, docs, D).write.parquet(str(tmp_path / f"{n}-{i}"))
+            docs = spark.read.parquet(str(tmp_path / f"{n}-{i}"))
+            assert name == "packing" or docs.columns == columns
+        assert pairs or docs.count() == 0
