@@ -225,3 +225,22 @@ def test_search_by_text_uses_the_provider_for_queries(spark):
     best = {r.query_id: (r.chunk_id, r.is_common) for r in HY.search_by_text(chunks, queries, provider, pause_s=0.0).collect()}
     assert best[1] == ("c1", True)       # same text: trigram rank 1 and vector rank 1
     assert best[2][0] == "c2"
+
+
+def test_no_query_row_passes_the_driver(spark, monkeypatch):
+    """Groups, parts and blocks of a few rows: the same result, and neither collect nor broadcast of the query side."""
+    chunks, queries = _random_case(spark)
+    one = _rows(SE.search(chunks, queries, 4))
+    monkeypatch.setattr(SE, "GROUP_BYTES", 300)
+    monkeypatch.setattr(SE, "PART_GROUPS", 2, raising=False)
+    monkeypatch.setattr(SE, "BLOCK_BYTES", 500, raising=False)
+
+    def refused(*a, **k):
+        raise AssertionError("the query side passes the driver")
+
+    collect = type(queries).collect
+    with monkeypatch.context() as m:
+        m.setattr(type(queries), "collect", lambda df: refused() if "query_id" in df.columns else collect(df))
+        m.setattr(type(spark.sparkContext), "broadcast", refused)
+        found = SE.search(chunks, queries, 4)
+    assert _rows(found) == one
