@@ -112,9 +112,12 @@ def _set_key(grams: np.ndarray, start: np.ndarray) -> np.ndarray:
     return ((a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def _text_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, with_sets: bool = False) -> DataFrame:
-    """Per document: id, ``tid`` (of its gram set), number of grams and signature, or the set itself."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _text_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, with_sets: bool = False,
+               row_col: str | None = None) -> DataFrame:
+    """Per document: row number (if there is one), id, ``tid`` (of its gram set), number of grams and
+    signature, or the set itself."""
+    source = docs.select((F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
+                         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def kernel(batches):
         for rb in text_slices(batches, "text"):
@@ -122,10 +125,10 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, with_se
             what = [grams[a:b].tobytes() for a, b in zip(start[:-1], start[1:])] if with_sets else \
                 [row.tobytes() for row in signatures(grams, start, hashes)]
             yield pa.RecordBatch.from_arrays(
-                [rb.column("doc_id"), pa.array(_set_key(grams, start)), pa.array(np.diff(start).astype(np.int64)),
-                 pa.array(what, pa.binary())], ["doc_id", "tid", "grams", "data"])
+                [rb.column("row"), rb.column("doc_id"), pa.array(_set_key(grams, start)), pa.array(np.diff(start).astype(np.int64)),
+                 pa.array(what, pa.binary())], ["row", "doc_id", "tid", "grams", "data"])
 
-    return in_arrow(source, kernel, "doc_id long, tid long, grams long, data binary")
+    return in_arrow(source, kernel, "row long, doc_id long, tid long, grams long, data binary")
 
 
 # ---- candidates ---------------------------------------------------------------------------------
@@ -309,13 +312,14 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 
 # ---- the operator -------------------------------------------------------------------------------
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-         recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, tile: int = TILE) -> DataFrame:
-    """``doc_id, class_id, n_links`` per document."""
+def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, trees: int, depth: int,
+             tile: int, row_col: str | None = None) -> DataFrame:
+    """Per document: ``row``, the three columns of ``join`` and ``label``, the class itself (documents
+    that share an id can be in different classes); null for a document that is linked to nothing by rule."""
     depth = prefix_depth(threshold, recall, trees, depth)
     hashes = trees * depth
     test = (trees, agreement_floor(hashes, threshold), threshold)
-    every = materialise(_text_rows(docs, id_col, text_col, hashes), "forest-documents")
+    every = materialise(_text_rows(docs, id_col, text_col, hashes, row_col=row_col), "forest-documents")
     texts = materialise(every.where("grams > 0 and doc_id is not null").groupBy("tid", "grams").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("data").alias("data")), "forest-texts")
     nodes = _nodes(texts, trees, depth)
@@ -334,16 +338,28 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thr
               .join(labels, "tid", "left").withColumn("label", F.coalesce("label", "tid")))
     smallest = linked.groupBy("label").agg(F.min("rep").alias("class_id"))
     classes = salted_join(linked, smallest, "label", "tid", "inner").select(
-        "tid", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    keyed = every.select("doc_id", "tid", "grams")
+        "tid", "label", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    keyed = every.select("row", "doc_id", "tid", "grams")
     alone = F.col("class_id").isNull() | F.col("doc_id").isNull() | (F.col("grams") == 0)
     return (salted_join(keyed, classes, "tid", "doc_id", "left")
-            .select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+            .select("row", "doc_id", F.when(~alone, F.col("label")).alias("label"),
+                    F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                     F.when(alone, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links")))
 
 
+def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
+         recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, tile: int = TILE) -> DataFrame:
+    """``doc_id, class_id, n_links`` per document."""
+    return _classed(docs, id_col, text_col, threshold, recall, trees, depth, tile).select("doc_id", "class_id", "n_links")
+
+
 def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without those of which another in the class has a smaller id. Documents without an id stay."""
-    gone = (join(docs, id_col=id_col, text_col=text_col).where("class_id < doc_id")
-            .select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(materialise(gone, "forest-dropped"), id_col, "left_anti")
+    """One row of each class, of those with its smallest id. Documents without an id or words stay. Rows
+    are told apart by a written row number, so repeated ids and rows are judged one by one."""
+    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "forest-numbered")
+    classed = _classed(numbered, id_col, text_col, THRESHOLD, RECALL, TREES, DEPTH, TILE, "_row")
+    classed = materialise(classed.select("row", "doc_id", "label"), "forest-classed")
+    first = (classed.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+             .select("first.row"))
+    kept = classed.where("label is null").select("row").union(first).withColumnRenamed("row", "_row")
+    return numbered.join(materialise(kept, "forest-kept"), "_row", "left_semi").drop("_row")

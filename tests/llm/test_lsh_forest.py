@@ -99,3 +99,11 @@ def test_first_of_class_keeps_columns(make_docs):
     assert out.columns == docs.columns
     assert sorted((r["doc_id"] for r in out.collect()), key=str) == [1, 2, 4, None]
     assert lf.join(make_docs([])).count() == 0
+
+
+def test_first_of_class_by_row(make_docs):
+    """Repeated rows leave one; of an id with two texts, the one that is no near copy stays."""
+    same, other = "a b c d e f g", "quite another text with other words"
+    docs = make_docs([(1, same), (1, same), (2, same), (2, other), (4, None), (4, None)])
+    out = Counter((r["doc_id"], r["text"]) for r in lf.first_of_class(docs).collect())
+    assert out == {(1, same): 1, (2, other): 1, (4, None): 2}
