@@ -5,10 +5,10 @@ A text with fewer than five words has one gram, its whole word sequence; a text
 none and is linked to nothing.
 
 1. Documents with one gram set are one *text*; its smallest id stands for it from here on.
-2. *Forest.* Each of ``trees`` prefix tries sorts the texts by a signature of ``depth`` min-hashes.
-   Starting from whole signatures, the matched prefix is shortened level by level until a pair at
-   the threshold shares a prefix in some tree with a chance of at least ``recall`` (1 - (1 - t^d)^trees
-   at depth d). Texts below one trie node at that depth are candidates.
+2. *Bands.* Each of ``trees`` trees groups the texts by a hash of d min-hashes: banding at a depth fixed
+   beforehand, the largest d up to ``depth`` at which a pair at the threshold shares a group in some tree
+   with a chance of at least ``recall`` (1 - (1 - t^d)^trees). No prefix is shortened on data. Texts of
+   one group (node) are candidates.
 3. Nodes are compared in tiles of at most ``tile`` texts a side: pairs of tiles of one node are
    separate tasks, so no node has to fit one. A pair belongs to the first tree in which it meets,
    so it is compared once, and it is passed on only if its min-hashes agree often enough
