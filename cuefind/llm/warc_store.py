@@ -95,22 +95,30 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         "header")
 
 
+def _fails(message: str) -> Column:
+    return F.raise_error(F.concat(F.lit(message), F.coalesce("digest", F.lit("none")))).cast("string")
+
+
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """``page_id, record`` (header block, block, record end as bytes) and ``payload``: the full
-    payload of revisits too, which a flat archive would have to seek for."""
-    stored = spark.read.parquet(f"{path}/payloads").select(
-        "digest", "payload", _verified(F.col("digest"), F.col("payload")).alias("payload_digest"))
-    joined = salted_join(read_headers(spark, path), stored, "digest", "page_id", "inner", salts=4)
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return joined.select("page_id", "record_type", "refers_to", "payload_digest", "payload",
-                         F.concat(F.col("header").cast("binary"), block, F.lit(_END.encode())).alias("record"))
+    payload of revisits too, which a flat archive would have to seek for. ``payload_digest`` is computed
+    on the rebuilt record (a revisit's on the payload it refers to); a record without payload, of
+    another length than its Content-Length, or of another digest than its header names raises."""
+    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
+    joined = salted_join(read_headers(spark, path), stored, "digest", "page_id", "left", salts=4)
+    revisit = F.col("record_type") == "revisit"
+    head = F.col("header").cast("binary")
+    rebuilt = joined.withColumn("record", F.concat(
+        head, F.when(revisit, F.lit(b"")).otherwise(F.col("payload")), F.lit(_END.encode())))
+    block = F.substring(F.col("record"), F.octet_length(head) + 1, F.col("content_length").cast("int"))
+    whole = F.octet_length("record") == F.octet_length(head) + F.col("content_length") + len(_END)
+    checked = (F.when(F.col("payload").isNull(), _fails("no stored payload for digest "))
+               .when(~F.coalesce(whole, F.lit(False)), _fails("record differs in length from its Content-Length, digest "))
+               .otherwise(_verified(F.col("digest"), F.when(revisit, F.col("payload")).otherwise(block))))
+    return rebuilt.select("page_id", "record_type", "refers_to", checked.alias("payload_digest"), "payload", "record")
 
 
 def archive_table(spark: SparkSession, path: str) -> DataFrame:
-    """The digest rows of ``op8``, read back from an archive. Digest and length come from the
-    stored bytes, taken before the join so that no payload is shuffled."""
-    stored = spark.read.parquet(f"{path}/payloads").select(
-        "digest", _verified(F.col("digest"), F.col("payload")).alias("payload_digest"),
-        F.octet_length("payload").cast("long").alias("payload_bytes"))
-    return salted_join(read_headers(spark, path), stored, "digest", "page_id", "left").select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """The digest rows of ``op8``, from the reconstructed and checked records of an archive."""
+    return reconstruct(spark, path).select(
+        "page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")

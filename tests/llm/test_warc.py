@@ -69,3 +69,15 @@ def test_damage_is_found(spark, archive, tmp_path):
 def test_empty(spark, tmp_path):
     warc_store.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
     assert warc_store.archive_table(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_wrong_length_and_missing_payload_are_found(spark, archive, tmp_path):
+    """The table comes from rebuilt records: a wrong Content-Length and a lost payload raise."""
+    import pyspark.sql.functions as F
+    for name, header, keep in (("length", F.regexp_replace("header", "Content-Length: 150", "Content-Length: 151"), "true"),
+                               ("lost", F.col("header"), "length(payload) <> 150")):
+        bad = str(tmp_path / name)
+        spark.read.parquet(f"{archive}/records").withColumn("header", header).write.parquet(f"{bad}/records")
+        spark.read.parquet(f"{archive}/payloads").where(keep).write.parquet(f"{bad}/payloads")
+        with pytest.raises(PySparkException):
+            warc_store.archive_table(spark, bad).collect()
