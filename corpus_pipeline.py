@@ -37,8 +37,8 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 4096 tokens."""
-    return packing.pack(docs, with_ids=False)
+    """The pieces of all documents in sequences of 4096 tokens, with their token ids."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [

@@ -151,3 +151,11 @@ def test_stages_on_awkward_and_empty_documents(spark, make_docs, awkward, tmp_pa
             docs = spark.read.parquet(str(tmp_path / f"{n}-{i}"))
             assert name == "packing" or docs.columns == columns
         assert pairs or docs.count() == 0
+
+
+def test_pipeline_keeps_the_token_ids(spark, make_docs):
+    from cuefind.llm import packing
+    pieces = corpus_pipeline.packing_stage(spark, make_docs([(1, "some words"), (2, "more words here")]), D)
+    for r in pieces.collect():
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(bytes(r["ids"])) == r["ids_crc32"]
+    assert sum(len(r["ids"]) // 4 for r in packing.sequences(pieces).collect()) == pieces.agg({"length": "sum"}).first()[0]
