@@ -10,8 +10,10 @@ Features come from the words alone (kinds of characters, function words, hashed
 inside the document): never from labels, language, source or id.
 
 Training is on a bounded sample, the documented parameters ``TRAIN_DOCUMENTS`` (labelled documents,
-chosen by a hash of the id) and ``TRAIN_PASSAGES`` (evenly spaced, of a very long document), never on the
-held-out fold (crc32 of the id as text, mod 3, is 1). Scoring reads every passage of every document.
+chosen by a hash of the id) and ``TRAIN_TOTAL`` (passages of all of them: documents are taken in the order
+of that hash, each with all its passages, as long as they fit), never on the held-out fold (crc32 of the id
+as text, mod 3, is 1). An id with several texts has one of them, the smallest. Scoring reads every
+passage of every document.
 
 Cases: a null or empty text is one empty passage and gets a score like any other; a null id is not
 held out; rows may repeat; null, repeated or conflicting labels of an id are averaged (nulls left out);
@@ -29,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuefind.llm.common import Words, in_arrow, split_words, spread, text_slices
+from cuefind.llm.common import Words, in_arrow, materialise, split_words, text_slices
 from cuefind.llm.quality_rules import FUNCTION_WORDS, repeated_words
 
 PASSAGE = 128
 TRAIN_DOCUMENTS = 6000
-TRAIN_PASSAGES = 64
+TRAIN_TOTAL = 1 << 18
 HASHED = 24
 HIDDEN, GATE = 16, 8
 EPOCHS = 250
@@ -154,29 +156,31 @@ def train(x: np.ndarray, start: np.ndarray, y: np.ndarray) -> Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-        label_col: str = "quality", documents: int = TRAIN_DOCUMENTS, most: int = TRAIN_PASSAGES) -> Model:
+        label_col: str = "quality", documents: int = TRAIN_DOCUMENTS, total: int = TRAIN_TOTAL) -> Model:
     """Train on a bounded sample of the labelled documents outside the held-out fold."""
     chosen = (labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).cast("double").alias("_label"))
               .where(F.col("_id").isNotNull() & F.col("_label").isNotNull() & ~held_out(F.col("_id")))
               .groupBy("_id").agg(F.avg("_label").alias("_label"))
               .orderBy(F.xxhash64("_id"), "_id").limit(documents))
     rows = (docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-            .join(F.broadcast(chosen), "_id"))                          # at most ``documents`` ids
+            .join(F.broadcast(chosen), "_id")                           # at most ``documents`` ids
+            .groupBy("_id", "_label").agg(F.min("_text").alias("_text")))
 
     def kernel(batches):
         for rb in text_slices(batches, "_text", SLICE_BYTES):
             x, start = passages(rb.column("_text"))
-            size = np.minimum(np.diff(start), most)
-            nth = spread(np.zeros(len(size), np.int64), size)
-            pick = np.repeat(start[:-1], size) + nth * np.repeat(np.diff(start), size) // np.repeat(size, size)
-            cut = np.concatenate([[0], np.cumsum(size)])
-            x = x[pick]
             yield pa.RecordBatch.from_arrays(
-                [rb.column("_id"), rb.column("_label"), pa.array([x[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())],
-                ["id", "label", "x"])
-
-    found = in_arrow(rows, kernel, "id long, label double, x binary").distinct().limit(2 * documents).collect()
-    found = sorted(found, key=lambda r: (r["id"], r["x"]))
+                [rb.column("_id"), rb.column("_label"), pa.array(np.diff(start)),
+                 pa.array([x[a:b].tobytes() for a, b in zip(start[:-1], start[1:])], pa.binary())],
+                ["id", "label", "passages", "x"])
+
+    bagged = materialise(in_arrow(rows, kernel, "id long, label double, passages long, x binary"), "mil-bags")
+    sizes = bagged.select("id", "passages", F.xxhash64("id").alias("h")).collect()
+    sizes.sort(key=lambda r: (r["h"], r["id"]))
+    fit_in = int(np.searchsorted(np.cumsum([r["passages"] for r in sizes]), total, "right")) if sizes else 0
+    taken = [r["id"] for r in sizes[:max(fit_in, 1)]]
+    found = sorted(bagged.where(F.col("id").isin(taken)).drop("passages").collect() if len(taken) < len(sizes)
+                   else bagged.drop("passages").collect(), key=lambda r: r["id"])
     bags = [np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES) for r in found]
     y = np.array([float(r["label"] >= 0.5) for r in found])
     x = np.concatenate(bags).astype(np.float64) if bags else np.zeros((0, FEATURES))

@@ -153,6 +153,19 @@ def test_stages_on_awkward_and_empty_documents(spark, make_docs, awkward, tmp_pa
         assert pairs or docs.count() == 0
 
 
+def test_training_sees_every_passage(spark, monkeypatch):
+    """A text of 70 passages is trained on whole, and an id with several texts has a fixed one."""
+    long = " ".join(f"w{k}" for k in range(70 * mil.PASSAGE))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:3]
+    docs = spark.createDataFrame([(ids[0], long), (ids[1], "b b"), (ids[1], "a a a"), (ids[2], "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(mil, "train", lambda x, start, y: seen.append((np.diff(start).tolist(), x)))
+    mil.fit(docs, labels)
+    assert seen[0][0] == [70, 1, 1]
+    assert np.allclose(seen[0][1][70], mil.passages(pa.array(["a a a"]))[0][0])
+
+
 def test_pipeline_keeps_the_token_ids(spark, make_docs):
     from cuefind.llm import packing
     pieces = corpus_pipeline.packing_stage(spark, make_docs([(1, "some words"), (2, "more words here")]), D)
