@@ -97,7 +97,8 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
 
 
 def votes(m: dict[str, np.ndarray]) -> np.ndarray:
-    """Votes of the eight rules (text x rule)."""
+    """Votes of the eight rules (text x rule). A vocabulary is poor below a fifth of the words; from 2,000
+    words on, where both bounds are 400, below the square root of 80 times the words."""
     n = m["n_words"]
     some = np.maximum(n, 1)
     rules = [   # (good where, bad where); else the rule abstains
@@ -106,7 +107,7 @@ def votes(m: dict[str, np.ndarray]) -> np.ndarray:
         (m["n_symbols"] * 50 < some, m["n_symbols"] * 8 > some),
         (m["n_dup_lines"] == 0, (m["n_dup_lines"] >= 3) & (m["n_dup_lines"] * 4 > m["lines"])),
         (m["n_repeat_words"] * 6 < some, m["n_repeat_words"] * 3 > some),
-        (m["distinct"] * 10 > 3 * n, (m["distinct"] * 5 < n) & (n < 2000)),
+        (m["distinct"] * 10 > 3 * n, (m["distinct"] * 5 < n) & (m["distinct"] ** 2 < 80 * n)),
         (m["lettered"] * 100 >= 90 * some, m["lettered"] * 100 < 70 * some),
         (m["function"] * 50 > some, (m["function"] * 200 < some) & (n >= BASE_MIN_WORDS)),
     ]

@@ -100,3 +100,13 @@ def test_written_shards(spark, make_docs, awkward, tmp_path):
     splitters.write_shards(docs, str(tmp_path / "shards"))
     back = spark.read.parquet(str(tmp_path / "shards")).select("record.*")
     assert Counter(map(tuple, back.collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_poor_vocabulary_of_long_texts_is_bad():
+    """A text shuffled from a hundred words is voted bad at any length; a rich long one is not."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    poor = [" ".join(f"w{k}" for k in rng.integers(0, 100, n)) for n in (1999, 2000, 2001, 20_000)]
+    rich = " ".join(f"w{k}" for k in rng.integers(0, 2000, 20_000))
+    got = quality_rules.votes(quality_rules.measure(pa.array([*poor, rich])))[:, 5]
+    assert got.tolist() == [quality_rules.BAD] * 4 + [quality_rules.ABSTAIN]
