@@ -2,8 +2,11 @@
 
 An archive folder holds two tables:
 
-* ``payloads`` (digest, payload): the bytes of every distinct payload, once, under their SHA-256.
-* ``records`` (record_id, header, digest): the exact header block of every WARC record.
+* ``payloads`` (digest, payload, parts): the bytes of every distinct payload, once, under their SHA-256.
+* ``records`` (page_id, header, digest, part): the exact header block of every WARC record.
+
+A payload with many copies is read by ``parts`` tasks: its records are dealt over that many parts when
+they are written, ``PART_RECORDS`` to a part. Almost every payload has one part, and is not repeated.
 
 ``reconstruct`` joins them back to whole records (header, payload bytes, record end), and every
 read recomputes the digest of the stored bytes: a payload that doesn't match its name raises.
@@ -13,7 +16,7 @@ responses; of equal larger payloads the rows with the smallest page_id are respo
 with that id, if the row repeats; all rows, if no copy has an id), the others revisit it; a null
 url has no target header, line breaks in a url are percent-encoded; an empty table gives an
 empty archive; other columns are not read. A payload shared by a third of all pages is stored
-once: partial aggregation before the shuffle, salted joins after it.
+once: partial aggregation before the shuffle, salted joins and parts after it.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 from cuefind.llm.common import salted_join
 
 REVISIT_MIN_BYTES = 100
+#: Records of one payload that a task joins to it.
+PART_RECORDS = 1024
 _END = "\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -60,15 +65,18 @@ def write_archive(pages: DataFrame, path: str, *, id_col: str = "page_id", url_c
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
     base = base.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    (base.groupBy("digest").agg(F.min("payload").cast("binary").alias("payload"))
+    parts = F.ceil(F.count("*") / PART_RECORDS).cast("int")
+    (base.groupBy("digest").agg(F.min("payload").cast("binary").alias("payload"), parts.alias("parts"))
      .write.parquet(f"{path}/payloads"))
     heads = base.select("page_id", "url", "digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    firsts = (heads.where(F.col("payload_bytes") >= REVISIT_MIN_BYTES)
-              .groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_copies"))
-              .where("_copies > 1").drop("_copies"))
-    heads = salted_join(heads, firsts, "digest", "page_id", "left").withColumn(
+    several = (heads.groupBy("digest")
+               .agg(F.min(F.when(F.col("payload_bytes") >= REVISIT_MIN_BYTES, F.col("page_id"))).alias("_first"),
+                    F.count("*").alias("_copies"), parts.alias("_parts"))
+               .where("_copies > 1").drop("_copies"))
+    heads = salted_join(heads, several, "digest", "page_id", "left").withColumn(
         "refers_to", F.when(F.col("page_id").eqNullSafe(F.col("_first")), None).otherwise(F.col("_first")))
-    heads.select("page_id", _header(date).alias("header"), "digest").write.parquet(f"{path}/records")
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")     # any dealing will do
+    heads.select("page_id", _header(date).alias("header"), "digest", part.alias("part")).write.parquet(f"{path}/records")
 
 
 def _verified(digest: Column, payload: Column) -> Column:
@@ -92,7 +100,7 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
         _field("WARC-Payload-Digest", "sha256:([0-9a-f]{64})").alias("digest"),
         _field("WARC-Refers-To", "<urn:page:(-?[0-9]+)>").cast("long").alias("refers_to"),
         _field("Content-Length", "([0-9]+)").cast("long").alias("content_length"),
-        "header")
+        "header", "part")
 
 
 def _fails(message: str) -> Column:
@@ -104,8 +112,9 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     payload of revisits too, which a flat archive would have to seek for. ``payload_digest`` is computed
     on the rebuilt record (a revisit's on the payload it refers to); a record without payload, of
     another length than its Content-Length, or of another digest than its header names raises."""
-    stored = spark.read.parquet(f"{path}/payloads").select("digest", "payload")
-    joined = salted_join(read_headers(spark, path), stored, "digest", "page_id", "left", salts=4)
+    stored = spark.read.parquet(f"{path}/payloads").select(
+        "digest", "payload", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    joined = read_headers(spark, path).join(stored.hint("merge"), ["digest", "part"], "left")
     revisit = F.col("record_type") == "revisit"
     head = F.col("header").cast("binary")
     rebuilt = joined.withColumn("record", F.concat(
