@@ -17,13 +17,17 @@ Both comparisons are dealt by hash, as packed arrays per task and bucket: four b
 What a task can decide alone is decided there, and it sends each hash only once, so a passage in a
 third of all documents reaches its bucket once per task instead of once per document. A short probe
 hash can only add candidates for step 2. The texts are shuffled once; both passes over them read
-the same exchange. Nothing is emitted per pair of places.
+the same exchange (in ``clean`` with the other columns as one struct; each text is in it once). Nothing
+is emitted per pair of places.
+
+A document travels under a 64-bit hash of its id and text. Documents that share one by chance meet in
+one chunk of texts, where they get different keys (``_keys``), so none is cut by another's repeats.
 
 Cases: a null text has no words, an empty one neither; a text shorter than a window stays whole;
 a null id counts as the smallest; rows that repeat id and text are the same document and are not
 earlier than each other; rows with one id but other texts are compared by (id, start) alike; an empty
-table gives no rows; texts of any length are read whole; other columns pass through ``clean``
-untouched and are not read by ``rows``.
+table gives no rows; texts of any length are read whole; other columns, whatever their names, pass
+through ``clean`` untouched and are not read by ``rows``.
 """
 
 from __future__ import annotations
@@ -37,6 +41,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from cuefind.llm.common import WORD_GAP, in_arrow, per_group, split_words, text_slices
 from cuefind.session import ship_package
@@ -214,6 +219,34 @@ def _marks(docs: np.ndarray, length: np.ndarray, pair_doc: np.ndarray, number: n
     return flags, start
 
 
+def _keys(texts: pa.Table, chunks: int) -> np.ndarray:
+    """A key per row of a chunk: its ``_doc``, but of different documents with one ``_doc`` all but the first
+    move on, within the chunk, to a free one. The same in every pass over the chunk."""
+    doc = texts.column("_doc").to_numpy().astype(np.int64)
+    keys, size = np.unique(doc, return_counts=True)
+    if (size == 1).all():
+        return doc
+    doc, taken = doc.copy(), set(keys.tolist())
+    several = np.flatnonzero(np.isin(doc, keys[size > 1]))
+    rows = texts.select(["_id", "_text"]).take(pa.array(several))
+    found: dict[int, dict] = {}
+    for at, value in zip(several.tolist(), zip(rows.column("_id").to_pylist(), rows.column("_text").to_pylist())):
+        found.setdefault(int(doc[at]), {}).setdefault(value, []).append(at)
+    for key in sorted(k for k, same in found.items() if len(same) > 1):
+        for value in sorted(found[key], key=repr)[1:]:
+            new, step = key, chunks if key < 0 else -chunks
+            while new in taken:
+                new += step
+            taken.add(new)
+            doc[found[key][value]] = new
+    return doc
+
+
+def _keyed(texts: pa.Table, chunks: int) -> pa.Table:
+    at = texts.schema.get_field_index("_doc")
+    return texts.set_column(at, "_doc", pa.array(_keys(texts, chunks), pa.int64())) if texts.num_rows else texts
+
+
 # ---- 2. extension -------------------------------------------------------------------------------
 
 #: One row per chunk and bucket: window hashes, the place of each; documents as (key, id) pairs;
@@ -225,6 +258,15 @@ def _extend_chunk(buckets: int):
     def cogroup(texts: pa.Table, hits: pa.Table) -> pa.Table:
         hit_doc, block = _pairs(hits, "block")
         found: list[tuple] = []
+        texts = texts.select(["_doc", "_id", "_text"])
+        key, doc = _keys(texts, buckets), texts.column("_doc").to_numpy()
+        moved = set(zip(key[key != doc].tolist(), doc[key != doc].tolist()))
+        if moved:                                           # a hit under a shared hash may be of any of them
+            also = [(np.full(int(s.sum()), k), block[s]) for k, d in sorted(moved) for s in [hit_doc == d]]
+            hit_doc, block = np.concatenate([hit_doc, *(k for k, _ in also)]), np.concatenate([block, *(x for _, x in also)])
+            order = np.argsort(hit_doc, kind="stable")
+            hit_doc, block = hit_doc[order], block[order]
+        texts = texts.set_column(0, "_doc", pa.array(key, pa.int64()))
         wanted = texts.filter(pc.is_in(texts.column("_doc"), value_set=pa.array(np.unique(hit_doc), pa.int64())))
         for rb in text_slices(wanted.combine_chunks().to_batches(), "_text"):
             words = split_words(rb.column("_text"))
@@ -316,7 +358,11 @@ def _plain(texts: pa.Array) -> pa.Array:
     return pc.utf8_trim(pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=WORD_GAP, replacement=" "), characters=" ")
 
 
-def _digest_rows(texts: pa.Table, gone: pa.Table) -> pa.Table:
+def _digest_rows(chunks: int):
+    return lambda texts, gone: _digest_chunk(_keyed(texts, chunks), gone)
+
+
+def _digest_chunk(texts: pa.Table, gone: pa.Table) -> pa.Table:
     gone_doc, gone_pos = _pairs(gone, "pos")
     out = []
     for rb in text_slices(texts.combine_chunks().to_batches(), "_text"):
@@ -334,32 +380,32 @@ def _digest_rows(texts: pa.Table, gone: pa.Table) -> pa.Table:
                                 names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _clean_rows(columns: list[str], text_col: str, chars_col: str | None):
+def _clean_rows(chunks: int):
     """Documents with their kept words: the runs between removed words, as they were, joined by a blank."""
     def cogroup(texts: pa.Table, gone: pa.Table) -> pa.Table:
         gone_doc, gone_pos = _pairs(gone, "pos")
+        touched = pa.array(np.unique(gone_doc), pa.int64())
         out = []
-        for rb in text_slices(texts.combine_chunks().to_batches(), "_text"):
-            values = rb.column("_text").to_pylist()
-            touched = set(np.unique(gone_doc).tolist())
-            for i in [i for i, d in enumerate(rb.column("_doc").to_pylist()) if d in touched]:
-                spans = [m.span() for m in _WORD.finditer(values[i] or "")]
-                cut, _ = _covered(rb.slice(i, 1), np.array([len(spans)]), gone_doc, gone_pos)
-                runs = (list(g) for dropped, g in itertools.groupby(range(len(spans)), lambda k: cut[k]) if not dropped)  # noqa: B023
-                values[i] = " ".join(values[i][spans[r[0]][0]:spans[r[-1]][1]] for r in runs) if cut.any() else values[i]
-            new = pa.array(values, pa.string())
-            arrays = {c: rb.column(c) for c in columns} | {text_col: new}
-            if chars_col in columns:
-                arrays[chars_col] = pc.utf8_length(new).cast(rb.column(chars_col).type)
-            out.append(pa.RecordBatch.from_arrays([arrays[c] for c in columns], columns))
-        schema = pa.schema([texts.schema.field(c) for c in columns])
-        return pa.Table.from_batches([b.cast(schema) for b in out], schema) if out else schema.empty_table()
+        for rb in text_slices(_keyed(texts, chunks).combine_chunks().to_batches(), "_text"):
+            text = rb.column("_text")
+            rows = np.flatnonzero(pc.is_in(rb.column("_doc"), value_set=touched).to_numpy(zero_copy_only=False))
+            if len(rows):
+                values = text.to_pylist()
+                for i in rows.tolist():
+                    spans = [m.span() for m in _WORD.finditer(values[i] or "")]
+                    cut, _ = _covered(rb.slice(i, 1), np.array([len(spans)]), gone_doc, gone_pos)
+                    runs = (list(g) for dropped, g in itertools.groupby(range(len(spans)), lambda k: cut[k]) if not dropped)  # noqa: B023
+                    values[i] = " ".join(values[i][spans[r[0]][0]:spans[r[-1]][1]] for r in runs) if cut.any() else values[i]
+                text = pa.array(values, pa.string())
+            out.append(pa.RecordBatch.from_arrays([rb.column("_row"), text.cast(pa.string())], ["_row", "_text"]))
+        schema = pa.schema([texts.schema.field("_row"), ("_text", pa.string())])
+        return pa.Table.from_batches(out, schema) if out else schema.empty_table()
     return cogroup
 
 
-def _run(docs: DataFrame, id_col: str, text_col: str, last, schema, keep: list[str]) -> DataFrame:
+def _run(docs: DataFrame, id_col: str, text_col: str, last, schema, kept: list) -> DataFrame:
     ship_package(docs.sparkSession)
-    base = docs.select(*keep, F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    base = docs.select(*kept, docs[f"`{id_col}`"].cast("long").alias("_id"), docs[f"`{text_col}`"].cast("string").alias("_text"))
     base = base.withColumn("_doc", F.xxhash64("_id", "_text"))
     size = base.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     parts = int(max(32, size // BUCKET_BYTES))
@@ -368,7 +414,7 @@ def _run(docs: DataFrame, id_col: str, text_col: str, last, schema, keep: list[s
     windows = (texts.groupBy("_chunk").cogroup(hits.groupBy("_chunk"))
                .applyInArrow(per_group(_extend_chunk(parts)), _WINDOWS))
     gone = windows.groupBy("bucket").applyInArrow(per_group(_window_bucket(parts)), "_chunk long, doc binary, pos binary")
-    return texts.groupBy("_chunk").cogroup(gone.groupBy("_chunk")).applyInArrow(per_group(last), schema)
+    return texts.groupBy("_chunk").cogroup(gone.groupBy("_chunk")).applyInArrow(per_group(last(parts)), schema)
 
 
 def rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -378,5 +424,16 @@ def rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """The documents with their repeats cut out of the text (and ``chars_col``, if there, brought in line)."""
-    return _run(docs, id_col, text_col, _clean_rows(docs.columns, text_col, chars_col), docs.schema, docs.columns)
+    """The documents with their repeats cut out of the text (and ``chars_col``, if there, brought in line).
+    The columns beside the text travel as one struct, whose fields are numbered: no name of theirs is met."""
+    place = {c: i for i, c in enumerate(docs.columns)}
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(*(docs[f"`{c}`"].alias(f"c{place[c]}") for c in others), F.lit(None).cast("int").alias("none")).alias("_row")
+    types = {f.name: f.dataType for f in docs.schema}
+    fields = StructType([*(StructField(f"c{place[c]}", types[c], docs.schema[c].nullable) for c in others),
+                         StructField("none", IntegerType())])
+    out = _run(docs, id_col, text_col, _clean_rows, StructType([StructField("_row", fields), StructField("_text", StringType())]), [row])
+    new = {text_col: F.col("_text").cast(types[text_col])}
+    if chars_col in place and chars_col != text_col:
+        new[chars_col] = F.length("_text").cast(types[chars_col])
+    return out.select(*(new.get(c, F.col(f"_row.c{place[c]}")).alias(c) for c in docs.columns))

@@ -76,6 +76,24 @@ def test_clean_keeps_columns_and_spacing(make_docs):
     assert sd.clean(make_docs([])).count() == 0 and sd.rows(make_docs([])).count() == 0
 
 
+def test_clean_takes_any_other_columns(spark):
+    words = " ".join(f"w{k}" for k in range(30))
+    clash = "doc_id long, _row string, _doc string, _chunk int, _text string, _id long, text string, _part array<int>, `a.b` struct<`x y`: int>"
+    docs = spark.createDataFrame([(i, f"row{i}", "d", i, "other text", 7, f"{words} own{i}", [i], (i,)) for i in (1, 2)], clash)
+    out = sd.clean(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.columns == docs.columns and got[1]["text"] == f"{words} own1" and got[2]["text"] == "own2"
+    assert all(got[i][:6] == (i, f"row{i}", "d", i, "other text", 7) and got[i][7:] == ([i], (i,)) for i in (1, 2))
+
+
+def test_documents_that_share_a_hash(make_docs, monkeypatch):
+    """Every document gets one of five hashes: results stay those of the brute-force version."""
+    pairs = planted(5, 80)
+    real = sd.F.xxhash64
+    monkeypatch.setattr(sd.F, "xxhash64", lambda *c: sd.F.pmod(real(*c), sd.F.lit(5)))
+    same(make_docs(pairs + pairs[:9]), pairs + pairs[:9])
+
+
 def test_rolling_hash_depends_on_order():
     h = np.arange(1, 60, dtype=np.uint64) * np.uint64(0x123456789ABCDEF1)
     assert len(np.unique(sd._rolling(h, 20))) == 40 and sd._rolling(h[::-1].copy(), 20)[0] != sd._rolling(h, 20)[-1]
