@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bpe, hilbert_ann, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
+from cuefind.llm import bpe, hilbert_ann, line_runs, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -73,6 +73,11 @@ def op8_warc_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_store.archive_table(spark, archive)
 
 
+@_query
+def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 ORACLE["op3_block_anchors"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -135,3 +140,23 @@ SELECT p.page_id, p.payload_bytes, p.payload_digest,
        CASE WHEN p.page_id > f.first_id THEN f.first_id END AS refers_to
 FROM p LEFT JOIN f USING (payload_digest)
 """
+
+ORACLE["op11_line_runs"] = """
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS row_no, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), l AS (
+  SELECT doc_id, row_no, i, lines[i] AS line FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), k AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l
+), r AS (
+  SELECT key, max(doc_id) AS last_doc FROM k WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), g AS (
+  SELECT k.*, r.last_doc IS NOT NULL AND k.doc_id < r.last_doc AS gone FROM k LEFT JOIN r USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM g GROUP BY doc_id, row_no
+"""
