@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bpe, hilbert_ann, line_runs, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
+from cuefind.llm import bond_negatives, bpe, hilbert_ann, line_runs, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -78,6 +78,11 @@ def op11_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+@_query
+def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bond_negatives.rows(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
+
+
 ORACLE["op3_block_anchors"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -160,3 +165,28 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM g GROUP BY doc_id, row_no
 """
+
+ORACLE["op12_bond_negatives"] = """
+WITH e AS (
+  SELECT row_number() OVER () AS row_no, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), a AS (
+  SELECT * FROM e WHERE vec_id % 50 = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM a JOIN e b ON a.row_no <> b.row_no
+), p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM (
+  SELECT p.*, s.other_id, s.score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.other_id) AS rank
+  FROM p JOIN s USING (anchor_id)
+  WHERE NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+) WHERE rank <= 3
+"""
