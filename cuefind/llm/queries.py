@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuefind.llm import bond_negatives, bpe, hilbert_ann, line_runs, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_spans, warc_store
+from cuefind.llm import bond_negatives, bpe, hilbert_ann, line_runs, lsh_forest, mil_classifier, packing, quality_rules, splitters, substring_dedup, token_alignment, token_spans, warc_store
 from cuefind.llm.common import table
 from cuefind.session import scratch_path
 
@@ -83,6 +83,11 @@ def op12_bond_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bond_negatives.rows(table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding"))
 
 
+@_query
+def op13_pair_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.rows(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 ORACLE["op3_block_anchors"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
