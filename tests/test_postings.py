@@ -1,0 +1,120 @@
+"""The trigram index: its contents, bounds by set size, skipped segments, and plans that move no text."""
+
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from cuefind.functions.text import normalize_text, trigrams
+from cuefind.operators import postings as PO
+from cuefind.operators import search as SE
+from cuefind.session import scratch_path
+from models import normalize_model, trigram_sim
+
+
+def _chunks(spark, texts):
+    rows = spark.createDataFrame([(f"c{i:05d}", t) for i, t in enumerate(texts)], "chunk_id string, text string")
+    return rows.select("chunk_id", "text", normalize_text(F.col("text")).alias("normalized_text"))
+
+
+def _texts(n, seed=1):
+    rng = random.Random(seed)
+    words = ["quote", "rocket", "captain", "laser", "anger", "spear", "x1", "żółw", "\U00020000漢", "the", "theatre"]
+    return [None if i % 23 == 0 else " ".join(rng.choice(words) + str(rng.randrange(4)) for _ in range(rng.choice([0, 1, 2, 5, 20, 60])))
+            for i in range(n)]
+
+
+def _expected(texts, asked, k):
+    out = set()
+    for q, text in asked:
+        scored = sorted((-trigram_sim(normalize_model(t), normalize_model(text)), f"c{i:05d}") for i, t in enumerate(texts) if t is not None)
+        out |= {(q, cid, round(-s, 12), rank) for rank, (s, cid) in enumerate(scored[:k], 1)}
+    return out
+
+
+def _segments(index):
+    return [s for rb in index.toArrow().to_batches() for s in PO.Segment.read(rb)]
+
+
+def test_index_holds_every_trigram_once(spark):
+    texts = _texts(150)
+    chunks = _chunks(spark, texts)
+    segments = _segments(PO.build_index(chunks.repartition(3), segment_postings=500, least_chunks=3))
+    want = {r["chunk_id"]: set(r["g"]) for r in chunks.where("text is not null").select("chunk_id", trigrams(F.col("normalized_text")).alias("g")).collect()}
+    got = {}
+    letters = lambda c: "".join(chr(int(c) >> s & 0x1FFFFF) for s in (42, 21, 0))
+    for s in segments:
+        assert s.low == s.sizes.min() and s.high == s.sizes.max() and (np.diff(s.codes) > 0).all()
+        assert s.high <= max(s.low * PO.SIZE_RATIO, s.low) or len(s.ids) <= 3
+        for i in s.ids:
+            assert i not in got                                   # a chunk is in one segment
+            got[i] = set()
+        for code, a, b in zip(s.codes, s.starts[:-1], s.starts[1:]):
+            for m in s.members[a:b]:
+                got[s.ids[m]].add(letters(code))
+    assert got == want and len(segments) > 10
+    # every list of a trigram that nearly all chunks hold is one segment's
+    assert max(int(np.diff(s.starts).max(initial=0)) for s in segments) <= max(len(s.ids) for s in segments) < 100
+
+
+def test_bound_is_never_below_a_similarity():
+    rng = np.random.default_rng(2)
+    for _ in range(500):
+        a, b = set(rng.integers(0, 30, rng.integers(0, 25)).tolist()), set(rng.integers(0, 30, rng.integers(0, 25)).tolist())
+        low, high = len(b) - rng.integers(0, len(b) + 1), len(b) + rng.integers(0, 4)
+        score = len(a & b) / len(a | b) if a | b else 0.0
+        assert SE.size_bound(np.array([len(a)]), int(low), int(high))[0] >= score
+
+
+@pytest.mark.parametrize("ratio", [0, 10 ** 9])
+def test_against_full_scan_with_many_small_segments(spark, monkeypatch, ratio):
+    for name, value in (("PAIR_TO_FMA", ratio), ("TILE_CELLS", 40), ("TILE_PAIRS", 30), ("DENSE_CELLS", 64)):
+        monkeypatch.setattr(SE, name, value)
+    texts = _texts(200, 3)
+    asked = [(1, "captain1 rocket2"), (2, ""), (3, "zzz"), (4, " ".join(f"word{i}" for i in range(40))), (5, "żółw1"), (6, texts[30] or "x"), (7, None)]
+    want = _expected(texts, [(q, t or "") for q, t in asked], 5)
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    index = PO.build_index(_chunks(spark, texts).repartition(4), segment_postings=400, least_chunks=2)
+    got = SE.trigram_topk(_chunks(spark, texts), queries, index=index).collect()
+    assert {(r.query_id, r.chunk_id, round(r.score, 12), r["rank"]) for r in got} == want
+    # the scorer by itself, with tiles of a few cells
+    packed = SE.query_groups(queries, True, False)[2].toArrow()
+    group = SE._pack(packed, True, False, 0)
+    top = SE._TopK(len(group.ids), 5)
+    SE._score_segments(_segments(index), group, top)
+    rank = np.arange(len(top.q)) - np.searchsorted(top.q, top.q) + 1
+    assert {(int(group.ids[q]), c, round(-key, 12), int(r)) for q, c, key, r in zip(top.q, top.chunk, top.key, rank)} == want
+
+
+def test_segments_of_other_sizes_are_skipped(spark):
+    """Short queries against mostly long chunks: long segments are not looked at, results stay those of a full scan."""
+    rng = random.Random(4)
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(999)}" for _ in range(4 if i % 10 == 0 else 300)) for i in range(400)]
+    segments = _segments(PO.build_index(_chunks(spark, texts), least_chunks=4))
+    grams = PO.codes_of(_chunks(spark, texts).where("chunk_id = 'c00010'").select(trigrams(F.col("normalized_text")).alias("g")).toArrow()["g"].combine_chunks())[0]
+    vocab = np.unique(grams)
+    group = SE.QueryGroup(np.array([1]), np.array([len(vocab)]), vocab, np.arange(len(vocab)), np.array([0, len(vocab)]), np.zeros(0, int), np.zeros((0, 0)))
+    top, skipped = SE._TopK(1, 5), []
+    SE._score_segments(segments, group, top, skipped)
+    assert sum(s for s, _ in skipped) >= 0.4 * len(segments)
+    want = [cid for _, cid, _, _ in sorted(_expected(texts, [(1, texts[10])], 5), key=lambda x: x[3])]
+    assert top.chunk.tolist() == want
+
+
+def test_no_text_is_shuffled(spark):
+    """The exchanges of a search carry ids, numbers and packed lists; payload comes by key."""
+    chunks = _chunks(spark, [t or "" for t in _texts(50, 5)])
+    queries = spark.createDataFrame([(1, "rocket")], "query_id long, query string")
+    plan = SE.trigram_topk(chunks, queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert "normalized_text" not in plan and "members" in plan
+
+
+def test_a_kept_index_answers_without_the_texts(spark):
+    texts = _texts(80, 6)
+    chunks, path = _chunks(spark, texts), scratch_path(spark, "kept-index")
+    PO.build_index(chunks, path)
+    queries = spark.createDataFrame([(1, "laser2 anger1"), (2, "x12")], "query_id long, query string")
+    bare = chunks.select("chunk_id", F.lit(None).cast("string").alias("normalized_text"))       # no text to read
+    got = SE.trigram_topk(bare, queries, index=PO.read_index(spark, path)).collect()
+    assert {(r.query_id, r.chunk_id, round(r.score, 12), r["rank"]) for r in got} == _expected(texts, [(1, "laser2 anger1"), (2, "x12")], 5)
