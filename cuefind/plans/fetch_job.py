@@ -40,12 +40,18 @@ def extract_stage(spark: SparkSession, listing_paths, tables: str, scripts_for,
         ST.append_table(new_segs, tables, "segments")
         ST.append_table(new_rows, tables, "videos")
     else:
-        segs = ST.read_table(spark, tables, "segments")
-        ST.replace_table(IN.segments_upsert(segs, IN.script_segments(choice), scripts), tables, "segments")
-        ST.replace_table(IN.video_upsert(stored, listing, scripts), tables, "videos")
+        upsert_scripts(spark, tables, listing, choice)
     return IN.ingest_stats(listing, stored, choice).collect()[0].asDict()
 
 
+def upsert_scripts(spark: SparkSession, tables: str, listing: DataFrame, choice: DataFrame) -> None:
+    """Re-extracted videos: their segments replaced, then their rows updated or inserted. Only the buckets these
+    videos lie in are read and rewritten."""
+    scripts = reliable_checkpoint(IN.scripts_from_segments(choice))
+    ST.upsert_table(spark, tables, "segments", scripts, lambda old: IN.segments_upsert(old, IN.script_segments(choice), scripts))
+    ST.upsert_table(spark, tables, "videos", scripts, lambda old: IN.video_upsert(old, listing, scripts))
+
+
 def chunk_stage(spark: SparkSession, tables: str) -> None:
     """Chunk every stored video without chunks."""
     chunk_videos(spark, tables, ST.read_table(spark, tables, "videos"))
@@ -55,23 +61,49 @@ def rechunk(spark: SparkSession, tables: str, videos: DataFrame) -> None:
     """Chunk ``videos`` (video_id) anew: their chunks are replaced, all others stay."""
     segments = rows_with_keys(ST.read_table(spark, tables, "segments"), videos, "video_id")
     fresh = CH.chunk_segments(segments).withColumn("embedding", F.lit(None).cast("array<float>"))
-    ST.replace_table(CH.replace_chunks(ST.read_table(spark, tables, "chunks"), fresh.select(
-        *(f.name for f in ST.CHUNKS.fields))), tables, "chunks")
+    fresh = reliable_checkpoint(fresh.select(*(f.name for f in ST.CHUNKS.fields)))
+    ST.upsert_table(spark, tables, "chunks", fresh, lambda old: CH.replace_chunks(old, fresh))
 
 
-#: Pending chunks of one commit of the embedding stage.
+#: Pending chunks of one bucket of the embedding stage.
 EMBED_COMMIT_ROWS = 100_000
+#: Commits of a run at most: each names all folders so far.
+EMBED_COMMITS = 64
 
 
 def embed_stage(spark: SparkSession, tables: str, provider: EM.Provider, commit_rows: int = EMBED_COMMIT_ROWS,
                 pause_s: float = EM.PAUSE_S) -> None:
-    """Vectors for pending chunks, committed bucket by bucket: a run that fails keeps the buckets before."""
+    """Vectors for pending chunks, bucket by bucket. The pending rows are found by one scan and written once, by
+    bucket; each bucket then reads its own folder, and what it has written is kept. A run after a failure
+    goes on with the buckets that are not finished, without a scan, and then looks for new pending chunks."""
+    work = f"{tables.rstrip('/')}/_embed"
+    for run in EM.open_runs(spark, work):
+        _embed_run(spark, tables, run, provider, pause_s)
     done = ST.read_table(spark, tables, "chunk_vectors")
-    pending = reliable_checkpoint(EM.pending(ST.read_table(spark, tables, "chunks"), done))
-    buckets = pending.count() // commit_rows + 1
-    for b in range(buckets):
-        part = pending.where(F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)) == b)
-        ST.append_table(EM.embed_texts(part, provider, pause_s=pause_s), tables, "chunk_vectors")
+    run = EM.plan_backfill(EM.pending(ST.read_table(spark, tables, "chunks"), done), work, commit_rows)
+    if run:
+        _embed_run(spark, tables, run, provider, pause_s)
+
+
+def _embed_run(spark: SparkSession, tables: str, run: str, provider: EM.Provider, pause_s: float) -> None:
+    table = f"{tables.rstrip('/')}/chunk_vectors"
+    buckets = EM.run_buckets(spark, run)
+    finished = [b for b in buckets if EM.is_complete(spark, f"{table}/{EM.bucket_output(run, b)}")]
+    step = -(-len(buckets) // EMBED_COMMITS)
+    ready = [EM.bucket_output(run, b) for b in finished]
+    try:
+        for b in buckets:
+            if b in finished:
+                continue
+            EM.embed_bucket(spark, run, b, f"{table}/{EM.bucket_output(run, b)}", provider, pause_s)
+            ready.append(EM.bucket_output(run, b))
+            if len(ready) >= step:
+                ST.append_folders(spark, tables, "chunk_vectors", ready)
+                ready = []
+    finally:
+        if ready:
+            ST.append_folders(spark, tables, "chunk_vectors", ready)
+    EM.close_run(spark, run)
 
 
 def chunks_with_vectors(spark: SparkSession, tables: str) -> DataFrame:

@@ -16,8 +16,10 @@ from cuefind.operators import chunking as CH
 from cuefind.operators import ingest as IN
 from cuefind.plans import duck as D
 from cuefind.plans.chunk_queries import CHUNKS_SQL, SEGMENTS_SQL
+from cuefind.plans.fetch_job import upsert_scripts
 from cuefind.plans.registry import register
 from cuefind.plans.source_queries import SUBTITLE_SQL
+from cuefind.session import reliable_checkpoint, scratch_path
 from cuefind.sources import fixture_files as FF
 from cuefind.sources import store as ST
 from cuefind.sources import subtitles as SU
@@ -101,13 +103,12 @@ FROM stored s FULL OUTER JOIN (SELECT l.video_id, l.title, l.video_url, sc.trans
 def q_video_upsert(spark: SparkSession, sf: str) -> DataFrame:
     """Re-extract every listed video (only-missing off) and upsert into the stored tables."""
     listing, stored, sources = _scenario(spark, sf)
-    choice = IN.choose_scripts(listing, *sources)
-    scripts = IN.scripts_from_segments(choice)
-    table = IN.video_upsert(stored, listing, scripts)
-    stored_segments = spark.createDataFrame([], ST.SEGMENTS)   # the earlier run stored none
-    segments = IN.segments_upsert(stored_segments, IN.script_segments(choice), scripts)
-    counts = segments.groupBy("video_id").agg(F.count(F.lit(1)).alias("n_segments"))
-    return table.join(counts, "video_id", "left").select(
+    root = scratch_path(spark, "upsert-store")
+    ST.replace_table(stored, root, "videos")
+    listing = reliable_checkpoint(listing)
+    upsert_scripts(spark, root, listing, reliable_checkpoint(IN.choose_scripts(listing, *sources)))
+    counts = ST.read_table(spark, root, "segments").groupBy("video_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    return ST.read_table(spark, root, "videos").join(counts, "video_id", "left").select(
         "video_id", "title", "video_url", "transcript", "extraction_type",
         F.coalesce("n_segments", F.lit(0)).cast("long").alias("n_segments"))
 

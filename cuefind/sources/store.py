@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cuefind.functions.text import parse_timespan_ms
+from cuefind.session import reliable_checkpoint
 
 VIDEOS = T.StructType([
     T.StructField("video_id", T.StringType()),
@@ -70,18 +74,41 @@ SCHEMAS = {"videos": VIDEOS, "segments": SEGMENTS, "chunks": CHUNKS, "query_cach
            "chunk_vectors": CHUNK_VECTORS}
 
 
+#: Tables whose rows are changed by key: they lie in buckets by a hash of it.
+KEYS = {"videos": "video_id", "segments": "video_id", "chunks": "video_id", "query_cache": "normalized_query"}
+#: Buckets of a new table (recorded with it). An upsert rewrites only the buckets its keys fall into.
+BUCKETS = 32
+#: Attempts of a change that loses the race against other writers.
+ATTEMPTS = 5
+
+
 # ---- tables: data folders plus numbered manifests ------------------------------------------
 #
-# <root>/<name>/part-<id>/            Parquet folders, never changed once a manifest names them
-# <root>/<name>/_manifest-<n>         the folders of version n, one per line, ended by "end"
+# <root>/<name>/part-<id>/[bucket=<b>/]   Parquet folders, never changed once a manifest names them
+# <root>/<name>/_manifest-<n>             version n: its folders and marks, one per line, ended by "end"
 #
-# A writer writes its folder first and the next manifest last (created, never overwritten: of two
-# writers one fails). A job that stops in between leaves the last version as it is; a reader takes the
-# newest complete manifest and fails if a folder it names is gone.
+# A writer writes its folders first and the next manifest last (created, never overwritten). A change
+# is made to the version that was read: if another writer was faster, that number is taken, nothing is
+# committed, and StaleTable tells the caller to read again. A job that stops in between leaves the
+# last version as it is; a reader takes the newest complete manifest and fails if a folder it names is gone.
 
 _END = "end"
 
 
+class StaleTable(RuntimeError):
+    """Another writer committed a version after the one this change was made to."""
+
+
+@dataclass
+class Version:
+    """A table as it was read: number 0 before it exists. ``marks`` are kept from version to version."""
+
+    number: int = 0
+    folders: list[str] = field(default_factory=list)
+    buckets: int = BUCKETS
+    marks: dict[str, str] = field(default_factory=dict)
+
+
 def _fs(spark: SparkSession, path: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
@@ -95,57 +122,136 @@ def _read_text(fs, path) -> str:
         stream.close()
 
 
-def table_version(spark: SparkSession, root: str, name: str) -> tuple[int, list[str]]:
-    """(version, folders) of a table; version 0 before it exists."""
+def read_version(spark: SparkSession, root: str, name: str) -> Version:
+    """The newest complete version of a table."""
     fs, path = _fs(spark, f"{root.rstrip('/')}/{name}")
     if not fs.exists(path):
-        return 0, []
+        return Version()
     files = sorted((f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("_manifest-")),
                    key=lambda p: p.getName(), reverse=True)
     for file in files:
         lines = _read_text(fs, file).split("\n")
         if lines[-1] == _END:
-            return int(file.getName().rsplit("-", 1)[1]), lines[:-1]
-    return 0, []
+            out = Version(int(file.getName().rsplit("-", 1)[1]))
+            for line in lines[:-1]:
+                kind, _, value = line.partition(" ")
+                if kind == "buckets":
+                    out.buckets = int(value)
+                elif kind == "mark":
+                    out.marks.update([value.split(" ", 1)])
+                else:
+                    out.folders.append(line)
+            return out
+    return Version()
+
 
+def table_version(spark: SparkSession, root: str, name: str) -> tuple[int, list[str]]:
+    """(version, folders) of a table; version 0 before it exists."""
+    version = read_version(spark, root, name)
+    return version.number, version.folders
 
-def _commit(spark: SparkSession, root: str, name: str, version: int, folders: list[str]) -> None:
-    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}/_manifest-{version:012d}")
-    stream = fs.create(path, False)
+
+def _commit(spark: SparkSession, root: str, name: str, was: Version, folders: list[str], marks: dict[str, str] | None = None) -> None:
+    """The version after ``was``; StaleTable if there is one already."""
+    number = was.number + 1
+    fs, path = _fs(spark, f"{root.rstrip('/')}/{name}/_manifest-{number:012d}")
+    lines = [f"buckets {was.buckets}", *(f"mark {k} {v}" for k, v in (was.marks | (marks or {})).items()), *folders, _END]
+    try:
+        stream = fs.create(path, False)
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName() or fs.exists(path):
+            raise StaleTable(f"{name}: version {number} was committed by another writer") from e
+        raise
     try:
-        stream.write(bytearray("\n".join([*folders, _END]).encode("utf-8")))
+        stream.write(bytearray("\n".join(lines).encode("utf-8")))
     finally:
         stream.close()
 
 
-def _write_part(df: DataFrame, root: str, name: str) -> str:
-    part = f"part-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root.rstrip('/')}/{name}/{part}")
-    return part
+def with_retries(change: Callable[[], object], attempts: int = ATTEMPTS):
+    """Run a change that reads the newest version itself, again if it was stale."""
+    for attempt in range(attempts):
+        try:
+            return change()
+        except StaleTable:
+            if attempt == attempts - 1:
+                raise
+
 
+def bucket_of(name: str, buckets: int):
+    return F.pmod(F.xxhash64(KEYS[name]), F.lit(buckets)).cast("int")
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The table's newest version; an empty one before the first write (create if absent)."""
-    _, folders = table_version(spark, root, name)
+
+def _write_part(df: DataFrame, root: str, name: str, buckets: int) -> list[str]:
+    """Write rows to a new folder, in buckets if the table has a key; returns what a manifest names. A bucket
+    is gathered for few files; AQE splits one that a hot key fills."""
+    part, base = f"part-{uuid.uuid4().hex}", f"{root.rstrip('/')}/{name}"
+    rows = df.select(*(f.name for f in SCHEMAS[name].fields))
+    if name not in KEYS:
+        rows.write.parquet(f"{base}/{part}")
+        return [part]
+    bucketed = rows.withColumn("bucket", bucket_of(name, buckets))
+    bucketed.hint("rebalance", F.col("bucket")).write.partitionBy("bucket").parquet(f"{base}/{part}")
+    fs, path = _fs(df.sparkSession, f"{base}/{part}")
+    found = sorted(f.getPath().getName() for f in fs.listStatus(path) if f.getPath().getName().startswith("bucket="))
+    return [f"{part}/{b}" for b in found]
+
+
+def _read_folders(spark: SparkSession, root: str, name: str, folders: list[str]) -> DataFrame:
     if not folders:
         return spark.createDataFrame([], SCHEMAS[name])
     return spark.read.schema(SCHEMAS[name]).parquet(*(f"{root.rstrip('/')}/{name}/{f}" for f in folders))
 
 
+def read_table(spark: SparkSession, root: str, name: str, version: Version | None = None) -> DataFrame:
+    """The table's newest (or a given) version; an empty one before the first write (create if absent)."""
+    return _read_folders(spark, root, name, (version or read_version(spark, root, name)).folders)
+
+
 def append_table(df: DataFrame, root: str, name: str) -> None:
-    """Add rows: one more folder in the next version."""
+    """Add rows: more folders in the next version. Written once; the commit is repeated if another was faster."""
     spark = df.sparkSession
-    part = _write_part(df.select(*(f.name for f in SCHEMAS[name].fields)), root, name)
-    version, folders = table_version(spark, root, name)
-    _commit(spark, root, name, version + 1, [*folders, part])
+    parts = _write_part(df, root, name, read_version(spark, root, name).buckets)
+
+    append_folders(spark, root, name, parts)
 
 
-def replace_table(df: DataFrame, root: str, name: str) -> None:
-    """The rows of ``df`` become the next version (``df`` may read the present one)."""
+def append_folders(spark: SparkSession, root: str, name: str, folders: list[str]) -> None:
+    """Add folders that were written under the table's own."""
+    def commit():
+        now = read_version(spark, root, name)
+        _commit(spark, root, name, now, [*now.folders, *(f for f in folders if f not in set(now.folders))])
+
+    with_retries(commit)
+
+
+def replace_table(df: DataFrame, root: str, name: str, version: Version | None = None, buckets: int | None = None) -> None:
+    """The rows of ``df`` become the next version (``df`` may read the present one). ``version``: the one its
+    rows were read from; if it is no longer the newest, nothing is committed and StaleTable is raised."""
     spark = df.sparkSession
-    version, _ = table_version(spark, root, name)
-    part = _write_part(df.select(*(f.name for f in SCHEMAS[name].fields)), root, name)
-    _commit(spark, root, name, version + 1, [part])
+    version = version or read_version(spark, root, name)
+    if buckets:
+        version = Version(version.number, version.folders, buckets, version.marks)
+    _commit(spark, root, name, version, _write_part(df, root, name, version.buckets))
+
+
+def upsert_table(spark: SparkSession, root: str, name: str, keys: DataFrame, merge: Callable[[DataFrame], DataFrame],
+                 version: Version | None = None, marks: dict[str, str] | None = None) -> None:
+    """Change the rows of some keys: ``merge`` gets the present rows of the buckets that ``keys`` fall into and
+    returns these buckets' new rows. The other buckets' folders stay as they are, unread. With ``version``
+    (the one the change was computed from) a faster writer means StaleTable; without, the merge is repeated on
+    the newest version."""
+    keys = reliable_checkpoint(keys.select(KEYS[name]).distinct())
+
+    def change():
+        was = version or read_version(spark, root, name)
+        touched = {f"bucket={r[0]}" for r in keys.select(bucket_of(name, was.buckets)).distinct().collect()}    # at most the buckets
+        mine = [f for f in was.folders if f.rpartition("/")[2] in touched]
+        others = [f for f in was.folders if f not in set(mine)]
+        parts = _write_part(merge(_read_folders(spark, root, name, mine)), root, name, was.buckets) if touched else []
+        _commit(spark, root, name, was, [*others, *parts], marks)
+
+    with_retries(change, 1 if version else ATTEMPTS)
 
 
 def drop_old_versions(spark: SparkSession, root: str, name: str) -> None:
@@ -153,27 +259,35 @@ def drop_old_versions(spark: SparkSession, root: str, name: str) -> None:
     of older versions and without running writers."""
     version, folders = table_version(spark, root, name)
     fs, path = _fs(spark, f"{root.rstrip('/')}/{name}")
+    needed = {f.partition("/")[0] for f in folders}
     for file in fs.listStatus(path) if version else []:
         own = file.getPath().getName()
-        if own not in folders and own != f"_manifest-{version:012d}":
+        if own in needed:
+            for part in fs.listStatus(file.getPath()):
+                bucket = part.getPath().getName()
+                if bucket.startswith("bucket=") and f"{own}/{bucket}" not in folders:
+                    fs.delete(part.getPath(), True)
+        elif own != f"_manifest-{version:012d}":
             fs.delete(file.getPath(), True)
 
 
 # ---- segment JSON codec: [{"Text": ..., "Start": "hh:mm:ss[.fffffff]", "End": ...}] --------
 
 def timespan_text(ms) -> F.Column:
-    """ms -> constant TimeSpan text '[d.]hh:mm:ss[.fffffff]' (fraction only when non-zero)."""
+    """ms -> constant TimeSpan text '[-][d.]hh:mm:ss[.fffffff]' (fraction only when non-zero)."""
     ms = F.col(ms) if isinstance(ms, str) else ms
-    d = F.floor(ms / 86400000)
-    h = F.floor(ms / 3600000) % 24
-    m = F.floor(ms / 60000) % 60
-    s = F.floor(ms / 1000) % 60
-    frac = ms % 1000
+    size = F.abs(ms)
+    d = F.floor(size / 86400000)
+    h = F.floor(size / 3600000) % 24
+    m = F.floor(size / 60000) % 60
+    s = F.floor(size / 1000) % 60
+    frac = size % 1000
     two = lambda c: F.lpad(c.cast("string"), 2, "0")
     core = F.concat(two(h), F.lit(":"), two(m), F.lit(":"), two(s))
     with_frac = F.when(frac == 0, core).otherwise(
         F.concat(core, F.lit("."), F.lpad((frac * 10000).cast("string"), 7, "0")))
-    return F.when(d > 0, F.concat(d.cast("string"), F.lit("."), with_frac)).otherwise(with_frac)
+    whole = F.when(d > 0, F.concat(d.cast("string"), F.lit("."), with_frac)).otherwise(with_frac)
+    return F.when(ms < 0, F.concat(F.lit("-"), whole)).otherwise(whole)
 
 
 def segment_entities(segments: F.Column) -> F.Column:
