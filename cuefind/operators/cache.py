@@ -6,6 +6,8 @@ counterpart: the table join is the cache.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from cuefind.operators.common import rows_with_keys
 from cuefind.operators.hybrid import hybrid_best, sides
 from cuefind.operators.search import TOP_K
 from cuefind.session import reliable_checkpoint
-from cuefind.sources.store import read_table, replace_table
+from cuefind.sources.store import read_table, read_version, upsert_table, with_retries
 
 CACHED_SCORE = 1.0  # fixed value: a cached answer is reported with similarity 1.0
 
@@ -73,7 +75,8 @@ def cache_resolve(lookup: DataFrame, chunks: DataFrame, payload: tuple[str, ...]
 _PAYLOAD = ("video_id", "text", "start_ms")
 
 
-def answer_batch(requests: DataFrame, cache: DataFrame, chunks: DataFrame, k: int = TOP_K) -> DataFrame:
+def answer_batch(requests: DataFrame, cache: DataFrame, chunks: DataFrame, k: int = TOP_K,
+                 index: DataFrame | None = None) -> DataFrame:
     """One row per normalized query of ``requests`` (normalized_query, query, embedding, ts, event_id, ...):
     ``chunk_id, similarity_score, source`` ('cache', 'search', or null if nothing is found) and the
     chunk's video_id, text, start_ms. A cached id that still exists answers; all others are searched."""
@@ -85,30 +88,41 @@ def answer_batch(requests: DataFrame, cache: DataFrame, chunks: DataFrame, k: in
     hits = known.where("resolved").select("query_id", "normalized_query", F.col("cached_chunk_id").alias("chunk_id"),
                                           "similarity_score", F.lit("cache").alias("source"), *_PAYLOAD)
     missed = known.where("not resolved")
-    best = hybrid_best(sides(chunks, missed.select("query_id", "query", "embedding"), k, payload=_PAYLOAD))
+    best = hybrid_best(sides(chunks, missed.select("query_id", "query", "embedding"), k, payload=_PAYLOAD, index=index))
     found = missed.select("query_id", "normalized_query").join(best, "query_id", "left").select(
         "query_id", "normalized_query", "chunk_id", "similarity_score",
         F.when(F.col("chunk_id").isNotNull(), F.lit("search")).alias("source"), *_PAYLOAD)
     return hits.unionByName(found)
 
 
-def cached_search(spark, root: str, requests: DataFrame, chunks: DataFrame, videos: DataFrame, k: int = TOP_K) -> DataFrame:
+def cached_search(spark, root: str, requests: DataFrame, chunks: DataFrame, videos: DataFrame, k: int = TOP_K,
+                  marks: dict[str, str] | None = None, before_commit: Callable[[DataFrame], None] | None = None,
+                  index: DataFrame | None = None) -> DataFrame:
     """The whole request flow on a batch: admit, lower-case, look up, search what is missing, write back, shape.
 
     requests: event_id, ts (timestamp_ntz), query, embedding. Per request: ``event_id, status`` and, if it
     was admitted and answered, the answer with title, links and ``source``. The ``query_cache`` table under
-    ``root`` gets its next version: each admitted request counts once; hits keep their chunk, misses and
-    dangling entries get the chunk found. A batch that fails leaves the table as it was."""
+    ``root`` gets its next version (the buckets of the batch's keys, with ``marks``): each admitted request counts
+    once; hits keep their chunk, misses and dangling entries get the chunk found. A batch that fails leaves the
+    table as it was. If another writer changes the table meanwhile, the batch is answered again from the new
+    version. ``before_commit`` gets the shaped rows before the table changes. ``index``: the chunks' trigram
+    index, if one is kept."""
     admitted = reliable_checkpoint(with_normalized_query(admit(requests)))
     ok = admitted.where("status = 'ok'")
-    cache = read_table(spark, root, "query_cache")
-    answers = reliable_checkpoint(answer_batch(ok, cache, chunks, k))
-    delta = cache_rollup(ok.join(answers.select("normalized_query", "chunk_id"), "normalized_query")
-                         .where(F.col("chunk_id").isNotNull()))
-    replace_table(cache_upsert(cache, delta), root, "query_cache")
-    shaped = result_links(with_titles(answers.where(F.col("chunk_id").isNotNull()).drop("query_id")
-                                      .withColumnRenamed("text", "chunk_text"), videos))
-    return admitted.select("event_id", "status", "normalized_query").join(shaped, "normalized_query", "left")
+
+    def answer() -> DataFrame:
+        version = read_version(spark, root, "query_cache")
+        answers = reliable_checkpoint(answer_batch(ok, read_table(spark, root, "query_cache", version), chunks, k, index))
+        found = answers.where(F.col("chunk_id").isNotNull())
+        delta = reliable_checkpoint(cache_rollup(ok.join(found.select("normalized_query", "chunk_id"), "normalized_query")))
+        shaped = result_links(with_titles(found.drop("query_id").withColumnRenamed("text", "chunk_text"), videos))
+        shaped = admitted.select("event_id", "status", "normalized_query").join(shaped, "normalized_query", "left")
+        if before_commit:
+            before_commit(shaped)
+        upsert_table(spark, root, "query_cache", delta, lambda old: cache_upsert(old, delta), version, marks)
+        return shaped
+
+    return with_retries(answer)
 
 
 def popular_queries(cache: DataFrame, k: int = 10) -> DataFrame:

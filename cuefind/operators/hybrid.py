@@ -18,10 +18,11 @@ from cuefind.operators.embed import PAUSE_S, embed_texts
 from cuefind.operators.search import TOP_K, TRIGRAM, VECTOR, search
 
 
-def sides(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, payload: tuple[str, ...] = ()) -> DataFrame:
+def sides(chunks: DataFrame, queries: DataFrame, k: int = TOP_K, payload: tuple[str, ...] = (),
+          index: DataFrame | None = None) -> DataFrame:
     """One row per (query, chunk) of either top-k list: ``trigram_score, trigram_rank, vector_score,
     vector_rank`` (null where the chunk is not in that list) and the payload."""
-    found = search(chunks, queries, k, payload=tuple(payload))
+    found = search(chunks, queries, k, payload=tuple(payload), index=index)
     of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     merged = found.groupBy("query_id", "chunk_id").agg(
         of(TRIGRAM, "value").alias("trigram_score"), of(TRIGRAM, "rank").alias("trigram_rank"),

@@ -11,12 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.operators import cache as CA
+from cuefind.operators.postings import build_index
 from cuefind.plans import duck as D
-from cuefind.plans.registry import register
+from cuefind.plans.registry import ORACLE, register
 from cuefind.plans.search_queries import doc_hybrid_ctes
-from cuefind.session import scratch_path
+from cuefind.session import reliable_checkpoint, scratch_path
 from cuefind.sources import store as ST
 from cuefind.sources import testdata as TD
+from cuefind.streaming import cache_stream as CS
 
 _Q = "event_type || ' ' || CAST(user_id AS VARCHAR) || '!'"
 LOG_SQL = f"""
@@ -162,6 +164,39 @@ def q_cached_search_cache(spark: SparkSession, sf: str) -> DataFrame:
     return ST.read_table(spark, root, "query_cache")
 
 
+@register("stream_cached_search", ORACLE["cached_search_cache"])
+def q_stream_cached_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The cache table after the later half of the log came in three parts, each a restart of the request stream;
+    the last epoch is run twice."""
+    root, requests = _requests(spark, sf)
+    requests = reliable_checkpoint(requests)
+    chunks, videos = TD.document_corpus(spark, sf, with_vectors=True), TD.document_videos(spark, sf)
+    index = build_index(chunks)
+    folder, answers, checkpoint = (scratch_path(spark, x) for x in ("requests", "answers", "search-ckpt"))
+    lo, hi = requests.agg(F.min("ts"), F.max("ts")).first()
+    cuts = [lo + (hi - lo) * i // 3 for i in (1, 2)]
+    at = lambda t: F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz")
+    parts = [F.col("ts") < at(cuts[0]), (F.col("ts") >= at(cuts[0])) & (F.col("ts") < at(cuts[1])), F.col("ts") >= at(cuts[1])]
+    for part in parts:
+        requests.where(part).write.mode("append").parquet(folder)
+        CS.run_search_stream(spark, folder, requests.schema, root, answers, checkpoint, chunks, videos, index=index)
+    CS.answer_epoch(spark, requests.where(parts[-1]), 2, root, answers, chunks, videos, "search", index)      # changes nothing
+    return ST.read_table(spark, root, "query_cache")
+
+
+@register("stream_rollup", ORACLE["cache_rollup"])
+def q_stream_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole log rolled up as a stream of files, in two runs: the second brings rows that are
+    earlier than those of the first, and starts from its checkpoint."""
+    log = TD.query_log(spark, sf).select("event_id", "ts", "query", "chunk_id")
+    folder, root, checkpoint = (scratch_path(spark, x) for x in ("log", "rollup-store", "rollup-ckpt"))
+    late = F.col("event_id") % 3 == 0
+    for part in (~late, late):
+        log.where(part).repartition(2, "event_id").write.mode("append").parquet(folder)
+        CS.run_rollup_stream(spark, folder, log.schema, root, checkpoint)
+    return ST.read_table(spark, root, "query_cache")
+
+
 @register("popular_queries", "WITH " + LOG_SQL + ", r AS (" + _rollup_sql("nlog") + """)
 SELECT normalized_query, access_count FROM r ORDER BY access_count DESC, normalized_query LIMIT 10""")
 def q_popular_queries(spark: SparkSession, sf: str) -> DataFrame:
