@@ -105,6 +105,12 @@ def normalize_text(c: Column) -> Column:
     return F.when(c.isNull() | (c == F.lit("")), c).otherwise(s)
 
 
+@functools.lru_cache(maxsize=1)
+def white_space() -> str:
+    """The characters of ``WS_CLASS``."""
+    return "\t\n\x0b\f\r\x85" + "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c)[0] == "Z")
+
+
 def clr_trim(c: Column) -> Column:
     """Trim every Unicode whitespace character from both ends (not only ' ')."""
     return F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")
