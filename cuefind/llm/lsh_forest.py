@@ -5,10 +5,14 @@ A text with fewer than five words has one gram, its whole word sequence; a text
 none and is linked to nothing.
 
 1. Documents with one gram set are one *text*; its smallest id stands for it from here on.
-2. *Bands.* Each of ``trees`` trees groups the texts by a hash of d min-hashes: banding at a depth fixed
-   beforehand, the largest d up to ``depth`` at which a pair at the threshold shares a group in some tree
-   with a chance of at least ``recall`` (1 - (1 - t^d)^trees). No prefix is shortened on data. Texts of
-   one group (node) are candidates.
+2. *Forest.* Each of ``trees`` trees is a prefix trie of min-hashes. The full prefix is the longest that meets the
+   target recall if all trees use it (1 - (1 - t^d)^trees). It is shortened, text by text and tree by tree, as
+   the data allow: up to ``SHORTER`` levels, where the trie node of the shorter prefix holds no more than
+   ``CROWD`` texts. All texts below a node are cut there alike, so whoever shares one text's prefix is in its
+   leaf, and a shorter prefix only adds candidates: the recall is at least the target for every text, more where
+   texts are sparse. Texts of one leaf (node) are candidates. No text leaves the forest before the last tree: that
+   a node is small says that a text's min-hashes differ there from its near copies', so t^d is no longer
+   the chance to meet them in such trees (tried: links of large groups were lost).
 3. Nodes are compared in tiles of at most ``tile`` texts a side: pairs of tiles of one node are
    separate tasks, so no node has to fit one. A pair belongs to the first tree in which it meets,
    so it is compared once, and it is passed on only if its min-hashes agree often enough
@@ -36,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cuefind.llm.common import in_arrow, materialise, salted_join, segment_sum, split_words, text_slices
+from cuefind.operators.common import rows_with_keys
 
 GRAM = 5
 THRESHOLD = 0.8
@@ -43,12 +48,15 @@ RECALL = 0.999
 TREES = 20
 DEPTH = 8
 TILE = 256
+#: Levels that a prefix may be shortened by, and the texts that a node may then hold.
+SHORTER = 2
+CROWD = 32
 #: Gram hashes that are min-hashed at a time.
 _STEP = 1 << 15
 
 
 def prefix_depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> int:
-    """Shorten the matched prefix from ``depth`` on until the target recall is met."""
+    """The longest prefix that meets the target recall if every tree uses it."""
     for d in range(depth, 1, -1):
         if 1 - (1 - threshold ** d) ** trees >= recall:
             return d
@@ -133,27 +141,77 @@ def _text_rows(docs: DataFrame, id_col: str, text_col: str, hashes: int, with_se
 
 # ---- candidates ---------------------------------------------------------------------------------
 
-def _nodes(texts: DataFrame, trees: int, depth: int) -> DataFrame:
-    """Per text and tree: the trie node at ``depth`` (a hash of tree and prefix). With it, for the pair
-    test: the short names of the text's nodes in all trees and one byte of every min-hash."""
+def _paths(data: list[bytes], trees: int, depth: int) -> np.ndarray:
+    """Trie nodes on the way down, per text, tree and level: a hash of tree and prefix."""
+    sig = np.frombuffer(b"".join(data), np.uint32).reshape(len(data), trees, depth)
+    node = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), (len(data), trees)).copy()
+    out = np.empty((len(data), trees, depth), np.uint64)
+    for k in range(depth):
+        node = (node ^ sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        node ^= node >> np.uint64(29)
+        out[:, :, k] = node
+    return out
+
+
+def _crowds(texts: DataFrame, trees: int, depth: int, crowd: int) -> DataFrame:
+    """``tid, deep`` (array of tree, prefix length): where a text's prefix is longer than the shortest, because more than
+    ``crowd`` texts share the shorter one. Level by level: a node is counted (before it is shuffled), its
+    texts go on only if it is crowded."""
+    least = max(1, depth - SHORTER)
+
+    def kernel(batches):
+        for rb in batches:
+            if rb.num_rows:
+                paths = _paths(rb.column("data").to_pylist(), trees, depth)[:, :, least - 1:depth - 1].view(np.int64)
+                tree = pa.array(np.tile(np.arange(trees, dtype=np.int32), rb.num_rows))
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column("tid").take(pa.array(np.repeat(np.arange(rb.num_rows), trees))), tree,
+                     *(pa.array(paths[:, :, k].ravel()) for k in range(depth - least))],
+                    ["tid", "tree", *(f"node{d}" for d in range(least, depth))])
+
+    if least == depth:
+        return texts.sparkSession.createDataFrame([], "tid long, deep array<struct<tree: int, length: int>>")
+    nodes = ", ".join(f"node{d} long" for d in range(least, depth))
+    here, deep = in_arrow(texts.select("tid", "data"), kernel, f"tid long, tree int, {nodes}"), None
+    for d in range(least, depth):
+        crowded = here.groupBy(f"node{d}").agg(F.count("*").alias("n")).where(F.col("n") > crowd)
+        here = materialise(rows_with_keys(here, crowded, f"node{d}"), "forest-crowds")
+        longer = here.select("tid", "tree", F.lit(d + 1).alias("length"))
+        deep = longer if deep is None else deep.unionByName(longer)
+    return deep.groupBy("tid").agg(F.collect_list(F.struct("tree", "length")).alias("deep"))
+
+
+def prefix_lengths(deep: list[list[tuple[int, int]]], trees: int, depth: int) -> np.ndarray:
+    """Per text and tree: the prefix length at which it ends."""
+    out = np.full((len(deep), trees), max(1, depth - SHORTER))
+    for i, rows in enumerate(deep):
+        for tree, length in rows:
+            out[i, tree] = max(out[i, tree], length)
+    return out
+
+
+def _leaves(texts: DataFrame, crowds: DataFrame, trees: int, depth: int) -> DataFrame:
+    """Per text its leaf of each tree. With it, for the pair
+    test: the short names of these leaves and one byte of every min-hash."""
+    source = texts.select("tid", "copies", "grams", "data").join(crowds, "tid", "left")
+
     def kernel(batches):
         for rb in batches:
             if not rb.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(rb.column("data").to_pylist()), np.uint32).reshape(rb.num_rows, trees, depth)
-            node = np.broadcast_to(np.arange(1, trees + 1, dtype=np.uint64), (rb.num_rows, trees)).copy()
-            for k in range(depth):
-                node = (node ^ sig[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
-                node ^= node >> np.uint64(29)
+            data = rb.column("data").to_pylist()
+            deep = [[(x["tree"], x["length"]) for x in rows or ()] for rows in rb.column("deep").to_pylist()]
+            lengths = prefix_lengths(deep, trees, depth)
+            leaf = np.take_along_axis(_paths(data, trees, depth), lengths[:, :, None] - 1, axis=2)[:, :, 0]
+            sketch = np.frombuffer(b"".join(data), np.uint32).reshape(rb.num_rows, -1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [rb.column("tid"), rb.column("copies"), rb.column("grams"),
-                 pa.array([x.tobytes() for x in (node >> np.uint64(32)).astype(np.uint32)], pa.binary()),
-                 pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary()),
-                 pa.array(list(node.view(np.int64)), pa.list_(pa.int64()))],
+                 pa.array([x.tobytes() for x in (leaf >> np.uint64(32)).astype(np.uint32)], pa.binary()),
+                 pa.array([x.tobytes() for x in sketch], pa.binary()),
+                 pa.array(list(np.ascontiguousarray(leaf).view(np.int64)), pa.list_(pa.int64()))],
                 ["tid", "copies", "grams", "names", "sketch", "nodes"])
 
-    return in_arrow(texts.select("tid", "copies", "grams", "data"), kernel,
-                    "tid long, copies long, grams long, names binary, sketch binary, nodes array<long>")
+    return in_arrow(source, kernel, "tid long, copies long, grams long, names binary, sketch binary, nodes array<long>")
 
 
 _TILE = ["tree", "node", "lo", "hi"]
@@ -313,7 +371,7 @@ def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFr
 # ---- the operator -------------------------------------------------------------------------------
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float, trees: int, depth: int,
-             tile: int, row_col: str | None = None) -> DataFrame:
+             tile: int, crowd: int = CROWD, row_col: str | None = None) -> DataFrame:
     """Per document: ``row``, the three columns of ``join`` and ``label``, the class itself (documents
     that share an id can be in different classes); null for a document that is linked to nothing by rule."""
     depth = prefix_depth(threshold, recall, trees, depth)
@@ -322,7 +380,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
     every = materialise(_text_rows(docs, id_col, text_col, hashes, row_col=row_col), "forest-documents")
     texts = materialise(every.where("grams > 0 and doc_id is not null").groupBy("tid", "grams").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("data").alias("data")), "forest-texts")
-    nodes = _nodes(texts, trees, depth)
+    nodes = _leaves(texts, _crowds(texts, trees, depth, crowd), trees, depth)
     place = F.posexplode("nodes").alias("tree", "node")
     shared = nodes.select(place).groupBy("tree", "node").agg(F.count("*").alias("n")).where("n > 1")
     members = nodes.select("tid", "copies", "grams", "names", "sketch", place).join(shared, ["tree", "node"])
@@ -348,18 +406,22 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, threshold: float, reca
 
 
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD,
-         recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, tile: int = TILE) -> DataFrame:
+         recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, tile: int = TILE, crowd: int = CROWD) -> DataFrame:
     """``doc_id, class_id, n_links`` per document."""
-    return _classed(docs, id_col, text_col, threshold, recall, trees, depth, tile).select("doc_id", "class_id", "n_links")
+    return _classed(docs, id_col, text_col, threshold, recall, trees, depth, tile, crowd).select("doc_id", "class_id", "n_links")
 
 
 def first_of_class(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each class, of those with its smallest id. Documents without an id or words stay. Rows
     are told apart by a written row number, so repeated ids and rows are judged one by one."""
-    numbered = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "forest-numbered")
-    classed = _classed(numbered, id_col, text_col, THRESHOLD, RECALL, TREES, DEPTH, TILE, "_row")
+    place = {c: f"_doc.c{i}" for i, c in enumerate(docs.columns)}       # the user's row is one struct: no name of it is met
+    row = F.struct(*(docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    numbered = materialise(docs.select(F.monotonically_increasing_id().alias("_row"), row.alias("_doc")), "forest-numbered")
+    plain = numbered.select("_row", F.col(place[id_col]).alias("doc_id"), F.col(place[text_col]).alias("text"))
+    classed = _classed(plain, "doc_id", "text", THRESHOLD, RECALL, TREES, DEPTH, TILE, row_col="_row")
     classed = materialise(classed.select("row", "doc_id", "label"), "forest-classed")
     first = (classed.where("label is not null").groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("first"))
              .select("first.row"))
     kept = classed.where("label is null").select("row").union(first).withColumnRenamed("row", "_row")
-    return numbered.join(materialise(kept, "forest-kept"), "_row", "left_semi").drop("_row")
+    left = numbered.join(materialise(kept, "forest-kept"), "_row", "left_semi")
+    return left.select(*(F.col(place[c]).alias(c) for c in docs.columns))

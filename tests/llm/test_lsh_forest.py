@@ -73,7 +73,49 @@ def test_tiles_of_one_node(make_docs):
     same(make_docs(pairs), pairs, tile=16)
 
 
-def test_prefixes_shorten_until_recall():
+def test_texts_end_at_different_prefix_lengths(make_docs, spark):
+    """A crowd of near copies keeps longer prefixes than texts that stand alone; whoever shares a text's
+    prefix is in its leaf."""
+    rng = random.Random(8)
+    base = [f"t{k}" for k in range(200)]
+    pairs = []
+    for i in range(90):
+        w = list(base)
+        w[rng.randrange(200)] = f"n{i}"
+        pairs.append((i, " ".join(w)))
+    pairs += [(1000 + i, " ".join(f"alone{i}x{k}" for k in range(100))) for i in range(20)]
+    depth = lf.prefix_depth()
+    every = lf._text_rows(make_docs(pairs), "doc_id", "text", lf.TREES * depth)
+    texts = every.selectExpr("tid", "doc_id", "1L as copies", "grams", "data")
+    deep = {r["tid"]: [tuple(x) for x in r["deep"]] for r in lf._crowds(texts, lf.TREES, depth, 32).collect()}
+    ids = {r["tid"]: r["doc_id"] for r in texts.collect()}
+    lengths = {ids[t]: lf.prefix_lengths([deep.get(t, [])], lf.TREES, depth) for t in ids}
+    assert all((lengths[1000 + i] == depth - lf.SHORTER).all() for i in range(20))
+    assert {int(x) for i in range(90) for x in lengths[i].ravel()} == {depth - lf.SHORTER, depth - lf.SHORTER + 1, depth} or lengths[0].max() == depth
+    paths = {r["doc_id"]: lf._paths([r["data"]], lf.TREES, depth)[0] for r in texts.collect()}
+    for i in paths:
+        for j in paths:
+            for tree in range(lf.TREES):
+                n = lengths[i][0, tree]
+                if (paths[i][tree, n - 1] == paths[j][tree, n - 1]).all():
+                    assert lengths[j][0, tree] == n
+    same(make_docs(pairs), pairs)
+
+
+@pytest.mark.parametrize("crowd", [1, 10 ** 9])
+def test_links_do_not_depend_on_the_crowd(make_docs, crowd):
+    pairs = near_copies(11)
+    same(make_docs(pairs), pairs, crowd=crowd)
+
+
+def test_first_of_class_takes_any_other_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f g", 5, "t", "x", 0, 1) for i in (3, 1, 2)],
+                                 "doc_id long, text string, _row int, _doc string, tid string, label int, `a.b` int")
+    out = lf.first_of_class(docs)
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == [(1, "a b c d e f g", 5, "t", "x", 0, 1)]
+
+
+def test_full_prefix_meets_the_recall():
     assert lf.prefix_depth(0.8, 0.5, 20, 8) == 8 > lf.prefix_depth(0.8, 0.999, 20, 8) >= 1
     d = lf.prefix_depth(0.8, 0.999, 20, 8)
     assert 1 - (1 - 0.8 ** d) ** 20 >= 0.999 > 1 - (1 - 0.8 ** (d + 1)) ** 20
