@@ -11,9 +11,11 @@
    their true neighbours lie. The window is the distance that covers ``recall`` of them. On vectors
    with structure it is narrow; on directions at random it grows to whatever that recall needs.
 4. Every point goes to its block of every ordering, by range of key; every query to the blocks that
-   its window meets. Inside a block, queries times points is one matrix product in double precision;
-   a block returns each query's best as one packed row. The rows of a query are merged, the copies
-   of points put in, the query's own id left out.
+   its window meets. Blocks follow the table: ``BLOCKS`` of them, more from ``BLOCKS * block_points`` points on. A pair
+   is scored in the first ordering whose window holds it and left out in the others: points carry their
+   blocks of all orderings, queries their windows. Scores are products in double precision; a block returns each
+   query's best, and the best of all blocks are ranked by a window function that keeps k of a task.
+   Copies of points are put in, the query's own id is left out.
 
 Nothing is capped: every point is in one block of every ordering, and a block that many equal keys
 overfill is split into tiles that are searched alike. A window that reaches both ends is
@@ -46,7 +48,12 @@ BITS = 5
 SAMPLE = 20_000
 PROBES = 64
 BLOCK_POINTS = 2048
-RECALL = 0.96
+#: Blocks that also a small table is cut into, of at least LEAST_POINTS points.
+BLOCKS = 32
+LEAST_POINTS = 16
+RECALL = 0.94
+#: Bytes of a sample on the driver.
+SAMPLE_BYTES = 32 << 20
 _SEED = 7
 
 
@@ -128,16 +135,27 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def _key(vector) -> F.Column:
+    """128 bits of a vector's hash, as text."""
+    return F.concat_ws(".", F.xxhash64(vector).cast("string"), F.xxhash64(F.lit(1), vector).cast("string"))
+
+
+def _vectors(vectors: DataFrame, vector_col: str) -> F.Column:
+    """The vectors as they are: single precision stays, all else becomes double."""
+    kind = vectors.schema[vector_col].dataType.elementType
+    return vectors[f"`{vector_col}`"].cast("array<float>" if isinstance(kind, T.FloatType) else "array<double>")
+
+
 def _points(vectors: DataFrame, id_col: str, vector_col: str, k: int) -> DataFrame:
-    """Distinct vectors: ``point`` (a number for each), ``embedding``, ``ids`` (its k+1 smallest)."""
-    good = F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = (vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    """Distinct vectors: ``point`` (a key for each), ``embedding``, ``ids`` (its k+1 smallest)."""
+    good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    rows = (vectors.select(vectors[f"`{id_col}`"].cast("long").alias("id"), _vectors(vectors, vector_col).alias("embedding"))
             .where(F.col("id").isNotNull() & F.col("embedding").isNotNull())
             .where((F.size("embedding") > 0) & good & F.exists("embedding", lambda x: x != 0)).distinct())
     first = Window.partitionBy("embedding").orderBy("id")       # limited per task before the shuffle
     few = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
     return (few.groupBy("embedding").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-            .select(F.xxhash64("embedding").alias("point"), "embedding", "ids", F.size("embedding").alias("dim")))
+            .select(_key(F.col("embedding")).alias("point"), "embedding", "ids", F.size("embedding").alias("dim")))
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -150,53 +168,52 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))][:k]
 
 
-def _block_search(k: int, tile: int = 256):
-    """Per query of a block: its best points, with their ids, as packed (id, score) pairs."""
+def _met_before(ordering: int, blocks: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Pairs (query, point) that an earlier ordering's window holds."""
+    out = np.zeros((len(low), len(blocks)), bool)
+    for o in range(ordering):
+        out |= (blocks[:, o] >= low[:, o, None]) & (blocks[:, o] <= high[:, o, None])
+    return out
+
+
+def _block_search(k: int, orderings: int, blocks: int, tile: int = 256):
+    """Per query of a block its best points that no earlier ordering has brought it to: ids and scores."""
     def cogroup(points: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        names, found, values, scored = [], [], [], []
         if points.num_rows and queries.num_rows:
-            dim = points.column("dim")[0].as_py()
+            ordering, dim = points.column("cell")[0].as_py() // blocks, points.column("dim")[0].as_py()
             x = _matrix(points.column("embedding").combine_chunks(), dim)
             ids = points.column("ids").to_pylist()
             first = np.array([i[0] for i in ids], np.int64)
+            alone = all(len(i) == 1 for i in ids)
+            seen = np.frombuffer(b"".join(points.column("seen").to_pylist()), np.int32).reshape(-1, orderings)
+            window = np.frombuffer(b"".join(queries.column("seen").to_pylist()), np.int32).reshape(-1, 2, orderings)
             q = _matrix(queries.column("embedding").combine_chunks(), dim)
-            names = queries.column("point").to_pylist()
+            own = queries.column("point").to_pylist()
             for a in range(0, len(q), tile):
+                skip = _met_before(ordering, seen, window[a:a + tile, 0], window[a:a + tile, 1])
                 scores = q[a:a + tile] @ x.T
-                for name, row in zip(names[a:a + tile], scores):
-                    top = _best(row, first, k + 1)
-                    pairs = [(i, row[p]) for p in top.tolist() for i in ids[p]]
-                    found = np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.float64)
-                    out.append((name, *_packed(*found, k + 1)))
-        cols = list(zip(*out)) if out else [(), (), ()]
-        return pa.table({"point": pa.array(cols[0], pa.int64()), "found": pa.array(cols[1], pa.binary()),
-                         "scores": pa.array(cols[2], pa.binary())})
+                scores[skip] = -np.inf
+                left = len(x) - skip.sum(axis=1)
+                for name, row, n in zip(own[a:a + tile], scores, left.tolist()):
+                    top = _best(row, first, k + 1)[:n]
+                    if not len(top):
+                        continue
+                    names.append(name)
+                    scored.append(n)
+                    if alone:
+                        found.append(first[top])
+                        values.append(row[top])
+                    else:
+                        pairs = [(i, row[p]) for p in top.tolist() for i in ids[p]]
+                        pairs = sorted(pairs, key=lambda p: (-p[1], p[0]))[:k + 1]
+                        found.append(np.array([p[0] for p in pairs], np.int64))
+                        values.append(np.array([p[1] for p in pairs], np.float64))
+        return pa.table({"point": pa.array(names, pa.string()), "found": pa.array(found, pa.list_(pa.int64())),
+                         "scores": pa.array(values, pa.list_(pa.float64())), "scored": pa.array(scored, pa.int64())})
     return cogroup
 
 
-def _packed(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[bytes, bytes]:
-    """The k best distinct ids, best first."""
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    keep = np.sort(np.unique(ids, return_index=True)[1])[:k]
-    return ids[keep].tobytes(), scores[keep].tobytes()
-
-
-def _merge(k: int):
-    """The best of all blocks' rows of a query."""
-    def kernel(batches):
-        for rb in batches:
-            found, scores = [], []
-            for f, s in zip(rb.column("found").to_pylist(), rb.column("scores").to_pylist()):
-                a, b = _packed(np.frombuffer(b"".join(f), np.int64), np.frombuffer(b"".join(s), np.float64), k + 1)
-                found.append(np.frombuffer(a, np.int64).tolist())
-                scores.append(np.frombuffer(b, np.float64).tolist())
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("point"), pa.array(found, pa.list_(pa.int64())), pa.array(scores, pa.list_(pa.float64()))],
-                ["point", "found", "scores"])
-    return kernel
-
-
 def _exact_probe(points: DataFrame, probe: np.ndarray, dim: int, k: int) -> list[np.ndarray]:
     """The k nearest points of a few queries, by one scan: each task keeps k of a query."""
     def kernel(batches):
@@ -232,23 +249,26 @@ def window_width(curves: Curves, probe: np.ndarray, near: list[np.ndarray], reca
 
 def _dealt(points: DataFrame, curves: Curves, blocks: int, width: float | None, dim: int) -> DataFrame:
     """``cell``: the block of each point in each ordering (``width`` None), or the blocks that a query's
-    window meets."""
+    window meets. ``seen``: the blocks of a point in all orderings, or the first and last of a query's windows."""
     def kernel(batches):
         for rb in batches:
             if not rb.num_rows:
                 continue
             at = curves.place(curves.keys(_matrix(rb.column("embedding"), dim), query=width is not None))
             reach = width or 0.0
-            low = np.clip(((at - reach) * blocks).astype(np.int64), 0, blocks - 1).ravel()
-            high = np.clip(((at + reach) * blocks).astype(np.int64), 0, blocks - 1).ravel()
-            size = high - low + 1
-            row = np.repeat(np.tile(np.arange(rb.num_rows), len(at)), size)
+            low = np.clip(((at - reach) * blocks).astype(np.int64), 0, blocks - 1)
+            high = np.clip(((at + reach) * blocks).astype(np.int64), 0, blocks - 1)
+            seen = low.T if width is None else np.stack([low.T, high.T], axis=1)
+            seen = pa.array([x.tobytes() for x in np.ascontiguousarray(seen.astype(np.int32))], pa.binary())
+            low, size = low.ravel(), (high - low + 1).ravel()
+            row = pa.array(np.repeat(np.tile(np.arange(rb.num_rows), len(at)), size))
             ordering = np.repeat(np.repeat(np.arange(len(at)), rb.num_rows), size)
-            own = rb.take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(ordering * blocks + spread(low, size))],
-                                             [*own.schema.names, "cell"])
+            own = rb.take(row)
+            yield pa.RecordBatch.from_arrays([*own.columns, seen.take(row), pa.array(ordering * blocks + spread(low, size))],
+                                             [*own.schema.names, "seen", "cell"])
 
-    return in_arrow(points, kernel, T.StructType([*points.schema.fields, T.StructField("cell", T.LongType())]))
+    return in_arrow(points, kernel, T.StructType([*points.schema.fields, T.StructField("seen", T.BinaryType()),
+                                                  T.StructField("cell", T.LongType())]))
 
 
 def _tiles(points: DataFrame, queries: DataFrame, block_points: int) -> tuple[DataFrame, DataFrame]:
@@ -264,15 +284,19 @@ def _tiles(points: DataFrame, queries: DataFrame, block_points: int) -> tuple[Da
     return p.drop("_p", "_q"), q.drop("_p", "_q")
 
 
-def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding",
-           orderings: int = ORDERINGS, dims: int = DIMS, recall: float = RECALL, sample: int = SAMPLE,
-           probes: int = PROBES, block_points: int = BLOCK_POINTS) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the k nearest found for every row whose id fulfils ``is_query``."""
+def block_count(n: int, block_points: int) -> int:
+    """Blocks of an ordering of n points."""
+    return int(max(1, min(BLOCKS, n // LEAST_POINTS), n // block_points))
+
+
+def _searched(vectors: DataFrame, is_query, k: int, id_col: str, vector_col: str, orderings: int, dims: int, recall: float,
+              sample: int, probes: int, block_points: int) -> tuple[DataFrame, DataFrame | None]:
+    """The queries (query_id, point), and per query point and block: ids, scores and the number of pairs scored."""
     ship_package(vectors.sparkSession)
     points = materialise(_points(vectors, id_col, vector_col, k), "hilbert-points")
-    asked = (vectors.select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+    asked = (vectors.select(vectors[f"`{id_col}`"].cast("long").alias("query_id"), _vectors(vectors, vector_col).alias("embedding"))
              .where(F.col("query_id").isNotNull() & is_query(F.col("query_id"))).distinct()
-             .select("query_id", F.xxhash64("embedding").alias("point")))
+             .select("query_id", _key(F.col("embedding")).alias("point")))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     asked = materialise(asked, "hilbert-queries")
     queries = points.join(asked.select("point").distinct(), "point", "left_semi")
@@ -282,26 +306,44 @@ def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id",
         own = points.where(F.col("dim") == dim)
         own_queries = queries.where(F.col("dim") == dim)
         mixed = F.xxhash64("point", F.lit("sample"))
-        drawn = own.select("embedding").orderBy(mixed).limit(sample).toPandas()["embedding"]
+        drawn = own.select("embedding").orderBy(mixed).limit(max(64, min(sample, SAMPLE_BYTES // (8 * dim)))).toPandas()["embedding"]
         curves = fit(np.stack(drawn.to_numpy()).astype(np.float64), float(row["norm"]), orderings, dims)
         probe = own_queries.select("embedding").orderBy(mixed).limit(probes).toPandas()["embedding"]
         if not len(probe):
             continue
         probe = np.stack(probe.to_numpy()).astype(np.float64)
         width = window_width(curves, probe, _exact_probe(own, probe, dim, k + 1), recall)
-        blocks = int(max(1, n // block_points))
+        blocks = block_count(n, block_points)
         p, q = _tiles(_dealt(own, curves, blocks, None, dim),
-                      _dealt(own_queries.drop("ids"), curves, blocks, width, dim), block_points)
+                      _dealt(own_queries.drop("ids"), curves, blocks, width, dim), max(LEAST_POINTS, min(block_points, n // blocks)))
         key = ["cell", "p", "q"]
-        part = (p.groupBy(*key).cogroup(q.groupBy(*key))
-                .applyInArrow(per_group(_block_search(k)), "point long, found binary, scores binary"))
+        part = (p.groupBy(*key).cogroup(q.groupBy(*key)).applyInArrow(
+            per_group(_block_search(k, orderings, blocks)), "point string, found array<long>, scores array<double>, scored long"))
         found = part if found is None else found.unionByName(part)
+    return asked, found
+
+
+def search(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding",
+           orderings: int = ORDERINGS, dims: int = DIMS, recall: float = RECALL, sample: int = SAMPLE,
+           probes: int = PROBES, block_points: int = BLOCK_POINTS) -> DataFrame:
+    """``query_id, rank, vec_id, score``: the k nearest found for every row whose id fulfils ``is_query``."""
+    asked, found = _searched(vectors, is_query, k, id_col, vector_col, orderings, dims, recall, sample, probes, block_points)
     if found is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    merged = found.groupBy("point").agg(F.collect_list("found").alias("found"), F.collect_list("scores").alias("scores"))
-    merged = in_arrow(merged, _merge(k), "point long, found array<long>, scores array<double>")
-    pairs = F.slice(F.filter(F.arrays_zip("found", "scores"), lambda p: p["found"] != F.col("query_id")), 1, k)
+    rows = found.select("point", F.inline(F.arrays_zip("found", "scores"))).withColumnsRenamed({"found": "vec_id", "scores": "score"})
+    ranked = Window.partitionBy("point").orderBy(F.desc("score"), "vec_id")
+    best = rows.withColumn("_n", F.row_number().over(ranked)).where(F.col("_n") <= k + 1)     # its own id may be among them
+    merged = best.groupBy("point").agg(F.array_sort(F.collect_list(F.struct("_n", "vec_id", "score"))).alias("near"))
+    pairs = F.slice(F.filter("near", lambda p: p["vec_id"] != F.col("query_id")), 1, k)
     return (salted_join(asked, merged, "point", "query_id", "inner")
             .select("query_id", F.posexplode(pairs).alias("_n", "_pair"))
-            .select("query_id", (F.col("_n") + 1).cast("int").alias("rank"), F.col("_pair.found").alias("vec_id"),
-                    F.col("_pair.scores").alias("score")))
+            .select("query_id", (F.col("_n") + 1).cast("int").alias("rank"), F.col("_pair.vec_id").alias("vec_id"),
+                    F.col("_pair.score").alias("score")))
+
+
+def scored_pairs(vectors: DataFrame, is_query, k: int = 20, *, id_col: str = "vec_id", vector_col: str = "embedding",
+                 orderings: int = ORDERINGS, dims: int = DIMS, recall: float = RECALL, sample: int = SAMPLE,
+                 probes: int = PROBES, block_points: int = BLOCK_POINTS) -> int:
+    """How many (query, point) pairs a search scores."""
+    _, found = _searched(vectors, is_query, k, id_col, vector_col, orderings, dims, recall, sample, probes, block_points)
+    return 0 if found is None else found.agg(F.sum("scored")).first()[0] or 0

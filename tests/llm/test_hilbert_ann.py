@@ -82,6 +82,38 @@ def test_recall_with_small_blocks(spark):
         assert hit >= 0.9 * sum(len(found) for found in want.values())
 
 
+def test_each_pair_is_scored_once(spark):
+    """Fewer pairs than an exact scan at the recall asked for, on vectors at random too, with many blocks."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(50, 32))
+    shares = []
+    for vectors in (rng.normal(size=(2000, 32)), centres[rng.integers(0, 50, 2000)] + 0.1 * rng.normal(size=(2000, 32))):
+        rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+        assert ha.block_count(2000, ha.BLOCK_POINTS) >= 25
+        got = results(ha.search(frame(spark, rows), lambda i: i % 20 == 0))
+        want = dict(brute(rows))
+        hit = sum(len({i for i, _ in got.get(q, [])} & {i for i, _ in found}) for q, found in want.items())
+        assert hit >= 0.9 * sum(len(found) for found in want.values())
+        shares.append(ha.scored_pairs(frame(spark, rows), lambda i: i % 20 == 0) / (len(want) * 2000))
+    assert shares[0] < 1 and shares[1] < 0.6 * shares[0]
+
+
+def test_met_before_is_the_first_window_that_holds_a_pair():
+    rng = np.random.default_rng(7)
+    blocks, low = rng.integers(0, 10, (30, 4)), rng.integers(0, 8, (9, 4))
+    high = low + rng.integers(0, 3, (9, 4))
+    times = sum((~ha._met_before(o, blocks, low, high) & (blocks[:, o] >= low[:, o, None]) & (blocks[:, o] <= high[:, o, None])).astype(int)
+                for o in range(4))
+    held = ((blocks[None] >= low[:, None]) & (blocks[None] <= high[:, None])).any(axis=2)
+    assert (times == held).all()
+
+
+def test_double_precision_is_kept(spark):
+    near = 1.0 + 2.0 ** -40
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [near, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in ha.search(df, lambda i: i == 0).orderBy("rank").collect()] == [(2, near), (1, 1.0)]
+
+
 def test_windows_follow_the_data():
     """Clustered vectors need narrower windows than random ones at the same recall."""
     rng = np.random.default_rng(4)
