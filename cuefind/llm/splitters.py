@@ -43,6 +43,7 @@ def _records(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
         F.crc32(text).alias("text_crc32"),
         F.xxhash64(text).alias("_key"),
         F.xxhash64(F.col(id_col), F.lit("tie")).alias("_tie"),
+        F.monotonically_increasing_id().alias("_place"),
         *([F.struct(*keep).alias("_kept")] if keep else []))
 
 
@@ -89,7 +90,7 @@ def assign(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col
     ranged = _with_range(records, _boundaries(records, total, ranges, samples))
     lanes = ranged.groupBy("_range").agg(F.ceil(F.count("*") / F.lit(piece_rows)).cast("int").alias("_lanes"))
     ranged = (ranged.join(F.broadcast(lanes), "_range")               # ``ranges`` rows
-              .withColumn("_lane", F.pmod(F.xxhash64("_tie", F.lit("lane")), F.col("_lanes")).cast("int"))
+              .withColumn("_lane", F.pmod(F.xxhash64("_tie", "_place"), F.col("_lanes")).cast("int"))
               .drop("_lanes"))
     piece = ["_range", "_lane"]
     # few piece rows: ranges + rows / piece_rows
@@ -97,14 +98,14 @@ def assign(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col
     pieces = (ranged.groupBy(*piece).agg(F.sum("size").alias("_bytes"), F.count("*").alias("_rows"))
               .select(*piece, F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_bytes0"),
                       F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_rows0")))
-    order = Window.partitionBy(*piece).orderBy("_key", "_tie", "doc_id")
+    order = Window.partitionBy(*piece).orderBy("_key", "_tie", "_place")
     placed = (ranged.withColumn("_nth", F.row_number().over(order))
               .withColumn("_upto", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
               .join(pieces, piece)
               .withColumn("_at", F.expr("_bytes0 + _upto - size + size div 2"))       # its middle byte
               .withColumn("_index", F.col("_rows0") + F.col("_nth") - 1)
               .withColumn("shard", F.expr(f"int(_at * {int(shards)} div {max(total, 1)})")))
-    placed = materialise(placed.drop("_key", "_tie", "_nth", "_upto", "_bytes0", "_rows0", "_at"), "shard-places")
+    placed = materialise(placed.drop("_key", "_tie", "_place", "_nth", "_upto", "_bytes0", "_rows0", "_at"), "shard-places")
     first = placed.groupBy("shard").agg(F.min("_index").alias("_first"))
     return (placed.join(F.broadcast(first), "shard")                  # ``shards`` rows
             .withColumn("slot", F.col("_index") - F.col("_first"))
@@ -113,7 +114,9 @@ def assign(docs: DataFrame, shards: int = 8, *, id_col: str = "doc_id", text_col
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, *, id_col: str = "doc_id",
                  text_col: str = "text", **options) -> None:
-    """Write whole records to ``path/shard=N``; a shard is written by as many tasks as it has pieces."""
+    """Write whole records to ``path/shard=N`` as (slot, record); a shard is written by as many tasks as it has
+    pieces. The record is a struct, so columns may have any names; nulls, empty texts and repeated rows
+    are written as they are, and an empty table gives a folder without shards."""
     columns = tuple(docs.columns)
     placed = assign(docs, shards, id_col=id_col, text_col=text_col, keep=columns, **options)
     (placed.repartition("shard", "_range", "_lane").sortWithinPartitions("shard", "slot")

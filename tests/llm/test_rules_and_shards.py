@@ -88,6 +88,14 @@ def test_shards(spark, make_docs, awkward):
     assert splitters.shard_table(make_docs([])).count() == 0
 
 
+def test_rows_equal_in_id_and_text_are_many_lanes(make_docs):
+    pairs = [(None, None)] * 3000 + [(i, f"text {i}") for i in range(500)]
+    placed = splitters.assign(make_docs(pairs), 8, piece_rows=100).withColumn("law", F.lit("bytes")).collect()
+    check_shards(placed, pairs, 8)
+    lanes = Counter((r["_range"], r["_lane"]) for r in placed if r["doc_id"] is None)
+    assert len(lanes) >= 25 and max(lanes.values()) < 250
+
+
 def test_equal_texts_are_neighbours(make_docs):
     pairs = [(i, f"text {i // 5}") for i in range(500)]
     rows = splitters.shard_table(make_docs(pairs)).collect()
