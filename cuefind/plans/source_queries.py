@@ -59,7 +59,7 @@ SELECT r.video_id, n.n + 1 AS seq, r.text, r.start_ms, r.end_ms FROM r JOIN n US
 
 def subtitle_segments(spark: SparkSession, sf: str) -> DataFrame:
     path = FF.write_subtitles(spark, sf)
-    return SU.parse_subtitles(SU.read_subtitle_files(spark, path))
+    return SU.parse_subtitle_lines(SU.read_subtitle_lines(spark, path))
 
 
 @register("subtitle_segments", SUBTITLE_SQL)

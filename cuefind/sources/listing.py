@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuefind.functions.text import clr_trim, watch_url
+from cuefind.sources.lines import number_lines, scan_lines
 
 LISTING_SCHEMA = "value string"
+LINE_END = "\n"  # fixed value
 
 
 def parse_listing_lines(lines: DataFrame, line_col: str = "value") -> DataFrame:
@@ -28,22 +30,20 @@ def read_listings(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """All playlists in one plan (the sequential per-playlist loop as one scan): columns
     playlist (position in ``paths``), source (file), line_no, video_id, title, video_url.
 
-    The number of playlists is small and fixed by the caller, so one read per playlist
-    path is unioned; each file is read whole so line numbers are exact."""
+    The number of playlists is small and fixed by the caller, so one read per playlist path is
+    unioned; a large file is read by many tasks."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    files = None
+    lines = None
     for i, p in enumerate(paths):
-        f = spark.read.text(p, wholetext=True).select(
-            F.lit(i).alias("playlist"), F.input_file_name().alias("source"), F.col("value"))
-        files = f if files is None else files.unionByName(f)
-    return listing_lines(files)
+        own = scan_lines(spark, p, LINE_END).select(F.lit(i).alias("playlist"), "source", "start", "value")
+        lines = own if lines is None else lines.unionByName(own)
+    return listing_lines(lines)
 
 
-def listing_lines(files: DataFrame) -> DataFrame:
-    """Whole files (playlist, source, value) -> parsed lines in file order; only ``\\n`` ends a line (a
-    ``\\r`` before it is trimmed with the title)."""
-    lines = files.select("playlist", "source", F.posexplode(F.split(F.col("value"), "\n")).alias("line_no", "value"))
-    return parse_listing_lines(lines)
+def listing_lines(lines: DataFrame) -> DataFrame:
+    """Scanned lines (playlist, source, start, value) -> parsed lines with their number in the file; only ``\\n`` ends
+    a line (a ``\\r`` before it is trimmed with the title)."""
+    return parse_listing_lines(number_lines(lines).select("playlist", "source", "line_no", "value"))
 
 
 def first_listing_per_video(listing: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from cuefind.operators import chunking as CH
 from cuefind.operators import ingest as IN
 from cuefind.operators.common import rows_with_keys
 from cuefind.session import reliable_checkpoint
+from cuefind.sources import lines as LN
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
 
@@ -52,10 +53,10 @@ def chunk_videos(spark: SparkSession, tables: str, videos: DataFrame) -> None:
 
 def run_ingest_stream(spark: SparkSession, listing_dir: str, tables: str, checkpoint: str,
                       scripts_for: ScriptSource, files_per_batch: int = 1) -> None:
-    """Consume every listing file present now (availableNow) and stop. Files are read whole, so the
-    first line of a repeated video wins here as in the batch job."""
-    files = (spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch).option("wholetext", True)
-             .load(listing_dir).select(F.lit(0).alias("playlist"), F.input_file_name().alias("source"), "value"))
+    """Consume every listing file present now (availableNow) and stop. A file is read by splits, and its lines
+    are numbered in each batch, so the first line of a repeated video wins here as in the batch job."""
+    files = LN.with_place(spark.readStream.format("text").option("maxFilesPerTrigger", files_per_batch)
+                          .option("lineSep", LI.LINE_END).load(listing_dir)).select(F.lit(0).alias("playlist"), "source", "start", "value")
     q = (files.writeStream
          .foreachBatch(lambda df, epoch: _process_batch(spark, df, tables, scripts_for))
          .option("checkpointLocation", checkpoint)
