@@ -126,22 +126,32 @@ answers AS (
   FROM best JOIN resolved r USING (query_id))"""
 
 
+# of the requests, every fiftieth is blank and the one after it over-long
+_RECENT = "recent AS (SELECT * FROM nlog WHERE epoch_us(ts) >= (SELECT m FROM mid))"
+_REQUEST_SQL = CACHE_SQL.replace(_RECENT, "came" + _RECENT[6:] + ", recent AS (SELECT * FROM came WHERE event_id % 50 > 1)")
+
+
 def _requests(spark: SparkSession, sf: str):
     """(root of a store whose cache the earlier half of the log filled, the later half as requests)."""
     _, hist, recent = _log(spark, sf)
     root = scratch_path(spark, "search-store")
     ST.replace_table(CA.cache_rollup(hist), root, "query_cache")
     emb = TD.read(spark, sf, "embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
-    requests = recent.select("event_id", "ts", "user_id", "query").join(emb, "user_id", "left").drop("user_id")
+    nth = F.pmod("event_id", F.lit(50))
+    asked = F.when(nth == 0, F.lit(" \t")).when(nth == 1, F.repeat("query", F.lit(20))).otherwise(F.col("query"))
+    requests = recent.select("event_id", "ts", "user_id", asked.alias("query")).join(emb, "user_id", "left").drop("user_id")
     return root, requests
 
 
-@register("cached_search", "WITH " + CACHE_SQL + "," + _ANSWERS + f"""
+@register("cached_search", "WITH " + _REQUEST_SQL + "," + _ANSWERS + f"""
 SELECT n.event_id, 'ok' AS status, a.normalized_query, c.chunk_id, a.similarity_score, a.source, c.video_id, c.title,
        c.text AS chunk_text, 0 AS timestamp, {D.WATCH} || c.video_id || '&t=0' AS link
-FROM recent n JOIN answers a ON a.normalized_query = n.normalized_query JOIN c ON c.chunk_id = a.chunk_id""")
+FROM recent n JOIN answers a ON a.normalized_query = n.normalized_query JOIN c ON c.chunk_id = a.chunk_id
+UNION ALL
+SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'required' ELSE 'too_long' END, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL
+FROM came WHERE event_id % 50 <= 1""")
 def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The later half of the request log through the whole flow, one row per request."""
+    """The later half of the request log, with blank and over-long requests, through the whole flow, one row per request."""
     root, requests = _requests(spark, sf)
     chunks = TD.document_corpus(spark, sf, with_vectors=True)
     out = CA.cached_search(spark, root, requests, chunks, TD.document_videos(spark, sf))
@@ -150,7 +160,7 @@ def q_cached_search(spark: SparkSession, sf: str) -> DataFrame:
                       "chunk_text", "timestamp", "link")
 
 
-@register("cached_search_cache", "WITH " + CACHE_SQL + "," + _ANSWERS + """
+@register("cached_search_cache", "WITH " + _REQUEST_SQL + "," + _ANSWERS + """
 SELECT COALESCE(k.normalized_query, d.normalized_query) AS normalized_query,
        COALESCE(a.chunk_id, k.chunk_id) AS chunk_id, COALESCE(k.created_at, d.created_at) AS created_at,
        COALESCE(d.last_accessed_at, k.last_accessed_at) AS last_accessed_at,
