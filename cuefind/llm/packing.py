@@ -230,7 +230,8 @@ _PIECE = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
-    """``sequence_id, ids``: the pieces of each sequence joined (little-endian unsigned 32-bit ids)."""
+    """``sequence_id, ids``: the pieces of each sequence joined (little-endian unsigned 32-bit ids). Pieces of one
+    sequence are told apart by their offsets; no pieces give no sequences; other columns are not read."""
     return (pieces.groupBy("sequence_id")
             .agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))     # at most ``SEQUENCE`` pieces
             .select("sequence_id", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.ids))").alias("ids")))
