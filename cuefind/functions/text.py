@@ -51,10 +51,19 @@ def _category_class(java_prop: str, pred) -> str:
     return f"[[{java_prop}&&[\\x{{0}}-\\x{{FFFF}}]][\\p{{Cn}}&&{_char_class(pred)}]]"
 
 
+#: Fixed value: a spacing mark of today's Unicode that was a non-spacing one in the JVM's version.
+_NO_MARK = "\u1734"
+
+
+def _is_mark(ch: str) -> bool:
+    """A non-spacing mark as the reference tests it: by UTF-16 unit, so of the BMP only."""
+    return ord(ch) < 0x10000 and unicodedata.category(ch) == "Mn"
+
+
 @functools.lru_cache(maxsize=1)
 def mark_class() -> str:
     """Non-spacing marks (Mn) of the BMP."""
-    return _category_class("\\p{Mn}", lambda ch: unicodedata.category(ch) == "Mn")
+    return _category_class(f"\\p{{Mn}}&&[^{_NO_MARK}]", lambda ch: unicodedata.category(ch) == "Mn")
 
 
 @functools.lru_cache(maxsize=1)
@@ -63,20 +72,41 @@ def punct_class() -> str:
     return _category_class("\\p{P}", lambda ch: unicodedata.category(ch).startswith("P"))
 
 
+def lower_char(ch: str) -> str:
+    """Invariant lower case: one character to one, whatever stands beside it. U+0130, which has no single
+    lower-case letter without a mark, stays."""
+    low = ch.lower()
+    return low if len(low) == 1 else ch
+
+
+def _code_points():
+    return (chr(cp) for cp in range(0x110000) if not 0xD800 <= cp <= 0xDFFF)
+
+
 @functools.lru_cache(maxsize=1)
-def _diacritic_maps() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """Accent-stripped form (NFD, drop non-spacing marks, NFC) of every BMP character that
-    changes: single-character results as a ``translate`` table, the rare multi-character
+def _lower_map() -> tuple[str, str]:
+    changed = [(ch, lower_char(ch)) for ch in _code_points() if lower_char(ch) != ch]
+    return "".join(a for a, _ in changed), "".join(b for _, b in changed)
+
+
+def lower_invariant(c: Column) -> Column:
+    return F.translate(c, *_lower_map())
+
+
+def _stripped(text: str) -> str:
+    kept = "".join(c for c in unicodedata.normalize("NFD", text) if not _is_mark(c))
+    return unicodedata.normalize("NFC", kept)
+
+
+@functools.lru_cache(maxsize=2)
+def _strip_maps(lower: bool) -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """Accent-stripped form (NFD, drop non-spacing marks, NFC) of every character that changes, lower-cased
+    before if ``lower``: single-character results as a ``translate`` table, the rare multi-character
     results as (char, text) pairs. Characters that vanish are non-spacing marks, removed
     by the regexp. Built from ``unicodedata`` by rule, once per process."""
     src, dst, multi = [], [], []
-    for cp in range(0x10000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
-        ch = chr(cp)
-        decomposed = unicodedata.normalize("NFD", ch)
-        kept = "".join(c for c in decomposed if unicodedata.category(c) != "Mn")
-        out = unicodedata.normalize("NFC", kept)
+    for ch in _code_points():
+        out = _stripped(lower_char(ch) if lower else ch)
         if out == ch or out == "":
             continue
         if len(out) == 1:
@@ -87,20 +117,44 @@ def _diacritic_maps() -> tuple[str, str, tuple[tuple[str, str], ...]]:
     return "".join(src), "".join(dst), tuple(multi)
 
 
-def strip_diacritics(c: Column) -> Column:
-    """NFD -> drop Mn -> NFC, as translate + replace + regexp (JVM side, codegen friendly)."""
-    src, dst, multi = _diacritic_maps()
+@functools.lru_cache(maxsize=1)
+def _joining_class() -> str:
+    """Characters that may join or change places with what stands before them once the marks are gone: second
+    halves of canonical compositions (vowels and tails of Hangul syllables among them) and marks with a combining
+    class that are not dropped."""
+    second = {chr(x) for x in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))}
+    for ch in _code_points():
+        parts = unicodedata.decomposition(ch).split()
+        if len(parts) == 2 and "<" not in parts[0]:
+            second.add(chr(int(parts[1], 16)))
+    joining = lambda ch: not _is_mark(ch) and (ch in second or unicodedata.combining(ch) > 0)
+    first = next(ch for ch in _code_points() if joining(ch))
+    # one comparison tells for nearly all characters; the long class is asked for the rest
+    return f"[[\\x{{{ord(first):X}}}-\\x{{10FFFF}}]&&{_char_class(joining, 0x110000)}]"
+
+
+def _strip(c: Column, lower: bool) -> Column:
+    """The accents of a text stripped. Character by character (``translate``, ``replace``, a regexp) unless it has
+    one of ``_joining_class``; such a text, and only such a one, is decomposed and composed as a whole, by ICU,
+    which Spark brings along."""
+    src, dst, multi = _strip_maps(lower)
     s = F.translate(c, src, dst)
     for ch, out in multi:
         s = F.replace(s, F.lit(ch), F.lit(out))
-    return F.regexp_replace(s, mark_class() + "+", "")
+    marks = mark_class() + "+"
+    icu = lambda method, x: F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit(method), x, F.lit(False))
+    whole = icu("compose", F.regexp_replace(icu("decompose", lower_invariant(c) if lower else c), marks, ""))
+    return F.when(c.rlike(_joining_class()), whole).otherwise(F.regexp_replace(s, marks, ""))
+
+
+def strip_diacritics(c: Column) -> Column:
+    """NFD -> drop Mn -> NFC (JVM side)."""
+    return _strip(c, lower=False)
 
 
 def normalize_text(c: Column) -> Column:
     """The reference normalizer as one expression; null and '' pass through."""
-    lowered = F.lower(c)
-    s = strip_diacritics(lowered)
-    s = F.regexp_replace(s, punct_class() + "+", "")
+    s = F.regexp_replace(_strip(c, lower=True), punct_class() + "+", "")
     s = F.trim(F.regexp_replace(s, WS_CLASS + "+", " "))
     return F.when(c.isNull() | (c == F.lit("")), c).otherwise(s)
 

@@ -50,7 +50,7 @@ def chunk_model(segments, thresholds=(30, 50)):
 def normalize_model(s):
     if s is None or s == "":
         return s
-    s = s.lower()
+    s = "".join(c.lower() if len(c.lower()) == 1 else c for c in s)       # invariant: no context
     d = unicodedata.normalize("NFD", s)
     # categories are tested per UTF-16 unit: only BMP non-spacing marks are dropped
     s = unicodedata.normalize("NFC", "".join(c for c in d if not (ord(c) <= 0xFFFF and

@@ -36,11 +36,49 @@ def test_normalize_random_against_model(spark):
     got = {r.i: r.n for r in df.select("i", TX.normalize_text(F.col("s")).alias("n")).collect()}
     bad = [(strs[i], got[i], normalize_model(strs[i])) for i in range(len(strs))
            if got[i] != normalize_model(strs[i])]
-    # final sigma is lower-cased in context by the JVM; accepted corner (see README)
-    bad = [b for b in bad if "Σ" not in b[0]]
     assert not bad, bad[:3]
 
 
+def _normalized(spark, strs):
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(strs)], "i int, s string").repartition(8)
+    return {r.i: (r.n, r.d) for r in df.select("i", TX.normalize_text(F.col("s")).alias("n"), TX.strip_diacritics(F.col("s")).alias("d")).collect()}
+
+
+def _strip_model(s):
+    kept = "".join(c for c in unicodedata.normalize("NFD", s) if ord(c) > 0xFFFF or unicodedata.category(c) != "Mn")
+    return unicodedata.normalize("NFC", kept)
+
+
+def test_every_code_point_against_model(spark):
+    """Alone and between letters; code points that are no characters left out."""
+    known = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) not in ("Cs", "Cn", "Co")]
+    strs = [*known, *(f"a{c}b" for c in known)]
+    got = _normalized(spark, strs)
+    bad = [(hex(ord(max(s))), got[i], normalize_model(s), _strip_model(s)) for i, s in enumerate(strs)
+           if got[i] != (normalize_model(s), _strip_model(s))]
+    assert not bad, (len(bad), bad[:5])
+
+
+def test_composition_across_characters(spark):
+    """Halves that join when a mark between them is gone, Hangul from its letters, marks that change places."""
+    rng = random.Random(9)
+    joining = [chr(c) for c in range(1, 0x110000) if unicodedata.category(chr(c)) != "Cs"
+               and (unicodedata.combining(chr(c)) or len(unicodedata.decomposition(chr(c)).split()) == 2)]
+    hangul = [chr(c) for c in (*range(0x1100, 0x1113), *range(0x1161, 0x1176), *range(0x11A8, 0x11C3), *range(0xAC00, 0xAC20))]
+    indic = [chr(c) for c in (0x9C7, 0x9BE, 0x9D7, 0xB47, 0xB3E, 0xBC6, 0xBBE, 0xBD7, 0xCC6, 0xCC2, 0xCD5, 0xDD9, 0xDCF, 0x1B05, 0x1B35, 0x11347, 0x1133E)]
+    marks = ["\u0301", "\u0323", "\u302E", "\u302F", "\U0001D165", "\U0001D16D", "\U000110BA", "\U00011099"]
+    strs = ["".join(rng.choice(rng.choice([joining, hangul, indic, marks, list("aΣİς e")])) for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    got = _normalized(spark, strs)
+    bad = [(s.encode("unicode_escape"), got[i], normalize_model(s), _strip_model(s)) for i, s in enumerate(strs)
+           if got[i] != (normalize_model(s), _strip_model(s))]
+    assert not bad, (len(bad), bad[:5])
+
+
+def test_lower_case_has_no_context(spark):
+    df = spark.createDataFrame([("ΟΔΟΣ ΣΑΣ İI",)], "s string")
+    assert df.select(TX.lower_invariant(F.col("s"))).first()[0] == "οδοσ σασ İi"
+
+
 def test_trigram_similarity_against_model(spark):
     rng = random.Random(5)
     words = ["quote", "quota", "rocket", "Łódź", "a", "ab", "x1", "zz-top", "it's", "déjà", "vu"]
@@ -103,9 +141,5 @@ def test_strip_diacritics_every_bmp_character(spark):
     df = spark.createDataFrame(rows, "i int, s string")
     got = {r.i: r.o for r in df.select("i", TX.strip_diacritics(F.col("s")).alias("o")).collect()}
 
-    def model(ch):
-        d = unicodedata.normalize("NFD", ch)
-        return unicodedata.normalize("NFC", "".join(c for c in d if unicodedata.category(c) != "Mn"))
-    # U+1734 changed category (Mn -> Mc) after the JVM's Unicode version: JVM table wins
     for i, s in rows:
-        assert got[i] == "".join(model(ch) if ch != "\u1734" else "" for ch in s), i
+        assert got[i] == _strip_model(s), i
