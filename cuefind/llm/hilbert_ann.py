@@ -52,6 +52,8 @@ BLOCK_POINTS = 2048
 BLOCKS = 32
 LEAST_POINTS = 16
 RECALL = 0.94
+#: Bytes of cell sizes that are broadcast.
+CELL_BYTES = 4 << 20
 #: Bytes of a sample on the driver.
 SAMPLE_BYTES = 32 << 20
 _SEED = 7
@@ -279,8 +281,11 @@ def _tiles(points: DataFrame, queries: DataFrame, block_points: int) -> tuple[Da
                         .join(many(queries, 2048).withColumnRenamed("_parts", "_q"), "cell"), "hilbert-cells")
     own = lambda parts: F.pmod(F.xxhash64("point", "cell"), F.col(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    p = salted_join(points, sizes, "cell", "point", "inner").withColumn("p", own("_p")).withColumn("q", every("_q"))
-    q = salted_join(queries, sizes, "cell", "point", "inner").withColumn("q", own("_q")).withColumn("p", every("_p"))
+    # a cell is 16 bytes here; as few as fit are sent to the points, else the points come to them
+    few = sizes.count() * 16 <= CELL_BYTES
+    sized = lambda df: df.join(F.broadcast(sizes), "cell") if few else salted_join(df, sizes, "cell", "point", "inner")
+    p = sized(points).withColumn("p", own("_p")).withColumn("q", every("_q"))
+    q = sized(queries).withColumn("q", own("_q")).withColumn("p", every("_p"))
     return p.drop("_p", "_q"), q.drop("_p", "_q")
 
 

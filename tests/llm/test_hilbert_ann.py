@@ -98,6 +98,14 @@ def test_each_pair_is_scored_once(spark):
     assert shares[0] < 1 and shares[1] < 0.6 * shares[0]
 
 
+def test_cell_sizes_beyond_the_broadcast(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 6)))]
+    one = results(ha.search(frame(spark, rows), lambda i: i % 20 == 0))
+    monkeypatch.setattr(ha, "CELL_BYTES", 0)
+    assert results(ha.search(frame(spark, rows), lambda i: i % 20 == 0)) == one
+
+
 def test_met_before_is_the_first_window_that_holds_a_pair():
     rng = np.random.default_rng(7)
     blocks, low = rng.integers(0, 10, (30, 4)), rng.integers(0, 8, (9, 4))
