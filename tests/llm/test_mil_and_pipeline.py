@@ -133,7 +133,7 @@ def test_stages(spark, tmp_path):
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert sum(n.startswith("op") and n[2:].split("_")[0].isdigit() for n in names) == 10 and "pipeline" in names
+    assert sum(n.startswith("op") and n[2:].split("_")[0].isdigit() for n in names) == 13 and "pipeline" in names
     assert set(queries.ORACLE) <= set(names)
 
 
