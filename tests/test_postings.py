@@ -110,6 +110,15 @@ def test_no_text_is_shuffled(spark):
     assert "normalized_text" not in plan and "members" in plan
 
 
+def test_payload_is_the_same_on_either_way(spark, monkeypatch):
+    texts = _texts(120, 7)
+    chunks = _chunks(spark, texts)
+    queries = spark.createDataFrame([(i, f"rocket{i % 4} laser1") for i in range(30)], "query_id long, query string")
+    sent = sorted(map(tuple, SE.trigram_topk(chunks, queries, payload=("text",)).collect()))
+    monkeypatch.setattr(SE, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, SE.trigram_topk(chunks, queries, payload=("text",)).collect())) == sent and len(sent) == 150
+
+
 def test_a_kept_index_answers_without_the_texts(spark):
     texts = _texts(80, 6)
     chunks, path = _chunks(spark, texts), scratch_path(spark, "kept-index")
