@@ -17,7 +17,7 @@ from cuefind.operators import chunking as CH
 from cuefind.operators import embed as EM
 from cuefind.operators import ingest as IN
 from cuefind.operators.common import rows_with_keys
-from cuefind.session import reliable_checkpoint
+from cuefind.session import reliable_checkpoint, written
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
 from cuefind.streaming.ingest_stream import chunk_videos
@@ -29,7 +29,7 @@ def extract_stage(spark: SparkSession, listing_paths, tables: str, scripts_for,
     stored = ST.read_table(spark, tables, "videos")         # a version: later writes do not change it
     missing = IN.ingest_missing(listing, stored)
     wanted = missing if only_missing else listing
-    choice = reliable_checkpoint(scripts_for(wanted.select("video_id")))
+    choice = written(scripts_for(wanted.select("video_id")))
     scripts = IN.scripts_from_segments(choice)
     if only_missing:
         new_rows = reliable_checkpoint(wanted.join(scripts, "video_id"))
@@ -65,8 +65,9 @@ def rechunk(spark: SparkSession, tables: str, videos: DataFrame) -> None:
     ST.upsert_table(spark, tables, "chunks", fresh, lambda old: CH.replace_chunks(old, fresh))
 
 
-#: Pending chunks of one bucket of the embedding stage.
-EMBED_COMMIT_ROWS = 100_000
+#: Pending chunks of one bucket of the embedding stage, unless that makes more than ``EMBED_BUCKETS``.
+EMBED_COMMIT_ROWS = 1_000_000
+EMBED_BUCKETS = 16
 #: Commits of a run at most: each names all folders so far.
 EMBED_COMMITS = 64
 
@@ -80,7 +81,7 @@ def embed_stage(spark: SparkSession, tables: str, provider: EM.Provider, commit_
     for run in EM.open_runs(spark, work):
         _embed_run(spark, tables, run, provider, pause_s)
     done = ST.read_table(spark, tables, "chunk_vectors")
-    run = EM.plan_backfill(EM.pending(ST.read_table(spark, tables, "chunks"), done), work, commit_rows)
+    run = EM.plan_backfill(EM.pending(ST.read_table(spark, tables, "chunks"), done), work, commit_rows, EMBED_BUCKETS)
     if run:
         _embed_run(spark, tables, run, provider, pause_s)
 

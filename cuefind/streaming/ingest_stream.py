@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cuefind.operators import chunking as CH
 from cuefind.operators import ingest as IN
 from cuefind.operators.common import rows_with_keys
-from cuefind.session import reliable_checkpoint
+from cuefind.session import reliable_checkpoint, written
 from cuefind.sources import lines as LN
 from cuefind.sources import listing as LI
 from cuefind.sources import store as ST
@@ -30,7 +30,7 @@ def _process_batch(spark: SparkSession, batch: DataFrame, tables: str, scripts_f
     listing = reliable_checkpoint(LI.first_listing_per_video(LI.listing_lines(batch))
                                   .select("video_id", "title", "video_url"))
     missing = IN.ingest_missing(listing, ST.read_table(spark, tables, "videos"))
-    choice = reliable_checkpoint(scripts_for(missing.select("video_id")))
+    choice = written(scripts_for(missing.select("video_id")))
     new_rows = reliable_checkpoint(missing.join(IN.scripts_from_segments(choice), "video_id"))
     # segments first, then the video row: a replay after a failure in between finds the
     # video still missing and its segments already present (skipped by the anti join)
