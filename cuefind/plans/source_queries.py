@@ -75,7 +75,7 @@ def q_segments_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Segments -> stored JSON text per video -> parsed back; must equal the input."""
     seg = TD.conversation_segments(spark, sf)
     per_video = seg.groupBy("video_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "text", "start_ms", "end_ms"))).alias("s"))
+        F.sort_array(F.collect_list(F.struct("pos", "text", "start_ms", "end_ms"))).alias("s"))
     as_json = per_video.select("video_id", F.col("s.pos").alias("p"), ST.segments_to_json(F.col("s")).alias("js"))
     back = as_json.select("video_id", F.arrays_zip(F.col("p").alias("pos"),
                                                    ST.segments_from_json(F.col("js")).alias("seg")).alias("z"))
