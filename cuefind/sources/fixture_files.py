@@ -14,6 +14,7 @@ from cuefind.session import scratch_path
 from cuefind.sources import testdata as TD
 from cuefind.sources.store import timespan_text
 
+FILE_TASKS = 4              # tasks a core that write files
 # ---- fixed values of the file fixtures ----------------------------------------------------
 CUE_SPAN_MS = 400_000       # turn k's cue covers [k * 400 s, (k + 1) * 400 s - 1 s]
 CUE_GAP_MS = 1_000
@@ -59,7 +60,8 @@ def subtitle_file_rows(spark: SparkSession, sf_dir: str):
 
 
 def write_subtitles(spark: SparkSession, sf_dir: str, path: str | None = None) -> str:
-    """One file per video under ``video_id=<id>/``."""
+    """One file per video under ``video_id=<id>/``. Files cost more than their bytes, so the videos are dealt to all cores."""
     path = path or scratch_path(spark, "subtitles")
-    subtitle_file_rows(spark, sf_dir).write.mode("overwrite").partitionBy("video_id").text(path)
+    tasks = FILE_TASKS * spark.sparkContext.defaultParallelism
+    subtitle_file_rows(spark, sf_dir).repartition(tasks, F.xxhash64("video_id")).write.mode("overwrite").partitionBy("video_id").text(path)
     return path
