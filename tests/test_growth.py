@@ -113,3 +113,35 @@ def test_shared_trigrams_by_product_and_pair_by_pair_at_once(monkeypatch):
         assert (SE._shared(segment, segment.find(vocab), code, of, 25) == want).all()
         monkeypatch.setattr(SE, "places", plain)
     assert len([r for r, _ in widths if r == 3]) == 2          # one product and one count
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_vector_is_shuffled_to_its_rows(spark):
+    """embed_pending: rows are shuffled once, by text, and leave with their vector."""
+    rows = spark.createDataFrame([(f"c{i}", f"text {i % 9}") for i in range(90)], "chunk_id string, text string")
+    plan = _physical(EM.embed_texts(rows, EM.hashed_trigram_provider(4), pause_s=0.0))
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("MapInArrow") < plan.index("Exchange")
+
+
+def test_rows_of_a_text_over_many_batches(spark):
+    """embed_pending: a frequent text is sent once though its rows fill many batches; nulls and repeated ids keep their rows."""
+    sent = spark.sparkContext.accumulator(0)
+
+    def provider(texts):
+        sent.add(len(texts))
+        return [{"index": i, "embedding": [float(len(t)) if t is not None else -1.0, 1.0][:1 + (t != "b")]} for i, t in enumerate(texts)]
+
+    rows = [(i, "hot") for i in range(50)] + [(i, "b") for i in range(40, 60)] + [(None, "b"), (None, None), (7, None), (8, ""), (None, "lone")]
+    df = spark.createDataFrame(rows, "query_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = EM.embed_texts(df, provider, id_col="query_id", pause_s=0.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(i, {None: [-1.0, 1.0], "b": [1.0]}.get(t, [float(len(t or "")), 1.0])) for i, t in rows]
+    assert sorted(map(str, want)) == sorted(str((r.query_id, list(r.embedding))) for r in got)
+    assert sent.value == 5
