@@ -145,3 +145,13 @@ def test_rows_of_a_text_over_many_batches(spark):
     want = [(i, {None: [-1.0, 1.0], "b": [1.0]}.get(t, [float(len(t or "")), 1.0])) for i, t in rows]
     assert sorted(map(str, want)) == sorted(str((r.query_id, list(r.embedding))) for r in got)
     assert sent.value == 5
+
+
+def test_vectors_are_sorted_after_their_shuffle_only(spark):
+    """embed_apply: ids hardly ever come twice, so no sort goes before the shuffle of the vectors."""
+    chunks = spark.createDataFrame([("a", None), ("b", [2.0]), ("c", None), ("c", None)], "chunk_id string, embedding array<float>")
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [9.0]), ("c", [3.0]), ("c", [3.0])], "chunk_id string, embedding array<float>")
+    out = EM.apply_embeddings(chunks, vectors)
+    assert sorted((r.chunk_id, r.embedding[0]) for r in out.collect()) == [("a", 1.0), ("b", 2.0), ("c", 3.0), ("c", 3.0)]
+    assert all("Aggregate" not in part.split("Exchange")[0] for part in _physical(out).split("REPARTITION_BY_COL")[1:])
+    assert "REPARTITION_BY_COL" in _physical(out)
