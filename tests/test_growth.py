@@ -155,3 +155,13 @@ def test_vectors_are_sorted_after_their_shuffle_only(spark):
     assert sorted((r.chunk_id, r.embedding[0]) for r in out.collect()) == [("a", 1.0), ("b", 2.0), ("c", 3.0), ("c", 3.0)]
     assert all("Aggregate" not in part.split("Exchange")[0] for part in _physical(out).split("REPARTITION_BY_COL")[1:])
     assert "REPARTITION_BY_COL" in _physical(out)
+
+
+def test_code_points_are_numbered_without_a_sort(monkeypatch):
+    """chunk_trigram_topk: the texts' characters are looked up in a table; only the trigrams are sorted."""
+    words = ["ab", None, "b\x01\U00020000c", ""]
+    want = [{(32, 32, 97), (32, 97, 98), (97, 98, 32)}, set(), {(32, 32, 98), (32, 98, 32), (32, 32, 0x20000), (32, 0x20000, 99), (0x20000, 99, 32)}, set()]
+    monkeypatch.setattr(np, "unique", None)
+    code, start = PO.codes_of_words(words)
+    got = [[(c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) for c in code[a:b].tolist()] for a, b in zip(start[:-1], start[1:])]
+    assert got == [sorted(x) for x in want]
