@@ -165,3 +165,57 @@ def test_code_points_are_numbered_without_a_sort(monkeypatch):
     code, start = PO.codes_of_words(words)
     got = [[(c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF) for c in code[a:b].tolist()] for a, b in zip(start[:-1], start[1:])]
     assert got == [sorted(x) for x in want]
+
+
+def _some_segments(rng, count):
+    out = []
+    for s in range(count):
+        held = [np.unique(rng.zipf(1.4, rng.integers(1, 60)) % 97) for _ in range(int(rng.integers(1, 30)))]
+        codes = np.unique(np.concatenate(held))
+        members = [np.flatnonzero([c in h for h in held]) for c in codes]
+        sizes = np.array([len(h) for h in held])
+        ids = np.array([f"s{s}-{i}" for i in range(len(held))], dtype=object)
+        out.append(PO.Segment(int(sizes.min()), int(sizes.max()), ids, sizes, codes, np.cumsum([0, *map(len, members)]), np.concatenate(members)))
+    return out
+
+
+def _sets(segments):
+    out = {}
+    for s in segments:
+        assert (np.diff(s.codes) > 0).all() and s.low == s.sizes.min() and s.high == s.sizes.max()
+        for code, a, b in zip(s.codes.tolist(), s.starts[:-1], s.starts[1:]):
+            for m in s.members[a:b].tolist():
+                out.setdefault(s.ids[m], set()).add(code)
+        assert all(len(out[i]) == n for i, n in zip(s.ids, s.sizes))
+    return out
+
+
+def test_merged_segments_hold_the_same_chunks():
+    """hybrid_common, hybrid_scores: many short segments become few long ones."""
+    segments = _some_segments(np.random.default_rng(5), 12)
+    few = PO.merged(segments)
+    assert len(few) < len(segments) and _sets(few) == _sets(segments)
+    assert _sets(PO.merged(segments[:1])) == _sets(segments[:1])
+
+
+def test_cells_below_a_kth_score_are_not_worked_out(monkeypatch):
+    """chunk_trigram_topk: once a query has k chunks, only shared counts that can beat them are turned into scores."""
+    rng = np.random.default_rng(6)
+    segments = PO.merged(_some_segments(rng, 8), 30) + _some_segments(rng, 8)
+    asked = [np.unique(rng.zipf(1.4, 30) % 97) for _ in range(40)] + [np.zeros(0, np.int64)]
+    vocab, code = np.unique(np.concatenate(asked), return_inverse=True)
+    sizes = np.array([len(a) for a in asked])
+    group = SE.QueryGroup(np.arange(41), sizes, vocab, code, np.concatenate([[0], np.cumsum(sizes)]), np.zeros(0, np.int64), np.zeros((0, 0)))
+    sets, worked = {}, []
+    for n, s in enumerate(segments):
+        s.ids = np.array([f"{n}-{i}" for i in s.ids], dtype=object)
+        sets |= _sets([s])
+    plain = SE._candidates
+    monkeypatch.setattr(SE, "_candidates", lambda key, *a: (worked.append(key.size), plain(key, *a))[1])
+    top = SE._TopK(41, 3)
+    SE._score_segments(segments, group, top)
+    for q, a in enumerate(asked):
+        score = lambda i: len(sets[i] & set(a.tolist())) / len(sets[i] | set(a.tolist()))  # noqa: B023,E731
+        want = sorted(((-score(i), i) for i in sets))[:3]
+        assert [(k, c) for k, c in zip(top.key[top.q == q].tolist(), top.chunk[top.q == q].tolist())] == want
+    assert sum(worked) < 0.5 * 41 * len(sets)
